@@ -188,10 +188,50 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").selectExpr("b a", "m b").where("a <> b").union(least.selectExpr("a", "m b")).distinct()
         now = stored(small, "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        if not state[0] or tuple(state) == before:
             break
         before = tuple(state)
     else:
         raise RuntimeError("components did not settle")
     # settled edges are stars around each component's smallest node
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+
+
+# --- pairs within groups, in blocks ----------------------------------------------------------------------------------
+
+
+def block_tasks(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+    """Deals the pairs within groups to tasks of bounded size, all of them, each pair to one task.
+
+    rows have keys and a role: 0 for a group's own members, 1 for visitors. Wanted are the pairs of two members and those of a
+    visitor and a member. Members and visitors are hashed by `member` to blocks of about `block` rows; a task (x, i) compares
+    block x (side 1) with the members' block i (side 0), or the block i with itself where x = i and side 1 is absent.
+    """
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.when(F.col("role") == 0, 1)) / block).alias("nb"), F.ceil(F.count(F.when(F.col("role") == 1, 1)) / block).alias("nq"), F.count(F.lit(1)).alias("n_in_group")).where("n_in_group > 1 and nb > 0").drop("n_in_group")
+    dealt = rows.join(counts, keys).withColumn("at", F.when(F.col("role") == 0, F.pmod(F.xxhash64(F.lit(3), F.col(member)), "nb")).otherwise(F.pmod(F.xxhash64(F.lit(3), F.col(member)), F.greatest("nq", F.lit(1)))))
+    place = lambda x, i, side: F.struct(x.cast("int").alias("x"), i.cast("int").alias("i"), F.lit(side).alias("side"))
+    at = F.col("at")
+    as_member = F.transform(F.sequence(at, F.col("nb") + F.col("nq") - 1), lambda x: place(x, at, 0))
+    as_other = F.when(at > 0, F.transform(F.sequence(F.lit(0).cast("long"), at - 1), lambda i: place(at, i, 1))).otherwise(F.array().cast("array<struct<x:int,i:int,side:int>>"))
+    as_visitor = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda i: place(F.col("nb") + at, i, 1))
+    return dealt.withColumn("task", F.explode(F.when(F.col("role") == 0, F.concat(as_member, as_other)).otherwise(as_visitor))).select(*rows.columns, "task.*")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) reduced to stars: as many rows as nodes less components, each node beside its component's least."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    mine = label != np.arange(len(nodes))
+    return nodes[mine], nodes[label[mine]]

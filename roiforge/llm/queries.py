@@ -19,6 +19,38 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98, target_recall=1.0)
+
+
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.quality import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", "p_text", "p_meta", "p_quality", "keep")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.pii import digests, find_pii
+
+    return digests(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roiforge.llm.fingerprint import edits_and_neighbours
 
@@ -54,6 +86,11 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_embeddings": op2_embeddings,
+    "op3_jaccard": op3_jaccard,
+    "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
+    "op6_pii": op6_pii,
     "op7_fingerprints": op7_fingerprints,
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
