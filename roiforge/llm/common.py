@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 2000
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Entries of a worker's cache of encoded words; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_500_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -128,14 +128,40 @@ def batch_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
 _tokenizers: dict[str, tuple] = {}
+_MARK = "\u2605"
+_PUNCTUATION = b".,!?%&$#*|;:"
+
+
+def _encode_words(tokenizer, known: dict[bytes, bytes], new: list[bytes]) -> None:
+    """Adds the ids of new words, none of which holds the mark.
+
+    The words are encoded as one string with the mark, which has an id of its own, between them: one call for many is much
+    cheaper than one for each. A run of punctuation after an ASCII letter or digit is a match of its own, so it is encoded apart.
+    """
+    mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
+    heads = {w: w.rstrip(_PUNCTUATION) for w in new}
+    heads = {w: h if h[-1:].isalnum() else w for w, h in heads.items()}
+    parts = list({x for w, h in heads.items() for x in (h, w[len(h) :]) if x and x not in known})
+    for k in range(0, len(parts), 5000):
+        some = parts[k : k + 5000]
+        ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(w.decode() for w in some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = np.flatnonzero(ids == mark[0])
+        if len(mark) != 1 or len(cut) != len(some) - 1:
+            raise ValueError("this tokenizer has no id of its own for the mark")
+        data = ids.tobytes()
+        for w, s, e in zip(some, [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(data)], strict=True):
+            known[w] = data[s:e]
+    for w, h in heads.items():
+        if w not in known:
+            known[w] = known[h] + known[w[len(h) :]]
 
 
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without special tokens; null counts as empty.
 
-    The tokenizer's pattern never matches across white space, and neither its normalisation nor its added tokens do, so that
-    a text's ids are those of its white-space-separated pieces one after the other. Pieces recur, so each worker keeps
-    the ids of those seen; the tokenizers library encodes the others.
+    The tokenizer's pattern never matches across white space, and neither does its normalisation, so that a text's ids are
+    those of its white-space-separated words one after the other. Words recur, so each worker keeps the ids of those
+    seen; the tokenizers library encodes the others. Texts that hold the mark or the strings of added tokens are encoded whole.
     """
     import os
 
@@ -147,16 +173,16 @@ def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     tokenizer, known = _tokenizers[path]
     step = 200
     for k in range(0, len(texts), step):
-        pieces = [(t or "").encode("utf-8", "replace").split() for t in texts[k : k + step]]
+        some = [t or "" for t in texts[k : k + step]]
+        plain = [_MARK not in t and "<|" not in t for t in some]
+        words = [(t.encode().lower() if t.isascii() else t.encode()).split() if p else [] for t, p in zip(some, plain, strict=True)]
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for p in pieces for w in p if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for p in pieces:
-            yield b"".join([known[w] for w in p])
+        new = {w for x in words for w in x if w not in known}
+        if new:
+            _encode_words(tokenizer, known, list(new))
+        for t, x, p in zip(some, words, plain, strict=True):
+            yield b"".join([known[w] for w in x]) if p else np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
