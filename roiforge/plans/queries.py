@@ -6,9 +6,10 @@ from collections.abc import Callable, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roiforge.functions.sqltext import KEYS, rounded, run
-from roiforge.operators import firstorder, shape, texture
+from roiforge.operators import firstorder, geometry, imagequality, output, shape, spatial, texture, volume
 from roiforge.operators.zones import zone_features
 from roiforge.sources.adapters import ADAPTERS, pixels
 
@@ -74,3 +75,132 @@ family("glrlm_3d", "volume", partial(texture.glrlm_sql, 8, three_d=True), textur
 family("glrlm_3d_ave", "volume", partial(texture.glrlm_sql, 8, three_d=True, averaged=True), texture.names("GLRLM", True, True))
 zoned("glszm_3d", "volume", "GLSZM", 8, True)
 zoned("gldzm_3d", "volume", "GLDZM", 8, True)
+
+# --- regions against regions, image quality, volumes ------------------------------------------------------------------
+
+family("neighbours", "compact", spatial.neighbours_sql, spatial.NEIGHBOURS)
+family("focus", "dense", imagequality.focus_sql, imagequality.FOCUS)
+family("saturation", "dense", imagequality.saturation_sql, imagequality.SATURATION)
+family("surface_3d", "volume", volume.surface_sql, volume.SURFACE)
+
+_PARENTS = "SELECT * FROM {pixels} WHERE label % 2 = 1"
+_CHILDREN = "SELECT slide_id, t, label, x, y, z, inten FROM {pixels} WHERE label % 2 = 0 AND x < 20 AND y < 20"
+
+
+def _side(dialect: str, which: str, adapter: str = "sparse") -> str:
+    return which.replace("{pixels}", f"({ADAPTERS[adapter](dialect)}) AS adapted")
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    every = pixels(spark, sf_dir, "sparse")
+    parents, children = run(every, _PARENTS), run(every, _CHILDREN)
+    return spark.sql(spatial.containment_sql(), parents=parents, children=children), parents, children
+
+
+def nested_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relations(spark, sf_dir)[0]
+
+
+_NESTED_SQL = spatial.containment_sql(f"({_side('duckdb', _PARENTS)}) AS ps", f"({_side('duckdb', _CHILDREN)}) AS cs")
+
+
+def _nested(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    relations, parents, children = _relations(spark, sf_dir)
+    size = lambda df, name: df.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("double").alias(name))
+    return spatial.aggregate_children(relations, size(parents, "area"), size(children, "area"), how, ["area"], most_children=3)
+
+
+def nested_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested(spark, sf_dir, "SUM")
+
+
+def nested_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested(spark, sf_dir, "MEAN")
+
+
+def nested_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested(spark, sf_dir, "NONE")
+
+
+_SIZES = "SELECT slide_id, t, label, cast(count(*) as double) AS area FROM ({}) AS q GROUP BY slide_id, t, label"
+
+
+def _nested_sql(aggregate: str) -> str:
+    children = f"SELECT r.slide_id, r.t, r.parent_label, {aggregate} FROM (SELECT r.slide_id, r.t, r.parent_label, c.area, row_number() OVER (PARTITION BY r.slide_id, r.t, r.parent_label ORDER BY r.child_label) AS k FROM ({_NESTED_SQL}) AS r JOIN ({_SIZES.format(_side('duckdb', _CHILDREN))}) AS c ON r.slide_id = c.slide_id AND r.t = c.t AND r.child_label = c.label) AS r GROUP BY r.slide_id, r.t, r.parent_label"
+    names = [a.split(" AS ")[-1] for a in aggregate.split(", ")]
+    shown = ", ".join(f"coalesce(w.{n}, 0e0) AS {n}" for n in names)
+    return f"SELECT p.slide_id, p.t, p.label AS parent_label, p.area, {shown} FROM ({_SIZES.format(_side('duckdb', _PARENTS))}) AS p LEFT JOIN ({children}) AS w ON p.slide_id = w.slide_id AND p.t = w.t AND p.label = w.parent_label"
+
+
+QUERIES |= {"nested_relations": nested_relations, "nested_sum": nested_sum, "nested_mean": nested_mean, "nested_pivot": nested_pivot}
+ORACLE_SQL |= {
+    "nested_relations": _NESTED_SQL,
+    "nested_sum": _nested_sql("sum(area) AS child_area"),
+    "nested_mean": _nested_sql("avg(area) AS child_area"),
+    "nested_pivot": _nested_sql("max(CASE WHEN k = 1 THEN area END) AS child1_area, max(CASE WHEN k = 2 THEN area END) AS child2_area, max(CASE WHEN k = 3 THEN area END) AS child3_area"),
+}
+
+
+def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of regions that a list by file leaves."""
+    kept = spatial.without_blacklisted(pixels(spark, sf_dir, "sparse"), "1:1,2,3;7:4")
+    return kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("area"))
+
+
+def slide_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prescan: extrema of intensity and size, and the number of regions, of each slide."""
+    roi = pixels(spark, sf_dir, "sparse").groupBy(*KEYS).agg(F.min("inten").alias("lo"), F.max("inten").alias("hi"), F.count(F.lit(1)).alias("area"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    return roi.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n_rois"), F.min("lo").alias("min_inten"), F.max("hi").alias("max_inten"), F.max("area").alias("max_area"), F.max("w").alias("max_width"), F.max("h").alias("max_height"))
+
+
+def slide_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a slide, label -1: means over its regions."""
+    return output.slide_means(run(pixels(spark, sf_dir, "sparse"), firstorder.basic_sql()), ["AREA_PIXELS_COUNT", "MEAN"]).select(*KEYS, *(F.round(F.col(c), 6).alias(c) for c in ("AREA_PIXELS_COUNT", "MEAN")))
+
+
+QUERIES |= {"blacklist": blacklist, "slide_summary": slide_summary, "slide_means": slide_means}
+_SPARSE = f"({ADAPTERS['sparse']('duckdb')})"
+_ROI = f"SELECT slide_id, t, label, min(inten) AS lo, max(inten) AS hi, count(*) AS area, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, avg(inten * 1e0) AS mean FROM {_SPARSE} AS p GROUP BY slide_id, t, label"
+ORACLE_SQL |= {
+    "blacklist": f"SELECT slide_id, t, label, count(*) AS area FROM {_SPARSE} AS p WHERE NOT (slide_id = '1' AND label IN (1, 2, 3)) AND NOT (slide_id = '7' AND label = 4) GROUP BY slide_id, t, label",
+    "slide_summary": f"SELECT slide_id, count(*) AS n_rois, min(lo) AS min_inten, max(hi) AS max_inten, max(area) AS max_area, max(w) AS max_width, max(h) AS max_height FROM ({_ROI}) AS r GROUP BY slide_id",
+    "slide_means": f"SELECT slide_id, t, cast(-1 as bigint) AS label, round(avg(area), 6) AS AREA_PIXELS_COUNT, round(avg(mean), 6) AS MEAN FROM ({_ROI}) AS r GROUP BY slide_id, t",
+}
+
+
+def pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the base name of their address, as files of two folders are paired: names that occur once on either side."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_extract("url", r"/([0-9]+)(?:[?#].*)?$", 1).alias("base"), "page_id").where("base <> ''")
+    once = pages.groupBy("base").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2")
+    side = lambda c: once.select(F.concat(F.lit(f"/{c}/"), F.col("base"), F.lit(".tif")).alias("path"))
+    return spatial.pair_by_name(side("a"), side("b"), "[0-9]+\\.tif").select("name", "intensity_image", "mask_image")
+
+
+QUERIES["pairing"] = pairing
+ORACLE_SQL["pairing"] = """SELECT base || '.tif' AS name, '/a/' || base || '.tif' AS intensity_image, '/b/' || base || '.tif' AS mask_image
+FROM (SELECT regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1) AS base FROM pages) AS p WHERE base <> '' GROUP BY base HAVING count(*) = 2"""
+
+
+def geometric(name: str, adapter: str, groups: Sequence[str]) -> None:
+    """Registers groups of the grouped pass; SQL can't express them."""
+    QUERIES[name] = lambda spark, sf_dir: geometry.geometry(pixels(spark, sf_dir, adapter), groups)
+
+
+geometric("contour", "compact", ["contour", "hull", "geodetic", "circles", "radius"])
+geometric("erosion_fractal", "sparse", ["erosion", "fractal"])
+geometric("caliper", "sparse", ["caliper"])
+geometric("chords", "compact", ["chords"])
+geometric("radial", "compact", ["radial"])
+geometric("gabor", "dense", ["gabor"])
+geometric("zernike", "dense", ["zernike"])
+geometric("weighted_moments", "compact", ["weighted_moments", "weighted_intensity_moments"])
+geometric("sharpness_spectrum", "dense", ["sharpness", "spectrum"])
+QUERIES["shape_3d"] = lambda spark, sf_dir: volume.shape3(pixels(spark, sf_dir, "volume"))
+
+
+def polygonality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir, "compact")
+    return geometry.polygonality(run(px, spatial.neighbours_sql()), geometry.geometry(px, ["contour", "hull", "caliper"]))
+
+
+QUERIES["polygonality"] = polygonality
