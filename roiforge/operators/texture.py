@@ -229,13 +229,11 @@ def zone_features_sql(family: str, three_d: bool = False, dialect: str = "spark"
 
 
 def zone_check_sql(family: str, depth: int, three_d: bool, dialect: str) -> str:
-    around = zone_neighbours(family, three_d)
+    around = zone_neighbours(three_d)
     text = _from_zones(family, recursive_zones_sql(depth, around, dialect), three_d, dialect)
     return text.replace("(WITH px", "(WITH RECURSIVE px", 1)
 
 
-def zone_neighbours(family: str, three_d: bool) -> tuple:
-    """8-connected zones for sizes, 4-connected ones for distances; 26 and 6 in 3D."""
-    if family == "GLSZM":
-        return AROUND_3D if three_d else AROUND
-    return tuple(o for o in (AROUND_3D if three_d else AROUND) if sum(map(abs, o)) == 1)
+def zone_neighbours(three_d: bool) -> tuple:
+    """Zones are 8-connected, 26-connected in 3D, for sizes and for distances alike."""
+    return AROUND_3D if three_d else AROUND

@@ -42,9 +42,9 @@ def zone_roots(x: np.ndarray, y: np.ndarray, z: np.ndarray, g: np.ndarray, aroun
         label = new
 
 
-def zones(pixels: DataFrame, depth: int, family: str = "GLSZM", three_d: bool = False) -> DataFrame:
+def zones(pixels: DataFrame, depth: int, three_d: bool = False) -> DataFrame:
     """Pixels with level g and root, the number of their zone in the region."""
-    around = zone_neighbours(family, three_d)
+    around = zone_neighbours(three_d)
 
     def label(table: pa.Table) -> pa.Table:
         x, y, z, g = (table.column(c).to_numpy() for c in ("x", "y", "z", "g"))
@@ -56,4 +56,4 @@ def zones(pixels: DataFrame, depth: int, family: str = "GLSZM", three_d: bool =
 
 def zone_features(pixels: DataFrame, family: str, depth: int = 64, three_d: bool = False) -> DataFrame:
     """GLSZM or GLDZM features of each region."""
-    return run(pixels, zone_features_sql(family, three_d), zones=zones(pixels, depth, family, three_d))
+    return run(pixels, zone_features_sql(family, three_d), zones=zones(pixels, depth, three_d))
