@@ -106,14 +106,15 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     span = text[start:end]
     digits = _only_digits(span)
     groups = [len(g) for g in re.findall(r"[0-9]+", span)]
-    around = {w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])}
+    before = [w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])]
+    around, last = set(before), before[-1:]
     after = {w.lower() for w in _WORD.findall(text[end : end + 25])}
     context = [float(any(w in around for w in _CONTEXT[k])) for k in (*KINDS, "other")]
     return [
         float(KINDS.index(kind)), float(len(span)), float(len(digits)), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)),
         float(luhn(digits)) if digits else 0.0, float(len(set(digits))), float("(" in span), float("-" in span), float("." in span), float(" " in span),
         float(digits[:1] == "0"), float(len(re.findall(r"[A-Za-z]", span))), float(start > 0 and text[start - 1].isalnum()), float(end < len(text) and text[end].isalnum()),
-        float(any(w in after for w in _CONTEXT["other"])), float(any(w in around for w in _CONTEXT[kind])), *context,
+        float(any(w in after for w in _CONTEXT["other"])), float(any(w in around for w in _CONTEXT[kind])), float(any(w in last for w in _CONTEXT[kind])), float(any(w in last for w in _CONTEXT["other"])), *context,
     ]
 
 
@@ -220,6 +221,8 @@ def generated_cases(n: int = 4000, seed: int = 3) -> tuple[list[tuple[str, str,
                 span = sep.join(_number(rng, rng.randint(2, 4)) for _ in range(rng.choice([3, 4])))
         told = rng.choice(_CONTEXT[kind]) if real else rng.choice(_CONTEXT["other"]) if rng.random() < 0.5 else word()
         before, after = [word() for _ in range(rng.randint(1, 5))], [word() for _ in range(rng.randint(1, 5))]
+        if rng.random() < 0.3:  # a telling word that belongs to something else
+            before.insert(0, rng.choice(_CONTEXT[rng.choice(list(_CONTEXT))]))
         text = " ".join([*before, told + rng.choice([":", ""]), span, *after])
         for c in candidates(text):
             if c[0] == kind and c[1] < text.index(span) + len(span) and c[2] > text.index(span):
