@@ -97,4 +97,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_orc_tokens": op10_orc_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach(n, m) AS (SELECT id, id FROM nodes UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.m = links.a),
+component AS (SELECT n AS id, min(m) AS component_id FROM reach GROUP BY n)"""
+
+#: For DuckDB. The other operators rest on a tokenizer, hashes or trained models, which SQL can't express; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, cast(embedding AS double[]) AS e FROM embeddings),
+nodes AS (SELECT id FROM v),
+links AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND p.id <> q.id WHERE list_dot_product(p.e, q.e) / (sqrt(list_dot_product(p.e, p.e)) * sqrt(list_dot_product(q.e, q.e))) >= 0.98e0),
+{_REACH}
+SELECT nodes.id AS vec_id, (SELECT count(*) FROM links WHERE links.a = nodes.id) AS n_links, component_id, nodes.id = component_id AS kept FROM nodes JOIN component ON nodes.id = component.id""",
+    "op3_jaccard": rf"""WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT id, array_to_string(list_slice(w, k, k + 2), ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM words WHERE len(w) > 0) AS u),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+common AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM grams p JOIN grams q ON p.g = q.g AND p.id <> q.id GROUP BY p.id, q.id),
+nodes AS (SELECT id FROM words),
+links AS (SELECT a, b FROM common JOIN sizes s ON a = s.id JOIN sizes t ON b = t.id WHERE 100 * k >= 90 * (s.n + t.n - k)),
+{_REACH}
+SELECT nodes.id AS doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id FROM nodes JOIN component ON nodes.id = component.id LEFT JOIN sizes ON nodes.id = sizes.id""",
+    "op8_chat": r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 END + 2 * length(text) - length(replace(replace(replace(text, chr(92), ''), '<', ''), '[', '')) AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  cast(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS bigint) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256, cast(sum(n) AS bigint) AS formatted_chars
+FROM m GROUP BY conv_id""",
+}
