@@ -23,6 +23,8 @@ from roiforge.llm.common import mixed, small_batches, text_or_empty, with_fields
 
 LABELLED, POOL, ROUNDS, EXCHANGED = 4000, 2000, 3, 200
 TEXT_BITS, META_BITS = 15, 12
+#: Columns that score() adds.
+ADDED = ("p_text", "p_meta", "p_quality", "keep")
 #: Share of the held-out good documents that the threshold must keep.
 KEEP_GOOD = 0.998
 
@@ -163,13 +165,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     A null or empty text has no trigrams, so its content says nothing; nulls in metadata are a value of their own.
     Without a model all documents are kept with p 1.
     """
-    docs = docs.drop("p_text", "p_meta", "p_quality", "keep")
+    docs = docs.drop(*ADDED)
     small_batches(docs.sparkSession)
     names = docs.columns
     at = [names.index(x) for x in ("text", "source", "lang", "n_chars")]
     added = "p_text double, p_meta double, p_quality double, keep boolean"
     if model is None:
-        return docs.select("*", *(F.lit(1.0).alias(x) for x in ("p_text", "p_meta", "p_quality")), F.lit(True).alias("keep"))
+        return docs.select("*", *(F.lit(1.0).alias(x) for x in ADDED[:3]), F.lit(True).alias("keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -183,6 +185,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 z_meta[k] += model.meta[_meta_slots(*x)].sum()
             a, c, bias = model.joint
             p = squash(a * z_text + c * z_meta + bias)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(squash(z_text)), pa.array(squash(z_meta)), pa.array(p), pa.array(p >= model.threshold)], names=[*names, "p_text", "p_meta", "p_quality", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(squash(z_text)), pa.array(squash(z_meta)), pa.array(p), pa.array(p >= model.threshold)], names=[*names, *ADDED])
 
     return docs.mapInArrow(run, with_fields(docs, added))
