@@ -7,19 +7,23 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roiforge.llm.common import shared_folder
 from roiforge.llm.jaccard import jaccard_components
 from roiforge.llm.mixing import mixed_documents
 from roiforge.llm.packing import pack
 from roiforge.llm.pii import redact
-from roiforge.llm.quality import score, train
+from roiforge.llm.quality import ADDED, score, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained quality classifier keeps."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where("keep").select(*docs.columns)
+    # columns that are named like the scores step aside meanwhile
+    aside = {c: f"own {c}" for c in docs.columns if c in ADDED}
+    scored = score(docs.withColumnsRenamed(aside), model).where("keep")
+    return scored.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
