@@ -30,3 +30,17 @@ def test_stages_without_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_with_nulls_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    junk = lambda k: "### ".join("abcd") * 9 if k % 4 == 0 else f"plain words number {k} in a row " * 3
+    rows = [(k, junk(k), "en", f"s{k % 3}", 90) for k in range(60)] + [(None, None, None, None, None), (None, "kept without an id", None, None, 3), (61, "", "en", "s1", 0), (61, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'mine' as keep", "1 as row", "2 as hash", "'x' as pattern", "3 as component_id", "4 as copies")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[5:] == ["keep", "row", "hash", "pattern", "component_id", "copies"], name
+        assert all(r["keep"] == "mine" and r["row"] == 1 for r in docs.collect()), name
+    assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() >= docs.count()
