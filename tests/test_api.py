@@ -151,3 +151,19 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select n, mean from windows").collect() == [(2, 6.0)]
+
+
+def test_command_line(spark, tmp_path):
+    from roiforge.__main__ import main
+
+    image = (np.arange(48, dtype=np.uint16).reshape(6, 8) % 9) + 1
+    mask = np.zeros((6, 8), np.uint8)
+    mask[1:3, 1:4], mask[4:6, 5:8] = 1, 2
+    for folder, data in (("int", image), ("seg", mask)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.tif").write_bytes(small_tiff(data))
+    base = [f"--intDir={tmp_path}/int", f"--segDir={tmp_path}/seg", "--features=AREA_PIXELS_COUNT,MEAN"]
+    main([*base, f"--outDir={tmp_path}/o.parquet"])
+    assert sorted(r["AREA_PIXELS_COUNT"] for r in spark.read.parquet(f"{tmp_path}/o.parquet").collect()) == [6, 6]
+    main([*base, f"--outDir={tmp_path}/m.parquet", "--aggr", "--skiproi=2"])
+    assert [(r["label"], r["AREA_PIXELS_COUNT"]) for r in spark.read.parquet(f"{tmp_path}/m.parquet").collect()] == [(-1, 6)]
