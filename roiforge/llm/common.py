@@ -76,7 +76,7 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, up to n."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             table = np.ones(1, dtype=np.uint64)
             while len(table) < size:
@@ -97,7 +97,7 @@ def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.nd
     edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out = np.empty(len(starts), dtype=np.uint64)
-    step = 1 << 22
+    step = 1 << 17
     first = 0
     while first < len(starts):
         base = int(starts[first])

@@ -140,7 +140,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
 
     def first_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+            for b in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
                 sets = shingle_sets(b.column(1), words)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 heads = [head(s, ORDERS[0], percent) for s in sets]
@@ -162,7 +162,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         for whole in batches:
             place = whole.column(2).to_numpy()
             whole = whole.filter(pa.array((packed[place >> 3] >> (7 - (place & 7))) & 1 == 1))
-            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+            for b in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
                 sets = shingle_sets(b.column(1), words)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "n", "digest", "set"])
 
