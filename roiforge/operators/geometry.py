@@ -181,11 +181,12 @@ def _martin(c: np.ndarray) -> float:
         return 0.0
     levels = low + (np.arange(100) + 0.5) * (high - low) / 100
     a, b = c, np.roll(c, -1, axis=0)
-    widths = np.zeros(100)
-    for k, v in enumerate(levels):
-        cross = (a[:, 1] <= v) != (b[:, 1] <= v)
-        xs = a[cross, 0] + (v - a[cross, 1]) / (b[cross, 1] - a[cross, 1]) * (b[cross, 0] - a[cross, 0])
-        widths[k] = xs.max() - xs.min() if len(xs) else 0.0
+    v = levels[:, None]
+    cross = (a[:, 1] <= v) != (b[:, 1] <= v)
+    rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
+    xs = a[:, 0] + (v - a[:, 1]) / rise * (b[:, 0] - a[:, 0])
+    widths = np.where(cross, xs, -np.inf).max(1) - np.where(cross, xs, np.inf).min(1)
+    widths = np.where(cross.any(1), widths, 0.0)
     total = np.cumsum(widths)
     return float(widths[min(99, int(np.searchsorted(total, total[-1] / 2)))])
 
