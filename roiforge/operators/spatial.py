@@ -61,20 +61,23 @@ ON p.slide_id = c.slide_id AND p.t = c.t AND p.x0 <= c.x0 AND p.x1 >= c.x1 AND p
 _AGGREGATES: dict[str, Callable] = {"SUM": F.sum, "MEAN": F.avg, "MIN": F.min, "MAX": F.max, "WMA": F.avg}
 
 
-def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str | dict[str, str], features: Sequence[str], most_children: int = 8) -> DataFrame:
+def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str | dict[str, str], features: Sequence[str], least_children: int = 0) -> DataFrame:
     """Parents' rows with their children's features: aggregated by SUM, MEAN, MIN, MAX or WMA (equal to MEAN), or NONE.
 
-    NONE puts children side by side, child1_F, child2_F, ... by ascending label, for the first most_children (a report's width;
-    a wider one is a parameter away). Parents without children get zeros. how may be a dict from feature to aggregate.
+    NONE puts all children side by side, child1_F, child2_F, ... by ascending label: as many as the largest family has (counted by a
+    job of its own when this is called), least_children at least. Parents without children get zeros. how may be a dict from feature to aggregate.
     """
     keys = ["slide_id", "t", "parent_label"]
     joined = relations.join(children.withColumnRenamed("label", "child_label"), ["slide_id", "t", "child_label"])
     if how == "NONE":
         from pyspark.sql import Window
 
+        width = max(least_children, joined.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        if not width:
+            return parents.withColumnRenamed("label", "parent_label")
         ranked = joined.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("child_label")))
-        wide = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col(f"`{f}`"))).alias(f"child{k}_{f}") for k in range(1, most_children + 1) for f in features])
-        added = [f"child{k}_{f}" for k in range(1, most_children + 1) for f in features]
+        wide = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col(f"`{f}`"))).alias(f"child{k}_{f}") for k in range(1, width + 1) for f in features])
+        added = [f"child{k}_{f}" for k in range(1, width + 1) for f in features]
     else:
         each = how if isinstance(how, dict) else dict.fromkeys(features, how)
         wide = joined.groupBy(*keys).agg(*[_AGGREGATES[a.upper()](F.col(f"`{f}`")).alias(f"child_{f}") for f, a in each.items()])

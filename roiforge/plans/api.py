@@ -209,11 +209,11 @@ class ImageQuality(SlideFeatures):
 class NestedRois:
     """Regions within regions: relations by containment, and children's features joined to their parents."""
 
-    def __init__(self, how: str | dict[str, str] = "SUM", most_children: int = 8) -> None:
-        self.how, self.most_children = how, most_children
+    def __init__(self, how: str | dict[str, str] = "SUM", least_children: int = 0) -> None:
+        self.how, self.least_children = how, least_children
 
     def find_relations(self, parents: DataFrame, children: DataFrame) -> DataFrame:
         return parents.sparkSession.sql(spatial.containment_sql(), parents=parents, children=children)
 
     def featurize(self, relations: DataFrame, parents: DataFrame, children: DataFrame, features: Sequence[str]) -> DataFrame:
-        return spatial.aggregate_children(relations, parents, children, self.how, features, self.most_children)
+        return spatial.aggregate_children(relations, parents, children, self.how, features, self.least_children)

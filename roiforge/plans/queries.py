@@ -107,7 +107,7 @@ _NESTED_SQL = spatial.containment_sql(f"({_side('duckdb', _PARENTS)}) AS ps", f"
 def _nested(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     relations, parents, children = _relations(spark, sf_dir)
     size = lambda df, name: df.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("double").alias(name))
-    return spatial.aggregate_children(relations, size(parents, "area"), size(children, "area"), how, ["area"], most_children=3)
+    return spatial.aggregate_children(relations, size(parents, "area"), size(children, "area"), how, ["area"], least_children=3)
 
 
 def nested_sum(spark: SparkSession, sf_dir: str) -> DataFrame:

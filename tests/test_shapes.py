@@ -5,6 +5,7 @@ import pytest
 
 from roiforge.functions.sqltext import run
 from roiforge.operators import geometry, shape, spatial, volume
+from roiforge.plans.api import NestedRois
 from roiforge.sources.arrays import montage
 
 
@@ -83,6 +84,19 @@ def test_nested_regions(spark):
     assert (wide["child1_count"], wide["child2_count"], wide["child3_count"]) == (4, 4, 0)
 
 
+def test_all_children_are_put_side_by_side(spark):
+    outer, inner = np.ones((30, 30), int), np.zeros((30, 30), int)
+    for k in range(11):
+        inner[2 * k + 1, 1 : k + 2] = k + 1
+    parents, children = montage(spark, outer, outer), montage(spark, inner, inner)
+    relations = spark.sql(spatial.containment_sql(), parents=parents, children=children)
+    size = lambda df: df.groupBy("slide_id", "t", "label").count()
+    wide = NestedRois("NONE").featurize(relations, size(parents), size(children), ["count"])
+    assert [wide.first()[f"child{k}_count"] for k in range(1, 12)] == list(range(1, 12)) and "child12_count" not in wide.columns
+    assert spatial.aggregate_children(relations, size(parents), size(children), "NONE", ["count"], 3).first()["child11_count"] == 11
+    assert spatial.aggregate_children(relations.limit(0), size(parents), size(children), "NONE", ["count"]).columns == ["slide_id", "t", "parent_label", "count"]
+
+
 def test_blacklist_and_pairs(spark):
     assert spatial.parse_blacklist("1, 2") == ({1, 2}, {}) and spatial.parse_blacklist("a:1;b:2,3") == (set(), {"a": {1}, "b": {2, 3}})
     a = spark.createDataFrame([("/i/x.tif",), ("/i/.y.tif",)], "path string")
