@@ -58,8 +58,29 @@ SELECT {K}, (sum(CASE WHEN k = 1 THEN 1e0 ELSE 0e0 END) - sum(CASE WHEN k = 3 TH
     return finished(inner, ["EULER_NUMBER"], dialect)
 
 
-def box_counts_sql(dialect: str = "spark", sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> str:
-    """FRACT_DIM_BOXCOUNT on one aligned grid: minus the slope of log(boxes) over log(side), sides up to the region's extent."""
+_SHIFTS = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+
+def box_counts_sql(dialect: str = "spark") -> str:
+    """FRACT_DIM_BOXCOUNT: minus the slope of log(boxes) over log(side), sides from 2 to the power of two that the region's box is padded to.
+
+    Grids begin at the box's corner. Up to a padded side of 32 a side's count is the least one over four grids, shifted by half a side.
+    """
+    sides = "explode(sequence(1, n))" if dialect == "spark" else "unnest(range(1, n + 1))"
+    spread = with_rows("sided", "p", _SHIFTS, ("ox", "oy"), dialect)
+    cell = lambda v: f"cast(floor(({v} + o{v} * s / 2e0) / s) as bigint)"
+    inner = f"""WITH b AS (SELECT {K}, min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) + 1 AS side FROM {{pixels}} GROUP BY {K}),
+px AS (SELECT {of("a")}, a.x - b.x0 AS x, a.y - b.y0 AS y, b.side, length(bin(cast(b.side - 1 as bigint))) AS n FROM {{pixels}} a JOIN b ON {on("a", "b")} WHERE b.side > 1),
+sided AS (SELECT {K}, x, y, side, power(2e0, k) AS s FROM (SELECT {K}, x, y, side, {sides} AS k FROM px) AS e),
+g AS (SELECT {K}, s, ox, oy, count(*) AS boxes FROM (SELECT DISTINCT {K}, s, ox, oy, {cell("x")} AS bx, {cell("y")} AS by_ FROM {spread} WHERE side <= 32 OR ox + oy = 0) AS d GROUP BY {K}, s, ox, oy),
+l AS (SELECT {K}, ln(s) AS u, ln(min(boxes) * 1e0) AS v FROM g GROUP BY {K}, s),
+f AS (SELECT {K}, -{div("count(*) * sum(u * v) - sum(u) * sum(v)", "count(*) * sum(u * u) - sum(u) * sum(u)")} AS FRACT_DIM_BOXCOUNT FROM l GROUP BY {K})
+SELECT {of("b")}, FRACT_DIM_BOXCOUNT FROM b LEFT JOIN f ON {on("b", "f")}"""
+    return finished(inner, ["FRACT_DIM_BOXCOUNT"], dialect)
+
+
+def aligned_box_counts_sql(dialect: str = "spark", sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> str:
+    """FRACT_DIM_BOXCOUNT of regions up to 63 pixels on one aligned grid: sides from 1 to the region's extent, among sizes. See box_counts_sql for the whole."""
     spread = with_rows("px", "p", [(s,) for s in sizes], ("s",), dialect)
     inner = f"""WITH b AS (SELECT {K}, min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) + 1 AS side FROM {{pixels}} GROUP BY {K}),
 px AS (SELECT {of("a")}, a.x - b.x0 AS x, a.y - b.y0 AS y, b.side FROM {{pixels}} a JOIN b ON {on("a", "b")}),

@@ -53,7 +53,8 @@ family("morphology", "sparse", shape.morphology_sql, shape.MORPHOLOGY)
 family("ellipse", "sparse", shape.ellipse_sql, shape.ELLIPSE)
 family("extrema", "sparse", shape.extrema_sql, shape.EXTREMA)
 family("euler_number", "compact", shape.euler_sql, ["EULER_NUMBER"])
-family("box_counts", "sparse", shape.box_counts_sql, ["FRACT_DIM_BOXCOUNT"])
+family("box_counts", "sparse", shape.aligned_box_counts_sql, ["FRACT_DIM_BOXCOUNT"])
+family("box_counts_padded", "sparse", shape.box_counts_sql, ["FRACT_DIM_BOXCOUNT"])
 family("moments_shape", "quarters", partial(shape.moments_sql, "1e0", shape.SHAPE_NAMES), shape.moment_names(shape.SHAPE_NAMES))
 family("moments_intensity", "dense", partial(shape.moments_sql, "cast(a.inten as double)", shape.INTENSITY_NAMES), shape.moment_names(shape.INTENSITY_NAMES))
 family("glcm", "dense", partial(texture.glcm_sql, 16), texture.names("GLCM"), ANGLED)

@@ -1,11 +1,12 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
 from roiforge.functions.sqltext import run
 from roiforge.operators import geometry, shape, spatial, volume
-from roiforge.plans.api import NestedRois
+from roiforge.plans.api import NestedRois, SlideFeatures
 from roiforge.sources.arrays import montage
 
 
@@ -57,6 +58,30 @@ def test_euler_number(spark):
     assert found == {"slide0": 0, "slide1": 2}
 
 
+def boxes_by_hand(mask):
+    """Slope over sides from the padded power of two down to 2; small regions take the least count of four grids."""
+    y, x = np.nonzero(mask)
+    x, y = x - x.min(), y - y.min()
+    padded = 1 << int(max(x.max(), y.max())).bit_length()
+    shifts = (0, 1) if padded <= 32 else (0,)
+    sides = [2**k for k in range(1, padded.bit_length())]
+    counts = [min(len(set(zip((x + i * s // 2) // s, (y + j * s // 2) // s, strict=True))) for i in shifts for j in shifts) for s in sides]
+    return -np.polyfit(np.log(sides), np.log(counts), 1)[0] if len(sides) > 1 else 0.0
+
+
+def test_boxes_up_to_the_padded_side(spark):
+    rng = np.random.default_rng(3)
+    masks = [np.ones((100, 100), int), (rng.random((33, 90)) < 0.05).astype(int), (rng.random((33, 33)) < 0.5).astype(int), (rng.random((32, 20)) < 0.1).astype(int), (rng.random((13, 17)) < 0.3).astype(int), np.ones((2, 2), int), np.ones((1, 1), int)]
+    sheet = np.zeros((len(masks), 100, 100), int)
+    for k, m in enumerate(masks):
+        sheet[k, : m.shape[0], : m.shape[1]] = m
+    px = montage(spark, sheet, sheet)
+    found = {r["slide_id"]: r["FRACT_DIM_BOXCOUNT"] for r in SlideFeatures("FRACT_DIM_BOXCOUNT", spark).featurize_pixels(px).collect()}
+    assert found == pytest.approx({f"slide{k}": boxes_by_hand(m) for k, m in enumerate(sheet)}, abs=1e-9)
+    checked = duckdb.connect().register("px", px.toPandas()).sql(shape.box_counts_sql("duckdb").replace("{pixels}", "px")).fetchall()
+    assert found == pytest.approx({r[0]: r[3] for r in checked}, abs=1e-9)
+
+
 def test_moments(spark):
     px = montage(spark, disc().astype(int), disc().astype(int))
     r = run(px, shape.moments_sql("1e0", shape.SHAPE_NAMES)).first()
