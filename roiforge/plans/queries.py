@@ -105,10 +105,13 @@ def nested_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NESTED_SQL = spatial.containment_sql(f"({_side('duckdb', _PARENTS)}) AS ps", f"({_side('duckdb', _CHILDREN)}) AS cs")
 
 
-def _nested(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    relations, parents, children = _relations(spark, sf_dir)
+def _children_joined(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str, least_children: int = 0) -> DataFrame:
     size = lambda df, name: df.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("double").alias(name))
-    return spatial.aggregate_children(relations, size(parents, "area"), size(children, "area"), how, ["area"], least_children=3)
+    return spatial.aggregate_children(relations, size(parents, "area"), size(children, "area"), how, ["area"], least_children)
+
+
+def _nested(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    return _children_joined(*_relations(spark, sf_dir), how, least_children=3)
 
 
 def nested_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +145,35 @@ ORACLE_SQL |= {
 }
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions of all line items twice: on the grid of side 32 as parents, folded to side 12 as children."""
+    parents, children = pixels(spark, sf_dir, "sparse"), pixels(spark, sf_dir, "compact")
+    return spark.sql(spatial.containment_sql(), parents=parents, children=children), parents, children
+
+
+def nested_whole_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir)[0]
+
+
+def _nested_whole(how: str) -> Query:
+    return lambda spark, sf_dir: _children_joined(*_whole(spark, sf_dir), how)
+
+
+_EVERY = "SELECT * FROM {pixels}"
+_WHOLE_SQL = spatial.containment_sql(f"({_side('duckdb', _EVERY)}) AS ps", f"({_side('duckdb', _EVERY, 'compact')}) AS cs")
+
+
+def _nested_whole_sql(aggregate: str) -> str:
+    child = f"({_SIZES.format(_side('duckdb', _EVERY, 'compact'))})"
+    joined = f"SELECT r.slide_id, r.t, r.parent_label, {aggregate} AS child_area FROM ({_WHOLE_SQL}) AS r JOIN {child} AS c ON r.slide_id = c.slide_id AND r.t = c.t AND r.child_label = c.label GROUP BY r.slide_id, r.t, r.parent_label"
+    return f"SELECT p.slide_id, p.t, p.label AS parent_label, p.area, coalesce(w.child_area, 0e0) AS child_area FROM ({_SIZES.format(_side('duckdb', _EVERY))}) AS p LEFT JOIN ({joined}) AS w ON p.slide_id = w.slide_id AND p.t = w.t AND p.label = w.parent_label"
+
+
+#: The number of columns of nested_whole_pivot follows from the data, which SQL can't express.
+QUERIES |= {"nested_whole_relations": nested_whole_relations, "nested_whole_sum": _nested_whole("SUM"), "nested_whole_mean": _nested_whole("MEAN"), "nested_whole_pivot": _nested_whole("NONE")}
+ORACLE_SQL |= {"nested_whole_relations": _WHOLE_SQL, "nested_whole_sum": _nested_whole_sql("sum(c.area)"), "nested_whole_mean": _nested_whole_sql("avg(c.area)")}
+
+
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of regions that a list by file leaves."""
     kept = spatial.without_blacklisted(pixels(spark, sf_dir, "sparse"), "1:1,2,3;7:4")
