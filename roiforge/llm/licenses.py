@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions alone.
 
-Paragraphs (lines) are split into words and word 1-3-grams. A sparse multinomial logistic regression, fitted here on variants of
+Paragraphs (lines, and runs of lines that a notice is wrapped over) are split into words and word 1-3-grams. A sparse multinomial logistic regression, fitted here on variants of
 templates and on paragraphs that are no licences, scores the licence families and the class "none"; its scores are
 calibrated on held-out variants, and a paragraph whose best family is not likely enough is "unknown". A prediction is
 confirmed where the paragraph holds most of the words of one of the family's templates.
@@ -46,6 +46,10 @@ VOCABULARY, CONFIRMED = 400, 0.8
 NONE = "none"
 
 
+#: Of an anchor of two words a line can hold the last one alone.
+_LAST_WORDS = tuple(a.split()[-1] for a in ANCHORS)
+
+
 class Model(NamedTuple):
     classes: list[str]
     weights: dict[str, list[float]]
@@ -58,6 +62,10 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
+#: Words of the longest template: one that begins in a line ends within so many words after it.
+SPAN = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def ngrams_of(words: list[str]) -> set[str]:
     return {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
 
@@ -127,7 +135,7 @@ def _doubles(values: list[float]) -> str:
     return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
 
 
-def _anchored(column: str) -> Column:
+def _anchored(column: str | Column) -> Column:
     text = F.lower(column)
     return reduce(or_, (F.contains(text, F.lit(a)) for a in ANCHORS))
 
@@ -137,47 +145,116 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _words(column: str | Column, limit: int = -1) -> Column:
+    return F.filter(F.split(F.lower(column), "[^a-z0-9]+", limit), lambda w: w != "")
+
+
+def _similarity(words: str, family: str) -> Column:
+    share = lambda t: f"size(array_intersect({words}, {_strings(sorted(set(words_of(t))))})) / {float(len(set(words_of(t))))}D"
+    return F.expr(f"CASE {family} " + " ".join(f"WHEN '{f}' THEN greatest({', '.join(map(share, ts))}, 0D)" for f, ts in TEMPLATES.items()) + " END")
+
+
+def _scored(rows: DataFrame, words: str, to: str = "") -> DataFrame:
+    """rows with best, likely, similar, family and confirmed (names after to) for their array of words; similar is null for no licence."""
+    model = trained()
+    vocabulary = sorted(model.weights)
+    gram = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+    bags = _once(rows, "grams", F.array_intersect(F.concat(gram(1), gram(2), gram(3)), F.expr(_strings(vocabulary))))
+    weights = f"map_from_arrays({_strings(vocabulary)}, array({', '.join(_doubles(model.weights[g]) for g in vocabulary)}))"
+    sums = F.expr(f"transform(aggregate(grams, {_doubles(model.bias)}, (acc, g) -> zip_with(acc, element_at({weights}, g), (a, b) -> a + b)), z -> z * {model.scale!r}D)")
+    scored = _once(_once(bags, "z", sums).drop("grams"), "top", F.array_max("z"))
+    scored = _once(scored, f"{to}best", F.expr(f"element_at({_strings(model.classes)}, cast(array_position(z, top) as int))"))
+    likely = _once(scored, f"{to}likely", 1.0 / F.aggregate(F.transform("z", lambda z: F.exp(z - F.col("top"))), F.lit(0.0), lambda a, b: a + b)).drop("z", "top")
+    found = _once(likely, f"{to}similar", _similarity(words, f"{to}best")).withColumn(f"{to}family", F.when(F.col(f"{to}likely") >= model.threshold, F.col(f"{to}best")).otherwise("unknown"))
+    return found.withColumn(f"{to}confirmed", F.coalesce((F.col(f"{to}similar") >= CONFIRMED) & (F.col(f"{to}family") != "unknown"), F.lit(False)))
+
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """Confirmed runs of two lines or more, scored, with the number of their first line; see scan()."""
+    text = F.lower("text")
+    lines = _once(docs.where(reduce(or_, (F.contains(text, F.lit(a)) for a in _LAST_WORDS))).select("doc_id", "text"), "lines", F.split("text", "\n")).drop("text")
+    near = _once(lines, "near", F.transform("lines", lambda x: reduce(or_, (F.contains(F.lower(x), F.lit(a)) for a in _LAST_WORDS))))
+    begins = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.exists(F.slice("near", i + 1, SPAN + 1), lambda x: x))
+    runs = near.select("doc_id", F.explode(F.transform(begins, lambda i: F.struct(i.alias("paragraph"), F.get("lines", i).alias("line"), F.slice("lines", i + 2, SPAN).alias("after")))).alias("run")).select("doc_id", "run.*")
+    runs = _once(_once(runs, "first", _words("line")), "heads", F.transform("after", lambda x: F.slice(_words(x, SPAN + 2), 1, SPAN))).where(F.size("first") > 0)
+    blank = F.array_position(F.transform("heads", F.size), 0)
+    runs = _once(runs, "n", F.when(blank > 0, blank.cast("int") - 1).otherwise(F.size("heads"))).where("n > 0")
+    ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda q: F.size(F.flatten(F.slice("heads", 1, q - 1))) <= SPAN - 2)
+    runs = runs.select("doc_id", "paragraph", "line", F.get("after", F.lit(0)).alias("next"), "first", "heads", F.explode(ends).alias("q"))
+    runs = _once(_once(runs, "middle", F.flatten(F.slice("heads", F.lit(1), F.col("q") - 1))), "tail", F.slice("first", F.greatest(F.size("first") - SPAN + 1, F.lit(1)), SPAN))
+    runs = _once(runs, "whole", F.concat("tail", "middle", F.get("heads", F.col("q") - 1))).where(_anchored(F.array_join("whole", " ")))
+    runs = _scored(runs, "whole").where("confirmed")
+    pair = F.col("q") == 1
+    for name, alone, rest in (("upper", "line", F.concat("tail", "middle")), ("lower", "next", F.concat("middle", F.get("heads", F.col("q") - 1)))):
+        runs = _once(runs, "part", rest).where(_similarity("part", "best") < F.col("similar")).drop("part")
+        runs = _once(runs, name, F.when(pair, _words(alone)).otherwise(rest))
+        anchored = F.when(pair, _anchored(alone)).otherwise(_anchored(F.array_join(name, " ")))
+        runs = _scored(runs, name, f"{name}_").where(~(anchored & F.col(f"{name}_confirmed") & (F.col(f"{name}_family") == F.col("family"))))
+    return runs
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Licence paragraphs: doc_id, paragraph (line number from 0), family, probability, similarity, confirmed.
+    """Licence paragraphs: doc_id, paragraph (number from 0 of its first line), family, probability, similarity, confirmed.
 
     All lines of every whole text that hold an anchor are scored; those most likely no licence are left out, those without a likely
-    enough family are "unknown" (never confirmed). similarity is the largest share of a template's distinct words in
+    enough family are "unknown" (never confirmed). Besides, every run of lines that a template can be wrapped over is scored, as its
+    words: the first line's last SPAN, the last line's first SPAN, and all of the lines between; a line without words ends a run. A
+    run counts where it holds an anchor and is confirmed, but not, for the same family, without its first or without its last
+    line, and both of these raise its similarity; so a line can begin several paragraphs, and a notice can have overlapping ones. Where two notices meet in one line the
+    likelier one can hide the other, as in a line alone. similarity is the largest share of a template's distinct words in
     the paragraph, over the family's templates; confirmed means CONFIRMED of them at least. Null and empty texts have no
     paragraphs; repeated rows give repeated results; other columns are ignored.
     """
-    model = trained()
-    vocabulary = sorted(model.weights)
     lines = docs.select("doc_id", "text").where(_anchored("text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_anchored("line"))
-    words = _once(lines, "words", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")).drop("line")
-    gram = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    bags = _once(words, "grams", F.array_intersect(F.concat(gram(1), gram(2), gram(3)), F.expr(_strings(vocabulary))))
-    weights = f"map_from_arrays({_strings(vocabulary)}, array({', '.join(_doubles(model.weights[g]) for g in vocabulary)}))"
-    sums = F.expr(f"transform(aggregate(grams, {_doubles(model.bias)}, (acc, g) -> zip_with(acc, element_at({weights}, g), (a, b) -> a + b)), z -> z * {model.scale!r}D)")
-    scored = _once(_once(bags, "z", sums).drop("grams"), "top", F.array_max("z"))
-    scored = _once(scored, "best", F.expr(f"element_at({_strings(model.classes)}, cast(array_position(z, top) as int))")).where(F.col("best") != NONE)
-    likely = _once(scored, "likely", 1.0 / F.aggregate(F.transform("z", lambda z: F.exp(z - F.col("top"))), F.lit(0.0), lambda a, b: a + b))
-    share = lambda t: f"size(array_intersect(words, {_strings(sorted(set(words_of(t))))})) / {float(len(set(words_of(t))))}D"
-    similarity = "CASE best " + " ".join(f"WHEN '{f}' THEN greatest({', '.join(map(share, ts))}, 0D)" for f, ts in TEMPLATES.items()) + " END"
-    found = _once(likely, "similar", F.expr(similarity)).withColumn("family", F.when(F.col("likely") >= model.threshold, F.col("best")).otherwise("unknown"))
-    return found.select("doc_id", "paragraph", "family", F.round("likely", 6).alias("probability"), F.round("similar", 6).alias("similarity"), ((F.col("similar") >= CONFIRMED) & (F.col("family") != "unknown")).alias("confirmed"))
+    alone = _scored(_once(lines, "words", _words("line")).drop("line"), "words").where(F.col("best") != NONE)
+    shown = ("doc_id", "paragraph", "family", F.round("likely", 6).alias("probability"), F.round("similar", 6).alias("similarity"), "confirmed")
+    return alone.select(*shown).union(_wrapped(docs).select(*shown))
+
+
+def _similar_by_hand(words: list[str], family: str) -> float:
+    return max((len(set(words) & set(words_of(t))) / len(set(words_of(t))) for t in TEMPLATES.get(family, ())), default=0.0)
+
+
+def _scored_by_hand(words: list[str]) -> tuple[str, str, float, float, bool]:
+    """best, family, likely, similar, confirmed"""
+    model = trained()
+    z = np.array(model.bias)
+    for g in sorted(ngrams_of(words)):
+        z = z + np.array(model.weights.get(g, [0.0] * len(z)))
+    z = z * model.scale
+    best, likely = model.classes[int(z.argmax())], 1 / np.exp(z - z.max()).sum()
+    similar = _similar_by_hand(words, best)
+    family = best if likely >= model.threshold else "unknown"
+    return best, family, float(likely), similar, similar >= CONFIRMED and family != "unknown"
 
 
 def scan_by_hand(texts: list[tuple[int, str | None]]) -> list[tuple]:
     """What scan() gives, computed row by row in Python: for tests."""
-    model, out = trained(), []
+    out = []
+    holds = lambda text: any(a in text.lower() for a in ANCHORS)
+
+    def joined(lines: list[str]) -> list[list[str]]:
+        words = [words_of(x) for x in lines]
+        return [words[0][-SPAN:], [w for x in words[1:-1] for w in x], words[-1][:SPAN]]
+
+    def sure(lines: list[str]) -> tuple | None:
+        words = words_of(lines[0]) if len(lines) == 1 else sum(joined(lines), [])
+        found = _scored_by_hand(words) if holds(lines[0] if len(lines) == 1 else " ".join(words)) else None
+        return found if found and found[4] else None
+
     for doc_id, text in texts:
-        for at, line in enumerate((text or "").split("\n")):
-            if not any(a in line.lower() for a in ANCHORS):
-                continue
-            words = words_of(line)
-            z = np.array(model.bias)
-            for g in sorted(ngrams_of(words)):
-                z = z + np.array(model.weights.get(g, [0.0] * len(z)))
-            z = z * model.scale
-            p = np.exp(z - z.max())
-            best, likely = model.classes[int(z.argmax())], 1 / p.sum()
-            if best != NONE:
-                similarity = max(len(set(words) & set(words_of(t))) / len(set(words_of(t))) for t in TEMPLATES[best])
-                family = best if likely >= model.threshold else "unknown"
-                out.append((doc_id, at, family, round(float(likely), 6), round(similarity, 6), similarity >= CONFIRMED and family != "unknown"))
+        lines = (text or "").split("\n")
+        for at, line in enumerate(lines):
+            if holds(line):
+                best, family, likely, similar, confirmed = _scored_by_hand(words_of(line))
+                if best != NONE:
+                    out.append((doc_id, at, family, round(likely, 6), round(similar, 6), confirmed))
+            for to in range(at + 1, len(lines)):
+                if not (words_of(line) and words_of(lines[to])) or sum(len(words_of(x)) for x in lines[at + 1 : to]) > SPAN - 2:
+                    break
+                run, (tail, middle, head) = sure(lines[at : to + 1]), joined(lines[at : to + 1])
+                if not run or max(_similar_by_hand(tail + middle, run[0]), _similar_by_hand(middle + head, run[0])) >= run[3]:
+                    continue
+                if not any(part and part[1] == run[1] for part in (sure(lines[at + 1 : to + 1]), sure(lines[at:to]))):
+                    out.append((doc_id, at, run[1], round(run[2], 6), round(run[3], 6), True))
     return out

@@ -1,4 +1,5 @@
 import re
+import textwrap
 from pathlib import Path
 
 import numpy as np
@@ -137,6 +138,26 @@ def test_every_template_is_recognised():
     assert len(anchored) >= len(rows) - 3 and np.mean([found.get(k) == families[k] for k in anchored]) > 0.85
 
 
+def test_wrapped_licences(spark):
+    templates = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    alone = {r[0] for r in licenses.scan_by_hand([(k, t) for k, (_, t) in enumerate(templates)]) if r[5]}
+    rows = []
+    for width in (72, 30):
+        for k, (_, t) in enumerate(templates):
+            body = textwrap.wrap(f"This is a file of the project, see below what its authors say: {t}, for the details of which see the notice.", width)
+            rows.append((1000 * width + k, "\n".join(["# Some file", "#", *(f"# {x}" for x in body), "", "More text about other things."])))
+    rows += [(1, "All rights\nreserved"), (2, "All rights\n\nreserved"), (3, "word\n" * 50 + "Licensed\nunder\nthe\nMIT\nlicense\n" + "word\n" * 50), (4, "Released under\nthe MIT License. Redistribution and use in source and binary forms, with or without\nmodification, are permitted")]
+    rows += [(None, "x\nReleased under the MIT\nLicense.\ny"), (None, "x\nReleased under the MIT\nLicense.\ny")]
+    found = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, licenses.scan_by_hand(rows)))
+    sure = {(r[0], r[2]) for r in found if r[5]}
+    assert {(1, "Proprietary"), (3, "MIT"), (4, "BSD"), (None, "MIT")} <= sure and not any(r[0] == 2 for r in found if r[5])
+    assert all(50 <= r[1] <= 54 for r in found if r[0] == 3 and r[5]) and sum(r[0] is None and r[5] for r in found) == 2
+    for width in (72, 30):
+        missed = [t for k, t in enumerate(templates) if k in alone and (1000 * width + k, t[0]) not in sure]
+        assert not missed, missed
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
