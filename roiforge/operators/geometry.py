@@ -7,7 +7,8 @@ region, whose size the image bounds.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from roiforge.functions.sqltext import KEYS
 from roiforge.operators.shape import WEIGHTED_INTENSITY_NAMES, WEIGHTED_SHAPE_NAMES, moment_names
 
-_RING = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))
+# fixed values: in which order a walk along the border tries its neighbours, (dx, dy), y downwards
+_STRAIGHT, _DIAGONAL = ((-1, 0), (0, -1), (1, 0), (0, 1)), ((-1, -1), (1, -1), (1, 1), (-1, 1))
 _STATS = ("MIN", "MAX", "MEAN", "MEDIAN", "STDDEV", "MODE")
 _CHORDS = ("MAX", "MAX_ANG", "MIN", "MIN_ANG", "MEDIAN", "MEAN", "MODE", "STDDEV")
 #: Groups of features that one pass can compute.
@@ -41,62 +43,123 @@ GROUPS: dict[str, tuple[str, ...]] = {
 
 
 class Region:
-    """A region's pixels, with what several features draw on computed once."""
+    """A region's pixels in rows, repeated ones once, with what several features draw on computed at most once."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, inten: np.ndarray) -> None:
-        self.x, self.y, self.inten = x.astype(np.int64), y.astype(np.int64), inten.astype(float)
-        self.x0, self.y0 = int(x.min()), int(y.min())
-        self.w, self.h = int(x.max()) - self.x0 + 1, int(y.max()) - self.y0 + 1
-        self.mask = np.zeros((self.h, self.w), dtype=bool)
-        self.image = np.zeros((self.h, self.w))
-        self.mask[self.y - self.y0, self.x - self.x0] = True
-        self.image[self.y - self.y0, self.x - self.x0] = self.inten
-        self.n = int(self.mask.sum())
-        self.contours = trace(self.mask)
-        self.contour = np.concatenate(self.contours)
-        self.hull = hull(np.stack(np.nonzero(self.mask)[::-1], axis=1))
-        self.perimeter = float(sum(np.hypot(*(np.roll(c, -1, axis=0) - c).T).sum() for c in self.contours))
+        cell, at = np.unique(np.stack([y, x], axis=1).astype(np.int64), axis=0, return_index=True)
+        self.x, self.y, self.inten = cell[:, 1], cell[:, 0], inten[at].astype(float)
+        self.x0, self.y0 = int(self.x.min()), int(self.y.min())
+        self.w, self.h = int(self.x.max()) - self.x0 + 1, int(self.y.max()) - self.y0 + 1
+        self.n = len(self.x)
+
+    @cached_property
+    def mask(self) -> np.ndarray:
+        mask = np.zeros((self.h, self.w), dtype=bool)
+        mask[self.y - self.y0, self.x - self.x0] = True
+        return mask
+
+    @cached_property
+    def image(self) -> np.ndarray:
+        image = np.zeros((self.h, self.w))
+        image[self.y - self.y0, self.x - self.x0] = self.inten
+        return image
+
+    @cached_property
+    def contours(self) -> list[np.ndarray]:
+        return walks(border(self.mask))
+
+    @cached_property
+    def contour(self) -> np.ndarray:
+        """All walks one after the other: x, y relative to the box."""
+        return np.concatenate([np.zeros((0, 2), dtype=np.int64), *self.contours])
+
+    @cached_property
+    def perimeter(self) -> float:
+        """Length of the contour as one closed chain, steps between walks included."""
+        c = self.contour
+        return float(np.hypot(*(np.roll(c, 1, axis=0) - c).T).sum())
+
+    @cached_property
+    def hull(self) -> np.ndarray:
+        rows = np.flatnonzero(self.mask.any(1))
+        left, right = self.mask.argmax(1)[rows], self.w - 1 - self.mask[:, ::-1].argmax(1)[rows]
+        return hull(np.concatenate([np.stack([left, rows], axis=1), np.stack([right, rows], axis=1)]))
 
+    @cached_property
     def distances(self) -> np.ndarray:
-        """Squared distance of each pixel to the nearest contour pixel, in blocks."""
-        p = np.stack([self.x - self.x0, self.y - self.y0], axis=1)
-        c = self.contour
-        step = max(1, 4_000_000 // max(1, len(c)))
-        return np.concatenate([((p[k : k + step, None] - c[None]) ** 2).sum(2).min(1) for k in range(0, len(p), step)])
-
-
-def trace(mask: np.ndarray) -> list[np.ndarray]:
-    """Outer boundaries (x, y in order) of the 8-connected parts, by walking around each with the outside at one hand."""
-    h, w = mask.shape
-    open_ = np.pad(mask, 1)
-    found, left = [], open_.copy()
-    while left.any():
-        start = tuple(int(v) for v in np.unravel_index(int(np.argmax(left)), left.shape))
-        part = [start]
-        left[start] = False
-        for r, c in part:
-            for dx, dy in _RING:
-                if left[r + dy, c + dx]:
-                    left[r + dy, c + dx] = False
-                    part.append((r + dy, c + dx))
-        at, back, walk, first = start, 0, [start], None
-        while len(part) > 1:
-            for k in range(1, 9):
-                turn = (back + k) % 8
-                nxt = (at[0] + _RING[turn][1], at[1] + _RING[turn][0])
-                if open_[nxt]:
-                    break
-            if at == start and first is not None and nxt == first:
-                walk.pop()
+        """Squared distance of each pixel to the nearest contour pixel; 0 where there is no contour."""
+        if not len(self.contour):
+            return np.zeros(self.n, dtype=np.int64)
+        at = np.zeros((self.h, self.w), dtype=bool)
+        at[self.contour[:, 1], self.contour[:, 0]] = True
+        return squared_distances(at)[self.y - self.y0, self.x - self.x0]
+
+
+def border(mask: np.ndarray) -> np.ndarray:
+    """Pixels of which a 4-neighbour lies outside, be it around the region or in a hole."""
+    p = np.pad(mask, 1)
+    return mask & ~(p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:])
+
+
+def walks(edge: np.ndarray) -> list[np.ndarray]:
+    """Border pixels (x, y) in the order of walks along them.
+
+    A walk starts at the first pixel left, by rows, and steps to unvisited border pixels, straight ones before diagonal ones and each in a
+    fixed order. Where it gets stuck it ends, if its last pixel lies in a row or column next to its first one's; else it goes on from
+    the last place where it had a choice. A walk that never had one is dropped, unless it used up the border. So are pixels
+    without neighbours on the border.
+    """
+    h, w = edge.shape
+    stride = w + 2
+    p = np.pad(edge, 1)
+    beside = sum(np.pad(edge, ((1 + dy, 1 - dy), (1 + dx, 1 - dx))).astype(np.int8) for dx, dy in (*_STRAIGHT, *_DIAGONAL))
+    order = np.flatnonzero(p & (beside > 0)).tolist()
+    left = set(order)
+    straight, diagonal = ([dx + stride * dy for dx, dy in steps] for steps in (_STRAIGHT, _DIAGONAL))
+    found = []
+    for start in order:
+        if start not in left:
+            continue
+        left.discard(start)
+        walk, forks, tip, done = [start], [], start, False
+        while left:
+            near = [tip + s for s in straight if tip + s in left] or [tip + s for s in diagonal if tip + s in left]
+            if near:
+                if len(near) > 1:
+                    forks.append(tip)
+                tip = near[0]
+                left.discard(tip)
+                walk.append(tip)
+                continue
+            done = abs(tip // stride - start // stride) == 1 or abs(tip % stride - start % stride) == 1
+            if done or not forks:
                 break
-            first = first or nxt
-            at, back = nxt, (turn + 4) % 8
-            # the next search begins just after the direction we came from
-            walk.append(at)
-        found.append(np.array([(c - 1, r - 1) for r, c in walk], dtype=np.int64))
+            tip = forks.pop()
+        else:
+            done = len(walk) > 1
+        if done:
+            cells = np.array(walk)
+            found.append(np.stack([cells % stride - 1, cells // stride - 1], axis=1))
     return found
 
 
+def squared_distances(targets: np.ndarray) -> np.ndarray:
+    """Squared distance of each cell to the nearest target: first along columns, then the least over rows' offsets, as far as one can gain."""
+    h, w = targets.shape
+    far = h + w
+    rows = np.arange(h)[:, None]
+    above = rows - np.maximum.accumulate(np.where(targets, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(targets, rows, 2 * far)[::-1], axis=0)[::-1] - rows
+    column = np.minimum(np.minimum(above, below), far).astype(np.int64) ** 2
+    best = column.copy()
+    for d in range(1, w):
+        if d * d >= best.max():
+            break
+        np.minimum(best[:, d:], column[:, :-d] + d * d, out=best[:, d:])
+        np.minimum(best[:, :-d], column[:, d:] + d * d, out=best[:, :-d])
+    return best
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise, from pixel centres."""
     p = sorted(set(map(tuple, points.tolist())))
@@ -137,6 +200,8 @@ def _slope(pairs: list[tuple[float, float]]) -> float:
 
 
 def contour_features(r: Region) -> list[float]:
+    if not len(r.contour):
+        return [0.0] * 8
     e = r.image[r.contour[:, 1], r.contour[:, 0]]
     round_ = math.sqrt(4 * math.pi * r.n / r.perimeter**2) if r.perimeter else 0.0
     return [r.perimeter, r.perimeter / math.pi, e.mean(), e.std(ddof=1) if len(e) > 1 else 0.0, e.max(), e.min(), e.sum(), round_]
@@ -154,12 +219,13 @@ def hull_features(r: Region) -> list[float]:
     return [area, r.n / area]
 
 
-def erosion_features(r: Region, most: int = 1000) -> list[float]:
-    m, k = np.pad(r.mask, 1), 0
-    while m.any() and k < most:
-        m = m & np.roll(m, 1, 0) & np.roll(m, -1, 0) & np.roll(m, 1, 1) & np.roll(m, -1, 1)
-        k += 1
-    return [float(k), 0.0]
+def erosion_features(r: Region) -> list[float]:
+    """How many erosions by the 4-neighbourhood leave something; outside the box there is nothing. The complement is defined as 0."""
+    m, survived = r.mask, -1
+    while m.any():
+        m = m & ~border(m)
+        survived += 1
+    return [float(survived), 0.0]
 
 
 def fractal_features(r: Region) -> list[float]:
@@ -203,33 +269,52 @@ def _nassenstein(c: np.ndarray) -> float:
 
 
 def caliper_features(r: Region) -> list[float]:
+    """Diameters of the hull turned in steps of ten degrees about its corners' mean, in single precision: modes of whole diameters depend on it."""
     c = r.hull
     if len(c) < 3:
         return [0.0] * len(GROUPS["caliper"])
-    widths = [(t, float(np.ptp(_rotated(c, t)[:, 0]))) for t in range(0, 181, 10)]
+    turned = {t: _rotated(c, math.degrees(np.float32(t) * np.float32(math.pi) / np.float32(180)), c.mean(0)).astype(np.float32).astype(float) for t in range(0, 181, 10)}
+    widths = [(t, float(np.ptp(q[:, 0]))) for t, q in turned.items()]
     widths = [(t, v) for t, v in widths if v > 0]
     feret = np.array([v for _, v in widths])
-    others = [np.array([f(_rotated(c, t)) for t in range(0, 171, 10)]) for f in (_martin, _nassenstein)]
+    others = [np.array([f(turned[t]) for t in range(0, 171, 10)]) for f in (_martin, _nassenstein)]
     angles = [float(min(widths, key=lambda p: (p[1], p[0]))[0]), float(max(widths, key=lambda p: (p[1], -p[0]))[0])] if widths else [0.0, 0.0]
     return [*angles, *_stats(feret), *_stats(others[0][others[0] > 0]), *_stats(others[1][others[1] > 0])]
 
 
+def _column_runs(x: np.ndarray, y: np.ndarray, last: int) -> np.ndarray:
+    """Longest run of rows in each column with one, in columns' order; a run that reaches the row `last` doesn't count."""
+    x0, y0 = int(x.min()), int(y.min())
+    w, h = int(x.max()) - x0 + 1, last - y0 + 2
+    seen = np.zeros(w * h, dtype=bool)
+    seen[(x - x0) * h + (y - y0)] = True
+    # each column ends with a blank row, so no run spans two columns
+    edge = np.diff(seen.astype(np.int8), prepend=0, append=0)
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    open_ = ends % h != h - 1
+    longest = np.zeros(w, dtype=np.int64)
+    np.maximum.at(longest, begins[open_] // h, (ends - begins)[open_])
+    longest = longest[:: max(1, w // 100) if w >= 200 else 1]
+    return longest[longest > 0]
+
+
 def chord_features(r: Region) -> list[float]:
-    p = np.stack([r.x - r.x0, r.y - r.y0], axis=1).astype(float)
-    about = np.array([(r.w - 1) / 2, (r.h - 1) / 2])
+    """Chords are columns of the pixels turned about the box's centre, places cut to whole numbers, in 20 directions; pixels of intensity 0 are blank."""
+    seen = r.inten != 0
+    if not seen.any():
+        return [0.0] * 16
+    p = np.stack([r.x, r.y], axis=1).astype(float)
+    about = np.array([r.x0 + (r.w - 1) / 2, r.y0 + (r.h - 1) / 2])
     longest, every = [], []
     for k in range(20):
         angle = 180.0 * k / 20
-        q = np.rint(_rotated(p, angle, about)).astype(np.int64)
-        q = np.unique(q, axis=0)
-        step = max(1, int(np.ptp(q[:, 0]) + 1) // 100) if np.ptp(q[:, 0]) + 1 >= 200 else 1
-        q = q[(q[:, 0] - q[:, 0].min()) % step == 0]
-        # runs of consecutive rows in a column
-        new = np.concatenate([[True], (np.diff(q[:, 0]) != 0) | (np.diff(q[:, 1]) != 1)])
-        runs = np.diff(np.concatenate([np.flatnonzero(new), [len(q)]]))
+        q = np.trunc(_rotated(p, angle, about).astype(np.float32)).astype(np.int64)
+        runs = _column_runs(q[seen, 0], q[seen, 1], int(q[:, 1].max()))
         if len(runs):
             longest.append((angle, float(runs.max())))
             every += [(angle, float(v)) for v in runs]
+    if not every:
+        return [0.0] * 16
     out = []
     for pairs in (longest, every):
         v = np.array([x for _, x in pairs])
@@ -269,8 +354,14 @@ def enclosing_circle(points: np.ndarray) -> float:
     return 2 * circle[1]
 
 
-def circle_features(r: Region) -> list[float]:
-    centre = np.array([(r.x - r.x0).mean(), (r.y - r.y0).mean()])
+def circle_features(r: Region, shift: float = 2.0) -> list[float]:
+    """The least enclosing circle, and those through the contour's farthest and nearest pixel about the centroid, shifted up and left.
+
+    A shift of 2 is what the feature is defined by here; with 0 both lie about the centroid itself.
+    """
+    if not len(r.contour):
+        return [0.0] * 3
+    centre = np.array([(r.x - r.x0).mean(), (r.y - r.y0).mean()]) - shift
     d = np.hypot(*(r.contour - centre).T)
     return [enclosing_circle(r.hull), 2 * d.max(), 2 * d.min()]
 
@@ -281,31 +372,37 @@ def geodetic_features(r: Region) -> list[float]:
 
 
 def radius_features(r: Region) -> list[float]:
-    d = r.distances()
+    d = r.distances
     return [d.mean(), float(d.max()), float(np.median(d))]
 
 
 def radial_features(r: Region) -> list[float]:
-    """Eight rings about the pixel whose distances to the contour differ least; eight wedges in each ring."""
+    """Eight rings about the pixel whose distances to the contour differ least, the first by rows; eight wedges in each ring."""
+    if not len(r.contour):
+        return [0.0] * 24
     p = np.stack([r.x - r.x0, r.y - r.y0], axis=1)
-    spread = np.array([np.ptp(((r.contour - q) ** 2).sum(1)) for q in p])
-    centre = p[np.argmin(spread)]
+    # the farthest contour pixel is a corner of the contour's hull
+    corners = hull(r.contour)
+    beyond = [(p[k : k + 50_000] @ (-2 * corners.T) + (corners**2).sum(1)).max(1) for k in range(0, r.n, 50_000)]
+    farthest = (p**2).sum(1) + np.concatenate(beyond)
+    at = int(np.argmin(farthest - r.distances))
+    centre, most = p[at], math.sqrt(farthest[at])
     d = np.hypot(*(p - centre).T)
-    most = np.hypot(*(r.contour - centre).T).max()
-    ring = np.minimum((7 * d / most).astype(np.int64), 7) if most else np.zeros(len(p), dtype=np.int64)
-    angle = np.arctan2(p[:, 1] - centre[1], p[:, 0] - centre[0]) % (2 * math.pi)
-    wedge = np.minimum((angle / (math.pi / 4)).astype(np.int64), 7)
+    ring = np.minimum((7 * (d / most)).astype(np.int64), 7) if most else np.zeros(len(p), dtype=np.int64)
+    angle = np.arctan2(p[:, 1] - centre[1], p[:, 0] - centre[0])
+    wedge = np.minimum((np.where(angle < 0, angle + 2 * math.pi, angle) / (math.pi / 4)).astype(np.int64), 7)
     n, total = np.bincount(ring, minlength=8), np.bincount(ring, r.inten, minlength=8)
     wedges = np.bincount(ring * 8 + wedge, r.inten, minlength=64).reshape(8, 8)
     return [*(n / (r.n + 1e-9)), *(total / (n + 1e-9)), *(wedges.std(1) / (wedges.mean(1) + 1e-9))]
 
 
 def _gabor_kernel(n: int, f0: float, theta: float, gamma: float, sig2lam: float) -> np.ndarray:
-    sigma = sig2lam * 2 * math.pi / f0
+    """A wave under a Gaussian of sig2lam wavelengths; a wave of frequency 0 is flat."""
     v = np.arange(n) - n // 2
     gx, gy = np.meshgrid(v, v)
     along, across = gx * math.cos(theta) + gy * math.sin(theta), gy * math.cos(theta) - gx * math.sin(theta)
-    kernel = np.exp(-(along**2 + gamma**2 * across**2) / (2 * sigma**2)) * np.exp(1j * f0 * along)
+    narrow = (f0 / (sig2lam * 2 * math.pi)) ** 2
+    kernel = np.exp(-(along**2 + gamma**2 * across**2) * narrow / 2) * np.exp(1j * f0 * along)
     return kernel / np.abs(kernel).sum()
 
 
@@ -324,8 +421,11 @@ def gabor_features(r: Region, pairs: Sequence[tuple[float, float]] = ((0.0, 4.0)
     return [float((_filtered(r.image, _gabor_kernel(n, f, math.radians(t), gamma, sig2lam)) / top > threshold).sum()) / count if top > 0 and count else 0.0 for t, f in pairs]
 
 
-def zernike_features(r: Region, order: int = 9) -> list[float]:
-    """Magnitudes of the Zernike moments up to order 9 over the disc of the box's lesser side about the centroid of intensity."""
+def zernike_features(r: Region, order: int = 9, shift: int = 1) -> list[float]:
+    """Magnitudes of the Zernike moments up to order 9 over the disc of the box's lesser side about the centroid of intensity.
+
+    The angle turns m + shift times for repetition m: 1 is what the feature is defined by here, 0 the textbook's form.
+    """
     total = r.image.sum()
     if not total:
         return [0.0] * 30
@@ -333,18 +433,18 @@ def zernike_features(r: Region, order: int = 9) -> list[float]:
     cx, cy = (xx * r.image).sum() / total, (yy * r.image).sum() / total
     u, v = (xx - cx) / min(r.w, r.h), (yy - cy) / min(r.w, r.h)
     rho, phi = np.hypot(u, v), np.arctan2(v, u)
-    on = (rho <= 1) & (r.image > 0)
+    on = (rho <= 1) & (rho > np.finfo(float).eps) & (r.image > 0)
     rho, phi, f = rho[on], phi[on], r.image[on] / total
     out = []
     for n in range(order + 1):
         for m in range(n % 2, n + 1, 2):
             radial = sum((-1) ** s * math.factorial(n - s) / (math.factorial(s) * math.factorial((n + m) // 2 - s) * math.factorial((n - m) // 2 - s)) * rho ** (n - 2 * s) for s in range((n - m) // 2 + 1))
-            out.append(float(abs((n + 1) / math.pi * (f * radial * np.exp(-1j * m * phi)).sum())))
+            out.append(float(abs((n + 1) / math.pi * (f * radial * np.exp(-1j * (m + shift) * phi)).sum())))
     return out
 
 
 def _weighted(r: Region, f: np.ndarray) -> list[float]:
-    f = f * np.log(np.sqrt(r.distances()) + 0.001)
+    f = f * np.log(np.sqrt(r.distances) + 0.001)
     x, y = (r.x - r.x0).astype(float), (r.y - r.y0).astype(float)
     raw = lambda p, q: float((f * x**p * y**q).sum())
     m00 = raw(0, 0)
@@ -397,21 +497,25 @@ def spectrum_features(r: Region) -> list[float]:
     return [_slope([(float(k), float(total[k])) for k in range(2, min(most, len(total))) if total[k] > 0])]
 
 
-COMPUTE: dict[str, Callable[[Region], list[float]]] = {
+COMPUTE: dict[str, Callable[..., list[float]]] = {
     "contour": contour_features, "hull": hull_features, "erosion": erosion_features, "fractal": fractal_features, "caliper": caliper_features, "chords": chord_features, "circles": circle_features, "geodetic": geodetic_features, "radius": radius_features,
     "radial": radial_features, "gabor": gabor_features, "zernike": zernike_features, "weighted_moments": lambda r: _weighted(r, np.ones(len(r.x))), "weighted_intensity_moments": lambda r: _weighted(r, r.inten), "sharpness": sharpness_features, "spectrum": spectrum_features,
 }
 
 
-def geometry(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0) -> DataFrame:
-    """The features of the given groups, one row a region; what isn't finite is noval. Repeated pixels count once."""
-    columns = [n for g in groups for n in GROUPS[g]]
+def geometry(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0, options: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """The features of the given groups, one row a region, in one pass; what isn't finite is noval. Repeated pixels count once.
+
+    options: further arguments of groups' functions, such as {"gabor": {"n": 20}}. A group's number of features stays the same, but
+    for gabor, which has one for each of its pairs.
+    """
+    given = {g: dict((options or {}).get(g, {})) for g in groups}
+    named = {g: tuple(f"GABOR_{k}" for k in range(len(given[g]["pairs"]))) if "pairs" in given[g] else GROUPS[g] for g in groups}
+    columns = [n for g in groups for n in named[g]]
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        cell = np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], axis=1)
-        _, at = np.unique(cell, axis=0, return_index=True)
-        region = Region(cell[at, 0], cell[at, 1], table.column("inten").to_numpy()[at])
-        values = [float(v) for g in groups for v in COMPUTE[g](region)]
+        region = Region(*(table.column(c).to_numpy() for c in ("x", "y", "inten")))
+        values = [float(v) for g in groups for v in COMPUTE[g](region, **given[g])]
         return pa.table({**{k: [v.as_py()] for k, v in zip(KEYS, key, strict=True)}, **{n: [v if math.isfinite(v) else noval] for n, v in zip(columns, values, strict=True)}})
 
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
