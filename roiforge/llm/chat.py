@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roiforge.llm.common import small_batches, text_or_empty
+from roiforge.llm.common import text_or_empty
 
 _HEAD = {"system": b"<s>[SYS] ", "user": b"<s>[INST] ", "assistant": b" "}
 _TAIL = {"system": b" [/SYS]", "user": b" [/INST]", "assistant": b"</s>"}
@@ -83,7 +83,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn, ties by role and text; repeated rows stay; nulls sort first; null text counts as empty, a null
     role as one without a name; rows without conv_id are left out, having no conversation. Other columns are ignored.
     """
-    small_batches(turns.sparkSession)
     rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("turn"), "role", text_or_empty().alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +21,42 @@ CACHE_WORDS = 1_500_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; only where that is unset (as in tests) below a local one."""
+    """A new folder below spark.checkpoint.dir, which all executors see.
+
+    Where that is unset it is set to a local folder if driver and executors are one process (as in tests); on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="roiforge-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+_folders: list[str] = []
+
+
+def forget_folders(spark: SparkSession) -> int:
+    """Deletes the folders that operators have written since the last call, and gives their number.
+
+    For when results are no longer read: DataFrames that operators returned may still read from these folders.
+    """
+    n = len(_folders)
+    while _folders:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to a shared folder and read back: cuts lineage, survives the loss of an executor, and is computed once."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,8 +64,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, planned passes get Arrow batches of few rows: they hold whole texts. The session's own setting comes back after it."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows, so that what a pass makes of whole texts stays small whatever the session's batch size is."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -55,7 +96,6 @@ def with_fields(df: DataFrame, added: str) -> StructType:
 
 # --- words -----------------------------------------------------------------------------------------------------------
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -199,8 +239,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps; each replaces a node's links by links to the smallest node it knows, so
     that the number of edges never grows, and a logarithmic number of rounds is enough in practice. Minima are
-    pre-aggregated before the shuffle, so a node with many links costs its task one row per mapper. Each round is
-    written to the shared folder. Null ends and loops are ignored; no edges give no rows.
+    pre-aggregated before the shuffle. The links of a node with very many meet its minimum in a join, two numbers a link, which
+    adaptive execution splits where such a partition is large (skew join). Each round is written to the shared folder. Null ends and loops are ignored; no edges give no rows.
     """
     now = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     before = None
@@ -226,15 +266,34 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 # --- pairs within groups, in blocks ----------------------------------------------------------------------------------
 
 
-def block_tasks(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+#: Groups that need more than one block are broadcast up to this many rows (of five numbers); beyond it they are joined with salted keys.
+MOST_WIDE, SALTS = 100_000, 64
+
+
+def block_tasks(rows: DataFrame, keys: list[str], member: list[str], block: int) -> DataFrame:
     """Deals the pairs within groups to tasks of bounded size, all of them, each pair to one task.
 
-    rows have keys and a role: 0 for a group's own members, 1 for visitors. Wanted are the pairs of two members and those of a
-    visitor and a member. Members and visitors are hashed by `member` to blocks of about `block` rows; a task (x, i) compares
-    block x (side 1) with the members' block i (side 0), or the block i with itself where x = i and side 1 is absent.
+    rows have keys, the columns `member` that tell a group's rows apart, and a role: 0 for a group's own members, 1 for visitors. They should
+    be slim: what is compared is joined to the result by member. Wanted are the pairs of two members and those of a visitor and a
+    member. Both are hashed by `member` to blocks of about `block` rows; a task (x, i) compares block x (side 1) with the members'
+    block i (side 0), or the block i with itself where x = i and side 1 is absent. Groups without pairs are left out.
+
+    No row of a group that needs several blocks is shuffled by the group alone: such groups' counts go to the rows.
     """
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.when(F.col("role") == 0, 1)) / block).alias("nb"), F.ceil(F.count(F.when(F.col("role") == 1, 1)) / block).alias("nq"), F.count(F.lit(1)).alias("n_in_group")).where("n_in_group > 1 and nb > 0").drop("n_in_group")
-    dealt = rows.join(counts, keys).withColumn("at", F.when(F.col("role") == 0, F.pmod(F.xxhash64(F.lit(3), F.col(member)), "nb")).otherwise(F.pmod(F.xxhash64(F.lit(3), F.col(member)), F.greatest("nq", F.lit(1)))))
+    spark = rows.sparkSession
+    counts = rows.groupBy(*keys).agg(F.count(F.when(F.col("role") == 0, 1)).alias("nb"), F.count(F.when(F.col("role") == 1, 1)).alias("nq")).where("nb > 0 and nb + nq > 1")
+    counts = stored(counts, "block-counts")
+    wide = counts.where(F.greatest("nb", "nq") > block).select(*keys, F.ceil(F.col("nb") / block).alias("nb"), F.ceil(F.col("nq") / block).alias("nq"))
+    hashed = F.xxhash64(F.lit(3), *member)
+    if wide.count() <= MOST_WIDE:
+        told = rows.join(F.broadcast(wide), keys, "left")
+    else:
+        salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = rows.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+    # the others have a block of members and one of visitors at most, so they may meet in a task
+    narrow = counts.where(F.greatest("nb", "nq") <= block).select(*keys, F.least("nq", F.lit(1)).alias("one"))
+    small = told.where("nb is null").drop("nb", "nq").join(narrow, keys).select(*rows.columns, F.lit(1).cast("long").alias("nb"), F.col("one").cast("long").alias("nq"))
+    dealt = told.where("nb is not null").select(*rows.columns, "nb", "nq").union(small).withColumn("at", F.pmod(hashed, F.when(F.col("role") == 0, F.col("nb")).otherwise(F.greatest("nq", F.lit(1)))))
     place = lambda x, i, side: F.struct(x.cast("int").alias("x"), i.cast("int").alias("i"), F.lit(side).alias("side"))
     at = F.col("at")
     as_member = F.transform(F.sequence(at, F.col("nb") + F.col("nq") - 1), lambda x: place(x, at, 0))
@@ -243,6 +302,11 @@ def block_tasks(rows: DataFrame, keys: list[str], member: str, block: int) -> Da
     return dealt.withColumn("task", F.explode(F.when(F.col("role") == 0, F.concat(as_member, as_other)).otherwise(as_visitor))).select(*rows.columns, "task.*")
 
 
+def spread_tasks(tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """tasks shuffled by keys and block pair, so that a group's blocks are grouped in different tasks."""
+    return tasks.repartition(*keys, "x", "i")
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) reduced to stars: as many rows as nodes less components, each node beside its component's least."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roiforge.llm.common import partitions, small_batches, stored, text_or_empty, with_fields
+from roiforge.llm.common import partitions, sliced, stored, text_or_empty, with_fields
 
 
 def canonical(text: str | None) -> bytes:
@@ -42,12 +42,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts of white space alone, share the digest of no bytes.
     """
-    small_batches(docs.sparkSession)
     rest = docs.drop("fingerprint")
     at = rest.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [digest(canonical(t)) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "fingerprint"])
 
@@ -61,10 +60,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     the shuffle, so a group of any size costs a task one row per mapper. Where they are equal, all members are equal
     byte by byte; where they aren't (a collision), the bytes themselves join the key. Rows with null ids count as members.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [canonical(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, texts), pa.string()), pa.array(texts, pa.binary())], names=["doc_id", "fingerprint", "bytes"])
 
@@ -96,7 +94,6 @@ def edits_and_neighbours(docs: DataFrame) -> DataFrame:
     own and leaves its first and last text, which one task then joins across partitions: two rows of each partition.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     ordered = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     names = [f.split()[0] for f in _PAIRS.split(", ")]
 
@@ -113,7 +110,7 @@ def edits_and_neighbours(docs: DataFrame) -> DataFrame:
             extra = [pa.array([None] * n + [e[i] for e in edges], k) for i, k in ((0, pa.int32()), (1, pa.int32()), (3, pa.string()))]
             return pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "part", "last", "text"])
 
-        for b in batches:
+        for b in sliced(batches):
             found = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 form = canonical(text)

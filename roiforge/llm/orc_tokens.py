@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roiforge.llm.common import partitions, small_batches, text_or_empty, token_bytes, tokenizer_path
+from roiforge.llm.common import partitions, sliced, text_or_empty, token_bytes, tokenizer_path
 
 _ROW = "doc_id long, start_in_file long, n_ids int, ids array<int>"
 
@@ -28,20 +28,18 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
     files without rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     vocabulary = tokenizer or tokenizer_path()
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
-        for whole in batches:
-            for b in (whole.slice(k, 250) for k in range(0, whole.num_rows, 250)):
-                coded = [x + end for x in token_bytes(b.column(1).to_pylist(), vocabulary)]
-                n = np.fromiter((len(x) // 4 for x in coded), dtype=np.int32, count=len(coded))
-                before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-                ids = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before[:-1] + start), pa.array(n), ids], names=["doc_id", "start_in_file", "n_ids", "ids"])
-                start += int(before[-1])
+        for b in sliced(batches):
+            coded = [x + end for x in token_bytes(b.column(1).to_pylist(), vocabulary)]
+            n = np.fromiter((len(x) // 4 for x in coded), dtype=np.int32, count=len(coded))
+            before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            ids = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before[:-1] + start), pa.array(n), ids], names=["doc_id", "start_in_file", "n_ids", "ids"])
+            start += int(before[-1])
 
     ordered = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_mb << 20), "orc.compress": "ZSTD", "compression": "zstd"}

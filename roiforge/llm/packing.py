@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roiforge.llm.common import partitions, small_batches, stored, text_or_empty, token_bytes, tokenizer_path, with_fields
+from roiforge.llm.common import partitions, sliced, stored, text_or_empty, token_bytes, tokenizer_path, with_fields
 
 #: Fillings enumerated at a node, nodes of the search, items of a filling beside the largest: limits of the search, not of the data.
 FILLINGS, NODES, FILLERS = 4, 4_000, 4
@@ -167,17 +167,15 @@ def cut_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokeni
     ids are little-endian unsigned 32-bit, with end_id after each document. A null or empty text is the end id alone.
     Texts longer than capacity are cut into pieces of that length and a shorter last one. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     vocabulary = tokenizer or tokenizer_path()
     end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(k, 250) for k in range(0, whole.num_rows, 250)):
-                rows = [(i, r, k // step, k // 4, x[k : k + step]) for i, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x + end for x in token_bytes(b.column(2).to_pylist(), vocabulary)), strict=True) for k in range(0, len(x), step)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [len(r[4]) // 4 for r in rows], [r[4] for r in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids"])
+        for b in sliced(batches):
+            rows = [(i, r, k // step, k // 4, x[k : k + step]) for i, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x + end for x in token_bytes(b.column(2).to_pylist(), vocabulary)), strict=True) for k in range(0, len(x), step)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [len(r[4]) // 4 for r in rows], [r[4] for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
     return stored(rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids binary"), "pieces")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from roiforge.llm.common import small_batches, text_or_empty
+from roiforge.llm.common import sliced, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -268,12 +268,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     A row for each row, so repeated and null ids are kept. Columns other than doc_id and text are ignored. No shuffle.
     """
-    small_batches(docs.sparkSession)
     model = trained()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             base, spans = [], []
             for text in b.column(1).to_pylist():
                 mine = base_spans(text)
@@ -296,13 +295,12 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the personal data in text replaced, and n_chars, if there, counting the new text. Null texts stay null."""
-    small_batches(docs.sparkSession)
     model = trained()
     names, schema = docs.columns, docs.schema
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [t if t is None else redacted(t, all_spans(t, *model)) for t in b.column(at).to_pylist()]
             columns = list(b.columns)
             columns[at] = pa.array(texts, pa.string())

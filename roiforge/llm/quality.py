@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roiforge.llm.common import mixed, small_batches, text_or_empty, with_fields
+from roiforge.llm.common import mixed, sliced, text_or_empty, with_fields
 
 LABELLED, POOL, ROUNDS, EXCHANGED = 4000, 2000, 3, 200
 TEXT_BITS, META_BITS = 15, 12
@@ -140,7 +140,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     labelled = {r["doc_id"]: r["quality"] for r in drawn}
     pool = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.lit(18), F.col("doc_id")), "doc_id").limit(POOL).collect()
     wanted = spark.createDataFrame([(i,) for i in sorted({*labelled, *(r[0] for r in pool)})], "doc_id long")
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(wanted), "doc_id").mapInArrow(_featured, "doc_id long, slots binary, counts binary, meta array<int>").collect()
     of = {r["doc_id"]: ((np.frombuffer(r["slots"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["counts"], dtype=np.float32).astype(np.float64)), (np.array(r["meta"], dtype=np.int64), np.ones(3))) for r in rows}
     mine = sorted(i for i in labelled if i in of)
@@ -153,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of the few documents that are fitted on, whole texts, so that texts don't go to the driver."""
-    for b in batches:
+    for b in sliced(batches):
         found = _text_features(b.column(1).to_pylist())
         meta = [_meta_slots(*x) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.uint16).tobytes() for s, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary()), pa.array(meta, pa.list_(pa.int32()))], names=["doc_id", "slots", "counts", "meta"])
@@ -166,7 +165,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     Without a model all documents are kept with p 1.
     """
     docs = docs.drop(*ADDED)
-    small_batches(docs.sparkSession)
     names = docs.columns
     at = [names.index(x) for x in ("text", "source", "lang", "n_chars")]
     added = "p_text double, p_meta double, p_quality double, keep boolean"
@@ -175,7 +173,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        for b in batches:
+        for b in sliced(batches):
             z_text, z_meta = np.full(b.num_rows, model.text[-1]), np.full(b.num_rows, model.meta[-1])
             for k, t in enumerate(b.column(at[0]).to_pylist()):
                 slots = text_slots(np.frombuffer((t or "").encode("utf-8", "replace"), dtype=np.uint8))

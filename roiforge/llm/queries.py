@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roiforge.llm.embeddings import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98, target_recall=1.0)
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98, target_recall=0.9999)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from roiforge.llm import embeddings
-from roiforge.llm.common import components, forest
+from roiforge.llm import common, embeddings, jaccard
+from roiforge.llm.common import block_tasks, components, forest, spread_tasks
 from roiforge.llm.fingerprint import canonical, edits_and_neighbours, exact_groups, fingerprints
-from roiforge.llm.jaccard import jaccard_components, shingle_sets
+from roiforge.llm.jaccard import jaccard_components, jaccard_links, shingle_sets
 
 
 def united(nodes, pairs):
@@ -69,6 +69,61 @@ def test_jaccard_join_against_brute_force(spark, words, percent):
     assert found == brute_jaccard(rows, words, percent)
 
 
+def near_texts(rng, n=25, copies=4):
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = []
+    for _ in range(n):
+        text = list(rng.choice(vocabulary, int(rng.integers(5, 120))))
+        for _ in range(copies):
+            other = list(text)
+            for _ in range(int(rng.integers(0, 3))):
+                other[int(rng.integers(len(other)))] = str(rng.choice(vocabulary))
+            rows.append((len(rows), " ".join(other)))
+    return rows
+
+
+def test_number_of_links_and_blocks(spark, monkeypatch):
+    """All links are counted, whichever way the blocks of large groups get their counts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rows = near_texts(np.random.default_rng(12)) + [(1000 + k, "the same text of seven words here") for k in range(9)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} if (w := (t or "").split()) else set() for i, t in rows}
+    links = {i: sum(j != i and bool(sets[i]) and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    want = brute_jaccard(rows, 3, 90)
+    for most in (100_000, 0):
+        monkeypatch.setattr(common, "MOST_WIDE", most)
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_links(df).collect()}
+        assert found == {i: (*want[i], links[i]) for i in links}
+
+
+def test_prefixes_under_every_order_are_intersected():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, 60, dtype=np.uint64)) for _ in range(4)]
+    near = np.sort(np.concatenate([sets[0][:-2], rng.integers(0, 1 << 62, 2, dtype=np.uint64)]))
+    far = np.sort(np.concatenate([sets[1][:10], rng.integers(0, 1 << 62, 50, dtype=np.uint64)]))
+    a, b = jaccard.verified_links([*sets, near, far], np.zeros(6), True, 90)
+    assert {frozenset(p) for p in zip(a, b, strict=True)} == {frozenset((0, 4))}
+    for order in jaccard.ORDERS:
+        assert not jaccard._first(sets[0], order, 90).isdisjoint(jaccard._first(near, order, 90))
+
+
+def test_blocks_of_a_large_group_are_spread(spark):
+    rows = spark.range(3000).selectExpr("id as rep", "if(id < 2900, 0, id) as part", "0 as role")
+    tasks = block_tasks(rows, ["part"], ["rep"], 100)
+    assert tasks.select("part", "x", "i").distinct().count() == 29 * 30 // 2
+    plan = spread_tasks(tasks, ["part"]).groupBy("part", "x", "i").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and any("part" in line and "x#" in line and "i#" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    pairs = tasks.alias("p").join(tasks.alias("q"), ["part", "x", "i"]).where("p.rep < q.rep and (x = i or p.side <> q.side)").count()
+    assert pairs == 2900 * 2899 // 2
+
+
+def test_folders_and_settings_are_left_as_they_were(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    jaccard_components(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert common.forget_folders(spark) > 0 and common.forget_folders(spark) == 0
+
+
 def test_jaccard_join_of_nulls_repeats_and_nothing(spark):
     rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (7, "x y z"), (9, "x y z")]
     found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -109,16 +164,32 @@ def test_vector_links_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_recall_of_a_shorter_visit(spark):
-    """The calibrated visit finds the share of linked pairs that it promises, measured against brute force."""
+def test_multi_sequence_is_in_order():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(30), rng.random(20)
+    pairs = list(embeddings.multi_sequence(a, b, 1.1))
+    sums = [a[i] + b[j] for i, j in pairs]
+    assert sums == sorted(sums) and len(set(pairs)) == len(pairs) == (a[:, None] + b[None] <= 1.1).sum()
+    assert list(embeddings.multi_sequence(a, b, -1)) == []
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+def test_recall_of_a_shorter_visit(spark, dim):
+    """The calibrated visit finds the share of linked pairs that it promises, measured against brute force, and visits fewer cells."""
     rng = np.random.default_rng(8)
-    base = rng.normal(size=(1500, 16))
-    v = np.concatenate([base, base + rng.normal(scale=0.035, size=base.shape)])
+    base = rng.normal(size=(3000, dim))
+    v = np.concatenate([base, base + rng.normal(scale=0.17 / dim**0.5, size=base.shape) * np.linalg.norm(base, axis=1, keepdims=True)])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    half = dim // 2
+    books = embeddings.codebook(u[:2000, :half], 12), embeddings.codebook(u[:2000, half:], 12, seed=6)
+    short, whole = (embeddings._reach(u[:2000], books, 0.98, t) for t in (0.99, 1.0))
+    cells = [sum(map(len, embeddings.visited(u[:500], books, r)[1])) for r in (short, whole)]
+    assert whole == pytest.approx(0.2) and cells[0] < cells[1]
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     exact = np.triu(u @ u.T >= 0.98, 1).sum()
     df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(u)], "vec_id long, embedding array<double>, label int")
-    found = embeddings.near_duplicates(df, target_recall=0.95).agg({"n_links": "sum"}).first()[0] / 2
-    assert exact > 500 and 0.9 * exact <= found <= exact
+    found = embeddings.near_duplicates(df, target_recall=0.99).agg({"n_links": "sum"}).first()[0] / 2
+    assert exact > 500 and 0.985 * exact <= found <= exact
 
 
 def test_canonical_texts():
