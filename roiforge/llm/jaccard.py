@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from roiforge.llm.common import batch_words, block_tasks, components, forest, mixed, sliced, spread_tasks, stored
 
-#: Documents of a verifying block.
-BLOCK = 2000
+#: Documents of a verifying block; documents of a common n-gram that meet in one task, about.
+BLOCK, HUB = 2000, 500
 ORDERS = (101, 202)
 
 
@@ -78,9 +78,13 @@ def parts_by_order(heads: DataFrame, percent: int) -> DataFrame:
     rare = F.sort_array(F.collect_list(F.struct("df", "token")))
     most = F.col("h") - F.least(F.col("need"), F.col("h")) + 1 - (F.col("h") - F.size("shared"))
     chosen = counted.withColumn("need", need).groupBy("rep", "part", "h", "need").agg(rare.alias("shared")).withColumn("most", most).where("most > 0")
-    joined = chosen.select("rep", "part", F.explode(F.slice("shared", F.lit(1), F.col("most").cast("int"))).alias("s")).select("rep", "part", F.col("s.token").alias("token"))
-    first = joined.groupBy("part", "token").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = joined.join(first, ["part", "token"]).select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    salt = F.when(F.col("s.df") > HUB, F.pmod(F.xxhash64(F.lit(5), F.col("rep")), F.ceil(F.col("s.df") / HUB))).otherwise(0).cast("int")
+    joined = chosen.select("rep", "part", F.explode(F.slice("shared", F.lit(1), F.col("most").cast("int"))).alias("s")).select("rep", "part", F.col("s.token").alias("token"), F.col("s.df").alias("df"), salt.alias("salt"))
+    # documents of an n-gram link to the least one: of about HUB of them first, and these least ones, where there are several, to the least of all
+    led = joined.withColumn("first", F.min("rep").over(Window.partitionBy("part", "token", "salt")))
+    leaders = led.where(F.col("df") > HUB).select("part", "token", "first").distinct()
+    least = leaders.groupBy("part", "token").agg(F.min("first").alias("least"))
+    edges = led.select(F.col("rep").alias("a"), F.col("first").alias("b")).union(leaders.join(least, ["part", "token"]).select("first", "least")).where("a <> b").distinct()
     return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
 
 

@@ -90,8 +90,9 @@ def test_number_of_links_and_blocks(spark, monkeypatch):
     sets = {i: {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} if (w := (t or "").split()) else set() for i, t in rows}
     links = {i: sum(j != i and bool(sets[i]) and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]) for j in sets) for i in sets}
     want = brute_jaccard(rows, 3, 90)
-    for most in (100_000, 0):
+    for most, hub in ((100_000, 500), (0, 2)):
         monkeypatch.setattr(common, "MOST_WIDE", most)
+        monkeypatch.setattr(jaccard, "HUB", hub)
         found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_links(df).collect()}
         assert found == {i: (*want[i], links[i]) for i in links}
 
