@@ -9,6 +9,7 @@ depends on the capacity and not on the data. Pieces then find their places by th
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +24,46 @@ FILLINGS, NODES, FILLERS = 4, 4_000, 4
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on counted lengths: patterns (lengths, times)."""
-    left = dict(counts)
-    patterns = []
-    sizes = sorted((s for s in left if left[s]), reverse=True)
-    while sizes:
-        pattern, room = [], capacity
-        for s in sizes:
-            k = min(left[s], room // s)
-            if k:
-                pattern += [s] * k
-                room -= k * s
-            if not room:
-                break
-        times = min(left[s] // pattern.count(s) for s in set(pattern))
-        for s in pattern:
-            left[s] -= times
-        patterns.append((tuple(pattern), times))
-        sizes = [s for s in sizes if left[s]]
-    return patterns
+    """Best-fit decreasing on counted lengths: patterns (lengths, times).
+
+    Each piece, the longest first, goes to the open bin with the least room that still holds it. Bins with the same content are counted
+    together, so the work follows from the number of lengths and of different contents, not of pieces.
+    """
+    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # open bins by their room
+    order: list[int] = []  # rooms, ascending
+
+    def put(room: int, pattern: tuple[int, ...], times: int) -> None:
+        if room not in rooms:
+            rooms[room] = []
+            bisect.insort(order, room)
+        rooms[room].append((pattern, times))
+
+    def take(room: int) -> tuple[tuple[int, ...], int]:
+        found = rooms[room].pop()
+        if not rooms[room]:
+            del rooms[room]
+            order.pop(bisect.bisect_left(order, room))
+        return found
+
+    for s in sorted((s for s, n in counts.items() if n), reverse=True):
+        n = counts[s]
+        while n:
+            at = bisect.bisect_left(order, s)
+            if at < len(order):
+                room = order[at]
+                pattern, times = take(room)
+                # a bin just served has the least room of those like it, so it is filled first
+                each = min(room // s, n)
+                served = min(times, n // each)
+                if times > served:
+                    put(room, pattern, times - served)
+                put(room - each * s, pattern + (s,) * each, served)
+                n -= each * served
+            else:
+                each = min(capacity // s, n)
+                put(capacity - each * s, (s,) * each, n // each)
+                n -= each * (n // each)
+    return [bins for room in order for bins in rooms[room]]
 
 
 def fillings(room: int, sizes: list[int], left: dict[int, int], most: int = FILLINGS) -> list[tuple[int, ...]]:
@@ -75,15 +97,15 @@ def fillings(room: int, sizes: list[int], left: dict[int, int], most: int = FILL
         if not tried:
             found[chosen] = rest
 
-    # pairs that leave nothing open, before the general search
-    for s in fitting[:512]:
-        other = room - s
-        if other == 0:
-            found[(s,)] = 0
-        elif 0 < other <= s and present[other] and left[other] > (other == s):
-            found[(s, other)] = 0
+    # single lengths and pairs that leave nothing open, before the general search: all of them are looked at, the first `most` kept
+    if present[room]:
+        found[(room,)] = 0
+    firsts = np.arange(room - 1, (room + 1) // 2 - 1, -1)
+    for s in firsts[present[firsts] & present[room - firsts]].tolist() if room > 1 else []:
         if len(found) >= most:
             break
+        if left[room - s] > (room - s == s):
+            found[(s, room - s)] = 0
     if len(found) < most:
         grow((), room, room, FILLERS)
 
@@ -130,7 +152,10 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             times = min(left[s] // pattern.count(s) for s in set(pattern))
             if spare:  # only as often as the incumbent still allows, but once at least
                 times = max(1, min(times, (bins(best) * capacity - total - waste) // spare))
-            yield pattern, times
+            # as often as it can be laid down, and on coming back half as often, down to once
+            while times:
+                yield pattern, times
+                times //= 2
 
     levels = [options(0)] if counts else []
     while levels and bins(best) > bound and budget[0] > 0:

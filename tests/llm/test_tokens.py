@@ -79,6 +79,25 @@ def test_bins_hold_every_length_once(counts):
     assert sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(counts, 60))
 
 
+def plain_best_fit(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fit = [k for k, r in enumerate(rooms) if r >= s]
+        if fit:
+            rooms[min(fit, key=lambda k: rooms[k])] -= s
+        else:
+            rooms.append(capacity - s)
+    return sorted(rooms)
+
+
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_best_fit_decreasing_piece_by_piece(counts):
+    plan = packing.best_fit(counts, 60)
+    rooms = sorted(60 - sum(p) for p, t in plan for _ in range(t))
+    assert rooms == plain_best_fit([s for s, n in counts.items() for _ in range(n)], 60)
+
+
 def test_completion_beats_best_fit():
     counts = {6: 1, 5: 1, 4: 1, 3: 3}  # 8 | 6 5 4 3 3 3: best fit leaves 6+3, but 6+4 5+5 ...
     optimal = packing.complete_bins(counts, 12)
@@ -97,6 +116,11 @@ def test_packing_texts(spark, encoded):
     by: dict[int, list] = {}
     for r in found:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for r in found:
+        if r["doc_id"] not in (0, None):
+            ids = np.array([*encoded(dict((k, t) for k, t, _ in rows)[r["doc_id"]]), 0], "<u4")
+            assert r["start"] == 64 * r["piece"] and r["length"] == len(ids[r["start"] : r["start"] + 64])
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + 64].tobytes())
     for spans in by.values():
         at = 0
         for offset, length in sorted(spans):
