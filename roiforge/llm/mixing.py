@@ -2,8 +2,10 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). Word capacity flows from patterns to
 source quotas at least cost, each further pass over a pattern costing more than the one before (convex repetition
-costs). A pattern's flow then fixes how often its documents are taken: all of them e times, and one more time those whose
-seeded hash lies below a cut, plus a bounded list of further ones that fill the remainder.
+costs). A pattern's flow then fixes how often its documents are taken: all of them e times, and one more time those that come first
+in a seeded order, as far as the remaining words go. That order is by buckets of the hash, the bucket in which the words run out is
+dealt to buckets again while it holds many documents, and so on; of the last one's documents the first by hash are taken
+and then, largest first, whichever still fit. So the driver holds a few numbers for each pattern, and every document counts.
 """
 
 from __future__ import annotations
@@ -11,17 +13,15 @@ from __future__ import annotations
 import heapq
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roiforge.llm.common import stored
 
 #: Costs of a pattern's first, second and third pass; no more passes are made.
 PASS_COSTS = (0, 1, 3)
-#: Buckets of hash space in which a pattern's sizes are summed, at most, and documents meant for each.
-BUCKETS, BUCKET_DOCS = 4096, 64
-#: Documents beyond the cut that may fill a pattern's remainder, and how many after the cut are looked at.
-FILLERS, LOOKED_AT = 64, 4096
+#: Buckets to which a pattern's documents are dealt in one round, at most; documents meant for each, and so many that a last one may hold.
+BUCKETS, BUCKET_DOCS, LAST_DOCS = 4096, 64, 1024
 #: Patterns are planned on the driver; more than this many is an error.
 MOST_PATTERNS = 100_000
 
@@ -101,16 +101,25 @@ def route(capacity: dict, members: dict, quota: dict) -> dict:
 
 
 class Mix(NamedTuple):
-    """plan: one row a pattern (pattern, passes, cut, fillers); targets: by source; sized: doc_id, pattern, size, hash."""
+    """plan: one row a pattern (pattern, passes, levels: the buckets and the last one taken up to, cut); fillers: pattern, hash of documents
+    taken beyond the cut; targets: by source; sized: doc_id, pattern, members, size, hash; source_sizes."""
 
     plan: DataFrame
+    fillers: DataFrame
     targets: dict
     sized: DataFrame
     source_sizes: dict
 
 
-def _hash(doc_id: str, pattern: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(doc_id), pattern)
+_PLAN = "pattern string, passes long, levels array<struct<buckets:long,edge:long>>"
+
+
+def _hash(pattern: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), pattern, F.col("text"))
+
+
+def _bucket(level: int, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(level), F.col("hash")), buckets)
 
 
 def plan_mix(docs: DataFrame, sources: Column | None = None, quotas: dict | None = None, seed: int = 20) -> Mix:
@@ -118,13 +127,14 @@ def plan_mix(docs: DataFrame, sources: Column | None = None, quotas: dict | None
 
     sources: a column array<string> of the sources of each document (overlapping sources), by default the array of source
     alone; a null source is a source of its own. quotas: words by source, by default those of shares(). No
-    document is taken more often than there are passes. Null texts have no words. Repeated rows share a hash and are taken
-    together; an empty table gives an empty plan. The driver gets a row for each pattern and for each source.
+    document is taken more often than there are passes. Null texts have no words. Rows equal in id, source and text share a hash and are
+    taken together; rows that only share an id (a null one, say) are not. An empty table gives an empty plan. The driver gets a few
+    numbers for each pattern and for each source.
     """
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(F.col("source"))
     key = F.to_json(F.struct(pattern.alias("s")), {"ignoreNullFields": "false"})
-    sized = stored(docs.select(F.col("doc_id").cast("long"), key.alias("pattern"), pattern.alias("members"), words_in(F.col("text")).alias("size"), _hash("doc_id", key, seed).alias("hash")), "sizes")
+    sized = stored(docs.select(F.col("doc_id").cast("long"), key.alias("pattern"), pattern.alias("members"), words_in(F.col("text")).alias("size"), _hash(key, seed).alias("hash")), "sizes")
     totals = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -134,15 +144,25 @@ def plan_mix(docs: DataFrame, sources: Column | None = None, quotas: dict | None
             source_sizes[s] = source_sizes.get(s, 0) + r["size"]
     targets = quotas if quotas is not None else shares(list(source_sizes.items()))
     flow = route({r["pattern"]: r["size"] for r in totals}, {r["pattern"]: r["members"] for r in totals}, {s: round(t) for s, t in targets.items()})
-    rows = [(r["pattern"], *(divmod(flow[r["pattern"]], r["size"]) if r["size"] else (0, 0)), max(1, min(BUCKETS, r["n"] // BUCKET_DOCS))) for r in totals]
-    counts = F.broadcast(spark.createDataFrame(rows, "pattern string, passes long, rest long, buckets long"))
-    dealt = sized.join(counts.where("rest > 0"), "pattern").withColumn("bucket", F.shiftrightunsigned("hash", 1) % F.col("buckets"))
-    sums = dealt.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("size"))
-    from pyspark.sql import Window
-
-    before = F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    edge = sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before <= rest and before + size > rest").select("pattern", "bucket", (F.col("rest") - F.col("before")).alias("left"))
-    last = dealt.select("pattern", "bucket", "hash", "size").join(F.broadcast(edge), ["pattern", "bucket"]).groupBy("pattern", "bucket", "left", "hash").agg(F.sum("size").alias("size"))
+    passes = {r["pattern"]: divmod(flow[r["pattern"]], r["size"]) if r["size"] else (0, 0) for r in totals}
+    levels: dict[str, list[tuple[int, int]]] = {p: [] for p in passes}
+    left = {p: rest for p, (_, rest) in passes.items() if rest}
+    open_ = {r["pattern"]: r["n"] for r in totals if r["pattern"] in left}
+    for level in range(16):
+        edges = _edges(sized, level, levels, {p: (left[p], n) for p, n in open_.items()})
+        now = {}
+        for p, (buckets, edge, rest, n) in edges.items():
+            levels[p].append((buckets, edge))
+            left[p] = rest
+            # equal rows can't be dealt further
+            if n > LAST_DOCS and n < open_[p]:
+                now[p] = n
+        open_ = now
+        if not open_:
+            break
+    plan = spark.createDataFrame([(p, e, levels[p]) for p, (e, _) in passes.items()], _PLAN)
+    last = _within(sized, plan).where("at = 0").join(F.broadcast(spark.createDataFrame(list(left.items()), "pattern string, left long")), "pattern")
+    units = last.groupBy("pattern", "left", "hash").agg(F.sum("size").alias("size"))
 
     def fill(group):
         import pandas as pd
@@ -153,29 +173,59 @@ def plan_mix(docs: DataFrame, sources: Column | None = None, quotas: dict | None
         while k < len(sizes) and sizes[k] <= left:
             left -= sizes[k]
             k += 1
-        cut, more = hashes[k] if k < len(hashes) else None, []
-        for n, h in sorted(zip(sizes[k : k + LOOKED_AT], hashes[k : k + LOOKED_AT], strict=True), reverse=True):
-            if 0 < n <= left and len(more) < FILLERS:
+        more = []
+        for n, h in sorted(zip(sizes[k:], hashes[k:], strict=True), reverse=True):
+            if 0 < n <= left:
                 left -= n
                 more.append(h)
-        return pd.DataFrame({"pattern": [group["pattern"].iloc[0]], "bucket": [group["bucket"].iloc[0]], "cut": pd.array([cut], dtype="Int64"), "fillers": [more]})
-
-    cuts = last.groupBy("pattern").applyInPandas(fill, "pattern string, bucket long, cut long, fillers array<long>")
-    plan = counts.drop("rest").join(cuts, "pattern", "left").select("pattern", "passes", "buckets", "bucket", "cut", "fillers")
-    return Mix(stored(plan, "mix-plan"), targets, sized, source_sizes)
-
-
-def copies_of(plan: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (pattern, hash, ...) with copies int: how often the mix takes each row. The plan has a row for each pattern, at most MOST_PATTERNS."""
-    bucket = F.shiftrightunsigned("hash", 1) % F.col("buckets")
-    chosen = (bucket < F.col("bucket")) | ((bucket == F.col("bucket")) & (F.col("cut").isNull() | (F.col("hash") < F.col("cut")) | F.array_contains("fillers", F.col("hash"))))
-    joined = rows.join(F.broadcast(plan), "pattern").withColumn("copies", (F.col("passes") + F.coalesce(chosen, F.lit(False)).cast("int")).cast("int"))
-    return joined.drop("passes", "buckets", "bucket", "cut", "fillers")
+        taken = hashes[:k] + more
+        return pd.DataFrame({"pattern": pd.Series([group["pattern"].iloc[0]] * len(taken), dtype=object), "hash": pd.Series(taken, dtype="int64")})
+
+    fillers = stored(units.groupBy("pattern").applyInPandas(fill, "pattern string, hash long"), "mix-fillers")
+    return Mix(plan, fillers, targets, sized, source_sizes)
+
+
+def _edges(sized: DataFrame, level: int, levels: dict, open_: dict) -> dict:
+    """For open patterns (words left, documents in the bucket dealt last) the next deal: buckets, the one in which the words run out, words left in it, its documents."""
+    if not open_:
+        return {}
+    spark = sized.sparkSession
+    rows = [(p, levels[p], left, max(1, min(BUCKETS, n // BUCKET_DOCS))) for p, (left, n) in open_.items()]
+    told = F.broadcast(spark.createDataFrame(rows, "pattern string, levels array<struct<buckets:long,edge:long>>, left long, buckets long"))
+    inside = sized.join(told, "pattern")
+    for k in range(level):
+        inside = inside.where(_bucket(k, F.col("levels")[k]["buckets"]) == F.col("levels")[k]["edge"])
+    sums = inside.withColumn("bucket", _bucket(level, F.col("buckets"))).groupBy("pattern", "buckets", "left", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = sums.withColumn("before", before).where("before <= left and before + size > left").collect()
+    return {r["pattern"]: (r["buckets"], r["bucket"], r["left"] - r["before"], r["n"]) for r in found}
+
+
+def _within(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (pattern, hash, ...) with passes and at: -1 where a row comes before the last bucket of its pattern, 0 in it, 1 after it; null where its pattern is taken by whole passes."""
+    joined = rows.join(F.broadcast(plan), "pattern")
+    most = plan.agg(F.max(F.size("levels"))).first()[0] or 0
+    at = F.when(F.size("levels") > 0, F.lit(0))
+    for k in reversed(range(most)):
+        step = _bucket(k, F.get("levels", F.lit(k))["buckets"])
+        edge = F.get("levels", F.lit(k))["edge"]
+        at = F.when(step < edge, -1).when(step > edge, 1).otherwise(at)
+    return joined.withColumn("at", at).drop("levels")
+
+
+def copies_of(mix: Mix, rows: DataFrame) -> DataFrame:
+    """rows (pattern, hash, ...) with copies int: how often the mix takes each row.
+
+    The plan has a row for each pattern, at most MOST_PATTERNS of a few numbers, and is broadcast; the fillers, LAST_DOCS a pattern at most, are not unless they are few.
+    """
+    joined = _within(rows, mix.plan).join(mix.fillers.withColumn("filler", F.lit(True)), ["pattern", "hash"], "left")
+    chosen = F.coalesce((F.col("at") < 0) | F.coalesce(F.col("filler"), F.lit(False)), F.lit(False))
+    return joined.withColumn("copies", (F.col("passes") + chosen.cast("int")).cast("int")).drop("passes", "at", "filler")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 20) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of docs."""
     mix = plan_mix(docs, seed=seed)
     key = F.to_json(F.struct(F.array(F.col("source")).alias("s")), {"ignoreNullFields": "false"})
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("pattern"), _hash("doc_id", key, seed).alias("hash"))
-    return copies_of(mix.plan, whole).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("pattern"), _hash(key, seed).alias("hash"))
+    return copies_of(mix, whole).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -70,9 +70,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roiforge.llm.mixing import copies_of, plan_mix
 
     mix = plan_mix(_table(spark, sf_dir, "documents"))
-    rows = copies_of(mix.plan, mix.sized)
+    rows = copies_of(mix, mix.sized)
     sources = spark.createDataFrame([(s, mix.source_sizes[s], float(t)) for s, t in mix.targets.items()], "source string, source_size long, target double")
-    return rows.withColumn("source", F.col("members")[0]).join(F.broadcast(sources.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.withColumn("source", F.col("members")[0]).join(F.broadcast(sources.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,23 +50,67 @@ def test_mix_comes_near_its_targets(spark):
     rows = [(k, " ".join(["w"] * int(rng.integers(0, 300))), "en", "hot" if k % 3 else f"s{k % 7}", 1) for k in range(900)] + [(900, None, "en", None, 1), (901, "x y", "en", None, 1), (901, "x y", "en", None, 1)]
     df = spark.createDataFrame(rows, DOCS)
     mix = mixing.plan_mix(df)
-    taken = mixing.copies_of(mix.plan, mix.sized).selectExpr("members[0] as s", "doc_id", "size", "size * copies as taken", "copies").collect()
+    taken = mixing.copies_of(mix, mix.sized).selectExpr("members[0] as s", "doc_id", "size", "size * copies as taken", "copies").collect()
     assert len(taken) == len(rows) and all(r["copies"] <= 3 for r in taken)
     for s, target in mix.targets.items():
         total = sum(r["taken"] for r in taken if r["s"] == s)
         assert abs(total - target) <= max(3, 0.005 * target), (s, total, target)
-    again = mixing.copies_of(mixing.plan_mix(df).plan, mix.sized).selectExpr("doc_id", "size * copies as taken").collect()
+    again = mixing.copies_of(mixing.plan_mix(df), mix.sized).selectExpr("doc_id", "size * copies as taken").collect()
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in taken)
     assert mixing.mixed_documents(df).count() == sum(r["copies"] for r in taken)
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_every_document_counts_in_a_large_bucket(spark, monkeypatch):
+    """Deals over several levels, with a third of a source's rows under one id, come as near as the smallest documents allow."""
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    monkeypatch.setattr(mixing, "LAST_DOCS", 16)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 8)
+    rng = np.random.default_rng(6)
+    rows = [(None if k % 3 == 0 else k, " ".join(f"w{k}" for _ in range(int(rng.integers(1, 40)))), "en", f"s{k % 2}", 1, "clash", 7) for k in range(1200)] + [(5000, "the same row " * 5, "en", "s1", 1, "clash", 7)] * 40
+    df = spark.createDataFrame(rows, DOCS + ", pattern string, hash int")
+    mix = mixing.plan_mix(df, quotas={"s0": 3000, "s1": 7000})
+    assert mix.plan.selectExpr("max(size(levels))").first()[0] >= 3
+    taken = mixing.copies_of(mix, mix.sized).selectExpr("members[0] as s", "doc_id", "size * copies as taken", "copies").collect()
+    assert len(taken) == len(rows) and {r["copies"] for r in taken} <= {0, 1}
+    for s, target in (("s0", 3000), ("s1", 7000)):
+        assert 0 <= target - sum(r["taken"] for r in taken if r["s"] == s) <= 3
+    assert len({r["copies"] for r in taken if r["doc_id"] is None}) == 2
+    assert mixing.mixed_documents(df).columns == df.columns
+
+
+def cheapest(capacity, members, quota):
+    """Brute force over how many words each pass of each pattern gives to each source: the most words, then the least cost."""
+    import itertools
+
+    best = (0, 0)
+    names = sorted(capacity)
+    for words in itertools.product(*(range(3 * capacity[p] + 1) for p in names)):
+        flow = dict(zip(names, words, strict=True))
+        # Hall's condition: every set of sources must be able to take what can only go there
+        fits = all(sum(flow[p] for p in names if set(members[p]) <= set(group)) <= sum(quota[s] for s in group) for k in range(1, len(quota) + 1) for group in itertools.combinations(quota, k))
+        if fits:
+            cost = sum(c * min(max(flow[p] - k * capacity[p], 0), capacity[p]) for p in names for k, c in enumerate(mixing.PASS_COSTS))
+            best = max(best, (sum(words), -cost))
+    return best
+
+
+def test_flow_is_of_least_cost():
+    rng = np.random.default_rng(2)
+    for _ in range(12):
+        capacity = {p: int(rng.integers(1, 5)) for p in ("a", "b", "ab")}
+        members, quota = {"a": ["a"], "b": ["b"], "ab": ["a", "b"]}, {"a": int(rng.integers(0, 12)), "b": int(rng.integers(0, 12))}
+        flow = mixing.route(capacity, members, quota)
+        cost = sum(c * min(max(flow[p] - k * capacity[p], 0), capacity[p]) for p in flow for k, c in enumerate(mixing.PASS_COSTS))
+        assert (sum(flow.values()), -cost) == cheapest(capacity, members, quota)
+
+
 def test_overlapping_sources(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(k, "a b c d", ["p"] if k < 40 else ["p", "q"]) for k in range(60)], "doc_id long, text string, in array<string>")
     mix = mixing.plan_mix(df, F.col("in"), {"p": 100, "q": 80})
-    total = mixing.copies_of(mix.plan, mix.sized).selectExpr("sum(size * copies) as n").first()["n"]
+    total = mixing.copies_of(mix, mix.sized).selectExpr("sum(size * copies) as n").first()["n"]
     assert abs(total - 180) <= 4
 
 
