@@ -1,17 +1,19 @@
 """Quality classification by co-training.
 
 Two views of a document: its content (relative frequencies of byte trigrams, hashed) and its page metadata (source, language,
-length). A logistic classifier for each view is fitted on labelled documents. In each round either classifier labels
-the unlabelled documents it is surest of for the other one. The views are then calibrated and combined on held-out
-labelled documents, and every document is scored on its whole text.
+length). A logistic classifier for each view is fitted on labelled documents. In each round both score all unlabelled documents, and
+either one labels some of those it is sure of for the other one, as many good as bad ones, drawn by lottery. The views are then
+calibrated and combined on labelled documents kept apart, a further part of which measures the result, and every document is scored on
+its whole text.
 
-Fitting uses at most LABELLED labelled and POOL unlabelled documents, drawn by a hash of their ids; all documents are scored.
+Fitting uses at most LABELLED labelled documents, drawn by a hash of their ids, and EXCHANGED pseudo-labels for each view and round, drawn
+from all documents; all documents are scored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roiforge.llm.common import mixed, sliced, text_or_empty, with_fields
+from roiforge.llm.common import mixed, sliced, stored, text_or_empty, with_fields
 
-LABELLED, POOL, ROUNDS, EXCHANGED = 4000, 2000, 3, 200
+LABELLED, ROUNDS, EXCHANGED = 4000, 3, 200
+#: How sure a view must be of a document to label it.
+SURE = 0.98
 TEXT_BITS, META_BITS = 15, 12
 #: Columns that score() adds.
 ADDED = ("p_text", "p_meta", "p_quality", "keep")
-#: Share of the held-out good documents that the threshold must keep.
-KEEP_GOOD = 0.998
+#: Share of the good documents kept apart that the threshold must keep; it rejects half of the bad ones at least where that keeps ENOUGH_GOOD.
+KEEP_GOOD, ENOUGH_GOOD = 0.998, 0.99
 
 
 class Model(NamedTuple):
@@ -97,57 +101,103 @@ def _line(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(text: list[tuple], meta: list[tuple], y: np.ndarray, pool_text: list[tuple], pool_meta: list[tuple]) -> Model:
-    """Fits both views on three quarters of the labelled rows (y), exchanging pseudo-labels of the pool, and combines them on the rest."""
-    held = mixed(np.arange(len(y), dtype=np.uint64), 4) % np.uint64(4) == 0
+#: What offers pseudo-labels: (weights and calibration of both views, ids given to either) -> for either view (id, features of both views, label).
+Offer = Callable[[list[np.ndarray], list[np.ndarray], list[set]], list[list[tuple]]]
+
+
+def co_train(text: list[tuple], meta: list[tuple], y: np.ndarray, offer: Offer | None) -> Model:
+    """Fits both views on half of the labelled rows (y) and on pseudo-labels, combines them on a quarter, and measures them on the last one."""
+    part = mixed(np.arange(len(y), dtype=np.uint64), 4) % np.uint64(4)
+    held, unseen, fit = part == 0, part == 1, part > 1
     pick = lambda rows, mask: [r for r, m in zip(rows, mask, strict=True) if m]
-    given: list[dict[int, int]] = [{}, {}]  # what each view has been told of the pool
-    views, pools, sizes = (text, meta), (pool_text, pool_meta), (1 << TEXT_BITS, 1 << META_BITS)
+    views, sizes = (text, meta), (1 << TEXT_BITS, 1 << META_BITS)
+    given: list[dict] = [{}, {}]  # what each view has been told: id -> (features of both views, label)
 
     def fitted(v: int) -> np.ndarray:
-        rows = pick(views[v], ~held) + [pools[v][k] for k in given[v]]
-        return _fit(rows, np.concatenate([y[~held], np.array(list(given[v].values()), dtype=float)]), sizes[v])
+        told = [given[v][k] for k in sorted(given[v])]
+        return _fit(pick(views[v], fit) + [f[v] for f, _ in told], np.concatenate([y[fit], np.array([float(c) for _, c in told])]), sizes[v])
 
     weights = [fitted(0), fitted(1)]
-    for _ in range(ROUNDS if pool_text else 0):
-        for v in (0, 1):
-            line = _line(_logits(pick(views[v], held), weights[v])[:, None], y[held])
-            p = 1 / (1 + np.exp(-(line[0] * _logits(pools[v], weights[v]) + line[1])))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")
-            sure = [k for k in order.tolist() if abs(p[k] - 0.5) > 0.48 and k not in given[1 - v]][:EXCHANGED]
-            given[1 - v] |= {k: int(p[k] > 0.5) for k in sure}
+    for _ in range(ROUNDS if offer else 0):
+        lines = [_line(_logits(pick(views[v], held), weights[v])[:, None], y[held]) for v in (0, 1)]
+        for v, found in enumerate(offer(weights, lines, [set(given[1]), set(given[0])])):
+            given[1 - v] |= {i: (f, c) for i, f, c in found}
         weights = [fitted(0), fitted(1)]
-    z = np.column_stack([_logits(pick(views[v], held), weights[v]) for v in (0, 1)])
-    a, b, c = _line(z, y[held]).tolist()
-    p = 1 / (1 + np.exp(-(a * z[:, 0] + b * z[:, 1] + c)))
-    good = np.sort(p[y[held] == 1])
-    threshold = min(0.5, float(good[int(len(good) * (1 - KEEP_GOOD))])) if len(good) else 0.0
-    kept = p >= threshold
-    bad = y[held] == 0
-    report = {"accuracy": float((kept == (y[held] == 1)).mean()), "good_kept": float(kept[~bad].mean()) if (~bad).any() else 1.0, "bad_rejected": float((~kept[bad]).mean()) if bad.any() else 1.0}
+    logits = lambda mask: np.column_stack([_logits(pick(views[v], mask), weights[v]) for v in (0, 1)])
+    a, b, c = _line(logits(held), y[held]).tolist()
+    scored = lambda mask: 1 / (1 + np.exp(-np.clip(logits(mask) @ np.array([a, b]) + c, -500, 500)))
+    p, good = scored(held), y[held] == 1
+    threshold = 0.0
+    if good.any():
+        threshold = min(0.5, float(np.sort(p[good])[int(good.sum() * (1 - KEEP_GOOD))]))
+        middle = float(np.median(p[~good])) if (~good).any() else 0.0
+        if middle >= threshold and (p[good] > middle).mean() >= ENOUGH_GOOD:
+            threshold = float(np.nextafter(middle, 1))
+    kept, right = scored(unseen) >= threshold, y[unseen] == 1
+    report = {"accuracy": float((kept == right).mean()), "good_kept": float(kept[right].mean()) if right.any() else 1.0, "bad_rejected": float((~kept[~right]).mean()) if (~right).any() else 1.0}
     return Model(weights[0], weights[1], (a, b, c), threshold, report)
 
 
+_FEATURED = "doc_id long, slots binary, counts binary, meta array<int>"
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality); None unless both classes occur.
 
-    Rows without id or label don't count. Of repeated ids any row serves, of repeated labels the least.
+    Rows without id or label don't count. Of repeated ids the row with the least features serves, of repeated labels the least.
     """
     spark = docs.sparkSession
     lottery = F.xxhash64(F.lit(17), F.col("doc_id"))
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    drawn = known.orderBy(lottery, "doc_id").limit(LABELLED).collect()
-    labelled = {r["doc_id"]: r["quality"] for r in drawn}
-    pool = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.lit(18), F.col("doc_id")), "doc_id").limit(POOL).collect()
-    wanted = spark.createDataFrame([(i,) for i in sorted({*labelled, *(r[0] for r in pool)})], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(wanted), "doc_id").mapInArrow(_featured, "doc_id long, slots binary, counts binary, meta array<int>").collect()
-    of = {r["doc_id"]: ((np.frombuffer(r["slots"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["counts"], dtype=np.float32).astype(np.float64)), (np.array(r["meta"], dtype=np.int64), np.ones(3))) for r in rows}
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    labelled = {r["doc_id"]: r["quality"] for r in known.orderBy(lottery, "doc_id").limit(LABELLED).collect()}
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+
+    def featured(ids: set[int]) -> dict[int, tuple]:
+        """Features of few documents, by id."""
+        wanted = F.broadcast(spark.createDataFrame([(i,) for i in sorted(ids)], "doc_id long"))
+        found = rows.join(wanted, "doc_id").mapInArrow(_featured, _FEATURED).collect()
+        ordered = sorted(found, key=lambda r: (r["doc_id"], bytes(r["slots"]), bytes(r["counts"]), r["meta"]), reverse=True)
+        return {r["doc_id"]: ((np.frombuffer(r["slots"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["counts"], dtype=np.float32).astype(np.float64)), (np.array(r["meta"], dtype=np.int64), np.ones(3))) for r in ordered}
+
+    of = featured(set(labelled))
     mine = sorted(i for i in labelled if i in of)
     y = np.array([float(labelled[i] > 0) for i in mine])
     if len(mine) < 8 or len(set(y.tolist())) < 2:
         return None
-    rest = sorted({r[0] for r in pool} - labelled.keys())
-    return co_train([of[i][0] for i in mine], [of[i][1] for i in mine], y, [of[i][0] for i in rest], [of[i][1] for i in rest])
+
+    def offer(weights: list[np.ndarray], lines: list[np.ndarray], told: list[set]) -> list[list[tuple]]:
+        def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in sliced(batches):
+                z = _both(weights, b.column(1).to_pylist(), zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True))
+                p = [1 / (1 + np.exp(-np.clip(line[0] * x + line[1], -500, 500))) for x, line in zip(z, lines, strict=True)]
+                says = [np.where(q >= SURE, 1, np.where(q <= 1 - SURE, 0, -1)) for q in p]
+                some = np.flatnonzero((says[0] >= 0) | (says[1] >= 0))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *(pa.array(s[some].astype(np.int32)) for s in says)], names=["doc_id", "v0", "v1"])
+
+        seen = stored(rows.mapInArrow(sure, "doc_id long, v0 int, v1 int").join(F.broadcast(spark.createDataFrame([(i,) for i in mine], "doc_id long")), "doc_id", "left_anti"), "pseudo-labels")
+        drawn: list[dict[int, int]] = []
+        for v in (0, 1):
+            fresh = seen.where(F.col(f"v{v}") >= 0)
+            if told[v]:
+                fresh = fresh.where(~F.col("doc_id").isin(sorted(told[v])))
+            once = [fresh.where(F.col(f"v{v}") == c).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(18), F.col("doc_id")), "doc_id").limit(EXCHANGED // 2).collect() for c in (0, 1)]
+            drawn.append({r[0]: c for c, part in enumerate(once) for r in part})
+        found = featured({*drawn[0], *drawn[1]})
+        return [[(i, found[i], c) for i, c in sorted(drawn[v].items())] for v in (0, 1)]
+
+    return co_train([of[i][0] for i in mine], [of[i][1] for i in mine], y, offer)
+
+
+def _both(weights: list[np.ndarray], texts: list[str | None], metadata: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of both views for whole texts and their metadata."""
+    z_text, z_meta = np.full(len(texts), weights[0][-1]), np.full(len(texts), weights[1][-1])
+    for k, t in enumerate(texts):
+        slots = text_slots(np.frombuffer((t or "").encode("utf-8", "replace"), dtype=np.uint8))
+        if len(slots):
+            z_text[k] += 30.0 * weights[0][slots].mean()
+    for k, x in enumerate(metadata):
+        z_meta[k] += weights[1][_meta_slots(*x)].sum()
+    return z_text, z_meta
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +224,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         for b in sliced(batches):
-            z_text, z_meta = np.full(b.num_rows, model.text[-1]), np.full(b.num_rows, model.meta[-1])
-            for k, t in enumerate(b.column(at[0]).to_pylist()):
-                slots = text_slots(np.frombuffer((t or "").encode("utf-8", "replace"), dtype=np.uint8))
-                if len(slots):
-                    z_text[k] += 30.0 * model.text[slots].mean()
-            for k, x in enumerate(zip(*(b.column(c).to_pylist() for c in at[1:]), strict=True)):
-                z_meta[k] += model.meta[_meta_slots(*x)].sum()
+            z_text, z_meta = _both([model.text, model.meta], b.column(at[0]).to_pylist(), zip(*(b.column(c).to_pylist() for c in at[1:]), strict=True))
             a, c, bias = model.joint
             p = squash(a * z_text + c * z_meta + bias)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(squash(z_text)), pa.array(squash(z_meta)), pa.array(p), pa.array(p >= model.threshold)], names=[*names, *ADDED])

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from roiforge.llm import chat, licenses, mixing, pii, quality
 
@@ -106,8 +107,6 @@ def test_flow_is_of_least_cost():
 
 
 def test_overlapping_sources(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(k, "a b c d", ["p"] if k < 40 else ["p", "q"]) for k in range(60)], "doc_id long, text string, in array<string>")
     mix = mixing.plan_mix(df, F.col("in"), {"p": 100, "q": 80})
     total = mixing.copies_of(mix, mix.sized).selectExpr("sum(size * copies) as n").first()["n"]
@@ -249,4 +248,8 @@ def test_quality_without_labels_nulls_and_nothing(spark):
     model = quality.train(more, spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(160)], "doc_id long, quality int"))
     assert quality.score(df, model).count() == 3 and quality.score(df.limit(0), model).count() == 0
     kept = {r["doc_id"]: r["keep"] for r in quality.score(more, model).where("doc_id >= 160").collect()}
+    # repeated ids and labels give the same model again: of ties the least counts
+    twice, tied = more.union(more.withColumn("text", F.lit("zzz " * 9)).where("doc_id < 5")), spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(160)] + [(3, 0), (3, 1)], "doc_id long, quality int")
+    a, b = (quality.train(twice.repartition(n), tied.repartition(n)) for n in (1, 7))
+    assert (a.text == b.text).all() and (a.meta == b.meta).all() and a.threshold == b.threshold and a.held_out == b.held_out
     assert np.mean([kept[k] == (k % 4 > 0) for k in kept]) > 0.9
