@@ -200,9 +200,27 @@ def test_licences_against_brute_force(spark):
 def test_every_template_is_recognised():
     rows = [(k, t) for k, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
     families = [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
-    found = {r[0]: r[2] for r in licenses.scan_by_hand(rows) if r[5]}
-    anchored = [k for k, t in rows if any(a in t.lower() for a in licenses.ANCHORS)]
-    assert len(anchored) >= len(rows) - 3 and np.mean([found.get(k) == families[k] for k in anchored]) > 0.85
+    assert {r[0]: r[2] for r in licenses.scan_by_hand(rows) if r[5]} == dict(enumerate(families))
+
+
+def test_licences_in_other_words():
+    """Held-out notices, and sentences that only share words with licences."""
+    notices = [
+        ("MIT", "This library is free software, licensed under the MIT License (see LICENSE.txt)."), ("Apache-2.0", "Unless required by law, software distributed under the Apache License 2.0 comes without warranties"), ("GPL", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2"),
+        ("AGPL", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"), ("LGPL", "GNU Lesser General Public License, version 2.1 or later"), ("BSD", "Licensed under the 3-Clause BSD License"), ("CC-BY-SA", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+        ("MPL-2.0", "The source is subject to the terms of the Mozilla Public License, version 2.0"), ("EPL-2.0", "released under the Eclipse Public License 2.0"), ("ISC", "ISC License: permission to use, copy, modify, and/or distribute this software is hereby granted"), ("Unlicense", "unencumbered software released into the public domain, see the Unlicense"), ("CC0", "dedicated to the public domain under CC0 1.0 Universal"),
+    ]
+    found = {r[0]: r[2] for r in licenses.scan_by_hand([(k, t) for k, (_, t) in enumerate(notices)])}
+    assert sum(found.get(k) == f for k, (f, _) in enumerate(notices)) >= len(notices) - 1, found
+    others = ["She had no license to say so", "The rights of the people are reserved for the few", "He was granted a day off with permission of his boss", "The author of the book is the one who asked for a copy", "Modify the text as you like", "The Apache nation lived in the south", "Eclipse of the sun in the public square", "All in all it is the use of the source that is new", ""]
+    assert not [r for r in licenses.scan_by_hand(list(enumerate(others))) if r[5]]
+
+
+@given(st.lists(st.sampled_from(sorted({w for g in licenses.trained().weights for w in g.split()} | {"xyz", "said"})), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_paragraphs_without_anchors_are_none(words):
+    free = [w for w in words if w not in licenses.anchors()]
+    assert licenses._scored_by_hand(free)[0] == licenses.NONE
 
 
 def test_wrapped_licences(spark):
