@@ -53,26 +53,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rest.mapInArrow(run, with_fields(rest, "fingerprint string"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """Groups of documents with the same canonical text: doc_id, fingerprint, group_id (least doc_id of the group), copies.
-
-    Digests group the rows; min and max of the canonical bytes are taken beside the count, both pre-aggregated before
-    the shuffle, so a group of any size costs a task one row per mapper. Where they are equal, all members are equal
-    byte by byte; where they aren't (a collision), the bytes themselves join the key. Rows with null ids count as members.
-    """
-
+def _with_bytes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             texts = [canonical(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, texts), pa.string()), pa.array(texts, pa.binary())], names=["doc_id", "fingerprint", "bytes"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string, bytes binary")
-    groups = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
-    groups = stored(groups.select("fingerprint", "group_id", "copies", (F.col("lo") != F.col("hi")).alias("clash")), "digest-groups")
-    same = rows.drop("bytes").join(groups.where("not clash").drop("clash"), "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
-    split = rows.join(groups.where("clash").select("fingerprint"), "fingerprint", "left_semi")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string, bytes binary")
+
+
+def group_tables(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups by fingerprint: fingerprint, group_id, copies; rows of fingerprints that different texts share: doc_id, fingerprint, group_id, copies).
+
+    prints has doc_id and fingerprint of every row of docs. Digests group the rows; of digests that several rows share, min and max of the
+    canonical bytes are compared, both pre-aggregated before the shuffle, so a group of any size costs a task one row per mapper, and texts
+    that are alone with their digest don't move. Where the two are equal, all members are equal byte by byte; where they aren't (a
+    collision), the bytes themselves join the key, and the group is in the second table.
+    """
+    counts = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies")), "digest-groups")
+    several = counts.where("copies > 1").select("fingerprint")
+    rows = _with_bytes(docs)
+    bytes_ = rows.drop("doc_id").join(several, "fingerprint").groupBy("fingerprint").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
+    clashes = stored(bytes_.where("lo <> hi").select("fingerprint"), "digest-clashes")
+    split = rows.join(clashes, "fingerprint")
     apart = split.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
-    return same.union(split.join(apart, ["fingerprint", "bytes"]).select("doc_id", "fingerprint", "group_id", "copies"))
+    return counts.join(clashes, "fingerprint", "left_anti"), split.join(apart, ["fingerprint", "bytes"]).select("doc_id", "fingerprint", "group_id", "copies")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """Groups of documents with the same canonical text: doc_id, fingerprint, group_id (least doc_id of the group), copies.
+
+    A row for each row; rows with null ids count as members. See group_tables.
+    """
+    prints = stored(_with_bytes(docs).drop("bytes"), "digests")
+    same, apart = group_tables(docs, prints)
+    return prints.join(same, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies").union(apart)
 
 
 _PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -91,7 +106,7 @@ def edits_and_neighbours(docs: DataFrame) -> DataFrame:
 
     The next document is the next by doc_id (nulls first, equal ids by text); the last one's is the first. A single
     document is its own next one. One range shuffle by doc_id puts neighbours side by side; each partition compares its
-    own and leaves its first and last text, which one task then joins across partitions: two rows of each partition.
+    own and leaves its first and last text, which are then joined across partitions. The driver holds the partitions' numbers.
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -126,20 +141,19 @@ def edits_and_neighbours(docs: DataFrame) -> DataFrame:
 
     table = stored(ordered.mapInArrow(run, f"{_PAIRS}, part int, last int, text string"), "neighbours")
 
-    def across(edges):
-        import pandas as pd
-
-        edges = edges.sort_values(["part", "last"])
-        heads, tails = edges[edges["last"] == 0], edges[edges["last"] == 1]
-        found = []
-        for k in range(len(tails)):
-            after = heads["text"].iloc[(k + 1) % len(heads)]
-            doc_id, text = tails["doc_id"].iloc[k], tails["text"].iloc[k]
-            a, b = canonical(text), canonical(after)
-            found.append(_compared(None if pd.isna(doc_id) else int(doc_id), text, (a, digest(a)), after, (b, digest(b))))
-        out = pd.DataFrame(found, columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
-
-    ends = table.where("part is not null").select("doc_id", "part", "last", "text").groupBy(F.lit(0).alias("all")).applyInPandas(across, _PAIRS)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64() if k == "long" else pa.string() if k == "string" else pa.float64() for k in (f.split()[1] for f in _PAIRS.split(", "))]
+        for b in batches:
+            found = []
+            for doc_id, text, after in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                x, y = canonical(text), canonical(after)
+                found.append(_compared(doc_id, text, (x, digest(x)), after, (y, digest(y))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=names)
+
+    # the last text of a partition meets the first one of the next partition that has any: a row of two texts for each partition
+    edges = table.where("part is not null").select("doc_id", "part", "last", "text")
+    parts = sorted(r[0] for r in edges.select("part").distinct().collect())
+    following = spark.createDataFrame([(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)], "part int, following int")
+    heads = edges.where("last = 0").select(F.col("part").alias("following"), F.col("text").alias("after"))
+    ends = edges.where("last = 1").join(F.broadcast(following), "part").join(heads, "following").select("doc_id", "text", "after").mapInArrow(joined, _PAIRS)
     return table.where("part is null").select(*names).union(ends)

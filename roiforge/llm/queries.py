@@ -52,9 +52,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roiforge.llm.fingerprint import edits_and_neighbours
+    from roiforge.llm.common import stored
+    from roiforge.llm.fingerprint import edits_and_neighbours, group_tables
 
-    return edits_and_neighbours(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    pairs = stored(edits_and_neighbours(docs), "edits")
+    same, apart = group_tables(docs, pairs.select("doc_id", "fingerprint"))
+    # a fingerprint is in one of the two tables of groups
+    apart = apart.select("doc_id", "fingerprint", F.col("group_id").alias("own_id"), F.col("copies").alias("own_copies")).distinct()
+    grouped = pairs.join(same, "fingerprint", "left").join(apart, ["doc_id", "fingerprint"], "left")
+    return grouped.select(*pairs.columns, F.coalesce("own_id", "group_id").alias("group_id"), F.coalesce("own_copies", "copies").alias("copies"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from roiforge.llm import common, embeddings, jaccard
 from roiforge.llm.common import block_tasks, components, forest, spread_tasks
@@ -208,6 +209,33 @@ def test_exact_groups(spark):
     assert fingerprints(df).where("doc_id = 100").first()["fingerprint"] == fingerprints(df).where("doc_id = 0").first()["fingerprint"]
 
 
+def test_texts_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    """With a digest that knows lengths only, groups are those of equal bytes all the same."""
+    from roiforge.llm import fingerprint
+
+    table = fingerprint._with_bytes(spark.createDataFrame([(1, "aa"), (2, "AA"), (3, "bb"), (4, "ccc"), (5, None), (None, "bb")], "doc_id long, text string"))
+    coarse = table.withColumn("fingerprint", F.length("bytes").cast("string"))
+    monkeypatch.setattr(fingerprint, "_with_bytes", lambda docs: coarse)
+    found = {(r["doc_id"], r["group_id"], r["copies"]) for r in fingerprint.exact_groups(None).collect()}
+    assert found == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (None, 3, 2), (4, 4, 1), (5, 5, 1)}
+
+
+def test_edits_of_repeats_nulls_and_long_texts(spark):
+    """Against brute force, over more partitions than rows; clashing columns are ignored."""
+    import hashlib
+
+    rows = [(7, "Straße " * 4000), (7, "abc"), (None, "x"), (12, "é" * 30_001), (30, None), (31, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "'a' as fingerprint", "2 as last", "'q' as near_next")
+    found = sorted(((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"], r["near_next"]) for r in edits_and_neighbours(df).collect()))
+    ordered = sorted(((i if i is not None else -1, t or "") for i, t in rows))
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        after, half = ordered[(k + 1) % len(ordered)][1], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), float(canonical(t) == canonical(after))))
+    assert found == sorted(want)
+
+
 def test_neighbours_wrap_around(spark):
     rows = [(5, "abcd"), (9, "ABCD"), (11, None), (40, "wxyzé!")]
     found = {r["doc_id"]: r for r in edits_and_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
