@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roiforge.llm.common import shared_folder
 from roiforge.llm.jaccard import jaccard_components
 from roiforge.llm.mixing import mixed_documents
-from roiforge.llm.packing import pack
+from roiforge.llm.packing import pack, sequences
 from roiforge.llm.pii import redact
 from roiforge.llm.quality import ADDED, score, train
 
@@ -46,9 +46,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 ids and where each lies in the packed sequences."""
-    _, placed = pack(docs)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Packed sequences of at most 2048 ids, with the documents, pieces and offsets that each holds."""
+    return sequences(*pack(docs))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]

@@ -196,12 +196,22 @@ def _encode_words(tokenizer, known: dict[bytes, bytes], new: list[bytes]) -> Non
             known[w] = known[h] + known[w[len(h) :]]
 
 
+def _splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer normalises and splits as the default vocabulary does, so that its words can be encoded one by one."""
+    import json
+
+    with open(path, encoding="utf-8") as f, open(tokenizer_path(), encoding="utf-8") as g:
+        mine, known = json.load(f), json.load(g)
+    return all(mine.get(k) == known.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")) and all("<|" in t["content"] for t in mine.get("added_tokens") or [])
+
+
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without special tokens; null counts as empty.
 
-    The tokenizer's pattern never matches across white space, and neither does its normalisation, so that a text's ids are
+    The default tokenizer's pattern never matches across white space, and neither does its normalisation, so that a text's ids are
     those of its white-space-separated words one after the other. Words recur, so each worker keeps the ids of those
-    seen; the tokenizers library encodes the others. Texts that hold the mark or the strings of added tokens are encoded whole.
+    seen; the tokenizers library encodes the others. Texts that hold the mark or the strings of added tokens are encoded whole, and so are all
+    texts with a tokenizer that normalises or splits in another way.
     """
     import os
 
@@ -209,8 +219,12 @@ def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        _tokenizers[path] = (Tokenizer.from_file(path), {} if _splits_at_spaces(path) else None)
     tokenizer, known = _tokenizers[path]
+    if known is None:
+        for t in texts:
+            yield np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return
     step = 200
     for k in range(0, len(texts), step):
         some = [t or "" for t in texts[k : k + step]]

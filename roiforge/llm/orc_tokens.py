@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roiforge.llm.common import partitions, sliced, text_or_empty, token_bytes, tokenizer_path
+from roiforge.llm.common import partitions, sliced, small_batches, text_or_empty, token_bytes, tokenizer_path
 
 _ROW = "doc_id long, start_in_file long, n_ids int, ids array<int>"
 
@@ -43,7 +43,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
 
     ordered = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_mb << 20), "orc.compress": "ZSTD", "compression": "zstd"}
-    ordered.mapInArrow(run, _ROW).write.options(**options).orc(path)
+    with small_batches(spark):
+        ordered.mapInArrow(run, _ROW).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -43,4 +43,22 @@ def test_stages_with_nulls_and_clashing_columns(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns[5:] == ["keep", "row", "hash", "pattern", "component_id", "copies"], name
         assert all(r["keep"] == "mine" and r["row"] == 1 for r in docs.collect()), name
-    assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() >= docs.count()
+    packed = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert sum(sum(k == 0 for k in r["pieces"]) for r in packed) == docs.count() and all(len(r["ids"]) == 4 * r["n_ids"] <= 4 * 2048 for r in packed)
+
+
+def test_stages_with_a_very_long_text(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    junk = lambda k: "### ".join("abcd") * 9 if k % 4 == 0 else f"plain words number {k} in a row " * 3
+    long = " ".join(f"plain words number {k} in a row" for k in range(60_000)) + " mail me at a@b.co"
+    rows = [(k, junk(k), "en", "s", 90) for k in range(60)] + [(100, long, "en", "s", len(long)), (101, long, "en", "s", len(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    kept = {r["doc_id"]: r for r in docs.collect()}
+    assert 100 in kept and 101 not in kept and kept[100]["text"].endswith("[EMAIL]") and kept[100]["n_chars"] == len(kept[100]["text"])
+    mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path))
+    whole = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert mixed.columns == docs.columns and sum(r["n_ids"] for r in whole if 100 in r["doc_ids"]) > 300_000

@@ -31,6 +31,43 @@ def test_cached_words_give_the_tokenizers_ids(texts):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"A": 0, "a": 1, "b": 2, "?": 3}, unk_token="?"))
+    t.normalizer, t.pre_tokenizer = normalizers.NFC(), pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "own.json")
+    t.save(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_bytes(["A a b", None, "x A"], path)] == [[0, 1, 2], [], [3, 0]]
+
+
+def test_orc_metadata_prunes(spark):
+    """Stripes, row index and Bloom filter are there, and a look-up reads less than the file."""
+    path = shared_folder(spark, "orc")
+    rows = [(k * 2, " ".join(f"word{k * 31 % 977} other{j}" for j in range(30)), "") for k in range(6000)]
+    write_tokens(spark.createDataFrame(rows, SCHEMA).coalesce(1), path, stripe_mb=1, stride=1000)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = [f.getPath() for f in place.getFileSystem(conf).listStatus(place) if f.getPath().getName().endswith(".orc") and f.getLen() > 1000]
+    reader = jvm.org.apache.orc.OrcFile.createReader(files[0], jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+    footer = reader.getFileTail().getFooter()
+    kinds = {str(s.getKind()) for k in range(reader.getStripes().size()) for s in _streams(jvm, reader, k)}
+    assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds) and footer.getNumberOfRows() > 0
+    plan = look_up(spark, path, [8, 9])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan
+    assert [r["doc_id"] for r in look_up(spark, path, [8, 9]).collect()] == [8]
+
+
+def _streams(jvm, reader, k):
+    rows = reader.rows()
+    footer = rows.readStripeFooter(reader.getStripes().get(k))
+    found = [footer.getStreams(i) for i in range(footer.getStreamsCount())]
+    rows.close()
+    return found
+
+
 def test_odd_texts(encoded):
     assert [np.frombuffer(x, "<u4").tolist() for x in token_bytes(ODD, tokenizer_path())] == [encoded(t) for t in ODD]
 
