@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roiforge.llm.common import shared_folder
 from roiforge.llm.jaccard import jaccard_components
 from roiforge.llm.mixing import mixed_documents
-from roiforge.llm.packing import pack, sequences
+from roiforge.llm.packing import pack, placed_pieces
 from roiforge.llm.pii import redact
 from roiforge.llm.quality import ADDED, score, train
 
@@ -46,8 +46,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of at most 2048 ids, with the documents, pieces and offsets that each holds."""
-    return sequences(*pack(docs))
+    """Pieces of at most 2048 ids, with their ids, the packed sequence that holds each and where it lies there.
+
+    sequences() of the operator joins the pieces of a sequence to one row, at the price of a second shuffle of all ids.
+    """
+    return placed_pieces(*pack(docs))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]

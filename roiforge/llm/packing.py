@@ -269,12 +269,19 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str
     return pieces, assign(slim, capacity)
 
 
+def placed_pieces(pieces: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row a piece: sequence_id, offset, doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit)."""
+    both = pieces.select("doc_id", "row", "piece", "start", "length", "ids").join(placed.select("row", "piece", "sequence_id", "offset"), ["row", "piece"])
+    return both.select("sequence_id", "offset", "doc_id", "piece", "start", "length", "ids")
+
+
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     """Packed sequences: sequence_id, ids (binary, little-endian unsigned 32-bit), n_ids, and of each piece in it doc_ids, pieces and offsets.
 
     At most capacity pieces meet in a row.
     """
-    both = placed.select("row", "piece", "sequence_id", "offset").join(pieces.select("doc_id", "row", "piece", "ids"), ["row", "piece"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
     ids = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), ""))
-    return both.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", ids.alias("ids"), *(F.col(f"p.{c}").alias(n) for c, n in (("doc_id", "doc_ids"), ("piece", "pieces"), ("offset", "offsets")))).withColumn("n_ids", (F.length("ids") / 4).cast("int"))
+    grouped = placed_pieces(pieces, placed).groupBy("sequence_id").agg(parts.alias("p"))
+    named = [F.col(f"p.{c}").alias(n) for c, n in (("doc_id", "doc_ids"), ("piece", "pieces"), ("offset", "offsets"))]
+    return grouped.select("sequence_id", ids.alias("ids"), *named).withColumn("n_ids", (F.length("ids") / 4).cast("int"))

@@ -44,7 +44,7 @@ def test_stages_with_nulls_and_clashing_columns(spark, tmp_path):
         assert docs.columns[5:] == ["keep", "row", "hash", "pattern", "component_id", "copies"], name
         assert all(r["keep"] == "mine" and r["row"] == 1 for r in docs.collect()), name
     packed = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
-    assert sum(sum(k == 0 for k in r["pieces"]) for r in packed) == docs.count() and all(len(r["ids"]) == 4 * r["n_ids"] <= 4 * 2048 for r in packed)
+    assert sum(r["piece"] == 0 for r in packed) == docs.count() and all(len(r["ids"]) == 4 * r["length"] and r["offset"] + r["length"] <= 2048 for r in packed)
 
 
 def test_stages_with_a_very_long_text(spark, tmp_path):
@@ -61,4 +61,4 @@ def test_stages_with_a_very_long_text(spark, tmp_path):
     assert 100 in kept and 101 not in kept and kept[100]["text"].endswith("[EMAIL]") and kept[100]["n_chars"] == len(kept[100]["text"])
     mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path))
     whole = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
-    assert mixed.columns == docs.columns and sum(r["n_ids"] for r in whole if 100 in r["doc_ids"]) > 300_000
+    assert mixed.columns == docs.columns and sum(r["length"] for r in whole if r["doc_id"] == 100) > 300_000
