@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from roiforge.functions.sqltext import KEYS
 
 
+#: What rows are ordered by, as far as it is there: regions' keys, or the leading columns that stand for them.
+_ORDER = ("slide_id", "intensity_image", "mask_image", "t", "t_index", "label", "ROI_label", "parent_label", "child_label")
+
+
 def without_nan(features: DataFrame, noval: float = 0.0) -> DataFrame:
     """Nulls, NaN and infinities of double columns replaced by noval, in one projection."""
     value = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(noval)).otherwise(F.col(c)).alias(c.strip("`"))
@@ -42,7 +46,8 @@ def write(features: DataFrame, path: str, single: bool = False, per_slide: bool
     """
     kind = Path(path).suffix.lower()
     final = without_nan(features, noval)
-    ordered = final.orderBy(*(k for k in KEYS if k in final.columns)) if single else final.sortWithinPartitions(*(k for k in KEYS if k in final.columns))
+    by = [c for c in _ORDER if c in final.columns]
+    ordered = final if not by else final.orderBy(*by) if single else final.sortWithinPartitions(*by)
     if kind == ".parquet":
         ordered.write.mode("overwrite").option("compression", "snappy").parquet(path)
     elif kind in (".arrow", ".feather", ".ipc"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roiforge.functions.sqltext import K, finished, of, on, with_rows
@@ -58,10 +58,11 @@ def containment_sql(parents: str = "{parents}", children: str = "{children}") ->
 ON p.slide_id = c.slide_id AND p.t = c.t AND p.x0 <= c.x0 AND p.x1 >= c.x1 AND p.y0 <= c.y0 AND p.y1 >= c.y1"""
 
 
+#: Names of aggregates; a function from a column to an aggregate does as well.
 _AGGREGATES: dict[str, Callable] = {"SUM": F.sum, "MEAN": F.avg, "MIN": F.min, "MAX": F.max, "WMA": F.avg}
 
 
-def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str | dict[str, str], features: Sequence[str], least_children: int = 0) -> DataFrame:
+def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str | Callable | dict[str, str | Callable], features: Sequence[str], least_children: int = 0) -> DataFrame:
     """Parents' rows with their children's features: aggregated by SUM, MEAN, MIN, MAX or WMA (equal to MEAN), or NONE.
 
     NONE puts all children side by side, child1_F, child2_F, ... by ascending label: as many as the largest family has (counted by a
@@ -80,7 +81,7 @@ def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataF
         added = [f"child{k}_{f}" for k in range(1, width + 1) for f in features]
     else:
         each = how if isinstance(how, dict) else dict.fromkeys(features, how)
-        wide = joined.groupBy(*keys).agg(*[_AGGREGATES[a.upper()](F.col(f"`{f}`")).alias(f"child_{f}") for f, a in each.items()])
+        wide = joined.groupBy(*keys).agg(*[(a if callable(a) else _AGGREGATES[a.upper()])(F.col(f"`{f}`")).alias(f"child_{f}") for f, a in each.items()])
         added = [f"child_{f}" for f in each]
     return parents.withColumnRenamed("label", "parent_label").join(wide, keys, "left").fillna(0, subset=added)
 
@@ -138,6 +139,35 @@ def annotations(name: str) -> list[str]:
     return [x for x in re.split("_", name.split("/")[-1].split(".")[0]) if x]
 
 
+def annotations_of(column: str) -> Column:
+    """annotations() of a column of file names."""
+    return F.filter(F.split(F.element_at(F.split(F.element_at(F.split(column, "/"), -1), r"\."), 1), "_"), lambda x: x != "")
+
+
+def stack_pattern(pattern: str) -> re.Pattern | None:
+    """A pattern of names in which {d+} stands for digits, {c+} for letters and {set d+} or {set,d+} for the z index; None if it names no index."""
+    parts = re.split(r"(\{[^}]*\})", pattern)
+    known = {"{d+}": r"\d+", "{c+}": "[A-Za-z]+", "{set d+}": r"(?P<z>\d+)", "{set,d+}": r"(?P<z>\d+)"}
+    if not any(p in ("{set d+}", "{set,d+}") for p in parts):
+        return None
+    if any(p.startswith("{") and p not in known for p in parts):
+        raise ValueError("only {d+}, {c+} and {set d+} are known in a pattern of z-stacks")
+    return re.compile("".join(known.get(p, re.escape(p)) for p in parts))
+
+
+def pair_by_channel(paths: Sequence[str], signature: str, parent: int, child: int) -> list[tuple[str, str, str]]:
+    """(name without channel, parent's path, child's path) of files that differ only in the number after the last signature in their names."""
+    found: dict[str, dict[int, str]] = {}
+    for path in paths:
+        folder, _, name = path.rpartition("/")
+        at = name.rfind(signature)
+        m = re.match(r"\d+", name[at + len(signature) :]) if at >= 0 else None
+        if not m:
+            raise ValueError(f"no channel number after {signature!r} in {name}")
+        found.setdefault(f"{folder}/{name[:at]}{name[at + len(signature) + m.end() :]}", {})[int(m[0])] = path
+    return [(stem.rpartition("/")[2], c[parent], c[child]) for stem, c in sorted(found.items()) if parent in c and child in c]
+
+
 def stack_key(name: str) -> tuple[str, int] | None:
     """(name without its z index, z) of a file of a z-stack, named ..._z<digits>...; None for other names."""
     m = re.fullmatch(r"(.*_z)(\d+)(.*)", name)

@@ -77,10 +77,11 @@ def matrix_features_sql(family: str, clauses: str, three_d: bool, averaged: bool
 # --- co-occurrence ---------------------------------------------------------------------------------------------------
 
 
-def glcm_sql(depth: int = 64, offset: int = 1, symmetric: bool = False, three_d: bool = False, averaged: bool = False, dialect: str = "spark") -> str:
+def glcm_sql(depth: int = 64, offset: int = 1, symmetric: bool = False, three_d: bool = False, averaged: bool = False, dialect: str = "spark", by_index: bool = False) -> str:
     """Co-occurrence features for each direction (column a), or their means over directions.
 
-    i is the level of the shifted pixel and j that of the pixel itself. Radiomics and identity binning count both ways round.
+    i is the level of the shifted pixel and j that of the pixel itself. Radiomics and identity binning count both ways round. by_index: DIFVAR and
+    JVAR take a level's number among the region's levels against means of levels, which differs where levels are sparse.
     """
     angles = [(a, dx * offset, dy * offset, dz * offset) for a, dx, dy, dz in (ANGLES_3D if three_d else ANGLES)]
     shifted = with_rows("b", "p", angles, ("a", "dx", "dy", "dz"), dialect)
@@ -95,6 +96,12 @@ def glcm_sql(depth: int = 64, offset: int = 1, symmetric: bool = False, three_d:
         "IDN": f"sum(p / (1e0 + abs(i - j) / {levels}))", "IDMN": f"sum(p / (1e0 + power(i - j, 2) / ({levels} * {levels})))", "IV": "sum(CASE WHEN i <> j THEN p / power(i - j, 2) END)", "JAVE": "max(mi)", "JE": "-sum(p * log2(p))", "JMAX": "max(p)", "SUMAVERAGE": "sum(p * (i + j))",
         "hxy1": "-sum(p * log2(px * py))",
     }
+    ranks = ""
+    if by_index:
+        sums |= {"DIFVAR": "sum(p * power(abs(ri - rj) - dif, 2))", "jvar": "sum(p * power(ri - mi, 2))"}
+        ranks = f"lv AS (SELECT {K}, g, dense_rank() OVER (PARTITION BY {K} ORDER BY g) * 1e0 AS rk FROM (SELECT DISTINCT {K}, g * 1e0 AS g FROM b) AS q),\n"
+    told = f" JOIN lv li ON {on('m', 'li')} AND m.i = li.g JOIN lv lj ON {on('m', 'lj')} AND m.j = lj.g" if by_index else ""
+    ri, rj = (", li.rk AS ri, lj.rk AS rj", ", ri, rj") if by_index else ("", "")
     entropy = lambda name, value: f"{name} AS (SELECT {A}, -sum(q * log2(q)) AS {name} FROM (SELECT {A}, {value} AS k, sum(p) AS q FROM g GROUP BY {A}, {value}) AS w GROUP BY {A})"
     joined = " ".join(f"JOIN {t} ON {on('f0', t, key)}" for t in ("hx", "hy", "hs", "hd"))
     inner = f"""WITH {binned(depth)},
@@ -102,14 +109,14 @@ s AS (SELECT {K}, a, x AS x0, y AS y0, z AS z0, x + dx AS x, y + dy AS y, z + dz
 pr AS (SELECT {of("s", key)}, cast(b.g as double) AS i, cast(s.j as double) AS j FROM s JOIN b ON {on("s", "b", ["x", "y", "z"])}),
 m AS (SELECT {A}, i, j, cast(count(*) as double) AS c FROM ({pair}) AS both_ GROUP BY {A}, i, j),
 n AS (SELECT {A}, sum(c) AS n, sum(c * i) / sum(c) AS mi, sum(c * j) / sum(c) AS mj, sum(c * abs(i - j)) / sum(c) AS dif, max(greatest(i, j)) AS ng FROM m GROUP BY {A}),
-g AS (SELECT {of("m", key)}, i, j, c / n AS p, mi, mj, dif, ng FROM m JOIN n ON {on("m", "n", key)}),
+{ranks}g AS (SELECT {of("m", key)}, i, j, c / n AS p, mi, mj, dif, ng{ri} FROM m JOIN n ON {on("m", "n", key)}{told}),
 pi_ AS (SELECT {A}, i, sum(p) AS px FROM g GROUP BY {A}, i), pj_ AS (SELECT {A}, j, sum(p) AS py FROM g GROUP BY {A}, j),
 {entropy("hx", "i")}, {entropy("hy", "j")}, {entropy("hs", "i + j")}, {entropy("hd", "abs(i - j)")},
-w AS (SELECT {of("g", key)}, g.i, g.j, p, mi, mj, dif, ng, px, py FROM g JOIN pi_ ON {on("g", "pi_", ["a", "i"])} JOIN pj_ ON {on("g", "pj_", ["a", "j"])}),
+w AS (SELECT {of("g", key)}, g.i, g.j, p, mi, mj, dif, ng{rj}, px, py FROM g JOIN pi_ ON {on("g", "pi_", ["a", "i"])} JOIN pj_ ON {on("g", "pj_", ["a", "j"])}),
 f0 AS (SELECT {A}, {", ".join(f"{v} AS {k}" for k, v in sums.items())} FROM w GROUP BY {A}),
 f1 AS (SELECT {of("f0", key)}, {", ".join(f"f0.{k}" for k in sums)}, hx, hy, hs, hd FROM f0 {joined}),
 f AS (SELECT {A}, ASM, ACOR, CLUPROM, CLUSHADE, CLUTEND, CONTRAST, CASE WHEN vi > 1e-12 AND vj > 1e-12 THEN cov / sqrt(vi * vj) END AS CORRELATION, DIFAVE, hd AS DIFENTRO, DIFVAR, DIFAVE AS DIS, ASM AS ENERGY, JE AS ENTROPY, HOM1, HOM2, HOM1 AS ID, IDN, HOM2 AS IDM, IDMN,
-  CASE WHEN hx > 1e-12 THEN (JE - hxy1) / hx END AS INFOMEAS1, CASE WHEN abs(hx + hy - JE) < 1e-12 THEN 0e0 ELSE sqrt(abs(1e0 - exp(-2e0 * (hx + hy - JE)))) END AS INFOMEAS2, IV, JAVE, JE, JMAX, vi AS JVAR, SUMAVERAGE, hs AS SUMENTROPY, CLUTEND AS SUMVARIANCE, vi AS VARIANCE FROM f1)"""
+  CASE WHEN hx > 1e-12 THEN (JE - hxy1) / hx END AS INFOMEAS1, CASE WHEN abs(hx + hy - JE) < 1e-12 THEN 0e0 ELSE sqrt(abs(1e0 - exp(-2e0 * (hx + hy - JE)))) END AS INFOMEAS2, IV, JAVE, JE, JMAX, {'jvar' if by_index else 'vi'} AS JVAR, SUMAVERAGE, hs AS SUMENTROPY, CLUTEND AS SUMVARIANCE, vi AS VARIANCE FROM f1)"""
     own = [(n.split("_", 1)[1].removesuffix("_AVE"), n) for n in names("GLCM", three_d, averaged)]
     if averaged:
         return finished(f"{inner} SELECT {K}, {', '.join(f'avg({c}) AS {c}' for c, _ in own)} FROM f GROUP BY {K}", own, dialect)
@@ -162,9 +169,15 @@ mixed AS (SELECT {K}, sum(c * g * g / ((s + 1e0) * (s + 1e0))) / sum(c) AS sh, s
     return finished(inner, own, dialect)
 
 
-def ngtdm_sql(depth: int = 64, three_d: bool = False, dialect: str = "spark") -> str:
-    """Neighbourhood difference: levels against the mean of their neighbours; only pixels with neighbours count."""
-    inner = f"""WITH {binned(depth)}, {_matches(AROUND_3D if three_d else AROUND, dialect)},
+def around_cube(radius: int) -> tuple:
+    """Neighbours within a cube of the given radius."""
+    span = range(-radius, radius + 1)
+    return tuple((dx, dy, dz) for dz in span for dy in span for dx in span if (dx, dy, dz) != (0, 0, 0))
+
+
+def ngtdm_sql(depth: int = 64, three_d: bool = False, dialect: str = "spark", radius: int = 1, background: bool = False) -> str:
+    """Neighbourhood difference: levels against the mean of their neighbours (within a cube of the radius in 3D); only pixels with neighbours count."""
+    inner = f"""WITH {binned(depth, not background)}, {_matches(around_cube(radius) if three_d else AROUND, dialect)},
 l AS (SELECT {K}, g, cast(count(*) as double) AS n, sum(abs(g - near / k)) AS s FROM k WHERE near IS NOT NULL GROUP BY {K}, g),
 tot AS (SELECT {K}, sum(n) AS nv, cast(count(*) as double) AS ng, sum(s) AS ssum, sum(n * s) / sum(n) AS ps FROM l GROUP BY {K}),
 c AS (SELECT {of("tot")}, sum(p.n / nv * q.n / nv * power(p.g - q.g, 2)) AS con, sum(abs(p.n / nv * p.g - q.n / nv * q.g)) AS bus, sum(abs(p.g - q.g) * (p.n * p.s + q.n * q.s) / (p.n + q.n)) AS com, sum((p.n + q.n) / nv * power(p.g - q.g, 2)) AS stren
@@ -177,7 +190,7 @@ FROM r LEFT JOIN tot ON {on("r", "tot")} LEFT JOIN c ON {on("r", "c")}"""
 # --- runs ------------------------------------------------------------------------------------------------------------
 
 
-def glrlm_sql(depth: int = 64, three_d: bool = False, averaged: bool = False, dialect: str = "spark") -> str:
+def glrlm_sql(depth: int = 64, three_d: bool = False, averaged: bool = False, dialect: str = "spark", background: bool = False) -> str:
     """Runs of equal levels along each direction: islands of consecutive positions on a line."""
     axis = lambda d: "x" if d[0] else "y" if d[1] else "z"
     directions = [(a, (dx, dy, dz)) for a, dx, dy, dz in (ANGLES_3D if three_d else ANGLES)]
@@ -185,7 +198,7 @@ def glrlm_sql(depth: int = 64, three_d: bool = False, averaged: bool = False, di
     # a line is named by its coordinates where the leading one is 0
     line = lambda d: [f"{c} - ({v * step(d)}) * {axis(d)}" for c, v in zip("xyz", d, strict=True)]
     branches = " UNION ALL ".join(f"SELECT {K}, cast({a} as bigint) AS a, g, {', '.join(f'{e} AS l{k}' for k, e in enumerate(line(d)))}, {axis(d)} AS pos FROM b" for a, d in directions)
-    clauses = f"""{binned(depth)}, {_NP}, lines AS ({branches}),
+    clauses = f"""{binned(depth, not background)}, {_NP}, lines AS ({branches}),
 isl AS (SELECT {K}, a, g, l0, l1, l2, pos - row_number() OVER (PARTITION BY {K}, a, g, l0, l1, l2 ORDER BY pos) AS island FROM lines),
 runs AS (SELECT {K}, a, g, cast(count(*) as double) AS s FROM isl GROUP BY {K}, a, g, l0, l1, l2, island),
 m AS (SELECT {K}, a, g * 1e0 AS g, s, cast(count(*) as double) AS c FROM runs GROUP BY {K}, a, g * 1e0, s)"""
@@ -195,9 +208,17 @@ m AS (SELECT {K}, a, g * 1e0 AS g, s, cast(count(*) as double) AS c FROM runs GR
 # --- zones -----------------------------------------------------------------------------------------------------------
 
 
-def levels_sql(depth: int = 64) -> str:
+def levels_sql(depth: int = 64, background: bool = False) -> str:
     """Pixels with their grey level: what the zone pass reads."""
-    return f"WITH {binned(depth)} SELECT {K}, x, y, z, g FROM b"
+    return f"WITH {binned(depth, not background)} SELECT {K}, x, y, z, g FROM b"
+
+
+def background_sql(dialect: str = "spark") -> str:
+    """Pixels and, with intensity 0, the other cells of each region's box: what makes background count as the lowest level."""
+    span = (lambda a, b: f"explode(sequence({a}, {b}))") if dialect == "spark" else (lambda a, b: f"unnest(range({a}, {b} + 1))")
+    return f"""WITH box AS (SELECT {K}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM {{pixels}} GROUP BY {K}),
+rows_ AS (SELECT {K}, x0, x1, z0, z1, {span("y0", "y1")} AS y FROM box), cols AS (SELECT {K}, z0, z1, y, {span("x0", "x1")} AS x FROM rows_), cells AS (SELECT {K}, x, y, {span("z0", "z1")} AS z FROM cols)
+SELECT {of("c")}, c.x, c.y, c.z, coalesce(p.inten, 0) AS inten FROM cells c LEFT JOIN {{pixels}} p ON {on("c", "p", ["x", "y", "z"])}"""
 
 
 def recursive_zones_sql(depth: int, around: tuple, dialect: str) -> str:
@@ -234,6 +255,7 @@ def zone_check_sql(family: str, depth: int, three_d: bool, dialect: str) -> str:
     return text.replace("(WITH px", "(WITH RECURSIVE px", 1)
 
 
-def zone_neighbours(three_d: bool) -> tuple:
-    """Zones are 8-connected, 26-connected in 3D, for sizes and for distances alike."""
-    return AROUND_3D if three_d else AROUND
+def zone_neighbours(three_d: bool, straight: bool = False) -> tuple:
+    """Zones are 8-connected, 26-connected in 3D; straight: 4- and 6-connected."""
+    around = AROUND_3D if three_d else AROUND
+    return tuple(d for d in around if sum(map(abs, d)) == 1) if straight else around

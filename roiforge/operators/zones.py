@@ -42,18 +42,18 @@ def zone_roots(x: np.ndarray, y: np.ndarray, z: np.ndarray, g: np.ndarray, aroun
         label = new
 
 
-def zones(pixels: DataFrame, depth: int, three_d: bool = False) -> DataFrame:
+def zones(pixels: DataFrame, depth: int, three_d: bool = False, straight: bool = False, background: bool = False) -> DataFrame:
     """Pixels with level g and root, the number of their zone in the region."""
-    around = zone_neighbours(three_d)
+    around = zone_neighbours(three_d, straight)
 
     def label(table: pa.Table) -> pa.Table:
         x, y, z, g = (table.column(c).to_numpy() for c in ("x", "y", "z", "g"))
         return table.append_column("root", pa.array(zone_roots(x, y, z, g, around)))
 
-    levels = run(pixels, levels_sql(depth))
+    levels = run(pixels, levels_sql(depth, background))
     return levels.groupBy(*KEYS).applyInArrow(label, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in levels.schema.fields) + ", root bigint")
 
 
-def zone_features(pixels: DataFrame, family: str, depth: int = 64, three_d: bool = False) -> DataFrame:
+def zone_features(pixels: DataFrame, family: str, depth: int = 64, three_d: bool = False, straight: bool = False, background: bool = False) -> DataFrame:
     """GLSZM or GLDZM features of each region."""
-    return run(pixels, zone_features_sql(family, three_d), zones=zones(pixels, depth, three_d))
+    return run(pixels, zone_features_sql(family, three_d), zones=zones(pixels, depth, three_d, straight, background))

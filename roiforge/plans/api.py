@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
@@ -18,7 +18,13 @@ from roiforge.session import ship
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of all families. coarse_gray_depth > 0: matlab levels, < 0: radiomics bins, 0 or ibsi: intensities as they are."""
+    """Parameters of all families. coarse_gray_depth > 0: matlab levels, < 0: radiomics bins, 0 or ibsi: intensities as they are.
+
+    depths: grey depths of single families (glcm, 3gldm, ...) that differ from it. background: in GLRLM, GLSZM, GLDZM and NGTDM the cells of a region's
+    box that aren't its own count as level 1 (with matlab levels). gldzm_straight: distance zones are 4-connected. level_index: DIFVAR and JVAR take
+    levels' numbers (with radiomics bins). intensity_mode, min_intensity, max_intensity and dynamic_range say how images' values become
+    intensities, see quantised(). merge_labels: all labels of an image are one region.
+    """
 
     neighbor_distance: int = 5
     pixels_per_micron: float = 1.0
@@ -30,14 +36,49 @@ class Settings:
     ibsi: bool = False
     anisotropy: tuple[float, float, float] = (1.0, 1.0, 1.0)
     noval: float = 0.0
+    depths: tuple[tuple[str, int], ...] = ()
+    glcm3_offset: int = 1
+    ngtdm3_radius: int = 1
+    background: bool = False
+    gldzm_straight: bool = False
+    level_index: bool = True
+    merge_labels: bool = False
+    intensity_mode: str = "auto"
+    min_intensity: float | None = None
+    max_intensity: float | None = None
+    dynamic_range: int = 10_000
+    gabor_kersize: int = 16
+    gabor_gamma: float = 0.1
+    gabor_sig2lam: float = 0.8
+    gabor_f0: float = 0.1
+    gabor_thold: float = 0.025
+    gabor_thetas: tuple[float, ...] = (0.0, 45.0, 90.0, 135.0)
+    gabor_freqs: tuple[float, ...] = (4.0, 16.0, 32.0, 64.0)
+
+    def __post_init__(self) -> None:
+        positive = {"neighbor_distance": self.neighbor_distance, "pixels_per_micron": self.pixels_per_micron, "glcm_offset": self.glcm_offset, "glcm3_offset": self.glcm3_offset, "ngtdm3_radius": self.ngtdm3_radius, "dynamic_range": self.dynamic_range, **dict(zip(("anisotropy_x", "anisotropy_y", "anisotropy_z"), self.anisotropy, strict=True))}
+        wrong = [n for n, v in positive.items() if v <= 0]
+        if wrong:
+            raise ValueError(f"must be greater than zero: {', '.join(wrong)}")
+        if len(self.gabor_thetas) != len(self.gabor_freqs):
+            raise ValueError("as many gabor_thetas as gabor_freqs are needed")
 
     @property
     def depth(self) -> int:
         return 0 if self.ibsi else self.coarse_gray_depth
 
+    def depth_of(self, family: str) -> int:
+        """The grey depth of a family as users call it: glcm, 3glcm, ..."""
+        return 0 if self.ibsi else dict(self.depths).get(family, self.coarse_gray_depth)
+
+    @property
+    def geometry(self) -> dict[str, dict]:
+        return {"gabor": {"pairs": tuple(zip(self.gabor_thetas, self.gabor_freqs, strict=True)), "n": self.gabor_kersize, "gamma": self.gabor_gamma, "sig2lam": self.gabor_sig2lam, "low": self.gabor_f0, "threshold": self.gabor_thold}}
+
 
-#: family/parameter names as users write them
-_METAPARAMETERS = {"glcm/greydepth": "coarse_gray_depth", "glcm/offset": "glcm_offset", "3glcm/greydepth": "coarse_gray_depth", "3glcm/offset": "glcm_offset", "3gldm/greydepth": "coarse_gray_depth", "3ngtdm/greydepth": "coarse_gray_depth", "3glrlm/greydepth": "coarse_gray_depth", "3glszm/greydepth": "coarse_gray_depth"}
+#: family/parameter names as users write them, besides family/greydepth
+_METAPARAMETERS = {"glcm/offset": "glcm_offset", "3glcm/offset": "glcm3_offset", "3ngtdm/radius": "ngtdm3_radius"}
+_DEPTH_FAMILIES = tuple(f"{d}{f}" for d in ("", "3") for f in ("glcm", "glrlm", "glszm", "gldzm", "gldm", "ngldm", "ngtdm"))
 
 
 def _wide(pixels: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
@@ -50,32 +91,39 @@ def _wide(pixels: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
 def family_frame(pixels: DataFrame, name: str, s: Settings, done: dict[str, DataFrame]) -> DataFrame:
     """One family's features, one row a region."""
     if name in USER.functions:
-        return USER.functions[name](pixels)
+        function = USER.functions[name]
+        needs = FAMILIES[name].requires
+        return function(pixels, {r: done[r] for r in needs}) if needs else function(pixels)
+    three_d = name.removesuffix("_ave").endswith("3")
+    plain = name.removesuffix("_ave").rstrip("3")
+    depth = s.depth_of(("3" if three_d else "") + plain)
+    # background counts with levels from 1 on only
+    outside = s.background and depth > 0 and not three_d
+    if outside and plain in ("glrlm", "glszm", "gldzm", "ngtdm"):
+        pixels = run(pixels, texture.background_sql())
+    ave = name.endswith("_ave")
     simple = {
         "ih": lambda: firstorder.ih_sql(s.histogram_bins), "morphology": lambda: shape.morphology_sql(1 / s.pixels_per_micron), "ellipse": shape.ellipse_sql, "extrema": shape.extrema_sql, "euler": shape.euler_sql, "boxcount": shape.box_counts_sql,
         "shape_moments": lambda: shape.moments_sql("1e0", shape.SHAPE_NAMES), "intensity_moments": lambda: shape.moments_sql("cast(a.inten as double)", shape.INTENSITY_NAMES), "neighbours": lambda: spatial.neighbours_sql(s.neighbor_distance),
         "focus": lambda: imagequality.focus_sql(s.local_focus_scale), "saturation": imagequality.saturation_sql, "intensity3": lambda: firstorder.intensity_sql(abs(s.coarse_gray_depth) or 64, "3"),
-        "glcm_ave": lambda: texture.glcm_sql(s.depth, s.glcm_offset, s.glcm_symmetric, averaged=True), "glcm3_ave": lambda: texture.glcm_sql(s.depth, s.glcm_offset, s.glcm_symmetric, True, True), "glrlm_ave": lambda: texture.glrlm_sql(s.depth, averaged=True),
-        "glrlm3_ave": lambda: texture.glrlm_sql(s.depth, True, True), "gldm": lambda: texture.gldm_sql(s.depth), "gldm3": lambda: texture.gldm_sql(s.depth, True), "ngldm": lambda: texture.ngldm_sql(abs(s.depth)), "ngldm3": lambda: texture.ngldm3_sql(abs(s.depth)),
-        "ngtdm": lambda: texture.ngtdm_sql(s.depth), "ngtdm3": lambda: texture.ngtdm_sql(s.depth, True),
+        "gldm": lambda: texture.gldm_sql(depth), "gldm3": lambda: texture.gldm_sql(depth, True), "ngldm": lambda: texture.ngldm_sql(abs(depth)), "ngldm3": lambda: texture.ngldm3_sql(abs(depth)),
+        "ngtdm": lambda: texture.ngtdm_sql(depth, background=outside), "ngtdm3": lambda: texture.ngtdm_sql(depth, True, radius=s.ngtdm3_radius),
     }
     if name in simple:
         return run(pixels, simple[name]())
     if name == "intensity":
         bins = run(pixels, firstorder.histogram_sql(s.histogram_bins))
         return run(pixels, firstorder.intensity_sql(abs(s.coarse_gray_depth) or 64)).join(bins, list(KEYS))
-    if name in ("glcm", "glcm3"):
-        return _wide(pixels, texture.glcm_sql(s.depth, s.glcm_offset, s.glcm_symmetric, name == "glcm3"), texture.names("GLCM", name == "glcm3"))
-    if name in ("glrlm", "glrlm3"):
-        return _wide(pixels, texture.glrlm_sql(s.depth, name == "glrlm3"), texture.names("GLRLM", name == "glrlm3"))
-    if name in ("glszm", "gldzm", "glszm3", "gldzm3"):
-        return zone_features(pixels, name.rstrip("3").upper(), s.depth, name.endswith("3"))
+    if plain in ("glcm", "glrlm"):
+        text = texture.glcm_sql(depth, s.glcm3_offset if three_d else s.glcm_offset, s.glcm_symmetric, three_d, ave, by_index=s.level_index and depth < 0) if plain == "glcm" else texture.glrlm_sql(depth, three_d, ave, background=outside)
+        return run(pixels, text) if ave else _wide(pixels, text, texture.names(plain.upper(), three_d))
+    if plain in ("glszm", "gldzm"):
+        return zone_features(pixels, plain.upper(), depth, three_d, plain == "gldzm" and s.gldzm_straight, outside)
     if name == "shape3":
         return volume.shape3(pixels)
     if name == "polygons":
-        shapes = reduce(lambda a, b: a.join(b, list(KEYS)), (done[g] for g in ("contour", "hull", "caliper")))
-        return geometry.polygonality(done["neighbours"], shapes)
-    return geometry.geometry(pixels, [name], s.noval)
+        return geometry.polygonality(done["neighbours"], done["contour"])
+    raise ValueError(f"no such family: {name}")
 
 
 def _columns(name: str, frame: DataFrame, wanted: set[str]) -> list[str]:
@@ -100,12 +148,25 @@ def featurize(pixels: DataFrame, features: str | Iterable[str] = "*ALL*", settin
     ship(pixels.sparkSession)
     names = resolve(features, s.ibsi)
     kept = resampled(pixels, s.anisotropy).where("label <> 0 and inten is not null")
+    if s.merge_labels:
+        kept = kept.withColumn("label", F.lit(1).cast("long"))
     kept = kept.select(*KEYS, "x", "y", "z", "inten")
     done: dict[str, DataFrame] = {}
-    for name in ordered_families(names):
-        done[name] = family_frame(kept, name, s, done)
+    order = ordered_families(names)
+    groups = [n for n in order if n in geometry.GROUPS]
+    if groups:
+        # all of geometry in one grouped pass
+        whole = geometry.geometry(kept, groups, s.noval, s.geometry)
+        done |= dict.fromkeys(groups, whole)
+    for name in order:
+        if name not in done:
+            done[name] = family_frame(kept, name, s, done)
     wanted = set(names)
-    parts = [f.select(*KEYS, *[F.col(f"`{c}`") for c in _columns(n, f, wanted)]) for n, f in done.items() if any(PROVIDER[x] == n for x in names)]
+    shown = [n for n in done if n not in groups and any(PROVIDER[x] == n for x in names)]
+    parts = [done[n].select(*KEYS, *[F.col(f"`{c}`") for c in _columns(n, done[n], wanted)]) for n in shown]
+    own = [c for g in groups for c in _columns(g, done[g], wanted)]
+    if own:
+        parts.append(done[groups[0]].select(*KEYS, *[F.col(f"`{c}`") for c in own]))
     base = kept.select(*KEYS).distinct()
     return output.without_nan(reduce(lambda a, b: a.join(b, list(KEYS), "left"), parts, base), s.noval)
 
@@ -119,18 +180,12 @@ def resampled(pixels: DataFrame, anisotropy: tuple[float, float, float]) -> Data
     return pixels
 
 
-def quantised(raw: DataFrame, mode: str = "integer", low: float | None = None, high: float | None = None, dynamic_range: int = 10_000, by: Sequence[str] = ("slide_id",)) -> DataFrame:
-    """Raw intensities (inten double) as integers: "integer" casts, "float" stretches [low, high] (by default the slide's) to the dynamic range, "hounsfield" counts from the floor of the slide's minimum."""
-    if mode == "integer":
-        return raw.withColumn("inten", F.col("inten").cast("long"))
-    extremes = raw.groupBy(*by).agg(F.min("inten").alias("lo_"), F.max("inten").alias("hi_"))
-    both = raw.join(extremes, list(by))
-    if mode == "hounsfield":
-        return both.withColumn("inten", F.round(F.greatest(F.col("inten") - F.floor("lo_"), F.lit(0.0))).cast("long")).drop("lo_", "hi_")
-    lo = F.lit(low) if low is not None else F.col("lo_")
-    hi = F.lit(high) if high is not None else F.col("hi_")
-    share = F.coalesce(F.try_divide(F.least(F.greatest(F.col("inten"), lo), hi) - lo, hi - lo), F.lit(0.0))
-    return both.withColumn("inten", F.floor(share * dynamic_range).cast("long")).drop("lo_", "hi_")
+def _aniso(settings: dict) -> dict:
+    """Settings in which anisotropy_x, _y, _z stand for one anisotropy."""
+    rest = {k: v for k, v in settings.items() if k not in ("anisotropy_x", "anisotropy_y", "anisotropy_z")}
+    if len(rest) < len(settings):
+        rest["anisotropy"] = tuple(float(settings.get(f"anisotropy_{c}", 1.0)) for c in "xyz")
+    return rest
 
 
 class SlideFeatures:
@@ -140,7 +195,7 @@ class SlideFeatures:
 
     def __init__(self, features: str | Iterable[str] = "*ALL*", spark: SparkSession | None = None, **settings) -> None:
         self.spark = spark or SparkSession.getActiveSession()
-        self.features, self.settings, self.blacklist = features, Settings(**settings), ""
+        self.features, self.settings, self.blacklist = features, Settings(**_aniso(settings)), ""
         resolve(features, self.settings.ibsi)
 
     def featurize(self, intensities, labels, intensity_names: Sequence[str] | None = None, mask_names: Sequence[str] | None = None) -> DataFrame:
@@ -149,20 +204,54 @@ class SlideFeatures:
 
         return self.featurize_pixels(montage(self.spark, intensities, labels, intensity_names, self.three_d))
 
-    def featurize_directory(self, intensity_dir: str, label_dir: str | None = None, file_pattern: str = ".*") -> DataFrame:
-        """Images of a folder and masks of the same names; without masks each image is one region."""
+    def _quantised(self, raw: DataFrame) -> DataFrame:
+        from roiforge.sources.images import quantised
+
+        s = self.settings
+        return quantised(raw, s.intensity_mode, s.min_intensity, s.max_intensity, s.dynamic_range)
+
+    def _with_names(self, pixels: DataFrame, header: bool) -> DataFrame:
+        """Features of images' pixels; with header the leading columns intensity_image, mask_image, annotations, ROI_label and t_index."""
+        found = self.featurize_pixels(self._quantised(pixels).drop("mask_image"))
+        if not header:
+            return found
+        slides = pixels.select("slide_id", "mask_image").distinct().select("slide_id", F.element_at(F.split("slide_id", "/"), -1).alias("intensity_image"), F.element_at(F.split("mask_image", "/"), -1).alias("mask_image"))
+        return output.with_header_columns(found, slides.withColumn("annots", spatial.annotations_of("mask_image")))
+
+    def featurize_directory(self, intensity_dir: str, label_dir: str | None = None, file_pattern: str = ".*", header: bool = False) -> DataFrame:
+        """Images of a folder and masks of the same names; without masks each image is one region.
+
+        A pattern with {set d+} names the files of z-stacks: {d+} stands for digits, {c+} for letters, and {set d+} for the z index.
+        """
         from roiforge.sources.images import image_pixels
 
-        return self.featurize_pixels(image_pixels(self.spark, intensity_dir, label_dir, file_pattern))
+        return self._with_names(image_pixels(self.spark, intensity_dir, label_dir, file_pattern, self.three_d), header)
 
-    def featurize_files(self, intensity_files: Sequence[str], mask_files: Sequence[str], single_roi: bool = False) -> DataFrame:
-        """Files of images and masks, one to one."""
+    def featurize_files(self, intensity_files: Sequence[str], mask_files: Sequence[str] = (), single_roi: bool = False, header: bool = False) -> DataFrame:
+        """Files of images and masks, one to one; with single_roi masks are ignored. Volumes: one image may have several masks."""
         from roiforge.sources.images import paired_pixels
 
-        if len(intensity_files) != len(mask_files):
+        images, masks = list(intensity_files), list(mask_files)
+        if single_roi:
+            masks = images
+        elif self.three_d and len(images) == 1:
+            images = images * len(masks)
+        if len(images) != len(masks):
             raise ValueError("as many masks as images are needed")
-        pairs = self.spark.createDataFrame(list(zip(intensity_files, mask_files, strict=True)), "intensity_image string, mask_image string")
-        return self.featurize_pixels(paired_pixels(self.spark, pairs, single_roi))
+        pairs = self.spark.createDataFrame(list(zip(images, masks, strict=True)), "intensity_image string, mask_image string")
+        return self._with_names(paired_pixels(self.spark, pairs, single_roi), header)
+
+    def featurize_mapping(self, lines: DataFrame, intensity_dir: str, label_dir: str, header: bool = False) -> DataFrame:
+        """Pairs from a mapping file's lines (value): names of an image and its mask."""
+        from roiforge.sources.images import paired_pixels
+
+        return self._with_names(paired_pixels(self.spark, spatial.pair_by_file(lines, intensity_dir, label_dir)), header)
+
+    def featurize_zarr(self, store: str, label_store: str | None = None, array: str = "0", channel: int = 0) -> DataFrame:
+        """An OME-Zarr image, and one of labels; without labels the image is one region."""
+        from roiforge.sources.images import zarr_image_pixels
+
+        return self.featurize_pixels(self._quantised(zarr_image_pixels(self.spark, store, label_store, array, channel)))
 
     def featurize_pixels(self, pixels: DataFrame) -> DataFrame:
         return featurize(spatial.without_blacklisted(pixels, self.blacklist), self.features, self.settings)
@@ -174,19 +263,46 @@ class SlideFeatures:
     def clear_roi_blacklist(self) -> None:
         self.blacklist = ""
 
+    def roi_blacklist_summary(self) -> str | None:
+        everywhere, by_file = spatial.parse_blacklist(self.blacklist)
+        parts = [f"global: {', '.join(map(str, sorted(everywhere)))}"] if everywhere else []
+        return "\n".join([*parts, *(f"{f}: {', '.join(map(str, sorted(x)))}" for f, x in sorted(by_file.items()))]) or None
+
     def set_params(self, **settings) -> None:
-        self.settings = replace(self.settings, **settings)
+        if "features" in settings:
+            features = settings.pop("features")
+            resolve(features, self.settings.ibsi)
+            self.features = features
+        self.settings = replace(self.settings, **_aniso(settings))
+
+    def set_gabor_feature_params(self, **params) -> None:
+        """kersize, gamma, sig2lam, f0, thold, thetas and freqs of the Gabor features."""
+        unknown = set(params) - {"kersize", "gamma", "sig2lam", "f0", "thold", "thetas", "freqs"}
+        if unknown or not params:
+            raise ValueError(f"no such Gabor parameter: {', '.join(sorted(unknown)) or 'none given'}")
+        self.set_params(**{f"gabor_{k}": tuple(v) if k in ("thetas", "freqs") else v for k, v in params.items()})
 
     def get_params(self, *names: str) -> dict:
         known = {f.name: getattr(self.settings, f.name) for f in fields(self.settings)}
         return {n: known[n] for n in names} if names else known
 
     def set_metaparam(self, text: str) -> None:
-        """family/parameter=value, as in glcm/offset=2."""
+        """family/parameter=value, as in glcm/offset=2 or 3gldm/greydepth=32."""
         name, _, value = text.partition("=")
-        self.set_params(**{_METAPARAMETERS[name.strip().lower()]: int(value)})
+        family, _, parameter = name.strip().lower().partition("/")
+        if parameter == "greydepth" and family in _DEPTH_FAMILIES:
+            self.set_params(depths=tuple(sorted((dict(self.settings.depths) | {family: int(value)}).items())))
+        elif name.strip().lower() in _METAPARAMETERS:
+            self.set_params(**{_METAPARAMETERS[name.strip().lower()]: int(value)})
+        else:
+            raise ValueError(f"no such parameter: {name}")
 
     def get_metaparam(self, name: str) -> int:
+        family, _, parameter = name.strip().lower().partition("/")
+        if parameter == "greydepth" and family in _DEPTH_FAMILIES:
+            return self.settings.depth_of(family)
+        if name.strip().lower() not in _METAPARAMETERS:
+            raise ValueError(f"no such parameter: {name}")
         return getattr(self.settings, _METAPARAMETERS[name.strip().lower()])
 
 
@@ -207,13 +323,30 @@ class ImageQuality(SlideFeatures):
 
 
 class NestedRois:
-    """Regions within regions: relations by containment, and children's features joined to their parents."""
+    """Regions within regions: relations by containment, and children's features joined to their parents.
+
+    how: SUM, MEAN, MIN, MAX, WMA, NONE, a function from a column to an aggregate, or a dict from feature to one of these.
+    """
 
-    def __init__(self, how: str | dict[str, str] = "SUM", least_children: int = 0) -> None:
+    def __init__(self, how: str | Callable | dict[str, str | Callable] = "SUM", least_children: int = 0) -> None:
         self.how, self.least_children = how, least_children
 
     def find_relations(self, parents: DataFrame, children: DataFrame) -> DataFrame:
         return parents.sparkSession.sql(spatial.containment_sql(), parents=parents, children=children)
 
+    def find_file_relations(self, spark: SparkSession, folder: str, channel_signature: str, parent_channel: int, child_channel: int) -> DataFrame:
+        """Relations of masks in a folder whose names differ in their channel number only, as in p0_c1.tif and p0_c0.tif with signature _c."""
+        from roiforge.sources.images import files, paired_pixels
+
+        paths = [r[0] for r in files(spark, folder).select("path").collect()]
+        pairs = spatial.pair_by_channel(paths, channel_signature, parent_channel, child_channel)
+
+        def masks(k: int) -> DataFrame:
+            listed = spark.createDataFrame([(p[k + 1], p[k + 1]) for p in pairs], "intensity_image string, mask_image string")
+            names = F.broadcast(spark.createDataFrame([(p[k + 1], p[0]) for p in pairs], "path string, stem string").select(F.regexp_replace("path", "^file:/+", "/").alias("slide_id"), "stem"))
+            return paired_pixels(spark, listed).join(names, "slide_id").drop("slide_id").withColumnRenamed("stem", "slide_id")
+
+        return self.find_relations(masks(0), masks(1))
+
     def featurize(self, relations: DataFrame, parents: DataFrame, children: DataFrame, features: Sequence[str]) -> DataFrame:
         return spatial.aggregate_children(relations, parents, children, self.how, features, self.least_children)

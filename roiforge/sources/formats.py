@@ -1,6 +1,7 @@
 """Decoders of image files' bytes to numpy arrays (t, z, y, x): TIFF, NIfTI-1, DICOM and OME-Zarr chunks.
 
-Pure numpy and zlib: uncompressed and deflated TIFF in strips or tiles, uncompressed little-endian DICOM, raw, zlib and gzip Zarr v2.
+Pure numpy and zlib: classic and big TIFF in strips or tiles, uncompressed, deflated, LZW or PackBits; uncompressed little-endian DICOM, nested
+sequences skipped; raw, zlib and gzip Zarr v2.
 """
 
 from __future__ import annotations
@@ -22,37 +23,85 @@ _LONG_VR = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN")
 def tiff(data: bytes) -> np.ndarray:
     """All pages of the first page's shape, as slices."""
     order = "<" if data[:2] == b"II" else ">"
-    if struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a classic TIFF file")
-    at, pages = struct.unpack(order + "I", data[4:8])[0], []
+    magic = struct.unpack(order + "H", data[2:4])[0]
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF file")
+    # classic files count and point with 4 bytes, big ones with 8
+    big = magic == 43
+    word, wide, head, entry = ("Q", 8, "Q", 20) if big else ("I", 4, "H", 12)
+    at, pages = struct.unpack(order + word, data[8:16] if big else data[4:8])[0], []
     while at:
-        n = struct.unpack(order + "H", data[at : at + 2])[0]
+        n = struct.unpack_from(order + head, data, at)[0]
+        first = at + struct.calcsize(head)
         tags = {}
         for k in range(n):
-            tag, kind, count, raw = struct.unpack(order + "HHI4s", data[at + 2 + 12 * k : at + 14 + 12 * k])
+            tag, kind, count = struct.unpack_from(order + "HH" + word, data, first + entry * k)
+            raw = data[first + entry * (k + 1) - wide : first + entry * (k + 1)]
             code, size = _TIFF_TYPES.get(kind, ("B", 1))
-            if size * count > 4:
-                start = struct.unpack(order + "I", raw)[0]
+            if size * count > wide:
+                start = struct.unpack(order + word, raw)[0]
                 raw = data[start : start + size * count]
             tags[tag] = struct.unpack(order + code * count, raw[: size * count])
-        at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+        at = struct.unpack_from(order + word, data, first + entry * n)[0]
         pages.append(_tiff_page(data, tags, order))
     return np.stack([p for p in pages if p.shape == pages[0].shape])[None]
 
 
+def unpacked_bits(data: bytes) -> bytes:
+    """PackBits: a byte n below 128 is followed by n + 1 literal bytes, one above by a byte that stands 257 - n times."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpacked_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, high bits first, widened one code early; 256 clears the table, 257 ends."""
+    out: list[bytes] = []
+    table: list[bytes] = []
+    width, bits, held, last = 9, 0, 0, b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes((k,)) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + word[:1])
+        out.append(word)
+        last = word
+        width = min(12, max(9, (len(table) + 1).bit_length())) if len(table) + 1 >= 1 << width else width
+    return b"".join(out)
+
+
+#: By the compression tag.
+_UNPACK = {1: bytes, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}
+
+
 def _tiff_page(data: bytes, tags: dict, order: str) -> np.ndarray:
     w, h, bits = tags[_WIDTH][0], tags[_LENGTH][0], tags.get(_BITS, (8,))[0]
     dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[tags.get(_FORMAT, (1,))[0]] + str(bits // 8))
     how = tags.get(_COMPRESSION, (1,))[0]
-    if how not in (1, 8, 32946):
+    if how not in _UNPACK:
         raise ValueError(f"TIFF compression {how} is not supported")
     tiled = _TILES in tags
     bw, bh = (tags[_TILE_W][0], tags[_TILE_H][0]) if tiled else (w, tags.get(_ROWS, (h,))[0])
     places, sizes = (tags[_TILES], tags[_TILE_COUNTS]) if tiled else (tags[_STRIPS], tags[_COUNTS])
     image, across = np.zeros((h, w), dtype=dtype.newbyteorder("=")), -(-w // bw)
     for k, (start, size) in enumerate(zip(places, sizes, strict=True)):
-        block = data[start : start + size]
-        block = zlib.decompress(block) if how != 1 else block
+        block = _UNPACK[how](data[start : start + size])
         y, x = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, h - y)
         cells = np.frombuffer(block, dtype=dtype, count=rows * bw).reshape(rows, bw)
@@ -75,6 +124,26 @@ def nifti(data: bytes) -> np.ndarray:
     return values * slope + intercept if slope and (slope, intercept) != (1, 0) else values
 
 
+def _after_items(data: bytes, at: int, explicit: bool) -> int:
+    """Where a sequence of undefined length ends: behind its items, whose own elements may hold further sequences."""
+    while at + 8 <= len(data):
+        tag, size = struct.unpack_from("<HHI", data, at)[:2], struct.unpack_from("<I", data, at + 4)[0]
+        at += 8
+        if tag == (0xFFFE, 0xE0DD):
+            return at
+        if tag == (0xFFFE, 0xE000) and size != 0xFFFFFFFF:
+            at += size
+            continue
+        while at + 8 <= len(data) and struct.unpack_from("<HH", data, at) != (0xFFFE, 0xE00D):
+            kind = data[at + 4 : at + 6]
+            long = not explicit or kind in _LONG_VR
+            size = struct.unpack_from("<I", data, at + (8 if explicit else 4))[0] if long else struct.unpack_from("<H", data, at + 6)[0]
+            at += 12 if explicit and long else 8
+            at = _after_items(data, at, explicit) if size == 0xFFFFFFFF else at + size
+        at += 8
+    return at
+
+
 def dicom(data: bytes) -> np.ndarray:
     """An uncompressed little-endian image, rescaled by its slope and intercept."""
     at = 132 if data[128:132] == b"DICM" else 0
@@ -90,7 +159,10 @@ def dicom(data: bytes) -> np.ndarray:
             size = struct.unpack("<I", data[at + 4 : at + 8])[0]
             at += 8
         if size == 0xFFFFFFFF:
-            raise ValueError("compressed or nested DICOM data is not supported")
+            if tag == (0x7FE0, 0x10):
+                raise ValueError("compressed DICOM data is not supported")
+            at = _after_items(data, at, explicit)
+            continue
         found[tag] = data[at : at + size]
         if tag == (2, 0x10):
             syntax = found[tag].rstrip(b"\0 ").decode()

@@ -1,23 +1,27 @@
 """Image files as tables of pixels: folders, pairs, z-stacks and Zarr stores, read through Spark's own file sources.
 
-Files are read as bytes by Spark, so any of its file systems serves, and decoded where they are read. Intensities stay raw (double) in
-`value`; quantised() turns them into `inten`.
+Files are read as bytes by Spark, so any of its file systems serves, and decoded where they are read: a file is one row and one task's work, up to 2 GB.
+Intensities stay raw (double) in `value`, beside whether the file holds real numbers, and its extremes; quantised() turns them into `inten`.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roiforge.operators.spatial import pair_by_name, stack_key
+from roiforge.operators.spatial import pair_by_name, stack_key, stack_pattern
 from roiforge.session import ship
 from roiforge.sources.formats import decode, zarr_chunk
 
-_PIXELS = "path string, t long, x long, y long, z long, value double"
+_PIXELS = "path string, t long, x long, y long, z long, value double, real boolean, lo double, hi double, extent string"
+_NAMES = [f.split()[0] for f in _PIXELS.split(", ")]
+#: What quantised() reads beside value.
+_RAW = ("value", "real", "lo", "hi")
 
 
 def files(spark: SparkSession, folder: str, pattern: str = ".*") -> DataFrame:
@@ -26,61 +30,130 @@ def files(spark: SparkSession, folder: str, pattern: str = ".*") -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length").where(name.rlike(f"^(?:{pattern})$") & ~name.startswith("."))
 
 
+def _batch(path: str, t: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, value: np.ndarray, real: bool, lo: float, hi: float, extent: str) -> pa.RecordBatch:
+    n = len(value)
+    same = lambda v, kind: pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, dtype=np.int32)), pa.array([v], kind)).dictionary_decode()
+    return pa.RecordBatch.from_arrays([same(path, pa.string()), *(pa.array(v.astype(np.int64)) for v in (t, x, y, z)), pa.array(value.astype(float)), same(real, pa.bool_()), same(lo, pa.float64()), same(hi, pa.float64()), same(extent, pa.string())], names=_NAMES)
+
+
 def decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every pixel of the given files: path, t, x, y, z, value. A file is one task's work, one plane at a time."""
+    """Every pixel of the given files: path, t, x, y, z, value, real, lo, hi, extent. A file is one task's work, some rows of a plane at a time."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 image = decode(path, data)
-                for t in range(image.shape[0]):
-                    for z in range(image.shape[1]):
-                        plane = np.asarray(image[t, z], dtype=float)
-                        y, x = np.indices(plane.shape, dtype=np.int64)
-                        n = plane.size
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.full(n, t)), pa.array(x.ravel()), pa.array(y.ravel()), pa.array(np.full(n, z)), pa.array(plane.ravel())], names=[f.split()[0] for f in _PIXELS.split(", ")])
+                told = (image.dtype.kind == "f", float(image.min()) if image.size else 0.0, float(image.max()) if image.size else 0.0, "x".join(map(str, image.shape)))
+                step = max(1, 500_000 // max(1, image.shape[3]))
+                for t, z, first in ((t, z, r) for t in range(image.shape[0]) for z in range(image.shape[1]) for r in range(0, image.shape[2], step)):
+                    part = image[t, z, first : first + step]
+                    y, x = np.indices(part.shape, dtype=np.int64)
+                    yield _batch(path, np.full(part.size, t), x.ravel(), y.ravel() + first, np.full(part.size, z), part.ravel(), *told)
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, _PIXELS)
 
 
+def quantised(raw: DataFrame, mode: str = "auto", low: float | None = None, high: float | None = None, dynamic_range: int = 10_000) -> DataFrame:
+    """Raw values (value, real, lo, hi: the image's extremes) as whole intensities inten.
+
+    integer: whole parts, negative ones as 0. float: [low, high] (by default the image's extremes) stretched to the dynamic range, values beyond
+    clamped. hounsfield: counted from the floor of the image's minimum, so that a level is a unit. auto: float for images of real numbers,
+    integer for others.
+    """
+    if mode not in ("auto", "integer", "float", "hounsfield"):
+        raise ValueError(f"no such intensity mode: {mode}")
+    value = F.col("value")
+    whole = F.greatest(value, F.lit(0.0)).cast("long")
+    lo, hi = F.col("lo") if low is None else F.lit(float(low)), F.col("hi") if high is None else F.lit(float(high))
+    share = F.coalesce(F.try_divide(F.least(F.greatest(value, lo), hi) - lo, hi - lo), F.lit(0.0))
+    stretched = F.floor(share * dynamic_range).cast("long")
+    offset = F.round(F.greatest(value - F.floor("lo"), F.lit(0.0))).cast("long")
+    inten = {"integer": whole, "float": stretched, "hounsfield": offset, "auto": F.when(F.col("real"), stretched).otherwise(whole)}[mode]
+    return raw.withColumn("inten", inten).drop(*_RAW)
+
+
+def _plain(path: str) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def paired_pixels(spark: SparkSession, pairs: DataFrame, single_roi: bool = False) -> DataFrame:
-    """Pixels of pairs (intensity_image, mask_image): slide_id is the image's path, label the mask's value (1 throughout with single_roi).
+    """Raw pixels of pairs (intensity_image, mask_image): slide_id is the image's path, label the mask's value (1 throughout with single_roi).
 
-    Pairs whose images differ in size are an error. The pairs' list, file names, is held by the driver.
+    An image that has several masks makes a slide of each, named by the mask. Masks of another size are an error when they are read. The pairs'
+    list, file names, is held by the driver.
     """
-    listed = pairs.select("intensity_image", "mask_image").collect()
-    plain = lambda p: F.regexp_replace(p, "^file:/+", "/")
-    values = decoded(spark, [r[0] for r in listed]).withColumn("key", plain(F.col("path")))
-    if single_roi:
-        labelled = values.withColumn("label", F.lit(1).cast("long"))
-    else:
-        masks = decoded(spark, sorted({r[1] for r in listed})).withColumn("mask_key", plain(F.col("path"))).select("mask_key", "t", "x", "y", "z", F.col("value").cast("long").alias("label"))
-        by = spark.createDataFrame([(r[0], r[1]) for r in listed], "intensity_image string, mask_image string").select(plain(F.col("intensity_image")).alias("key"), plain(F.col("mask_image")).alias("mask_key"))
-        size = lambda df, k: df.groupBy(k).agg(F.max(F.struct("t", "z", "y", "x")).alias("size"))
-        sizes = by.join(size(values, "key"), "key").join(size(masks, "mask_key").withColumnRenamed("size", "mask_size"), "mask_key")
-        differ = [r[0] for r in sizes.where("size <> mask_size").limit(3).collect()]
-        if differ:
-            raise ValueError(f"masks differ in size from {', '.join(differ)}")
-        labelled = values.join(by, "key").join(masks, ["mask_key", "t", "x", "y", "z"])
-    return labelled.where("label <> 0").select(F.col("key").alias("slide_id"), "t", "label", "x", "y", "z", F.col("value").cast("long").alias("inten"), "value")
-
-
-def image_pixels(spark: SparkSession, intensity_dir: str, label_dir: str | None = None, pattern: str = ".*") -> DataFrame:
-    """Pixels of a folder's images, with the masks of the same names in another folder; without one, whole images."""
+    listed = [(r[0], r[1]) for r in pairs.select("intensity_image", "mask_image").collect()]
+    often = {a for a, _ in listed if sum(a == other for other, _ in listed) > 1}
+    told = spark.createDataFrame([(a, b, b if a in often else a) for a, b in listed], "key string, mask_key string, slide_id string")
+    by = F.broadcast(told.select(*(_plain(c).alias(c) for c in told.columns)))
+    values = decoded(spark, sorted({a for a, _ in listed})).withColumn("key", _plain("path")).drop("path").join(by, "key")
+    return _labelled(values, None if single_roi else decoded(spark, sorted({b for _, b in listed})).withColumn("mask_key", _plain("path")))
+
+
+def _labelled(values: DataFrame, masks: DataFrame | None) -> DataFrame:
+    """Values with the labels of their masks (matched by mask_key and place), background left out."""
+    shown = ("slide_id", F.col("mask_key").alias("mask_image"), "t", "label", "x", "y", "z", *_RAW)
+    if masks is None:
+        return values.withColumn("label", F.lit(1).cast("long")).select(*shown)
+    held = masks.select("mask_key", "t", "x", "y", "z", F.col("value").cast("long").alias("found"), F.col("extent").alias("mask_extent"))
+    differ = F.raise_error(F.concat(F.lit("masks differ in size from "), F.col("slide_id"))).cast("long")
+    both = values.join(held, ["mask_key", "t", "x", "y", "z"]).withColumn("label", F.when(F.col("extent") == F.col("mask_extent"), F.col("found")).otherwise(differ))
+    return both.where("label <> 0").select(*shown)
+
+
+def image_pixels(spark: SparkSession, intensity_dir: str, label_dir: str | None = None, pattern: str = ".*", volumes: bool = False) -> DataFrame:
+    """Raw pixels of a folder's images, with the masks of the same names in another folder; without one, whole images.
+
+    A pattern with {set d+} names z-stacks, see stacked_pixels(). With volumes a single image goes with all masks.
+    """
+    if stack_pattern(pattern):
+        return stacked_pixels(spark, intensity_dir, label_dir, pattern)
     images = files(spark, intensity_dir, pattern)
     if label_dir is None:
         return paired_pixels(spark, images.select(F.col("path").alias("intensity_image"), F.col("path").alias("mask_image")), single_roi=True)
-    return paired_pixels(spark, pair_by_name(images, files(spark, label_dir, pattern), pattern))
-
-
-def stacked_pixels(spark: SparkSession, folder: str, pattern: str = ".*") -> DataFrame:
-    """Planes of z-stacks (files named ..._z<digits>...) as volumes: slide_id is the name without its index, z the index."""
-    paths = [r[0] for r in files(spark, folder, pattern).select("path").collect()]
-    keys = [(p, *k) for p in paths if (k := stack_key(p.rsplit("/", 1)[-1]))]
-    names = spark.createDataFrame(keys, "path string, slide_id string, plane long")
-    planes = decoded(spark, [k[0] for k in keys])
-    return planes.join(F.broadcast(names), "path").select("slide_id", "t", F.lit(1).cast("long").alias("label"), "x", "y", F.col("plane").alias("z"), F.col("value").cast("long").alias("inten"), "value")
+    masks = files(spark, label_dir, pattern)
+    if volumes and len(images.select("path").take(2)) == 1:
+        return paired_pixels(spark, images.select(F.col("path").alias("intensity_image")).crossJoin(F.broadcast(masks.select(F.col("path").alias("mask_image")))))
+    return paired_pixels(spark, pair_by_name(images, masks, pattern))
+
+
+def _planes(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, dict[str, list[int]]]:
+    """Planes of z-stacks with stack (name with * for its index) and z, and each stack's indices. Names that don't match are an error."""
+    named = stack_pattern(pattern)
+    found: dict[str, list[int]] = {}
+    keys = []
+    for (path,) in files(spark, folder).select("path").collect():
+        name = path.rsplit("/", 1)[-1]
+        if named:
+            m = named.fullmatch(name)
+            key = (name[: m.start("z")] + "*" + name[m.end("z") :], int(m["z"])) if m else None
+        else:
+            key = stack_key(name) if re.fullmatch(pattern, name) else None
+        if not key and named:
+            raise ValueError(f"{name} doesn't match the pattern {pattern}")
+        if key:
+            keys.append((path, *key))
+            found.setdefault(key[0], []).append(key[1])
+    names = F.broadcast(spark.createDataFrame(keys, "path string, stack string, plane long"))
+    return decoded(spark, [k[0] for k in keys]).join(names, "path").drop("z", "path").withColumnRenamed("plane", "z"), {k: sorted(v) for k, v in found.items()}
+
+
+def stacked_pixels(spark: SparkSession, folder: str, label_dir: str | None = None, pattern: str = ".*") -> DataFrame:
+    """Raw voxels of z-stacks, one file a plane: slide_id is the name with * for its index, z the index.
+
+    The pattern says where the index stands ({set d+}); without that, names are ..._z<digits>.... Stacks and masks must agree in names and indices.
+    """
+    planes, indices = _planes(spark, folder, pattern)
+    # extremes are those of the whole stack
+    ends = planes.groupBy("stack").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    values = planes.drop("lo", "hi").join(ends, "stack").withColumn("slide_id", F.col("stack")).withColumn("mask_key", F.col("stack"))
+    if label_dir is None:
+        return _labelled(values, None)
+    masks, theirs = _planes(spark, label_dir, pattern)
+    if theirs != indices:
+        raise ValueError(f"stacks and masks differ: {sorted(set(map(str, indices.items())) ^ set(map(str, theirs.items())))[:3]}")
+    return _labelled(values, masks.withColumn("mask_key", F.col("stack")))
 
 
 def _small_text(spark: SparkSession, path: str) -> str:
@@ -94,8 +167,8 @@ def _small_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def zarr_pixels(spark: SparkSession, store: str, array: str = "0") -> DataFrame:
-    """Pixels of an OME-Zarr v2 image (t, c, z, y, x), first channel: each chunk file is decoded where it is read."""
+def zarr_pixels(spark: SparkSession, store: str, array: str = "0", channel: int = 0) -> DataFrame:
+    """Pixels of a channel of an OME-Zarr v2 image (t, c, z, y, x): each chunk file is decoded where it is read; lo and hi are the chunk's."""
     ship(spark)
     meta = _small_text(spark, f"{store}/{array}/.zarray")
 
@@ -112,13 +185,30 @@ def zarr_pixels(spark: SparkSession, store: str, array: str = "0") -> DataFrame:
                 begin = [i * c for i, c in zip(index, m["chunks"], strict=True)]
                 keep = tuple(slice(0, min(c, s - f)) for c, s, f in zip(m["chunks"], m["shape"], begin, strict=True))
                 cells = chunk[keep]
-                if begin[1]:
+                if not begin[1] <= channel < begin[1] + cells.shape[1]:
                     continue
-                t, c, z, y, x = np.indices(cells.shape, dtype=np.int64)
-                first = (c == 0).ravel()
-                place = [(v.ravel() + o)[first] for v, o in zip((t, x, y, z), (begin[0], begin[4], begin[3], begin[2]), strict=True)]
-                n = int(first.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([store] * n), *map(pa.array, place), pa.array(cells.ravel()[first].astype(float))], names=[f.split()[0] for f in _PIXELS.split(", ")])
+                plane = cells[:, channel - begin[1]]
+                t, z, y, x = (v.ravel() for v in np.indices(plane.shape, dtype=np.int64))
+                told = (plane.dtype.kind == "f", float(plane.min()), float(plane.max()), "x".join(str(m["shape"][k]) for k in (0, 2, 3, 4)))
+                yield _batch(store, t + begin[0], x + begin[4], y + begin[3], z + begin[2], plane.ravel(), *told)
 
     chunks = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{store}/{array}").where(~F.element_at(F.split("path", "/"), -1).startswith("."))
     return chunks.select("path", "content").mapInArrow(run, _PIXELS)
+
+
+def zarr_image_pixels(spark: SparkSession, store: str, label_store: str | None = None, array: str = "0", channel: int = 0) -> DataFrame:
+    """Raw pixels of an OME-Zarr image with the labels of another one, chunk by chunk; without labels it is one region."""
+    values = zarr_pixels(spark, store, array, channel).withColumn("slide_id", F.lit(store)).withColumn("mask_key", F.lit(label_store or store))
+    real = _zarr_dtype(spark, store, array).kind == "f"
+    if real:
+        # chunks' extremes make up the image's
+        ends = values.groupBy("slide_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        values = values.drop("lo", "hi").join(F.broadcast(ends), "slide_id")
+    masks = zarr_pixels(spark, label_store, array).withColumn("mask_key", F.lit(label_store)) if label_store else None
+    return _labelled(values, masks)
+
+
+def _zarr_dtype(spark: SparkSession, store: str, array: str) -> np.dtype:
+    import json
+
+    return np.dtype(json.loads(_small_text(spark, f"{store}/{array}/.zarray"))["dtype"])

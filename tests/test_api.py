@@ -5,11 +5,11 @@ import numpy as np
 import pytest
 
 from roiforge.operators import output
-from roiforge.plans.api import ImageQuality, NestedRois, SlideFeatures, VolumeFeatures, featurize, quantised, resampled
+from roiforge.plans.api import ImageQuality, NestedRois, SlideFeatures, VolumeFeatures, featurize, resampled
 from roiforge.plans.registry import FAMILIES, PROVIDER, USER, ordered_families, register_feature, resolve
 from roiforge.sources import formats
 from roiforge.sources.arrays import montage
-from roiforge.sources.images import files, image_pixels, stacked_pixels, zarr_pixels
+from roiforge.sources.images import files, image_pixels, quantised, stacked_pixels, zarr_pixels
 
 
 def small_tiff(image: np.ndarray, tiled: bool = False) -> bytes:
@@ -107,6 +107,14 @@ def test_featurize_and_classes(spark, tmp_path):
     assert engine.featurize(image, mask).count() == 2
     engine.set_metaparam("glcm/offset=2")
     assert engine.get_metaparam("glcm/offset") == 2 and engine.get_params("ibsi") == {"ibsi": False}
+    engine.set_metaparam("3gldm/greydepth=12")
+    assert engine.get_metaparam("3gldm/greydepth") == 12 and engine.get_metaparam("glcm/greydepth") == 8 and engine.get_metaparam("3ngtdm/radius") == 1
+    assert engine.roi_blacklist_summary() == "global: 1"
+    for wrong in ({"neighbor_distance": 0}, {"anisotropy_x": -1.0}, {"gabor_freqs": (1.0,)}):
+        with pytest.raises(ValueError):
+            engine.set_params(**wrong)
+    with pytest.raises(ValueError, match="no such"):
+        engine.set_metaparam("glcm/colour=1")
     assert ImageQuality("FOCUS_SCORE,MAX_SATURATION", spark).featurize(image, np.ones_like(image)).count() == 2
     assert VolumeFeatures("3MEAN,3AREA", spark).featurize(image, mask).count() == 2
     for name in ("f.csv", "f.parquet", "f.arrow"):
@@ -134,9 +142,13 @@ def test_user_family(spark):
 
 
 def test_quantising_and_resampling(spark):
-    raw = spark.createDataFrame([("s", -10.5), ("s", 0.0), ("s", 20.0)], "slide_id string, inten double")
-    assert [r[0] for r in quantised(raw, "hounsfield").orderBy("inten").select("inten").collect()] == [1, 11, 31]
-    assert [r[0] for r in quantised(raw, "float", dynamic_range=100).orderBy("inten").select("inten").collect()] == [0, 34, 100]
+    raw = spark.createDataFrame([(v, real, -10.5, 20.0) for real in (True, False) for v in (-10.5, 0.0, 20.0)], "value double, real boolean, lo double, hi double")
+    found = lambda *a, **k: [r[0] for r in quantised(raw, *a, **k).collect()]
+    assert found("hounsfield")[:3] == [1, 11, 31] and found("float", dynamic_range=100)[:3] == [0, 34, 100] and found("integer")[:3] == [0, 0, 20]
+    assert found("auto", dynamic_range=100) == [0, 34, 100, 0, 0, 20] and found("float", 0.0, 10.0, 10)[:3] == [0, 0, 10]
+    assert quantised(raw).columns == ["inten"]
+    with pytest.raises(ValueError, match="mode"):
+        quantised(raw, "percent")
     px = montage(spark, np.arange(1, 5).reshape(2, 2))
     assert resampled(px, (2.0, 1.0, 1.0)).count() == 8 and resampled(px, (0.5, 1.0, 1.0)).count() == 2
 
