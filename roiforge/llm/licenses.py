@@ -51,12 +51,12 @@ JUDGED = (
     ("Unlicense", "free and unencumbered software in the public domain"), ("ISC", "Permission to use, copy, modify and distribute this software for any purpose is hereby granted"), ("Proprietary", "Copyright 2020. All rights reserved."), ("Proprietary", "This document is proprietary and confidential"),
     (NONE, "The driver showed a licence that had expired"), (NONE, "All the people in the public square had rights"), (NONE, "The source of the river is in the mountains and it is free for all"), (NONE, "She has the general idea of the work and the use of it"), (NONE, "In the version of 1999 the second clause was removed by the court"),
     (NONE, "He asked for permission to use the car of the company"), (NONE, "the software was released in May by a small company"), (NONE, "A copy of the book is in the library, as it is by a well known author"), (NONE, "this is the file with the details"), (NONE, "Under the terms of the contract the goods are sent by ship"),
-    (NONE, "the distribution of the food was fair and without modification of the plan"), (NONE, "International law and the public domain of the sea"),
+    (NONE, "the distribution of the food was fair and without modification of the plan"), (NONE, "International law and the public domain of the sea"), (NONE, "Er kam mit dem Zug und mit viel Zeit"), (NONE, "Elle a vu sa copie et sa source"),
 )
-# fixed values: words that licences share with everything else; n-grams of such words alone don't count
+# fixed values: words that licences share with everything else, in any language; n-grams of such words alone don't count
 COMMON = (
     "a", "all", "and", "any", "are", "as", "at", "available", "be", "by", "can", "code", "copy", "distribute", "distributed", "domain", "extent", "file", "for", "form", "forms", "free", "from", "general", "had", "has", "have", "identifier", "in", "international", "into", "is", "it", "its", "later", "made", "materials",
-    "may", "not", "of", "on", "only", "or", "person", "program", "public", "published", "purpose", "related", "released", "software", "source", "strictly", "subject", "terms", "that", "the", "this", "to", "under", "universal", "use", "version", "was", "with", "without", "work", "you", "0", "1", "2", "3", "4",
+    "may", "mit", "not", "of", "on", "only", "or", "person", "program", "public", "published", "purpose", "related", "released", "sa", "software", "source", "strictly", "subject", "terms", "that", "the", "this", "to", "under", "universal", "use", "version", "was", "with", "without", "work", "you", "0", "1", "2", "3", "4",
 )
 FILLER_WORDS = ("this", "work", "the", "and", "project", "file", "code", "text", "dataset", "here", "see", "notice", "our", "all", "for", "details", "is", "version")
 #: N-grams kept in the model, and the share of words that confirms.
