@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from roiforge.llm.common import partitions, sliced, stored, text_or_empty, with_fields
 
 
+#: Digests (of 32 characters) that are broadcast at most.
+MOST_BROADCAST = 200_000
+
+
 def canonical(text: str | None) -> bytes:
     """NFKC, case folding, NFKC again (folding can undo it), runs of white space as one space; null counts as empty."""
     if not text:
@@ -72,6 +76,8 @@ def group_tables(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFra
     """
     counts = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies")), "digest-groups")
     several = counts.where("copies > 1").select("fingerprint")
+    # few digests go to the rows, so that only texts with copies move, pre-aggregated; many are joined by shuffle
+    several = F.broadcast(several) if several.count() <= MOST_BROADCAST else several
     rows = _with_bytes(docs)
     bytes_ = rows.drop("doc_id").join(several, "fingerprint").groupBy("fingerprint").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
     clashes = stored(bytes_.where("lo <> hi").select("fingerprint"), "digest-clashes")
