@@ -91,6 +91,24 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_tokens(spark, path))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.secrets import digests, find_secrets
+
+    return digests(find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.variants import spelling_groups, word_counts
+
+    return spelling_groups(word_counts(_table(spark, sf_dir, "documents"), least=3, shortest=5, typos=97), ratio=2)
+
+
+def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roiforge.llm.tries import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"), branching=6, block=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_embeddings": op2_embeddings,
@@ -102,11 +120,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_orc_tokens": op10_orc_tokens,
+    "op11_secrets": op11_secrets,
+    "op12_variants": op12_variants,
+    "op13_tries": op13_tries,
 }
 
 _REACH = """reach(n, m) AS (SELECT id, id FROM nodes UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.m = links.a),
 component AS (SELECT n AS id, min(m) AS component_id FROM reach GROUP BY n)"""
 
+def _crc32(hexadecimal: str) -> str:
+    """DuckDB SQL of the CRC-32 of bytes given as hexadecimal text: one step a bit."""
+    bits = f"list_transform(range(0, 4 * length({hexadecimal})), lambda i: CASE WHEN i % 8 = 0 THEN cast('0x' || substr({hexadecimal}, cast(i // 4 + 1 AS integer), 2) AS bigint) ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
 #: For DuckDB. The other operators rest on a tokenizer, hashes or trained models, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, cast(embedding AS double[]) AS e FROM embeddings),
@@ -127,4 +154,29 @@ m AS (SELECT *, CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assist
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   cast(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS bigint) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256, cast(sum(n) AS bigint) AS formatted_chars
 FROM m GROUP BY conv_id""",
+    "op12_variants": f"""WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS k, hex(encode(coalesce(cast(doc_id AS varchar), '') || ':' || w)) AS x FROM runs WHERE length(w) >= 5 GROUP BY doc_id, w),
+hashed AS (SELECT w, k, {_crc32("x")} AS h FROM counted),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, cast(h % length(w) AS integer)) || substr(w, cast(h % length(w) AS integer) + 2) ELSE w END AS w, k FROM hashed),
+v AS (SELECT w, cast(sum(k) AS bigint) AS n FROM typed WHERE length(w) >= 5 GROUP BY w HAVING sum(k) >= 3),
+cut AS (SELECT DISTINCT w, n, p, left(w, p) || substr(w, p + 2) AS rest FROM (SELECT w, n, cast(unnest(range(0, length(w))) AS integer) AS p FROM v) AS e),
+near AS (SELECT a.w AS a, b.w AS b, a.n AS an, b.n AS bn FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.w <> b.w UNION SELECT c.w, v.w, c.n, v.n FROM cut c JOIN v ON c.rest = v.w UNION SELECT v.w, c.w, v.n, c.n FROM cut c JOIN v ON c.rest = v.w),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS form, max(bn) AS form_n, max(an) AS n FROM near GROUP BY a),
+forms AS (SELECT a, form FROM best WHERE form_n >= 2 * n),
+chain(w, e) AS (SELECT w, w FROM v UNION SELECT chain.w, forms.form FROM chain JOIN forms ON chain.e = forms.a),
+roots AS (SELECT chain.w, chain.e AS root FROM chain LEFT JOIN forms ON chain.e = forms.a WHERE forms.a IS NULL)
+SELECT v.w AS word, forms.form, root, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN forms.a IS NOT NULL THEN form_n END AS form_n
+FROM v JOIN roots ON v.w = roots.w LEFT JOIN best ON v.w = best.a LEFT JOIN forms ON v.w = forms.a""",
+    "op13_tries": f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, count(*) AS m, hex(encode(cast(c AS varchar))) AS x FROM t GROUP BY c),
+told AS (SELECT ids.c, ids.c - ids.c % 100 AS base, {_crc32("ids.x")} % 6 AS h, coalesce(b.m, 0) AS bm FROM ids LEFT JOIN ids b ON b.c = ids.c - ids.c % 100),
+turns AS (SELECT told.c, t.k AS d, role, text FROM told JOIN t ON t.c = told.base WHERE t.k <= h UNION ALL SELECT told.c, least(h, bm) + t.k - h, role, text FROM told JOIN t ON t.c = told.c WHERE t.k > h),
+paths AS (SELECT c, d, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS p, length(text) AS size FROM turns UNION ALL SELECT c, 0, '', 0 FROM told),
+node AS (SELECT p, max(d) AS d, min(c) AS conv_id, count(*) AS n, max(size) AS size FROM paths GROUP BY p),
+kids AS (SELECT left(p, length(p) - 64) AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+own AS (SELECT node.p, d, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf, (n - 1) * size AS saved FROM node LEFT JOIN kids ON node.p = kids.p),
+below AS (SELECT left(p, 64 * e) AS p, sum(leaf) AS leaves, sum(saved) AS saved FROM (SELECT p, leaf, saved, unnest(range(0, d + 1)) AS e FROM own) AS q GROUP BY 1),
+ended AS (SELECT p, string_agg(cast(paths.c AS varchar), ',' ORDER BY paths.c) AS listed FROM paths JOIN (SELECT c, max(d) AS d FROM paths GROUP BY c) AS l ON paths.c = l.c AND paths.d = l.d GROUP BY p)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(k, 0) AS n_children, cast(leaves AS bigint) AS n_leaves, cast(below.saved AS bigint) AS saved_tokens, sha256(coalesce(listed, '')) AS ends_sha256
+FROM node JOIN below ON node.p = below.p LEFT JOIN kids ON node.p = kids.p LEFT JOIN ended ON node.p = ended.p LEFT JOIN node up ON node.d > 0 AND up.p = left(node.p, length(node.p) - 64)""",
 }
