@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
@@ -336,15 +337,14 @@ class NestedRois:
 
     def find_file_relations(self, spark: SparkSession, folder: str, channel_signature: str, parent_channel: int, child_channel: int) -> DataFrame:
         """Relations of masks in a folder whose names differ in their channel number only, as in p0_c1.tif and p0_c0.tif with signature _c."""
-        from roiforge.sources.images import files, paired_pixels
+        from roiforge.sources.images import files, stored_pixels
 
         paths = [r[0] for r in files(spark, folder).select("path").collect()]
         pairs = spatial.pair_by_channel(paths, channel_signature, parent_channel, child_channel)
 
         def masks(k: int) -> DataFrame:
-            listed = spark.createDataFrame([(p[k + 1], p[k + 1]) for p in pairs], "intensity_image string, mask_image string")
-            names = F.broadcast(spark.createDataFrame([(p[k + 1], p[0]) for p in pairs], "path string, stem string").select(F.regexp_replace("path", "^file:/+", "/").alias("slide_id"), "stem"))
-            return paired_pixels(spark, listed).join(names, "slide_id").drop("slide_id").withColumnRenamed("stem", "slide_id")
+            listed = [(p[0], re.sub("^file:/+", "/", p[k + 1])) for p in pairs]
+            return stored_pixels(spark.createDataFrame([(stem, f, f, f, 0) for stem, f in listed], "slide_id string, intensity_image string, mask_image string, mask_name string, shift long"))
 
         return self.find_relations(masks(0), masks(1))
 

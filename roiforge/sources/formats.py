@@ -10,6 +10,8 @@ import gzip
 import json
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -20,30 +22,39 @@ _NIFTI = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 7
 _LONG_VR = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN")
 
 
-def tiff(data: bytes) -> np.ndarray:
-    """All pages of the first page's shape, as slices."""
-    order = "<" if data[:2] == b"II" else ">"
-    magic = struct.unpack(order + "H", data[2:4])[0]
+#: Reads size bytes from a place in a file.
+Read = Callable[[int, int], bytes]
+
+
+def tiff_pages(read: Read) -> Iterator[tuple[dict, str]]:
+    """Each page's tags and byte order; reads headers and tags only."""
+    head = read(0, 16)
+    order = "<" if head[:2] == b"II" else ">"
+    magic = struct.unpack(order + "H", head[2:4])[0]
     if magic not in (42, 43):
         raise ValueError("not a TIFF file")
     # classic files count and point with 4 bytes, big ones with 8
-    big = magic == 43
-    word, wide, head, entry = ("Q", 8, "Q", 20) if big else ("I", 4, "H", 12)
-    at, pages = struct.unpack(order + word, data[8:16] if big else data[4:8])[0], []
+    word, wide, first, entry = ("Q", 8, "Q", 20) if magic == 43 else ("I", 4, "H", 12)
+    at = struct.unpack(order + word, head[8:16] if magic == 43 else head[4:8])[0]
     while at:
-        n = struct.unpack_from(order + head, data, at)[0]
-        first = at + struct.calcsize(head)
+        start = at + struct.calcsize(first)
+        n = struct.unpack(order + first, read(at, start - at))[0]
+        listed = read(start, entry * n + wide)
         tags = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HH" + word, data, first + entry * k)
-            raw = data[first + entry * (k + 1) - wide : first + entry * (k + 1)]
+            tag, kind, count = struct.unpack_from(order + "HH" + word, listed, entry * k)
+            raw = listed[entry * (k + 1) - wide : entry * (k + 1)]
             code, size = _TIFF_TYPES.get(kind, ("B", 1))
             if size * count > wide:
-                start = struct.unpack(order + word, raw)[0]
-                raw = data[start : start + size * count]
+                raw = read(struct.unpack(order + word, raw)[0], size * count)
             tags[tag] = struct.unpack(order + code * count, raw[: size * count])
-        at = struct.unpack_from(order + word, data, first + entry * n)[0]
-        pages.append(_tiff_page(data, tags, order))
+        at = struct.unpack(order + word, listed[entry * n :])[0]
+        yield tags, order
+
+
+def tiff(data: bytes) -> np.ndarray:
+    """All pages of the first page's shape, as slices."""
+    pages = [_tiff_page(data, TiffLayout.of(tags, order)) for tags, order in tiff_pages(lambda at, n: data[at : at + n])]
     return np.stack([p for p in pages if p.shape == pages[0].shape])[None]
 
 
@@ -90,38 +101,85 @@ def unpacked_lzw(data: bytes) -> bytes:
 _UNPACK = {1: bytes, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}
 
 
-def _tiff_page(data: bytes, tags: dict, order: str) -> np.ndarray:
-    w, h, bits = tags[_WIDTH][0], tags[_LENGTH][0], tags.get(_BITS, (8,))[0]
-    dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[tags.get(_FORMAT, (1,))[0]] + str(bits // 8))
-    how = tags.get(_COMPRESSION, (1,))[0]
-    if how not in _UNPACK:
-        raise ValueError(f"TIFF compression {how} is not supported")
-    tiled = _TILES in tags
-    bw, bh = (tags[_TILE_W][0], tags[_TILE_H][0]) if tiled else (w, tags.get(_ROWS, (h,))[0])
-    places, sizes = (tags[_TILES], tags[_TILE_COUNTS]) if tiled else (tags[_STRIPS], tags[_COUNTS])
-    image, across = np.zeros((h, w), dtype=dtype.newbyteorder("=")), -(-w // bw)
-    for k, (start, size) in enumerate(zip(places, sizes, strict=True)):
-        block = _UNPACK[how](data[start : start + size])
-        y, x = k // across * bh, k % across * bw
-        rows = bh if tiled else min(bh, h - y)
-        cells = np.frombuffer(block, dtype=dtype, count=rows * bw).reshape(rows, bw)
-        if tags.get(_PREDICTOR, (1,))[0] == 2:
-            cells = np.cumsum(cells, axis=1, dtype=dtype)
-        image[y : y + rows, x : x + bw] = cells[: h - y, : w - x]
+@dataclass(frozen=True)
+class TiffLayout:
+    """How a page's cells lie in the file: blocks are tiles, or strips as wide as the page."""
+
+    height: int
+    width: int
+    dtype: str
+    packing: int
+    predictor: int
+    block_height: int
+    block_width: int
+    tiled: bool
+    places: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+    @classmethod
+    def of(cls, tags: dict, order: str) -> TiffLayout:
+        w, h = tags[_WIDTH][0], tags[_LENGTH][0]
+        dtype = order + {1: "u", 2: "i", 3: "f"}[tags.get(_FORMAT, (1,))[0]] + str(tags.get(_BITS, (8,))[0] // 8)
+        tiled = _TILES in tags
+        bw, bh = (tags[_TILE_W][0], tags[_TILE_H][0]) if tiled else (w, min(h, tags.get(_ROWS, (h,))[0]))
+        places, sizes = (tags[_TILES], tags[_TILE_COUNTS]) if tiled else (tags[_STRIPS], tags[_COUNTS])
+        return cls(h, w, dtype, tags.get(_COMPRESSION, (1,))[0], tags.get(_PREDICTOR, (1,))[0], bh, bw, tiled, places, sizes)
+
+    def box(self, k: int) -> tuple[int, int, int, int]:
+        """y, x, height and width of a block's cells in the page."""
+        across = -(-self.width // self.block_width)
+        y, x = k // across * self.block_height, k % across * self.block_width
+        return y, x, min(self.block_height, self.height - y), min(self.block_width, self.width - x)
+
+
+def tiff_cells(data: bytes, dtype: str, packing: int, predictor: int, width: int, rows: int, across: int) -> np.ndarray:
+    """A block's rows, of which the first `across` cells of width lie in the page."""
+    if packing not in _UNPACK:
+        raise ValueError(f"TIFF compression {packing} is not supported")
+    cells = np.frombuffer(_UNPACK[packing](data), dtype=dtype, count=rows * width).reshape(rows, width)
+    if predictor == 2:
+        cells = np.cumsum(cells, axis=1, dtype=dtype)
+    return cells[:, :across]
+
+
+def _tiff_page(data: bytes, page: TiffLayout) -> np.ndarray:
+    image = np.zeros((page.height, page.width), dtype=np.dtype(page.dtype).newbyteorder("="))
+    for k, (start, size) in enumerate(zip(page.places, page.sizes, strict=True)):
+        y, x, rows, across = page.box(k)
+        image[y : y + rows, x : x + across] = tiff_cells(data[start : start + size], page.dtype, page.packing, page.predictor, page.block_width, rows, across)
     return image
 
 
+@dataclass(frozen=True)
+class NiftiLayout:
+    """A volume's header: (t, z, y, x), the kind of its numbers, where they begin, slope and intercept."""
+
+    shape: tuple[int, int, int, int]
+    dtype: str
+    start: int
+    slope: float
+    intercept: float
+
+    @classmethod
+    def of(cls, head: bytes) -> NiftiLayout:
+        order = "<" if struct.unpack("<i", head[:4])[0] == 348 else ">"
+        dim = struct.unpack(order + "8h", head[40:56])
+        code = struct.unpack(order + "h", head[70:72])[0]
+        start, slope, intercept = struct.unpack(order + "3f", head[108:120])
+        shape = [max(1, dim[k]) if k <= dim[0] else 1 for k in range(1, 5)]
+        return cls(tuple(shape[::-1]), order + _NIFTI[code], int(start), slope, intercept)
+
+
+def scaled(values: np.ndarray, slope: float, intercept: float) -> np.ndarray:
+    return values * slope + intercept if slope and (slope, intercept) != (1, 0) else values
+
+
 def nifti(data: bytes) -> np.ndarray:
     """A single-file volume, scaled by its slope and intercept."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
-    order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
-    dim = struct.unpack(order + "8h", data[40:56])
-    code = struct.unpack(order + "h", data[70:72])[0]
-    start, slope, intercept = struct.unpack(order + "3f", data[108:120])
-    shape = [max(1, dim[k]) if k <= dim[0] else 1 for k in range(1, 5)]
-    values = np.frombuffer(data, dtype=order + _NIFTI[code], count=int(np.prod(shape)), offset=int(start)).reshape(shape[::-1])
-    return values * slope + intercept if slope and (slope, intercept) != (1, 0) else values
+    v = NiftiLayout.of(data[:352])
+    return scaled(np.frombuffer(data, dtype=v.dtype, count=int(np.prod(v.shape)), offset=v.start).reshape(v.shape), v.slope, v.intercept)
 
 
 def _after_items(data: bytes, at: int, explicit: bool) -> int:
@@ -144,8 +202,8 @@ def _after_items(data: bytes, at: int, explicit: bool) -> int:
     return at
 
 
-def dicom(data: bytes) -> np.ndarray:
-    """An uncompressed little-endian image, rescaled by its slope and intercept."""
+def _dicom_tags(data: bytes) -> dict[tuple[int, int], bytes]:
+    """Elements of the data set itself, those of nested sequences left out."""
     at = 132 if data[128:132] == b"DICM" else 0
     found: dict[tuple[int, int], bytes] = {}
     explicit = True
@@ -170,13 +228,28 @@ def dicom(data: bytes) -> np.ndarray:
                 raise ValueError(f"DICOM transfer syntax {syntax} is not supported")
             explicit = syntax.endswith(".1")
         at += size
+    return found
+
+
+def _dicom_shape(found: dict[tuple[int, int], bytes]) -> tuple[int, int, int, int]:
+    short = lambda tag: struct.unpack("<H", found[tag][:2])[0]
+    return 1, int(found.get((0x28, 8), b"1").strip(b"\0 ")), short((0x28, 0x10)), short((0x28, 0x11))
+
+
+def dicom_shape(data: bytes) -> tuple[int, int, int, int]:
+    """(t, z, y, x) of an image; frames are slices."""
+    return _dicom_shape(_dicom_tags(data))
+
+
+def dicom(data: bytes) -> np.ndarray:
+    """An uncompressed little-endian image, rescaled by its slope and intercept."""
+    found = _dicom_tags(data)
     number = lambda tag, default: float(found[tag].strip(b"\0 ")) if tag in found else default
     short = lambda tag, default: struct.unpack("<H", found[tag][:2])[0] if tag in found else default
-    rows, columns, frames = short((0x28, 0x10), 0), short((0x28, 0x11), 0), int(number((0x28, 8), 1))
+    shape = _dicom_shape(found)
     dtype = ("<i" if short((0x28, 0x103), 0) else "<u") + str(short((0x28, 0x100), 16) // 8)
-    values = np.frombuffer(found[0x7FE0, 0x10], dtype=dtype, count=frames * rows * columns).reshape(1, frames, rows, columns)
-    slope, intercept = number((0x28, 0x1053), 1.0), number((0x28, 0x1052), 0.0)
-    return values * slope + intercept if (slope, intercept) != (1, 0) else values
+    values = np.frombuffer(found[0x7FE0, 0x10], dtype=dtype, count=int(np.prod(shape))).reshape(shape)
+    return scaled(values, number((0x28, 0x1053), 1.0), number((0x28, 0x1052), 0.0))
 
 
 def zarr_chunk(data: bytes, meta: str) -> np.ndarray:

@@ -1,22 +1,25 @@
-"""Image files as tables of pixels: folders, pairs, z-stacks and Zarr stores, read through Spark's own file sources.
+"""Image files as tables of pixels: folders, pairs, z-stacks and Zarr stores.
 
-Files are read as bytes by Spark, so any of its file systems serves, and decoded where they are read: a file is one row and one task's work, up to 2 GB.
-Intensities stay raw (double) in `value`, beside whether the file holds real numbers, and its extremes; quantised() turns them into `inten`.
+Files are listed by Spark and read by blocks (see tiles); what is decoded is written once to the folder that the cluster shares, so a file is decoded
+once however many features draw on it. Intensities stay raw (double) in `value`, beside whether the file holds real numbers, and its extremes; quantised()
+turns them into `inten`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roiforge.functions.store import stored
 from roiforge.operators.spatial import pair_by_name, stack_key, stack_pattern
 from roiforge.session import ship
-from roiforge.sources.formats import decode, zarr_chunk
+from roiforge.sources.formats import zarr_chunk
+from roiforge.sources.tiles import labelled_pixels, paired_blocks
 
 _PIXELS = "path string, t long, x long, y long, z long, value double, real boolean, lo double, hi double, extent string"
 _NAMES = [f.split()[0] for f in _PIXELS.split(", ")]
@@ -36,24 +39,6 @@ def _batch(path: str, t: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray
     return pa.RecordBatch.from_arrays([same(path, pa.string()), *(pa.array(v.astype(np.int64)) for v in (t, x, y, z)), pa.array(value.astype(float)), same(real, pa.bool_()), same(lo, pa.float64()), same(hi, pa.float64()), same(extent, pa.string())], names=_NAMES)
 
 
-def decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every pixel of the given files: path, t, x, y, z, value, real, lo, hi, extent. A file is one task's work, some rows of a plane at a time."""
-    ship(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                image = decode(path, data)
-                told = (image.dtype.kind == "f", float(image.min()) if image.size else 0.0, float(image.max()) if image.size else 0.0, "x".join(map(str, image.shape)))
-                step = max(1, 500_000 // max(1, image.shape[3]))
-                for t, z, first in ((t, z, r) for t in range(image.shape[0]) for z in range(image.shape[1]) for r in range(0, image.shape[2], step)):
-                    part = image[t, z, first : first + step]
-                    y, x = np.indices(part.shape, dtype=np.int64)
-                    yield _batch(path, np.full(part.size, t), x.ravel(), y.ravel() + first, np.full(part.size, z), part.ravel(), *told)
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, _PIXELS)
-
-
 def quantised(raw: DataFrame, mode: str = "auto", low: float | None = None, high: float | None = None, dynamic_range: int = 10_000) -> DataFrame:
     """Raw values (value, real, lo, hi: the image's extremes) as whole intensities inten.
 
@@ -77,18 +62,27 @@ def _plain(path: str) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def paired_pixels(spark: SparkSession, pairs: DataFrame, single_roi: bool = False) -> DataFrame:
+def paired_pixels(spark: SparkSession, pairs: DataFrame, single_roi: bool = False, box: Sequence[int] | None = None) -> DataFrame:
     """Raw pixels of pairs (intensity_image, mask_image): slide_id is the image's path, label the mask's value (1 throughout with single_roi).
 
-    An image that has several masks makes a slide of each, named by the mask. Masks of another size are an error when they are read. The pairs'
-    list, file names, is held by the driver.
+    An image that has several masks makes a slide of each, named by the mask. Masks of another size are an error. With box (x0, y0, x1, y1,
+    ends exclusive) only blocks that it touches are read, and only its pixels are given.
     """
-    listed = [(r[0], r[1]) for r in pairs.select("intensity_image", "mask_image").collect()]
-    often = {a for a, _ in listed if sum(a == other for other, _ in listed) > 1}
-    told = spark.createDataFrame([(a, b, b if a in often else a) for a, b in listed], "key string, mask_key string, slide_id string")
-    by = F.broadcast(told.select(*(_plain(c).alias(c) for c in told.columns)))
-    values = decoded(spark, sorted({a for a, _ in listed})).withColumn("key", _plain("path")).drop("path").join(by, "key")
-    return _labelled(values, None if single_roi else decoded(spark, sorted({b for _, b in listed})).withColumn("mask_key", _plain("path")))
+    told = pairs.select(_plain("intensity_image").alias("intensity_image"), _plain("mask_image").alias("mask_image")).distinct()
+    often = told.groupBy("intensity_image").agg((F.count(F.lit(1)) > 1).alias("often"))
+    named = told.join(often, "intensity_image").withColumn("slide_id", F.when(F.col("often"), F.col("mask_image")).otherwise(F.col("intensity_image"))).withColumn("mask_name", F.col("mask_image"))
+    return stored_pixels(named.withColumn("shift", F.lit(0)).withColumn("mask_image", F.lit(None).cast("string") if single_roi else F.col("mask_image")), box)
+
+
+def stored_pixels(pairs: DataFrame, box: Sequence[int] | None = None) -> DataFrame:
+    """Raw pixels of pairs as tiles.paired_blocks() takes them, decoded once and written, with the extremes of each slide."""
+    pixels = stored(labelled_pixels(paired_blocks(pairs, box), box), "pixels")
+    return with_extremes(pixels).where("label <> 0")
+
+
+def with_extremes(pixels: DataFrame) -> DataFrame:
+    """lo and hi of each slide beside its rows. A left join, which the optimizer drops where neither is used."""
+    return pixels.join(pixels.groupBy("slide_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), "slide_id", "left")
 
 
 def _labelled(values: DataFrame, masks: DataFrame | None) -> DataFrame:
@@ -102,58 +96,58 @@ def _labelled(values: DataFrame, masks: DataFrame | None) -> DataFrame:
     return both.where("label <> 0").select(*shown)
 
 
-def image_pixels(spark: SparkSession, intensity_dir: str, label_dir: str | None = None, pattern: str = ".*", volumes: bool = False) -> DataFrame:
+def image_pixels(spark: SparkSession, intensity_dir: str, label_dir: str | None = None, pattern: str = ".*", volumes: bool = False, box: Sequence[int] | None = None) -> DataFrame:
     """Raw pixels of a folder's images, with the masks of the same names in another folder; without one, whole images.
 
-    A pattern with {set d+} names z-stacks, see stacked_pixels(). With volumes a single image goes with all masks.
+    A pattern with {set d+} names z-stacks, see stacked_pixels(). With volumes a single image goes with all masks. For box see paired_pixels().
     """
     if stack_pattern(pattern):
-        return stacked_pixels(spark, intensity_dir, label_dir, pattern)
+        return stacked_pixels(spark, intensity_dir, label_dir, pattern, box)
     images = files(spark, intensity_dir, pattern)
     if label_dir is None:
-        return paired_pixels(spark, images.select(F.col("path").alias("intensity_image"), F.col("path").alias("mask_image")), single_roi=True)
+        return paired_pixels(spark, images.select(F.col("path").alias("intensity_image"), F.col("path").alias("mask_image")), True, box)
     masks = files(spark, label_dir, pattern)
     if volumes and len(images.select("path").take(2)) == 1:
-        return paired_pixels(spark, images.select(F.col("path").alias("intensity_image")).crossJoin(F.broadcast(masks.select(F.col("path").alias("mask_image")))))
-    return paired_pixels(spark, pair_by_name(images, masks, pattern))
+        return paired_pixels(spark, images.select(F.col("path").alias("intensity_image")).crossJoin(F.broadcast(masks.select(F.col("path").alias("mask_image")))), box=box)
+    return paired_pixels(spark, pair_by_name(images, masks, pattern), box=box)
 
 
-def _planes(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, dict[str, list[int]]]:
-    """Planes of z-stacks with stack (name with * for its index) and z, and each stack's indices. Names that don't match are an error."""
+def _planes(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Planes of z-stacks: path, stack (name with * for its index) and z. Names that don't match a pattern of stacks are an error."""
     named = stack_pattern(pattern)
-    found: dict[str, list[int]] = {}
-    keys = []
-    for (path,) in files(spark, folder).select("path").collect():
-        name = path.rsplit("/", 1)[-1]
-        if named:
-            m = named.fullmatch(name)
-            key = (name[: m.start("z")] + "*" + name[m.end("z") :], int(m["z"])) if m else None
-        else:
-            key = stack_key(name) if re.fullmatch(pattern, name) else None
-        if not key and named:
-            raise ValueError(f"{name} doesn't match the pattern {pattern}")
-        if key:
-            keys.append((path, *key))
-            found.setdefault(key[0], []).append(key[1])
-    names = F.broadcast(spark.createDataFrame(keys, "path string, stack string, plane long"))
-    return decoded(spark, [k[0] for k in keys]).join(names, "path").drop("z", "path").withColumnRenamed("plane", "z"), {k: sorted(v) for k, v in found.items()}
-
-
-def stacked_pixels(spark: SparkSession, folder: str, label_dir: str | None = None, pattern: str = ".*") -> DataFrame:
-    """Raw voxels of z-stacks, one file a plane: slide_id is the name with * for its index, z the index.
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path in b.column(0).to_pylist():
+                name = path.rsplit("/", 1)[-1]
+                if named:
+                    m = named.fullmatch(name)
+                    if not m:
+                        raise ValueError(f"{name} doesn't match the pattern {pattern}")
+                    rows.append((path, name[: m.start("z")] + "*" + name[m.end("z") :], int(m["z"])))
+                elif re.fullmatch(pattern, name) and (key := stack_key(name)):
+                    rows.append((path, *key))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["path", "stack", "plane"])
+
+    ship(spark)
+    return files(spark, folder).select(_plain("path").alias("path")).mapInArrow(keyed, "path string, stack string, plane long")
+
+
+def stacked_pixels(spark: SparkSession, folder: str, label_dir: str | None = None, pattern: str = ".*", box: Sequence[int] | None = None) -> DataFrame:
+    """Raw voxels of z-stacks, one file a plane: slide_id is the name with * for its index, z the index, and extremes are those of the stack.
 
     The pattern says where the index stands ({set d+}); without that, names are ..._z<digits>.... Stacks and masks must agree in names and indices.
     """
-    planes, indices = _planes(spark, folder, pattern)
-    # extremes are those of the whole stack
-    ends = planes.groupBy("stack").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    values = planes.drop("lo", "hi").join(ends, "stack").withColumn("slide_id", F.col("stack")).withColumn("mask_key", F.col("stack"))
+    planes = _planes(spark, folder, pattern).select("stack", "plane", F.col("path").alias("intensity_image"))
     if label_dir is None:
-        return _labelled(values, None)
-    masks, theirs = _planes(spark, label_dir, pattern)
-    if theirs != indices:
-        raise ValueError(f"stacks and masks differ: {sorted(set(map(str, indices.items())) ^ set(map(str, theirs.items())))[:3]}")
-    return _labelled(values, masks.withColumn("mask_key", F.col("stack")))
+        both = planes.withColumn("mask_image", F.lit(None).cast("string"))
+    else:
+        both = stored(planes.join(_planes(spark, label_dir, pattern).select("stack", "plane", F.col("path").alias("mask_image")), ["stack", "plane"], "full"), "planes")
+        alone = [f"{r[0]} {r[1]}" for r in both.where("intensity_image is null or mask_image is null").select("stack", "plane").limit(3).collect()]
+        if alone:
+            raise ValueError(f"stacks and masks differ: {', '.join(alone)}")
+    return stored_pixels(both.select(F.col("stack").alias("slide_id"), "intensity_image", "mask_image", F.col("stack").alias("mask_name"), F.col("plane").alias("shift")), box)
 
 
 def _small_text(spark: SparkSession, path: str) -> str:
