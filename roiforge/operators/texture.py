@@ -229,8 +229,8 @@ reach AS (SELECT {K}, x, y, z, g, x AS rx, y AS ry, z AS rz FROM b UNION SELECT
 zoned AS (SELECT {K}, x, y, z, g, min(rx + 100000 * ry + 10000000000 * rz) AS root FROM reach GROUP BY {K}, x, y, z, g)"""
 
 
-def _from_zones(family: str, zoned: str, three_d: bool, dialect: str) -> str:
-    """zoned: CTEs ending in zoned (region, x, y, z, g, root)."""
+def _from_zones(family: str, zoned: str, three_d: bool, dialect: str, merged: bool = False) -> str:
+    """zoned: CTEs ending in zoned (region, x, y, z, g, root). merged: roots are parts of zones, and {merged} (region, part, root) tells what they belong to."""
     np = f"np AS (SELECT {K}, cast(count(*) as double) AS np FROM zoned GROUP BY {K})"
     if family == "GLSZM":
         zones = f"zs AS (SELECT {K}, g, root, cast(count(*) as double) AS s FROM zoned GROUP BY {K}, g, root)"
@@ -240,13 +240,17 @@ def _from_zones(family: str, zoned: str, three_d: bool, dialect: str) -> str:
         zones = f"""i1 AS (SELECT {K}, x, y, z, g, root, {island("x", "y")} AS ix, {island("y", "x")} AS iy FROM zoned),
 dd AS (SELECT {K}, g, root, least(x - min(x) OVER (PARTITION BY {K}, y, z, ix), max(x) OVER (PARTITION BY {K}, y, z, ix) - x, y - min(y) OVER (PARTITION BY {K}, x, z, iy), max(y) OVER (PARTITION BY {K}, x, z, iy) - y) + 1e0 AS d FROM i1),
 zs AS (SELECT {K}, g, root, min(d) AS s FROM dd GROUP BY {K}, g, root)"""
+    if merged:
+        fold = "sum" if family == "GLSZM" else "min"
+        zones = zones.replace("zs AS (", "parts AS (") + f""",
+zs AS (SELECT {of("parts")}, g, coalesce(t.root, parts.root) AS root, {fold}(s) AS s FROM parts LEFT JOIN {{merged}} t ON {on("parts", "t")} AND parts.root = t.part GROUP BY {of("parts")}, g, coalesce(t.root, parts.root))"""
     clauses = f"{zoned}, {np}, {zones}, m AS (SELECT {K}, g * 1e0 AS g, s, cast(count(*) as double) AS c FROM zs GROUP BY {K}, g * 1e0, s)"
     return matrix_features_sql(family, clauses, three_d, False, dialect)
 
 
-def zone_features_sql(family: str, three_d: bool = False, dialect: str = "spark") -> str:
-    """Features of GLSZM (zone sizes) or GLDZM (zones' distance to the border, in their own slice) over {zones}."""
-    return _from_zones(family, f"zoned AS (SELECT {K}, x, y, z, g, root FROM {{zones}})", three_d, dialect)
+def zone_features_sql(family: str, three_d: bool = False, dialect: str = "spark", merged: bool = False) -> str:
+    """Features of GLSZM (zone sizes) or GLDZM (zones' distance to the border, in their own slice) over {zones}, and {merged} if zones are cut into parts."""
+    return _from_zones(family, f"zoned AS (SELECT {K}, x, y, z, g, root FROM {{zones}})", three_d, dialect, merged)
 
 
 def zone_check_sql(family: str, depth: int, three_d: bool, dialect: str) -> str:

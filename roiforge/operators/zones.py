@@ -1,14 +1,23 @@
-"""Zones: connected pixels of equal level, labelled by a grouped numpy pass over each region."""
+"""Zones: connected pixels of equal level, labelled by grouped numpy passes.
+
+A region that fits in a tile is labelled by one pass. A larger one is cut into tiles: each is labelled by itself, pixels of equal level that touch
+across a seam link their zones, and the links' connected components merge them. Sizes and distances are added up by tile before they meet.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from roiforge.functions.sqltext import KEYS, run
+from roiforge.functions.sqltext import KEYS, K, of, on, run, with_rows
+from roiforge.functions.store import stored
 from roiforge.operators.texture import levels_sql, zone_features_sql, zone_neighbours
 
+#: Sides of a tile, in 2D and in 3D: about a million pixels.
+TILE, TILE_3D = 1024, 96
+
 
 def zone_roots(x: np.ndarray, y: np.ndarray, z: np.ndarray, g: np.ndarray, around: tuple) -> np.ndarray:
     """For each pixel the index of its zone's first pixel: minimum labels spread along neighbour links, halving paths."""
@@ -54,6 +63,68 @@ def zones(pixels: DataFrame, depth: int, three_d: bool = False, straight: bool =
     return levels.groupBy(*KEYS).applyInArrow(label, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in levels.schema.fields) + ", root bigint")
 
 
-def zone_features(pixels: DataFrame, family: str, depth: int = 64, three_d: bool = False, straight: bool = False, background: bool = False) -> DataFrame:
-    """GLSZM or GLDZM features of each region."""
-    return run(pixels, zone_features_sql(family, three_d), zones=zones(pixels, depth, three_d, straight, background))
+def extent(pixels: DataFrame) -> int:
+    """The longest side of any region's box; 0 without regions."""
+    sides = pixels.groupBy(*KEYS).agg(F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("side"))
+    return int((sides.agg(F.max("side")).first()[0] or -1) + 1)
+
+
+def tiled_zones(pixels: DataFrame, depth: int, tile: int, three_d: bool = False, straight: bool = False, background: bool = False) -> DataFrame:
+    """Pixels with level g, root (the number of their zone's part in the tile's box, counted over the region's box) and whether they lie at a seam. Tiles begin at the region's corner."""
+    around = zone_neighbours(three_d, straight)
+
+    def label(table: pa.Table) -> pa.Table:
+        x, y, z, g, cell = (table.column(c).to_numpy() for c in ("x", "y", "z", "g", "cell"))
+        order = np.lexsort((x, y, z))
+        # a zone is named by its first pixel's number in the region
+        return table.drop_columns(["cell"]).append_column("root", pa.array(cell[order][zone_roots(x, y, z, g, around)]))
+
+    levels = run(pixels, levels_sql(depth, background))
+    box = levels.groupBy(*KEYS).agg(*(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    at = {c: F.col(c) - F.col(f"lo_{c}") for c in "xyz"}
+    wide = {c: F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1 for c in "xyz"}
+    inner = {c: F.pmod(at[c], F.lit(tile)) for c in "xyz"}
+    seam = [(inner[c] == 0) & (at[c] > 0) | (inner[c] == tile - 1) & (at[c] < wide[c] - 1) for c in "xyz"]
+    placed = levels.join(box, list(KEYS)).select(*levels.columns, (at["x"] + wide["x"] * (at["y"] + wide["y"] * at["z"])).alias("cell"), (seam[0] | seam[1] | seam[2]).alias("seam"), *(F.floor(at[c] / tile).cast("int").alias(f"tile_{c}") for c in "xyz"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields if f.name not in ("cell",)]
+    return placed.groupBy(*KEYS, "tile_x", "tile_y", "tile_z").applyInArrow(label, ", ".join([*kinds, "root bigint"])).drop("tile_x", "tile_y", "tile_z")
+
+
+def seams(zoned: DataFrame, three_d: bool = False, straight: bool = False) -> DataFrame:
+    """Links (region, a, b) between parts of zones that touch across seams; zoned: tiled_zones(). Only pixels at seams are joined."""
+    half = tuple(d for d in zone_neighbours(three_d, straight) if (d[2], d[1], d[0]) > (0, 0, 0))
+    text = f"""WITH e AS (SELECT {K}, x, y, z, g, root FROM {{pixels}} WHERE seam),
+s AS (SELECT {K}, x + dx AS x, y + dy AS y, z + dz AS z, g, root AS from_ FROM {with_rows("e", "p", half, ("dx", "dy", "dz"), "spark")})
+SELECT DISTINCT {of("e")}, least(root, from_) AS a, greatest(root, from_) AS b FROM s JOIN e ON {on("s", "e", ["x", "y", "z", "g"])} WHERE root <> from_"""
+    return run(zoned, text)
+
+
+def merged_parts(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(region, part, root): connected components of links (region, a, b) within regions, named by their least part; parts without links are left out.
+
+    Each round hangs the neighbours of every part on the least that it knows, first the larger ones and then the smaller ones, so links become
+    stars in a logarithmic number of rounds and never grow in number. Rounds are written to the shared folder.
+    """
+    keys = list(KEYS)
+    now, before = stored(links, "seams"), None
+    for _ in range(most_rounds):
+        both = now.unionByName(now.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        larger = both.where("b > a").join(least, [*keys, "a"]).select(*keys, F.col("m").alias("a"), "b").distinct()
+        nearest = larger.groupBy(*keys, "b").agg(F.min("a").alias("m"))
+        across = larger.join(nearest, [*keys, "b"])
+        now = stored(across.where("a > m").select(*keys, F.col("m").alias("a"), F.col("a").alias("b")).union(across.select(*keys, F.col("m").alias("a"), "b")).distinct(), "seams")
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
+        if not state[0] or state == before:
+            return now.select(*keys, F.col("b").alias("part"), F.col("a").alias("root"))
+        before = state
+    raise RuntimeError("zones did not settle")
+
+
+def zone_features(pixels: DataFrame, family: str, depth: int = 64, three_d: bool = False, straight: bool = False, background: bool = False, tile: int | None = None) -> DataFrame:
+    """GLSZM or GLDZM features of each region. Where a region is longer than a tile's side, all are labelled by tile; the values are the same."""
+    side = tile or (TILE_3D if three_d else TILE)
+    if extent(pixels) <= side:
+        return run(pixels, zone_features_sql(family, three_d), zones=zones(pixels, depth, three_d, straight, background))
+    parts = stored(tiled_zones(pixels, depth, side, three_d, straight, background), "zones")
+    return run(pixels, zone_features_sql(family, three_d, merged=True), zones=parts, merged=merged_parts(seams(parts, three_d, straight)))
