@@ -19,36 +19,43 @@ from roiforge.operators.texture import levels_sql, zone_features_sql, zone_neigh
 TILE, TILE_3D = 1024, 96
 
 
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that links (a, b) connect it to: roots hang on lesser roots, then all point at their root again."""
+    label = np.arange(n)
+    while len(a):
+        u, v = label[a], label[b]
+        apart = u != v
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return label
+
+
 def zone_roots(x: np.ndarray, y: np.ndarray, z: np.ndarray, g: np.ndarray, around: tuple) -> np.ndarray:
-    """For each pixel the index of its zone's first pixel: minimum labels spread along neighbour links, halving paths."""
+    """For each pixel the rank (by z, y, x) of its zone's first pixel. Rows fall into runs of equal levels, and runs that touch are linked."""
     n = len(x)
     order = np.lexsort((x, y, z))
     w, h = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3
-    cell = (x - x.min() + 1) + w * ((y - y.min() + 1) + h * (z - z.min()))
-    sorted_cell = cell[order]
+    cell = ((x - x.min() + 1) + w * ((y - y.min() + 1) + h * (z - z.min())))[order]
+    level = g[order]
+    begins = np.concatenate([[True], (cell[1:] != cell[:-1] + 1) | (level[1:] != level[:-1])])
+    run_of = np.cumsum(begins) - 1
     links = []
     for dx, dy, dz in around:
         shift = dx + w * (dy + h * dz)
-        if shift <= 0:
+        if shift <= 1:
             continue
-        at = np.minimum(np.searchsorted(sorted_cell, cell + shift), n - 1)
-        near = order[at]
-        hit = (cell[near] == cell + shift) & (g[near] == g)
-        links.append(np.stack([np.flatnonzero(hit), near[hit]]))
-    u, v = np.concatenate(links, axis=1) if links else np.zeros((2, 0), dtype=np.int64)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    label = rank.copy()
-    while True:
-        least = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, least)
-        np.minimum.at(new, v, least)
-        by_rank = new[order]
-        new = by_rank[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
+        near = np.minimum(np.searchsorted(cell, cell + shift), n - 1)
+        hit = (cell[near] == cell + shift) & (level[near] == level)
+        pair = np.stack([run_of[hit], run_of[near[hit]]])
+        # two runs touch at many pixels, one after the other
+        links.append(pair[:, np.concatenate([[True], (pair[:, 1:] != pair[:, :-1]).any(0)])[: pair.shape[1]]])
+    a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), dtype=np.int64)
+    first = np.flatnonzero(begins)
+    out = np.empty(n, dtype=np.int64)
+    out[order] = first[least_labels(len(first), a, b)][run_of]
+    return out
 
 
 def zones(pixels: DataFrame, depth: int, three_d: bool = False, straight: bool = False, background: bool = False) -> DataFrame:
