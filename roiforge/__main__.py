@@ -30,6 +30,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--coarseGrayDepth", type=int, default=64)
     p.add_argument("--metaparam", action="append", default=[], help="family/parameter=value, may be repeated")
     p.add_argument("--glcmOff", "--glcmOffset", dest="glcmOff", type=int, default=1)
+    p.add_argument("--glcmAngles", type=lambda v: tuple(int(x) for x in v.split(",") if x.strip()), help="directions of GLCM among 0,45,90,135")
     p.add_argument("--pixelDistance", type=int, default=5)
     p.add_argument("--pixelsPerMicron", type=float)
     p.add_argument("--pixelsPerCentimeter", type=float, help="as pixelsPerMicron, ten thousand times as many")
@@ -46,9 +47,11 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument(f"--aniso{axis}", type=float, default=1.0)
     p.add_argument("--aggr", nargs="?", const=True, type=_yes, default=False, help="one row a slide: means over its regions")
     p.add_argument("--annot", nargs="?", const=True, type=_yes, default=False, help="leading columns: file names, annotations, ROI_label, t_index")
+    p.add_argument("--annotsep", default="_", help="what divides annotations in a mask's name")
     p.add_argument("--noval", type=float, default=0.0)
     p.add_argument("--singleFile", action="store_true")
     p.add_argument("--hsig", help="channel signature of nested regions, as _c in p0_c1.tif; writes the relations of the masks instead of features")
+    p.add_argument("--hag", type=str.upper, choices=("SUM", "MEAN", "MIN", "MAX", "WMA", "NONE"), help="with --hsig: parents' features with their children's, aggregated so")
     p.add_argument("--hpar", type=int, default=1)
     p.add_argument("--hchi", type=int, default=0)
     return p
@@ -64,11 +67,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("roiforge").getOrCreate()
     ending = {None: "", "separatecsv": ".csv", "singlecsv": ".csv", "arrowipc": ".arrow", "parquet": ".parquet"}[a.outputType]
     target = f"{a.outDir.rstrip('/')}/{a.resultFname}{ending}" if ending else a.outDir
-    if a.hsig:
+    if a.hsig and not a.hag:
         output.write(NestedRois().find_file_relations(spark, a.segDir, a.hsig, a.hpar, a.hchi), target, single=a.singleFile or a.outputType == "singlecsv")
         return
     features = Path(a.features).read_text().replace("\n", ",") if a.features.endswith(".txt") else a.features
-    settings = {"coarse_gray_depth": a.coarseGrayDepth, "glcm_offset": a.glcmOff, "neighbor_distance": a.pixelDistance, "pixels_per_micron": a.pixelsPerMicron or (a.pixelsPerCentimeter or 1e4) / 1e4, "ibsi": a.ibsi, "noval": a.noval, "merge_labels": a.mergerois}
+    settings = {"coarse_gray_depth": a.coarseGrayDepth, "glcm_offset": a.glcmOff, "neighbor_distance": a.pixelDistance, "pixels_per_micron": a.pixelsPerMicron or (a.pixelsPerCentimeter or 1e4) / 1e4, "ibsi": a.ibsi, "noval": a.noval, "merge_labels": a.mergerois, "annotation_separator": a.annotsep} | ({"glcm_angles": a.glcmAngles} if a.glcmAngles else {})
     settings |= {"anisotropy": (a.anisox, a.anisoy, a.anisoz), "min_intensity": a.fpimgmin, "max_intensity": a.fpimgmax, "intensity_mode": "hounsfield" if a.hu else "auto"} | ({"dynamic_range": a.fpimgdr} if a.fpimgdr else {})
     engine = (VolumeFeatures if a.dim == 3 else SlideFeatures)(features, spark, **settings)
     gabor = {k: v for k in ("freqs", "gamma", "sig2lam", "kersize", "f0", "thold") if (v := getattr(a, f"gabor{k}")) is not None} | ({"thetas": a.gabortheta} if a.gabortheta else {})
@@ -78,6 +81,10 @@ def main(argv: list[str] | None = None) -> None:
         engine.set_metaparam(text)
     engine.blacklist_roi(a.skiproi)
     header = a.annot and not a.aggr
+    if a.hsig:
+        found = NestedRois(a.hag).featurize_files(engine, a.intDir, a.segDir, a.hsig, a.hpar, a.hchi)
+        output.write(found, target, single=a.singleFile or a.outputType == "singlecsv", noval=a.noval)
+        return
     if a.intSegMapFile:
         lines = spark.read.text(f"{(a.intSegMapDir or '.').rstrip('/')}/{a.intSegMapFile}")
         found = engine.featurize_mapping(lines, a.intDir, a.segDir, header)

@@ -26,11 +26,6 @@ def slide_means(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return features.groupBy("slide_id", "t").agg(*[F.avg(f"`{n}`").alias(n) for n in names]).select("slide_id", "t", F.lit(-1).cast("bigint").alias("label"), *(F.col(f"`{n}`") for n in names))
 
 
-def flattened(features: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
-    """An array column as one column for each name."""
-    return features.select("*", *[F.get(F.col(column), k).alias(n) for k, n in enumerate(names)]).drop(column)
-
-
 def with_header_columns(features: DataFrame, slides: DataFrame) -> DataFrame:
     """Leading columns intensity_image, mask_image, anno0.., ROI_label, t_index; slides has slide_id, both names and annots."""
     n = slides.agg(F.max(F.size("annots"))).first()[0] or 0

@@ -79,17 +79,6 @@ SELECT {of("b")}, FRACT_DIM_BOXCOUNT FROM b LEFT JOIN f ON {on("b", "f")}"""
     return finished(inner, ["FRACT_DIM_BOXCOUNT"], dialect)
 
 
-def aligned_box_counts_sql(dialect: str = "spark", sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> str:
-    """FRACT_DIM_BOXCOUNT of regions up to 63 pixels on one aligned grid: sides from 1 to the region's extent, among sizes. See box_counts_sql for the whole."""
-    spread = with_rows("px", "p", [(s,) for s in sizes], ("s",), dialect)
-    inner = f"""WITH b AS (SELECT {K}, min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) + 1 AS side FROM {{pixels}} GROUP BY {K}),
-px AS (SELECT {of("a")}, a.x - b.x0 AS x, a.y - b.y0 AS y, b.side FROM {{pixels}} a JOIN b ON {on("a", "b")}),
-c AS (SELECT {K}, s, count(*) AS boxes FROM (SELECT DISTINCT {K}, s, cast(floor(x / (s * 1e0)) as bigint) AS bx, cast(floor(y / (s * 1e0)) as bigint) AS by_ FROM {spread} WHERE s <= side) AS d GROUP BY {K}, s),
-l AS (SELECT {K}, ln(s * 1e0) AS u, ln(boxes * 1e0) AS v FROM c)
-SELECT {K}, -{div("count(*) * sum(u * v) - sum(u) * sum(v)", "count(*) * sum(u * u) - sum(u) * sum(u)")} AS FRACT_DIM_BOXCOUNT FROM l GROUP BY {K}"""
-    return finished(inner, ["FRACT_DIM_BOXCOUNT"], dialect)
-
-
 # --- geometric moments -----------------------------------------------------------------------------------------------
 
 _RAW = [(p, q) for p in range(4) for q in range(4) if (p, q) not in ((3, 1), (3, 2), (3, 3))]

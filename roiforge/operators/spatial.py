@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,25 +49,64 @@ FROM len LEFT JOIN n ON {on("len", "n")} LEFT JOIN touch ON {on("len", "touch")}
 # --- nested regions --------------------------------------------------------------------------------------------------
 
 
-def containment_sql(parents: str = "{parents}", children: str = "{children}") -> str:
+_BOX = f"SELECT {K}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {{}} GROUP BY {K}"
+
+
+def containment_candidates_sql(parents: str = "{parents}", children: str = "{children}") -> str:
+    """Pairs of boxes (p_label, px0.., c_label, cx0..) that may be nested, by a hierarchy of grids.
+
+    A parent's level is that of the least power of two not below its longer side: it touches at most four cells of that side. A child
+    lies in a parent only if its corner lies in one of these cells, so it looks up one cell for each level that its slide's parents have and that isn't below its own.
+    """
+    level = lambda v: f"length(bin(cast(greatest({v}x1 - {v}x0, {v}y1 - {v}y0) as bigint)))"
+    cell = lambda v: f"cast(floor({v} / power(2e0, lv)) as bigint)"
+    return f"""WITH p AS (SELECT *, {level("")} AS lv FROM ({_BOX.format(parents)}) AS b), c AS ({_BOX.format(children)}),
+grid AS (SELECT * FROM p LATERAL VIEW explode(sequence({cell("x0")}, {cell("x1")})) e AS gx LATERAL VIEW explode(sequence({cell("y0")}, {cell("y1")})) f AS gy),
+levels AS (SELECT DISTINCT slide_id, t, lv FROM p),
+probe AS (SELECT c.*, lv, {cell("x0")} AS gx, {cell("y0")} AS gy FROM c JOIN levels ON c.slide_id = levels.slide_id AND c.t = levels.t AND lv >= {level("c.")})
+SELECT g.slide_id, g.t, g.label AS parent_label, g.x0 AS px0, g.x1 AS px1, g.y0 AS py0, g.y1 AS py1, q.label AS child_label, q.x0, q.x1, q.y0, q.y1
+FROM grid g JOIN probe q ON g.slide_id = q.slide_id AND g.t = q.t AND g.lv = q.lv AND g.gx = q.gx AND g.gy = q.gy"""
+
+
+def containment_sql(parents: str = "{parents}", children: str = "{children}", dialect: str = "spark") -> str:
     """Relations (slide_id, t, parent_label, child_label): the parent's box contains the child's, borders included.
 
-    parents and children are tables of pixels of the same slides. The boxes, one row a region, are joined by slide.
+    parents and children are tables of pixels of the same slides. Other engines check the grids by comparing all boxes of a slide.
     """
-    box = lambda table: f"SELECT {K}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {table} GROUP BY {K}"
-    return f"""SELECT p.slide_id, p.t, p.label AS parent_label, c.label AS child_label FROM ({box(parents)}) AS p JOIN ({box(children)}) AS c
+    if dialect == "spark":
+        return f"SELECT slide_id, t, parent_label, child_label FROM ({containment_candidates_sql(parents, children)}) AS near WHERE px0 <= x0 AND px1 >= x1 AND py0 <= y0 AND py1 >= y1"
+    return f"""SELECT p.slide_id, p.t, p.label AS parent_label, c.label AS child_label FROM ({_BOX.format(parents)}) AS p JOIN ({_BOX.format(children)}) AS c
 ON p.slide_id = c.slide_id AND p.t = c.t AND p.x0 <= c.x0 AND p.x1 >= c.x1 AND p.y0 <= c.y0 AND p.y1 >= c.y1"""
 
 
-#: Names of aggregates; a function from a column to an aggregate does as well.
-_AGGREGATES: dict[str, Callable] = {"SUM": F.sum, "MEAN": F.avg, "MIN": F.min, "MAX": F.max, "WMA": F.avg}
+#: Names of aggregates.
+_AGGREGATES: dict[str, Callable] = {"SUM": F.sum, "MEAN": F.avg, "MIN": F.min, "MAX": F.max, "WMA": F.avg, "COUNT": F.count, "STD": F.stddev_samp, "VAR": F.var_samp, "MEDIAN": F.median, "FIRST": F.first, "LAST": F.last, "NUNIQUE": F.count_distinct, "PROD": F.product}
+
+
+def _aggregate(how: str | Callable, column: Column) -> tuple[Column, bool]:
+    """The aggregate of a column, and whether Python computes it: names and functions of columns are Spark's, others get a group's values as a pandas Series."""
+    if isinstance(how, str):
+        return _AGGREGATES[how.upper()](column), False
+    try:
+        found = how(column)
+    except Exception:  # noqa: BLE001 - a function of values may fail on a column in any way
+        found = None
+    if isinstance(found, Column):
+        return found, False
+
+    def values(v: pd.Series) -> float:
+        return float(how(v))
+
+    return F.pandas_udf(values, "double")(column), True
 
 
-def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str | Callable | dict[str, str | Callable], features: Sequence[str], least_children: int = 0) -> DataFrame:
-    """Parents' rows with their children's features: aggregated by SUM, MEAN, MIN, MAX or WMA (equal to MEAN), or NONE.
+def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str | Callable | Sequence | dict[str, str | Callable], features: Sequence[str], least_children: int = 0) -> DataFrame:
+    """Parents' rows with their children's features: aggregated by name (SUM, MEAN, MIN, MAX, WMA (equal to MEAN), COUNT, STD, VAR, MEDIAN, FIRST, LAST, NUNIQUE, PROD) or function, or NONE.
 
+    A function takes a column and gives an aggregate, or takes a pandas Series of a parent's values, as np.nanmean does; then a parent's children are one
+    group of a task. how may be a dict from feature to aggregate, or a list of aggregates and of (name, aggregate): child_F, or child_F_name for each of a list.
     NONE puts all children side by side, child1_F, child2_F, ... by ascending label: as many as the largest family has (counted by a
-    job of its own when this is called), least_children at least. Parents without children get zeros. how may be a dict from feature to aggregate.
+    job of its own when this is called), least_children at least. Parents without children get zeros.
     """
     keys = ["slide_id", "t", "parent_label"]
     joined = relations.join(children.withColumnRenamed("label", "child_label"), ["slide_id", "t", "child_label"])
@@ -77,13 +117,24 @@ def aggregate_children(relations: DataFrame, parents: DataFrame, children: DataF
         if not width:
             return parents.withColumnRenamed("label", "parent_label")
         ranked = joined.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("child_label")))
-        wide = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col(f"`{f}`"))).alias(f"child{k}_{f}") for k in range(1, width + 1) for f in features])
+        wide = [ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col(f"`{f}`"))).alias(f"child{k}_{f}") for k in range(1, width + 1) for f in features])]
         added = [f"child{k}_{f}" for k in range(1, width + 1) for f in features]
     else:
-        each = how if isinstance(how, dict) else dict.fromkeys(features, how)
-        wide = joined.groupBy(*keys).agg(*[(a if callable(a) else _AGGREGATES[a.upper()])(F.col(f"`{f}`")).alias(f"child_{f}") for f, a in each.items()])
-        added = [f"child_{f}" for f in each]
-    return parents.withColumnRenamed("label", "parent_label").join(wide, keys, "left").fillna(0, subset=added)
+        if isinstance(how, dict):
+            asked = [(f, f"child_{f}", a) for f, a in how.items()]
+        elif isinstance(how, (list, tuple)):
+            named = [h if isinstance(h, tuple) else (h.lower() if isinstance(h, str) else h.__name__, h) for h in how]
+            asked = [(f, f"child_{f}_{n}", a) for f in features for n, a in named]
+        else:
+            asked = [(f, f"child_{f}", how) for f in features]
+        made = [(name, *_aggregate(a, F.col(f"`{f}`"))) for f, name, a in asked]
+        # Spark computes its own aggregates and those of pandas apart
+        wide = [joined.groupBy(*keys).agg(*[c.alias(n) for n, c, python in made if python == side]) for side in (False, True) if any(m[2] == side for m in made)]
+        added = [n for n, *_ in made]
+    found = parents.withColumnRenamed("label", "parent_label")
+    for w in wide:
+        found = found.join(w, keys, "left")
+    return found.fillna(0, subset=added).select(*[c for c in found.columns if c not in added], *[F.col(f"`{c}`") for c in added])
 
 
 # --- lists and names -------------------------------------------------------------------------------------------------
@@ -134,14 +185,14 @@ def pair_by_file(lines: DataFrame, intensity_dir: str, mask_dir: str) -> DataFra
     return lines.where(F.trim("value") != "").select(F.concat(F.lit(intensity_dir.rstrip("/") + "/"), parts[0]).alias("intensity_image"), F.concat(F.lit(mask_dir.rstrip("/") + "/"), parts[1]).alias("mask_image"))
 
 
-def annotations(name: str) -> list[str]:
-    """A mask's annotations: its base name before the first dot, split at underscores."""
-    return [x for x in re.split("_", name.split("/")[-1].split(".")[0]) if x]
+def annotations(name: str, separator: str = "_") -> list[str]:
+    """A mask's annotations: its base name before the first dot, split at separators."""
+    return [x for x in name.split("/")[-1].split(".")[0].split(separator) if x]
 
 
-def annotations_of(column: str) -> Column:
+def annotations_of(column: str, separator: str = "_") -> Column:
     """annotations() of a column of file names."""
-    return F.filter(F.split(F.element_at(F.split(F.element_at(F.split(column, "/"), -1), r"\."), 1), "_"), lambda x: x != "")
+    return F.filter(F.split(F.element_at(F.split(F.element_at(F.split(column, "/"), -1), r"\."), 1), re.escape(separator)), lambda x: x != "")
 
 
 def stack_pattern(pattern: str) -> re.Pattern | None:

@@ -77,13 +77,14 @@ def matrix_features_sql(family: str, clauses: str, three_d: bool, averaged: bool
 # --- co-occurrence ---------------------------------------------------------------------------------------------------
 
 
-def glcm_sql(depth: int = 64, offset: int = 1, symmetric: bool = False, three_d: bool = False, averaged: bool = False, dialect: str = "spark", by_index: bool = False) -> str:
+def glcm_sql(depth: int = 64, offset: int = 1, symmetric: bool = False, three_d: bool = False, averaged: bool = False, dialect: str = "spark", by_index: bool = False, only: tuple[int, ...] = ()) -> str:
     """Co-occurrence features for each direction (column a), or their means over directions.
 
     i is the level of the shifted pixel and j that of the pixel itself. Radiomics and identity binning count both ways round. by_index: DIFVAR and
-    JVAR take a level's number among the region's levels against means of levels, which differs where levels are sparse.
+    JVAR take a level's number among the region's levels against means of levels, which differs where levels are sparse. only: the directions
+    wanted, all if empty.
     """
-    angles = [(a, dx * offset, dy * offset, dz * offset) for a, dx, dy, dz in (ANGLES_3D if three_d else ANGLES)]
+    angles = [(a, dx * offset, dy * offset, dz * offset) for a, dx, dy, dz in (ANGLES_3D if three_d else ANGLES) if not only or a in only]
     shifted = with_rows("b", "p", angles, ("a", "dx", "dy", "dz"), dialect)
     both = symmetric or depth <= 0
     pair = f"SELECT {K}, a, i, j FROM pr" + (f" UNION ALL SELECT {K}, a, j AS i, i AS j FROM pr" if both else "")
@@ -175,13 +176,28 @@ def around_cube(radius: int) -> tuple:
     return tuple((dx, dy, dz) for dz in span for dy in span for dx in span if (dx, dy, dz) != (0, 0, 0))
 
 
+def _level_pairs(dialect: str) -> str:
+    """CTE c: what contrast, busyness, complexity and strength sum over ordered pairs of levels (l), tot holding sums over levels.
+
+    On Spark the first two and the last follow from sums over levels: with shares p, sum p p' (g - g')^2 = 2 (sum p g^2 - (sum p g)^2); absolute differences add up over
+    sorted values; and sum (p + p') (g - g')^2 = 2 (G sum p g^2 - 2 sum p g sum g + sum g^2). Complexity has n + n' below the line and
+    stays a sum over pairs, each once: at most half the square of the levels a region, which grey binning bounds. The other dialect sums over pairs throughout, as a check.
+    """
+    if dialect != "spark":
+        return f"""c AS (SELECT {of("tot")}, sum(p.n / nv * q.n / nv * power(p.g - q.g, 2)) AS con, sum(abs(p.n / nv * p.g - q.n / nv * q.g)) AS bus, sum(abs(p.g - q.g) * (p.n * p.s + q.n * q.s) / (p.n + q.n)) AS com, sum((p.n + q.n) / nv * power(p.g - q.g, 2)) AS stren
+  FROM l p JOIN l q ON {on("p", "q")} JOIN tot ON {on("p", "tot")} GROUP BY {of("tot")})"""
+    return f"""v AS (SELECT {K}, n, g, row_number() OVER (PARTITION BY {K} ORDER BY n * g) AS k, count(*) OVER (PARTITION BY {K}) AS of_ FROM l),
+w AS (SELECT {K}, sum(n * g) AS ng1, sum(n * g * g) AS ng2, sum(g) AS g1, sum(g * g) AS g2, cast(count(*) as double) AS levels, sum(n) AS nn, sum(2e0 * (2e0 * k - of_ - 1e0) * n * g) AS far FROM v GROUP BY {K}),
+com_ AS (SELECT {of("p")}, 2e0 * sum(abs(p.g - q.g) * (p.n * p.s + q.n * q.s) / (p.n + q.n)) AS com FROM l p JOIN l q ON {on("p", "q")} AND p.g < q.g GROUP BY {of("p")}),
+c AS (SELECT {of("w")}, 2e0 * (ng2 / nn - ng1 / nn * ng1 / nn) AS con, far / nn AS bus, coalesce(com, 0e0) AS com, 2e0 * (levels * ng2 / nn - 2e0 * ng1 / nn * g1 + g2) AS stren FROM w LEFT JOIN com_ ON {on("w", "com_")})"""
+
+
 def ngtdm_sql(depth: int = 64, three_d: bool = False, dialect: str = "spark", radius: int = 1, background: bool = False) -> str:
     """Neighbourhood difference: levels against the mean of their neighbours (within a cube of the radius in 3D); only pixels with neighbours count."""
     inner = f"""WITH {binned(depth, not background)}, {_matches(around_cube(radius) if three_d else AROUND, dialect)},
 l AS (SELECT {K}, g, cast(count(*) as double) AS n, sum(abs(g - near / k)) AS s FROM k WHERE near IS NOT NULL GROUP BY {K}, g),
 tot AS (SELECT {K}, sum(n) AS nv, cast(count(*) as double) AS ng, sum(s) AS ssum, sum(n * s) / sum(n) AS ps FROM l GROUP BY {K}),
-c AS (SELECT {of("tot")}, sum(p.n / nv * q.n / nv * power(p.g - q.g, 2)) AS con, sum(abs(p.n / nv * p.g - q.n / nv * q.g)) AS bus, sum(abs(p.g - q.g) * (p.n * p.s + q.n * q.s) / (p.n + q.n)) AS com, sum((p.n + q.n) / nv * power(p.g - q.g, 2)) AS stren
-  FROM l p JOIN l q ON {on("p", "q")} JOIN tot ON {on("p", "tot")} GROUP BY {of("tot")})
+{_level_pairs(dialect)}
 SELECT {of("r")}, CASE WHEN ps > 1e-12 THEN 1e0 / ps END AS COARSENESS, {div("con * ssum", "ng * (ng - 1e0) * nv")} AS CONTRAST, CASE WHEN bus > 1e-12 THEN ps / bus END AS BUSYNESS, com / nv AS COMPLEXITY, CASE WHEN ssum > 1e-12 THEN stren / ssum END AS STRENGTH
 FROM r LEFT JOIN tot ON {on("r", "tot")} LEFT JOIN c ON {on("r", "c")}"""
     return finished(inner, list(zip(NGTDM, names("NGTDM", three_d), strict=True)), dialect)

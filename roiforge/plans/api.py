@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roiforge.functions.sqltext import KEYS, run
-from roiforge.operators import firstorder, geometry, imagequality, output, shape, spatial, texture, volume
+from roiforge.functions.store import stored
+from roiforge.operators import firstorder, geometry, imagequality, outline, output, shape, spatial, texture, volume
 from roiforge.operators.zones import zone_features
 from roiforge.plans.registry import FAMILIES, PROVIDER, USER, ordered_families, resolve
 from roiforge.session import ship
@@ -24,7 +25,8 @@ class Settings:
     depths: grey depths of single families (glcm, 3gldm, ...) that differ from it. background: in GLRLM, GLSZM, GLDZM and NGTDM the cells of a region's
     box that aren't its own count as level 1 (with matlab levels). gldzm_straight: distance zones are 4-connected. level_index: DIFVAR and JVAR take
     levels' numbers (with radiomics bins). intensity_mode, min_intensity, max_intensity and dynamic_range say how images' values become
-    intensities, see quantised(). merge_labels: all labels of an image are one region.
+    intensities, see quantised(). merge_labels: all labels of an image are one region. glcm_angles: directions of GLCM in 2D. annotation_separator
+    divides the annotations in masks' names.
     """
 
     neighbor_distance: int = 5
@@ -32,6 +34,8 @@ class Settings:
     coarse_gray_depth: int = 64
     glcm_offset: int = 1
     glcm_symmetric: bool = False
+    glcm_angles: tuple[int, ...] = (0, 45, 90, 135)
+    annotation_separator: str = "_"
     histogram_bins: int = 64
     local_focus_scale: int = 2
     ibsi: bool = False
@@ -61,6 +65,8 @@ class Settings:
         wrong = [n for n, v in positive.items() if v <= 0]
         if wrong:
             raise ValueError(f"must be greater than zero: {', '.join(wrong)}")
+        if not self.glcm_angles or set(self.glcm_angles) - {0, 45, 90, 135} or not self.annotation_separator:
+            raise ValueError("glcm_angles must be among 0, 45, 90 and 135, and annotation_separator a text")
         if len(self.gabor_thetas) != len(self.gabor_freqs):
             raise ValueError("as many gabor_thetas as gabor_freqs are needed")
 
@@ -82,10 +88,10 @@ _METAPARAMETERS = {"glcm/offset": "glcm_offset", "3glcm/offset": "glcm3_offset",
 _DEPTH_FAMILIES = tuple(f"{d}{f}" for d in ("", "3") for f in ("glcm", "glrlm", "glszm", "gldzm", "gldm", "ngldm", "ngtdm"))
 
 
-def _wide(pixels: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
+def _wide(pixels: DataFrame, text: str, names: Sequence[str], only: Sequence[int] = ()) -> DataFrame:
     """Features by direction (column a) as one column for each feature and direction."""
     long = run(pixels, text)
-    angles = [a for a, *_ in (texture.ANGLES_3D if names[0].startswith("3") else texture.ANGLES)]
+    angles = [a for a, *_ in (texture.ANGLES_3D if names[0].startswith("3") else texture.ANGLES) if not only or a in only]
     return long.groupBy(*KEYS).agg(*[F.max(F.when(F.col("a") == a, F.col(f"`{n}`"))).alias(f"{n}_{a}") for n in names for a in angles])
 
 
@@ -116,8 +122,9 @@ def family_frame(pixels: DataFrame, name: str, s: Settings, done: dict[str, Data
         bins = run(pixels, firstorder.histogram_sql(s.histogram_bins))
         return run(pixels, firstorder.intensity_sql(abs(s.coarse_gray_depth) or 64)).join(bins, list(KEYS))
     if plain in ("glcm", "glrlm"):
-        text = texture.glcm_sql(depth, s.glcm3_offset if three_d else s.glcm_offset, s.glcm_symmetric, three_d, ave, by_index=s.level_index and depth < 0) if plain == "glcm" else texture.glrlm_sql(depth, three_d, ave, background=outside)
-        return run(pixels, text) if ave else _wide(pixels, text, texture.names(plain.upper(), three_d))
+        only = s.glcm_angles if plain == "glcm" and not three_d else ()
+        text = texture.glcm_sql(depth, s.glcm3_offset if three_d else s.glcm_offset, s.glcm_symmetric, three_d, ave, by_index=s.level_index and depth < 0, only=only) if plain == "glcm" else texture.glrlm_sql(depth, three_d, ave, background=outside)
+        return run(pixels, text) if ave else _wide(pixels, text, texture.names(plain.upper(), three_d), only)
     if plain in ("glszm", "gldzm"):
         return zone_features(pixels, plain.upper(), depth, three_d, plain == "gldzm" and s.gldzm_straight, outside)
     if name == "shape3":
@@ -157,7 +164,7 @@ def featurize(pixels: DataFrame, features: str | Iterable[str] = "*ALL*", settin
     groups = [n for n in order if n in geometry.GROUPS]
     if groups:
         # all of geometry in one grouped pass
-        whole = geometry.geometry(kept, groups, s.noval, s.geometry)
+        whole = outline.geometry(kept, groups, s.noval, s.geometry)
         done |= dict.fromkeys(groups, whole)
     for name in order:
         if name not in done:
@@ -217,7 +224,7 @@ class SlideFeatures:
         if not header:
             return found
         slides = pixels.select("slide_id", "mask_image").distinct().select("slide_id", F.element_at(F.split("slide_id", "/"), -1).alias("intensity_image"), F.element_at(F.split("mask_image", "/"), -1).alias("mask_image"))
-        return output.with_header_columns(found, slides.withColumn("annots", spatial.annotations_of("mask_image")))
+        return output.with_header_columns(found, slides.withColumn("annots", spatial.annotations_of("mask_image", self.settings.annotation_separator)))
 
     def featurize_directory(self, intensity_dir: str, label_dir: str | None = None, file_pattern: str = ".*", header: bool = False) -> DataFrame:
         """Images of a folder and masks of the same names; without masks each image is one region.
@@ -326,10 +333,11 @@ class ImageQuality(SlideFeatures):
 class NestedRois:
     """Regions within regions: relations by containment, and children's features joined to their parents.
 
-    how: SUM, MEAN, MIN, MAX, WMA, NONE, a function from a column to an aggregate, or a dict from feature to one of these.
+    how: an aggregate by name, NONE, a function of a column or of a pandas Series, a dict from feature to one of these, or a list of them and of
+    (name, function), see spatial.aggregate_children().
     """
 
-    def __init__(self, how: str | Callable | dict[str, str | Callable] = "SUM", least_children: int = 0) -> None:
+    def __init__(self, how: str | Callable | Sequence | dict[str, str | Callable] = "SUM", least_children: int = 0) -> None:
         self.how, self.least_children = how, least_children
 
     def find_relations(self, parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -348,5 +356,23 @@ class NestedRois:
 
         return self.find_relations(masks(0), masks(1))
 
+    def featurize_files(self, engine: SlideFeatures, intensity_dir: str, label_dir: str, channel_signature: str, parent_channel: int, child_channel: int) -> DataFrame:
+        """Features of the parents' regions with those of their children's, from images and masks of the same names whose channels differ as in find_file_relations()."""
+        from roiforge.sources.images import files
+
+        spark = engine.spark
+        paths = [r[0] for r in files(spark, label_dir).select("path").collect()]
+        pairs = spatial.pair_by_channel(paths, channel_signature, parent_channel, child_channel)
+        found = stored(engine.featurize_directory(intensity_dir, label_dir), "features")
+        names = [c for c in found.columns if c not in KEYS]
+
+        def side(k: int) -> DataFrame:
+            told = spark.createDataFrame([(p[k + 1].rsplit("/", 1)[-1], p[0]) for p in pairs], "file string, stem string")
+            mine = found.withColumn("file", F.element_at(F.split("slide_id", "/"), -1)).join(F.broadcast(told), "file")
+            return mine.select(F.col("stem").alias("slide_id"), "t", "label", *[F.col(f"`{c}`") for c in names])
+
+        relations = self.find_file_relations(spark, label_dir, channel_signature, parent_channel, child_channel)
+        return self.featurize(relations, side(0), side(1), names)
+
     def featurize(self, relations: DataFrame, parents: DataFrame, children: DataFrame, features: Sequence[str]) -> DataFrame:
         return spatial.aggregate_children(relations, parents, children, self.how, features, self.least_children)

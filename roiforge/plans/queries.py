@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roiforge.functions.sqltext import KEYS, rounded, run
-from roiforge.operators import firstorder, geometry, imagequality, output, shape, spatial, texture, volume
+from roiforge.operators import firstorder, geometry, imagequality, outline, output, shape, spatial, texture, volume
 from roiforge.operators.zones import zone_features
 from roiforge.sources.adapters import ADAPTERS, pixels
 
@@ -53,8 +53,7 @@ family("morphology", "sparse", shape.morphology_sql, shape.MORPHOLOGY)
 family("ellipse", "sparse", shape.ellipse_sql, shape.ELLIPSE)
 family("extrema", "sparse", shape.extrema_sql, shape.EXTREMA)
 family("euler_number", "compact", shape.euler_sql, ["EULER_NUMBER"])
-family("box_counts", "sparse", shape.aligned_box_counts_sql, ["FRACT_DIM_BOXCOUNT"])
-family("box_counts_padded", "sparse", shape.box_counts_sql, ["FRACT_DIM_BOXCOUNT"])
+family("box_counts", "sparse", shape.box_counts_sql, ["FRACT_DIM_BOXCOUNT"])
 family("moments_shape", "quarters", partial(shape.moments_sql, "1e0", shape.SHAPE_NAMES), shape.moment_names(shape.SHAPE_NAMES))
 family("moments_intensity", "dense", partial(shape.moments_sql, "cast(a.inten as double)", shape.INTENSITY_NAMES), shape.moment_names(shape.INTENSITY_NAMES))
 family("glcm", "dense", partial(texture.glcm_sql, 16), texture.names("GLCM"), ANGLED)
@@ -84,94 +83,55 @@ family("focus", "dense", imagequality.focus_sql, imagequality.FOCUS)
 family("saturation", "dense", imagequality.saturation_sql, imagequality.SATURATION)
 family("surface_3d", "volume", volume.surface_sql, volume.SURFACE)
 
-_PARENTS = "SELECT * FROM {pixels} WHERE label % 2 = 1"
-_CHILDREN = "SELECT slide_id, t, label, x, y, z, inten FROM {pixels} WHERE label % 2 = 0 AND x < 20 AND y < 20"
-
 
 def _side(dialect: str, which: str, adapter: str = "sparse") -> str:
     return which.replace("{pixels}", f"({ADAPTERS[adapter](dialect)}) AS adapted")
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    every = pixels(spark, sf_dir, "sparse")
-    parents, children = run(every, _PARENTS), run(every, _CHILDREN)
-    return spark.sql(spatial.containment_sql(), parents=parents, children=children), parents, children
-
-
-def nested_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _relations(spark, sf_dir)[0]
-
-
-_NESTED_SQL = spatial.containment_sql(f"({_side('duckdb', _PARENTS)}) AS ps", f"({_side('duckdb', _CHILDREN)}) AS cs")
-
-
 def _children_joined(relations: DataFrame, parents: DataFrame, children: DataFrame, how: str, least_children: int = 0) -> DataFrame:
     size = lambda df, name: df.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("double").alias(name))
     return spatial.aggregate_children(relations, size(parents, "area"), size(children, "area"), how, ["area"], least_children)
 
 
-def _nested(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    return _children_joined(*_relations(spark, sf_dir), how, least_children=3)
-
-
-def nested_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nested(spark, sf_dir, "SUM")
-
-
-def nested_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nested(spark, sf_dir, "MEAN")
-
-
-def nested_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nested(spark, sf_dir, "NONE")
-
-
 _SIZES = "SELECT slide_id, t, label, cast(count(*) as double) AS area FROM ({}) AS q GROUP BY slide_id, t, label"
 
 
-def _nested_sql(aggregate: str) -> str:
-    children = f"SELECT r.slide_id, r.t, r.parent_label, {aggregate} FROM (SELECT r.slide_id, r.t, r.parent_label, c.area, row_number() OVER (PARTITION BY r.slide_id, r.t, r.parent_label ORDER BY r.child_label) AS k FROM ({_NESTED_SQL}) AS r JOIN ({_SIZES.format(_side('duckdb', _CHILDREN))}) AS c ON r.slide_id = c.slide_id AND r.t = c.t AND r.child_label = c.label) AS r GROUP BY r.slide_id, r.t, r.parent_label"
-    names = [a.split(" AS ")[-1] for a in aggregate.split(", ")]
-    shown = ", ".join(f"coalesce(w.{n}, 0e0) AS {n}" for n in names)
-    return f"SELECT p.slide_id, p.t, p.label AS parent_label, p.area, {shown} FROM ({_SIZES.format(_side('duckdb', _PARENTS))}) AS p LEFT JOIN ({children}) AS w ON p.slide_id = w.slide_id AND p.t = w.t AND p.label = w.parent_label"
-
-
-QUERIES |= {"nested_relations": nested_relations, "nested_sum": nested_sum, "nested_mean": nested_mean, "nested_pivot": nested_pivot}
-ORACLE_SQL |= {
-    "nested_relations": _NESTED_SQL,
-    "nested_sum": _nested_sql("sum(area) AS child_area"),
-    "nested_mean": _nested_sql("avg(area) AS child_area"),
-    "nested_pivot": _nested_sql("max(CASE WHEN k = 1 THEN area END) AS child1_area, max(CASE WHEN k = 2 THEN area END) AS child2_area, max(CASE WHEN k = 3 THEN area END) AS child3_area"),
-}
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _nested_pixels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Regions of all line items twice: on the grid of side 32 as parents, folded to side 12 as children."""
     parents, children = pixels(spark, sf_dir, "sparse"), pixels(spark, sf_dir, "compact")
     return spark.sql(spatial.containment_sql(), parents=parents, children=children), parents, children
 
 
-def nested_whole_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(spark, sf_dir)[0]
+def nested_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested_pixels(spark, sf_dir)[0]
 
 
-def _nested_whole(how: str) -> Query:
-    return lambda spark, sf_dir: _children_joined(*_whole(spark, sf_dir), how)
+def _nested(how: str) -> Query:
+    return lambda spark, sf_dir: _children_joined(*_nested_pixels(spark, sf_dir), how)
 
 
 _EVERY = "SELECT * FROM {pixels}"
-_WHOLE_SQL = spatial.containment_sql(f"({_side('duckdb', _EVERY)}) AS ps", f"({_side('duckdb', _EVERY, 'compact')}) AS cs")
+_NESTED_SQL = spatial.containment_sql(f"({_side('duckdb', _EVERY)}) AS ps", f"({_side('duckdb', _EVERY, 'compact')}) AS cs", "duckdb")
 
 
-def _nested_whole_sql(aggregate: str) -> str:
+def _nested_sql(aggregate: str) -> str:
     child = f"({_SIZES.format(_side('duckdb', _EVERY, 'compact'))})"
-    joined = f"SELECT r.slide_id, r.t, r.parent_label, {aggregate} AS child_area FROM ({_WHOLE_SQL}) AS r JOIN {child} AS c ON r.slide_id = c.slide_id AND r.t = c.t AND r.child_label = c.label GROUP BY r.slide_id, r.t, r.parent_label"
-    return f"SELECT p.slide_id, p.t, p.label AS parent_label, p.area, coalesce(w.child_area, 0e0) AS child_area FROM ({_SIZES.format(_side('duckdb', _EVERY))}) AS p LEFT JOIN ({joined}) AS w ON p.slide_id = w.slide_id AND p.t = w.t AND p.label = w.parent_label"
+    ranked = f"SELECT r.slide_id, r.t, r.parent_label, area, row_number() OVER (PARTITION BY r.slide_id, r.t, r.parent_label ORDER BY r.child_label) AS k FROM ({_NESTED_SQL}) AS r JOIN {child} AS c ON r.slide_id = c.slide_id AND r.t = c.t AND r.child_label = c.label"
+    joined = f"SELECT slide_id, t, parent_label, {aggregate} FROM ({ranked}) AS k GROUP BY slide_id, t, parent_label"
+    shown = ", ".join(f"coalesce(w.{n}, 0e0) AS {n}" for n in (a.split(" AS ")[-1] for a in aggregate.split(", ")))
+    return f"SELECT p.slide_id, p.t, p.label AS parent_label, p.area, {shown} FROM ({_SIZES.format(_side('duckdb', _EVERY))}) AS p LEFT JOIN ({joined}) AS w ON p.slide_id = w.slide_id AND p.t = w.t AND p.label = w.parent_label"
+
+
+#: Line numbers are 1 to 7, so no family is larger.
+_MOST_CHILDREN = 7
+
+
+def nested_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _children_joined(*_nested_pixels(spark, sf_dir), "NONE", _MOST_CHILDREN)
 
 
-#: The number of columns of nested_whole_pivot follows from the data, which SQL can't express.
-QUERIES |= {"nested_whole_relations": nested_whole_relations, "nested_whole_sum": _nested_whole("SUM"), "nested_whole_mean": _nested_whole("MEAN"), "nested_whole_pivot": _nested_whole("NONE")}
-ORACLE_SQL |= {"nested_whole_relations": _WHOLE_SQL, "nested_whole_sum": _nested_whole_sql("sum(c.area)"), "nested_whole_mean": _nested_whole_sql("avg(c.area)")}
+QUERIES |= {"nested_relations": nested_relations, "nested_sum": _nested("SUM"), "nested_mean": _nested("MEAN"), "nested_pivot": nested_pivot}
+ORACLE_SQL |= {"nested_relations": _NESTED_SQL, "nested_sum": _nested_sql("sum(area) AS child_area"), "nested_mean": _nested_sql("avg(area) AS child_area"), "nested_pivot": _nested_sql(", ".join(f"max(CASE WHEN k = {k} THEN area END) AS child{k}_area" for k in range(1, _MOST_CHILDREN + 1)))}
 
 
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +176,7 @@ FROM (SELECT regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1) AS base FROM pages)
 
 def geometric(name: str, adapter: str, groups: Sequence[str]) -> None:
     """Registers groups of the grouped pass; SQL can't express them."""
-    QUERIES[name] = lambda spark, sf_dir: geometry.geometry(pixels(spark, sf_dir, adapter), groups)
+    QUERIES[name] = lambda spark, sf_dir: outline.geometry(pixels(spark, sf_dir, adapter), groups)
 
 
 geometric("contour", "compact", ["contour", "hull", "geodetic", "circles", "radius"])
@@ -233,7 +193,7 @@ QUERIES["shape_3d"] = lambda spark, sf_dir: volume.shape3(pixels(spark, sf_dir,
 
 def polygonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir, "compact")
-    return geometry.polygonality(run(px, spatial.neighbours_sql()), geometry.geometry(px, ["contour", "hull", "caliper"]))
+    return geometry.polygonality(run(px, spatial.neighbours_sql()), outline.geometry(px, ["contour", "hull", "caliper"]))
 
 
 QUERIES["polygonality"] = polygonality

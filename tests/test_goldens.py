@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from roiforge.functions.sqltext import run
-from roiforge.operators import geometry, shape, spatial
+from roiforge.operators import geometry, outline, shape, spatial
 from roiforge.sources.arrays import montage
 
 # fixed values: an 8x8 image of one region with a hole, 0 outside it
@@ -114,7 +114,7 @@ def test_pinned_relations(spark):
 
 def test_pinned_polygons(spark):
     px = montage(spark, SCENE, SCENE)
-    scores = geometry.polygonality(run(px, spatial.neighbours_sql()), geometry.geometry(px, ["contour", "hull", "caliper"])).where("label = 1").first()
+    scores = geometry.polygonality(run(px, spatial.neighbours_sql()), outline.geometry(px, ["contour", "hull", "caliper"])).where("label = 1").first()
     assert tuple(scores[n] for n in geometry.POLYGONS) == pytest.approx(SCORES, rel=1e-3)
 
 
