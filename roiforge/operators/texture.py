@@ -47,6 +47,20 @@ r AS (SELECT {K}, min(i) AS mn, max(i) AS mx FROM px GROUP BY {K}),
 b AS (SELECT {of("px")}, x, y, z, i, mn, mx, {level(depth)} AS g FROM px JOIN r ON {on("px", "r")}{" WHERE i <> 0e0" if skip_zero else ""})"""
 
 
+def all_levels_sql(depth: int) -> str:
+    """What several families of one depth share: pixels with intensity i, extrema mn and mx of their region, and grey level g."""
+    return f"WITH {binned(depth, False)} SELECT {K}, x, y, z, i, mn, mx, g FROM b"
+
+
+def on_levels(text: str, depth: int, skip_zero: bool = True) -> str:
+    """A family's text with its binning read from {levels}, an all_levels_sql() of the same depth, instead of computed."""
+    own = f"""b AS (SELECT {K}, x, y, z, i, mn, mx, g FROM {{levels}}{" WHERE i <> 0e0" if skip_zero else ""}),
+r AS (SELECT {K}, max(mn) AS mn, max(mx) AS mx FROM {{levels}} GROUP BY {K})"""
+    if binned(depth, skip_zero) not in text:
+        raise ValueError("this text doesn't bin by that depth")
+    return text.replace(binned(depth, skip_zero), own)
+
+
 # --- matrix sums -----------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,8 @@ across a seam link their zones, and the links' connected components merge them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,15 +60,14 @@ def zone_roots(x: np.ndarray, y: np.ndarray, z: np.ndarray, g: np.ndarray, aroun
     return out
 
 
-def zones(pixels: DataFrame, depth: int, three_d: bool = False, straight: bool = False, background: bool = False) -> DataFrame:
-    """Pixels with level g and root, the number of their zone in the region."""
+def zones(levels: DataFrame, three_d: bool = False, straight: bool = False) -> DataFrame:
+    """Pixels (region, x, y, z, g: their level) with root, the number of their zone in the region."""
     around = zone_neighbours(three_d, straight)
 
     def label(table: pa.Table) -> pa.Table:
         x, y, z, g = (table.column(c).to_numpy() for c in ("x", "y", "z", "g"))
         return table.append_column("root", pa.array(zone_roots(x, y, z, g, around)))
 
-    levels = run(pixels, levels_sql(depth, background))
     return levels.groupBy(*KEYS).applyInArrow(label, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in levels.schema.fields) + ", root bigint")
 
 
@@ -76,8 +77,8 @@ def extent(pixels: DataFrame) -> int:
     return int((sides.agg(F.max("side")).first()[0] or -1) + 1)
 
 
-def tiled_zones(pixels: DataFrame, depth: int, tile: int, three_d: bool = False, straight: bool = False, background: bool = False) -> DataFrame:
-    """Pixels with level g, root (the number of their zone's part in the tile's box, counted over the region's box) and whether they lie at a seam. Tiles begin at the region's corner."""
+def tiled_zones(levels: DataFrame, tile: int, three_d: bool = False, straight: bool = False) -> DataFrame:
+    """Pixels with root (the number of their zone's part in the tile's box, counted over the region's box) and whether they lie at a seam. Tiles begin at the region's corner."""
     around = zone_neighbours(three_d, straight)
 
     def label(table: pa.Table) -> pa.Table:
@@ -86,7 +87,6 @@ def tiled_zones(pixels: DataFrame, depth: int, tile: int, three_d: bool = False,
         # a zone is named by its first pixel's number in the region
         return table.drop_columns(["cell"]).append_column("root", pa.array(cell[order][zone_roots(x, y, z, g, around)]))
 
-    levels = run(pixels, levels_sql(depth, background))
     box = levels.groupBy(*KEYS).agg(*(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
     at = {c: F.col(c) - F.col(f"lo_{c}") for c in "xyz"}
     wide = {c: F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1 for c in "xyz"}
@@ -128,10 +128,31 @@ def merged_parts(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("zones did not settle")
 
 
-def zone_features(pixels: DataFrame, family: str, depth: int = 64, three_d: bool = False, straight: bool = False, background: bool = False, tile: int | None = None) -> DataFrame:
-    """GLSZM or GLDZM features of each region. Where a region is longer than a tile's side, all are labelled by tile; the values are the same."""
+@dataclass(frozen=True)
+class Zones:
+    """Labelled pixels, and what their parts belong to where regions were cut into tiles."""
+
+    pixels: DataFrame
+    merged: DataFrame | None = None
+
+
+def labelled(levels: DataFrame, three_d: bool = False, straight: bool = False, tile: int | None = None, keep: bool = False) -> Zones:
+    """Zones of pixels with levels. Where a region is longer than a tile's side, all are labelled by tile; zones are the same. keep: written, for several features."""
     side = tile or (TILE_3D if three_d else TILE)
-    if extent(pixels) <= side:
-        return run(pixels, zone_features_sql(family, three_d), zones=zones(pixels, depth, three_d, straight, background))
-    parts = stored(tiled_zones(pixels, depth, side, three_d, straight, background), "zones")
-    return run(pixels, zone_features_sql(family, three_d, merged=True), zones=parts, merged=merged_parts(seams(parts, three_d, straight)))
+    if extent(levels) <= side:
+        found = zones(levels, three_d, straight)
+        return Zones(stored(found, "zones") if keep else found)
+    parts = stored(tiled_zones(levels, side, three_d, straight), "zones")
+    return Zones(parts, merged_parts(seams(parts, three_d, straight)))
+
+
+def features_of(found: Zones, family: str, three_d: bool = False) -> DataFrame:
+    """GLSZM or GLDZM features of each region from its zones."""
+    if found.merged is None:
+        return run(found.pixels, zone_features_sql(family, three_d), zones=found.pixels)
+    return run(found.pixels, zone_features_sql(family, three_d, merged=True), zones=found.pixels, merged=found.merged)
+
+
+def zone_features(pixels: DataFrame, family: str, depth: int = 64, three_d: bool = False, straight: bool = False, background: bool = False, tile: int | None = None) -> DataFrame:
+    """GLSZM or GLDZM features of each region of pixels."""
+    return features_of(labelled(run(pixels, levels_sql(depth, background)), three_d, straight, tile), family, three_d)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from roiforge.functions.sqltext import KEYS, run
 from roiforge.functions.store import stored
 from roiforge.operators import firstorder, geometry, imagequality, outline, output, shape, spatial, texture, volume
-from roiforge.operators.zones import zone_features
+from roiforge.operators.zones import Zones, features_of, labelled
 from roiforge.plans.registry import FAMILIES, PROVIDER, USER, ordered_families, resolve
 from roiforge.session import ship
 
@@ -88,26 +88,87 @@ _METAPARAMETERS = {"glcm/offset": "glcm_offset", "3glcm/offset": "glcm3_offset",
 _DEPTH_FAMILIES = tuple(f"{d}{f}" for d in ("", "3") for f in ("glcm", "glrlm", "glszm", "gldzm", "gldm", "ngldm", "ngtdm"))
 
 
-def _wide(pixels: DataFrame, text: str, names: Sequence[str], only: Sequence[int] = ()) -> DataFrame:
+def _wide(long: DataFrame, names: Sequence[str], only: Sequence[int] = ()) -> DataFrame:
     """Features by direction (column a) as one column for each feature and direction."""
-    long = run(pixels, text)
     angles = [a for a, *_ in (texture.ANGLES_3D if names[0].startswith("3") else texture.ANGLES) if not only or a in only]
     return long.groupBy(*KEYS).agg(*[F.max(F.when(F.col("a") == a, F.col(f"`{n}`"))).alias(f"{n}_{a}") for n in names for a in angles])
 
 
-def family_frame(pixels: DataFrame, name: str, s: Settings, done: dict[str, DataFrame]) -> DataFrame:
+#: Families that bin intensities to grey levels and draw on nothing else.
+_LEVELLED = ("glcm", "glrlm", "gldm", "ngtdm", "glszm", "gldzm")
+
+
+def _plain(name: str) -> tuple[str, bool]:
+    """A texture family's name without dimension and average, and whether it is of volumes."""
+    return name.removesuffix("_ave").rstrip("3"), name.removesuffix("_ave").endswith("3")
+
+
+class Shared:
+    """Relations that several of the asked families draw on, each computed once and written: grey levels by depth, with the region's extrema, and zones.
+
+    A relation that only one family needs is left to its plan.
+    """
+
+    def __init__(self, pixels: DataFrame, families: Sequence[str], s: Settings) -> None:
+        self.pixels, self.s, self._levels, self._zones = pixels, s, {}, {}
+        uses = [self._key(f) for f in families if _plain(f)[0] in _LEVELLED and f not in USER.functions]
+        self._common = {k for k in uses if uses.count(k) > 1}
+        self._both = {k for k in (self._zone_key(f) for f in families if _plain(f)[0] == "glszm") if k in [self._zone_key(f) for f in families if _plain(f)[0] == "gldzm"]}
+
+    def outside(self, name: str) -> bool:
+        """Whether background counts: with levels from 1 on, in families of images that take it."""
+        plain, three_d = _plain(name)
+        return self.s.background and self._depth(name) > 0 and not three_d and plain in ("glrlm", "glszm", "gldzm", "ngtdm")
+
+    def _depth(self, name: str) -> int:
+        plain, three_d = _plain(name)
+        return self.s.depth_of(("3" if three_d else "") + plain)
+
+    def _key(self, name: str) -> tuple[int, bool]:
+        return self._depth(name), self.outside(name)
+
+    def _zone_key(self, name: str) -> tuple:
+        plain, three_d = _plain(name)
+        return *self._key(name), three_d, plain == "gldzm" and self.s.gldzm_straight
+
+    def _of(self, name: str) -> DataFrame:
+        return run(self.pixels, texture.background_sql()) if self.outside(name) else self.pixels
+
+    def levels(self, name: str) -> DataFrame | None:
+        """The family's grey levels if another family shares them."""
+        key = self._key(name)
+        if key not in self._common:
+            return None
+        if key not in self._levels:
+            self._levels[key] = stored(run(self._of(name), texture.all_levels_sql(key[0])), "levels")
+        return self._levels[key]
+
+    def run(self, name: str, text: str) -> DataFrame:
+        """A family's text over its pixels, or over the shared levels."""
+        levels = self.levels(name)
+        if levels is None:
+            return run(self._of(name), text)
+        return run(self.pixels, texture.on_levels(text, self._depth(name), not self.outside(name)), levels=levels)
+
+    def zones(self, name: str) -> Zones:
+        key = self._zone_key(name)
+        if key not in self._zones:
+            levels = self.levels(name)
+            own = run(self._of(name), texture.levels_sql(key[0], key[1])) if levels is None else levels.where(F.lit(True) if key[1] else F.col("i") != 0).select(*KEYS, "x", "y", "z", "g")
+            self._zones[key] = labelled(own, key[2], key[3], keep=key in self._both)
+        return self._zones[key]
+
+
+def family_frame(pixels: DataFrame, name: str, s: Settings, done: dict[str, DataFrame], shared: Shared | None = None) -> DataFrame:
     """One family's features, one row a region."""
+    shared = shared or Shared(pixels, [name], s)
     if name in USER.functions:
         function = USER.functions[name]
         needs = FAMILIES[name].requires
         return function(pixels, {r: done[r] for r in needs}) if needs else function(pixels)
-    three_d = name.removesuffix("_ave").endswith("3")
-    plain = name.removesuffix("_ave").rstrip("3")
+    plain, three_d = _plain(name)
     depth = s.depth_of(("3" if three_d else "") + plain)
-    # background counts with levels from 1 on only
-    outside = s.background and depth > 0 and not three_d
-    if outside and plain in ("glrlm", "glszm", "gldzm", "ngtdm"):
-        pixels = run(pixels, texture.background_sql())
+    outside = shared.outside(name)
     ave = name.endswith("_ave")
     simple = {
         "ih": lambda: firstorder.ih_sql(s.histogram_bins), "morphology": lambda: shape.morphology_sql(1 / s.pixels_per_micron), "ellipse": shape.ellipse_sql, "extrema": shape.extrema_sql, "euler": shape.euler_sql, "boxcount": shape.box_counts_sql,
@@ -117,16 +178,17 @@ def family_frame(pixels: DataFrame, name: str, s: Settings, done: dict[str, Data
         "ngtdm": lambda: texture.ngtdm_sql(depth, background=outside), "ngtdm3": lambda: texture.ngtdm_sql(depth, True, radius=s.ngtdm3_radius),
     }
     if name in simple:
-        return run(pixels, simple[name]())
+        return shared.run(name, simple[name]()) if plain in _LEVELLED else run(pixels, simple[name]())
     if name == "intensity":
         bins = run(pixels, firstorder.histogram_sql(s.histogram_bins))
         return run(pixels, firstorder.intensity_sql(abs(s.coarse_gray_depth) or 64)).join(bins, list(KEYS))
     if plain in ("glcm", "glrlm"):
         only = s.glcm_angles if plain == "glcm" and not three_d else ()
         text = texture.glcm_sql(depth, s.glcm3_offset if three_d else s.glcm_offset, s.glcm_symmetric, three_d, ave, by_index=s.level_index and depth < 0, only=only) if plain == "glcm" else texture.glrlm_sql(depth, three_d, ave, background=outside)
-        return run(pixels, text) if ave else _wide(pixels, text, texture.names(plain.upper(), three_d), only)
+        long = shared.run(name, text)
+        return long if ave else _wide(long, texture.names(plain.upper(), three_d), only)
     if plain in ("glszm", "gldzm"):
-        return zone_features(pixels, plain.upper(), depth, three_d, plain == "gldzm" and s.gldzm_straight, outside)
+        return features_of(shared.zones(name), plain.upper(), three_d)
     if name == "shape3":
         return volume.shape3(pixels)
     if name == "polygons":
@@ -150,7 +212,8 @@ def featurize(pixels: DataFrame, features: str | Iterable[str] = "*ALL*", settin
     """One row a region (slide_id, t, label) with the selected features.
 
     Background (label 0) and null labels are left out. Only the families asked for, and those they require, are planned; each
-    is a plan of its own over the same pixels, joined on the region, so unused columns are pruned by the optimizer.
+    is a plan of its own over the same pixels, joined on the region, so unused columns are pruned by the optimizer. What several of them draw on is
+    computed once, see Shared.
     """
     s = settings or Settings()
     ship(pixels.sparkSession)
@@ -166,9 +229,10 @@ def featurize(pixels: DataFrame, features: str | Iterable[str] = "*ALL*", settin
         # all of geometry in one grouped pass
         whole = outline.geometry(kept, groups, s.noval, s.geometry)
         done |= dict.fromkeys(groups, whole)
+    shared = Shared(kept, order, s)
     for name in order:
         if name not in done:
-            done[name] = family_frame(kept, name, s, done)
+            done[name] = family_frame(kept, name, s, done, shared)
     wanted = set(names)
     shown = [n for n in done if n not in groups and any(PROVIDER[x] == n for x in names)]
     parts = [done[n].select(*KEYS, *[F.col(f"`{c}`") for c in _columns(n, done[n], wanted)]) for n in shown]

@@ -4,11 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roiforge.functions.sqltext import run
 from roiforge.operators import texture, zones
 from roiforge.operators.zones import zone_features, zone_roots
 from roiforge.sources.arrays import montage
 
 
+def levels(df):
+    return run(df, texture.levels_sql(0))
+
+
 def frame(spark, pixels):
     return spark.createDataFrame([("s", 0, int(k), *map(int, p)) for k, p in pixels], "slide_id string, t long, label long, x long, y long, z long, inten long")
 
@@ -23,9 +28,9 @@ def shape(rng, side, levels, depth=1, hole=0.1):
 @pytest.mark.parametrize("tile, three_d, straight", [(4, False, False), (7, False, True), (16, False, False), (5, True, False)])
 def test_tiled_zones_are_those_of_one_pass(spark, tile, three_d, straight):
     rng = np.random.default_rng(tile)
-    pixels = [(k, p) for k in (1, 2) for p in shape(rng, 17 if three_d else 45, 2 + k, 6 if three_d else 1)]
+    pixels = [(k, p) for k in (1, 2) for p in shape(rng, 13 if three_d else 30, 2 + k, 4 if three_d else 1)]
     df = frame(spark, pixels)
-    parts = zones.tiled_zones(df, 0, tile, three_d, straight)
+    parts = zones.tiled_zones(levels(df), tile, three_d, straight)
     merged = {(r["label"], r["part"]): r["root"] for r in zones.merged_parts(zones.seams(parts, three_d, straight)).collect()}
     found = {}
     for r in parts.collect():
@@ -57,7 +62,7 @@ def test_a_spiral_over_many_tiles(spark):
             dx, dy, turns = -dy, dx, turns + 1
     image = np.where(grid == 1, 5, 9)
     df = montage(spark, image, np.ones((side, side), int))
-    parts = zones.tiled_zones(df, 0, 6, straight=True)
+    parts = zones.tiled_zones(levels(df), 6, straight=True)
     roots = parts.join(zones.merged_parts(zones.seams(parts, straight=True)).withColumnRenamed("root", "least"), parts["root"] == F.col("part"), "left")
     found = roots.groupBy("g").agg(F.countDistinct(F.coalesce("least", "root")).alias("k")).collect()
     assert {r["g"]: r["k"] for r in found}[5] == 1
@@ -67,7 +72,7 @@ def test_a_region_of_ten_million_pixels(spark):
     side = 3200
     cells = spark.range(side * side).selectExpr("'s' slide_id", "0L t", "1L label", f"id % {side} x", f"id div {side} y", "0L z")
     df = cells.withColumn("inten", 1 + (F.floor(F.col("x") / 800) + F.floor(F.col("y") / 800)) % 2)
-    parts = zones.tiled_zones(df, 0, 1024)
+    parts = zones.tiled_zones(levels(df), 1024)
     assert parts.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     row = zone_features(df, "GLSZM", 0).first()
     # 8-connected, squares of equal level join at their corners: two zones of half the region each
