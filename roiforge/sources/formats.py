@@ -1,7 +1,7 @@
 """Decoders of image files' bytes to numpy arrays (t, z, y, x): TIFF, NIfTI-1, DICOM and OME-Zarr chunks.
 
-Pure numpy and zlib: classic and big TIFF in strips or tiles, uncompressed, deflated, LZW or PackBits; uncompressed little-endian DICOM, nested
-sequences skipped; raw, zlib and gzip Zarr v2.
+Classic and big TIFF in strips or tiles, uncompressed, deflated, LZW or PackBits; little-endian DICOM, plain, run-length encoded or lossless JPEG, nested
+sequences skipped; Zarr v2, raw or by zlib, gzip, LZ4, Zstandard or Blosc.
 """
 
 from __future__ import annotations
@@ -14,11 +14,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 # fixed values: TIFF tags and sample formats, NIfTI and DICOM codes
 _WIDTH, _LENGTH, _BITS, _COMPRESSION, _STRIPS, _ROWS, _COUNTS, _PREDICTOR, _TILE_W, _TILE_H, _TILES, _TILE_COUNTS, _FORMAT = 256, 257, 258, 259, 273, 278, 279, 317, 322, 323, 324, 325, 339
 _TIFF_TYPES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 _NIFTI = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+# plain (implicit, explicit) and packed (run lengths, lossless JPEG) transfer syntaxes
+_DICOM_PLAIN = ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1")
+_DICOM_PACKED = ("1.2.840.10008.1.2.5", "1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70")
 _LONG_VR = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN")
 
 
@@ -217,16 +221,16 @@ def _dicom_tags(data: bytes) -> dict[tuple[int, int], bytes]:
             size = struct.unpack("<I", data[at + 4 : at + 8])[0]
             at += 8
         if size == 0xFFFFFFFF:
+            start, at = at, _after_items(data, at, explicit)
             if tag == (0x7FE0, 0x10):
-                raise ValueError("compressed DICOM data is not supported")
-            at = _after_items(data, at, explicit)
+                found[tag] = data[start:at]
             continue
         found[tag] = data[at : at + size]
         if tag == (2, 0x10):
             syntax = found[tag].rstrip(b"\0 ").decode()
-            if syntax not in ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1"):
+            if syntax not in (*_DICOM_PLAIN, *_DICOM_PACKED):
                 raise ValueError(f"DICOM transfer syntax {syntax} is not supported")
-            explicit = syntax.endswith(".1")
+            explicit = syntax != _DICOM_PLAIN[0]
         at += size
     return found
 
@@ -241,26 +245,169 @@ def dicom_shape(data: bytes) -> tuple[int, int, int, int]:
     return _dicom_shape(_dicom_tags(data))
 
 
+def _fragments(data: bytes) -> list[bytes]:
+    """Items of encapsulated pixel data, the table of offsets left out."""
+    found, at = [], 0
+    while at + 8 <= len(data) and struct.unpack_from("<HH", data, at) == (0xFFFE, 0xE000):
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        found.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return found[1:]
+
+
+def run_length_frame(data: bytes, width: int) -> bytes:
+    """A frame of DICOM's run-length encoding: a segment of packed bytes for each byte of a cell, the highest first."""
+    n, *starts = struct.unpack_from("<16I", data)
+    if n != width:
+        raise ValueError(f"{n} segments for cells of {width} bytes")
+    ends = [*starts[1:n], len(data)]
+    planes = [np.frombuffer(unpacked_bits(data[a:b]), dtype=np.uint8) for a, b in zip(starts[:n], ends, strict=True)]
+    least = min(map(len, planes))
+    return np.stack([p[:least] for p in planes[::-1]], axis=1).tobytes()
+
+
+class _Bits:
+    """Bits of a JPEG scan, high ones first; a zero byte after 255 is stuffing."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def peek(self, n: int) -> int:
+        while self.n < n:
+            byte = self.data[self.at] if self.at < len(self.data) else 0
+            self.at += 2 if byte == 255 and self.data[self.at + 1 : self.at + 2] == b"\0" else 1
+            self.held, self.n = (self.held << 8 | byte) & 0xFFFFFFFFFF, self.n + 8
+        return self.held >> self.n - n & (1 << n) - 1
+
+    def take(self, n: int) -> int:
+        v = self.peek(n)
+        self.n -= n
+        return v
+
+
+def lossless_jpeg(data: bytes) -> np.ndarray:
+    """A frame of one component of lossless JPEG (Huffman codes of the differences from a predictor)."""
+    at, codes, shape, bits = 2, {}, (0, 0), 8
+    while True:
+        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC3:
+            bits, shape = body[0], struct.unpack_from(">HH", body, 1)
+            if body[5] != 1:
+                raise ValueError("lossless JPEG of several components is not supported")
+        elif marker in (0xC0, 0xC1, 0xC2):
+            raise ValueError("lossy JPEG is not supported")
+        elif marker == 0xC4:
+            counts, values, code = body[1:17], iter(body[17:]), 0
+            for length, n in enumerate(counts, 1):
+                for _ in range(n):
+                    codes[length, code] = next(values)
+                    code += 1
+                code <<= 1
+        elif marker == 0xDD and any(body):
+            raise ValueError("restart intervals of lossless JPEG are not supported")
+        elif marker == 0xDA:
+            predictor, shift = body[3], body[5] & 15
+            break
+    # all codes of up to 16 bits, by the bits that come next
+    table = np.zeros(1 << 16, dtype=np.int32)
+    for (length, code), value in codes.items():
+        table[code << 16 - length : code + 1 << 16 - length] = length << 8 | value
+    known, scan = table.tolist(), _Bits(data[at:])
+    h, w = shape
+    out, above = np.zeros((h, w), dtype=np.int64), [1 << bits - shift - 1] * w
+    foretold = {1: lambda a, b, c: a, 2: lambda a, b, c: b, 3: lambda a, b, c: c, 4: lambda a, b, c: a + b - c, 5: lambda a, b, c: a + (b - c >> 1), 6: lambda a, b, c: b + (a - c >> 1), 7: lambda a, b, c: a + b >> 1}[predictor]
+    for y in range(h):
+        row: list[int] = []
+        for x in range(w):
+            # the first row is foretold from the left, and each row's first cell from above
+            guess = above[0] if not x else row[-1] if not y else foretold(row[-1], above[x], above[x - 1])
+            told = known[scan.peek(16)]
+            scan.n -= told >> 8
+            k = told & 255
+            step = 0 if not k else 32768 if k == 16 else scan.take(k)
+            row.append((guess + (step if k in (0, 16) or step >> k - 1 else step - (1 << k) + 1)) & 0xFFFF)
+        out[y], above = row, row
+    return out << shift
+
+
 def dicom(data: bytes) -> np.ndarray:
-    """An uncompressed little-endian image, rescaled by its slope and intercept."""
+    """A little-endian image, plain, run-length encoded or of lossless JPEG, rescaled by its slope and intercept. Frames are decoded one by one."""
     found = _dicom_tags(data)
     number = lambda tag, default: float(found[tag].strip(b"\0 ")) if tag in found else default
     short = lambda tag, default: struct.unpack("<H", found[tag][:2])[0] if tag in found else default
     shape = _dicom_shape(found)
     dtype = ("<i" if short((0x28, 0x103), 0) else "<u") + str(short((0x28, 0x100), 16) // 8)
-    values = np.frombuffer(found[0x7FE0, 0x10], dtype=dtype, count=int(np.prod(shape))).reshape(shape)
+    syntax, cells = found.get((2, 0x10), b"").rstrip(b"\0 ").decode(), found[0x7FE0, 0x10]
+    if syntax in _DICOM_PACKED:
+        parts = _fragments(cells)
+        if len(parts) != shape[1]:
+            # a frame in several fragments
+            parts = [b"".join(parts)] if shape[1] == 1 else parts
+        if len(parts) != shape[1]:
+            raise ValueError(f"{len(parts)} fragments for {shape[1]} frames")
+        cells = b"".join(run_length_frame(p, np.dtype(dtype).itemsize) if syntax == _DICOM_PACKED[0] else lossless_jpeg(p).astype(dtype).tobytes() for p in parts)
+    values = np.frombuffer(cells, dtype=dtype, count=int(np.prod(shape))).reshape(shape)
     return scaled(values, number((0x28, 0x1053), 1.0), number((0x28, 0x1052), 0.0))
 
 
+def _unshuffled(data: bytes, width: int, bits: bool) -> bytes:
+    """Undoes Blosc's shuffles: bytes (or bits) of equal place in their elements stand together. What is left behind whole elements stays."""
+    n = len(data) // width
+    cells = np.frombuffer(data, dtype=np.uint8, count=n * width)
+    if not bits:
+        return cells.reshape(width, n).T.tobytes() + data[n * width :]
+    if n % 8:
+        return data
+    return np.packbits(np.unpackbits(cells, bitorder="little").reshape(width * 8, n).T, bitorder="little").tobytes() + data[n * width :]
+
+
+#: By the number in a Blosc header.
+_BLOSC = {0: "blosclz", 1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}
+
+
+def _unpacked(kind: str, data: bytes, size: int) -> bytes:
+    if kind == "zlib":
+        return zlib.decompress(data)
+    if kind == "blosclz":
+        raise ValueError("Blosc's own codec blosclz is not supported")
+    return pa.Codec(kind).decompress(data, size).to_pybytes()
+
+
+def blosc(data: bytes) -> bytes:
+    """A Blosc container (version 1): blocks of LZ4, Snappy, zlib or Zstandard, shuffled by bytes or bits or not at all."""
+    _, _, flags, width, size, block, _ = struct.unpack_from("<BBBBIII", data)
+    if flags & 2:
+        return data[16 : 16 + size]
+    kind = _BLOSC[flags >> 5]
+    out = []
+    for k, at in enumerate(struct.unpack_from(f"<{-(-size // block)}I", data, 16)):
+        n = min(block, size - k * block)
+        # a whole block may be split into streams, one for each byte of an element
+        streams = width if not flags & 16 and n == block and width <= 16 and block // width >= 128 else 1
+        cells = []
+        for _ in range(streams):
+            packed = struct.unpack_from("<i", data, at)[0]
+            raw = data[at + 4 : at + 4 + packed]
+            cells.append(raw if packed == n // streams else _unpacked(kind, raw, n // streams))
+            at += 4 + packed
+        joined = b"".join(cells)
+        out.append(_unshuffled(joined, width, bool(flags & 4)) if flags & 5 and width > (0 if flags & 4 else 1) else joined)
+    return b"".join(out)
+
+
 def zarr_chunk(data: bytes, meta: str) -> np.ndarray:
     """A chunk of a Zarr v2 array, by the array's .zarray text."""
     m = json.loads(meta)
     how = (m.get("compressor") or {}).get("id")
-    if how in ("zlib", "gzip"):
-        data = gzip.decompress(data) if how == "gzip" else zlib.decompress(data)
-    elif how:
+    size = int(np.prod(m["chunks"])) * np.dtype(m["dtype"]).itemsize
+    known = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress, "blosc": blosc, "zstd": lambda d: _unpacked("zstd", d, size), "lz4": lambda d: _unpacked("lz4_raw", d[4:], struct.unpack_from("<I", d)[0])}
+    if how not in known:
         raise ValueError(f"Zarr compressor {how} is not supported")
-    return np.frombuffer(data, dtype=m["dtype"]).reshape(m["chunks"], order=m.get("order", "C"))
+    if m.get("filters"):
+        raise ValueError("Zarr filters are not supported")
+    return np.frombuffer(known[how](data), dtype=m["dtype"]).reshape(m["chunks"], order=m.get("order", "C"))
 
 
 #: By the file name's ending, longest first.
