@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from roiforge.functions.sqltext import KEYS, K, finished, of, on, with_rows
+from roiforge.functions.sqltext import KEYS, K, finished, of, on, run, with_rows
+from roiforge.operators.geometry import hull as flat_hull
 
 SURFACE = ("3AREA", "3VOXEL_VOLUME")
 SHAPE3 = (
@@ -41,49 +45,55 @@ def hull_volume(points: np.ndarray) -> float:
     if line.max() < 1e-9 or np.abs(height).max() < 1e-9:
         return 0.0
     inner = (a + b + c + d) / 4
-    faces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> None:
-        faces.append((p, q, r) if np.dot(np.cross(q - p, r - p), p - inner) > 0 else (p, r, q))
+    def outward(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Faces (k, 3, 3) turned so that their normals point away from the middle, and the normals."""
+        normal = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+        inward = ((corners[:, 0] - inner) * normal).sum(1) < 0
+        corners[inward] = corners[inward][:, ::-1]
+        normal[inward] *= -1
+        return corners, normal
 
-    for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d)):
-        add(*f)
+    faces, normals = outward(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
     for x in points:
-        seen = [k for k, (p, q, r) in enumerate(faces) if np.dot(np.cross(q - p, r - p), x - p) > 1e-9]
-        if not seen:
+        seen = ((x - faces[:, 0]) * normals).sum(1) > 1e-9
+        if not seen.any():
             continue
-        edges: dict[tuple, tuple] = {}
-        for k in seen:
-            p, q, r = faces[k]
-            for u, v in ((p, q), (q, r), (r, p)):
-                if edges.pop((tuple(v), tuple(u)), None) is None:
-                    edges[tuple(u), tuple(v)] = (u, v)
-        gone = set(seen)
-        faces[:] = [f for k, f in enumerate(faces) if k not in gone]
-        for u, v in edges.values():
-            add(u, v, x)
-    return float(sum(np.dot(p - inner, np.cross(q - inner, r - inner)) for p, q, r in faces)) / 6
+        # the horizon: edges of seen faces whose reverse belongs to no seen face
+        edges = {(tuple(f[i]), tuple(f[(i + 1) % 3])) for f in faces[seen].tolist() for i in range(3)}
+        rim = [(u, v, x) for u, v in edges if (v, u) not in edges]
+        new, turned = outward(np.array(rim))
+        faces, normals = np.concatenate([faces[~seen], new]), np.concatenate([normals[~seen], turned])
+    return float(((faces[:, 0] - inner) * np.cross(faces[:, 1] - inner, faces[:, 2] - inner)).sum()) / 6
 
 
 def shape3(pixels: DataFrame) -> DataFrame:
-    """The 14 shape features of volumes, one grouped pass over a region's voxels."""
+    """The 14 shape features of volumes. Faces are a relation; axes follow from sums along rows of voxels and the hull from rows' ends, so a task gets a region's rows."""
+    voxels = pixels.select(*KEYS, "x", "y", "z").distinct()
+    rows = voxels.groupBy(*KEYS, "y", "z").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        p = np.unique(np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1), axis=0)
-        cells = {tuple(v) for v in p.tolist()}
-        area = float(sum((x + dx, y + dy, z + dz) not in cells for x, y, z in cells for dx, dy, dz in _SIX))
-        volume = len(p) * (np.pi / 6) / 0.5236
-        # only extremes along each row can be corners of the hull
-        order = p[np.lexsort((p[:, 0], p[:, 1], p[:, 2]))]
-        row = np.flatnonzero(np.any(np.diff(order[:, 1:], axis=0) != 0, axis=1))
-        hull = hull_volume(np.concatenate([order[np.concatenate([[0], row + 1])], order[np.concatenate([row, [len(order) - 1]])]]))
-        axes = np.sort(np.linalg.eigvalsh(np.cov(p.T.astype(float))))[::-1].clip(0) if len(p) > 1 else np.zeros(3)
-        ratio = lambda u, v: float(u / v) if v else 0.0
-        values = [
-            area, ratio(area, volume), ratio(volume, np.sqrt(np.pi * area**3)), ratio(36 * np.pi * volume**2, area**3), hull, ratio(area, np.cbrt(36 * np.pi * volume**2)), ratio(np.cbrt(36 * np.pi * volume**2), area), hull, volume,
-            *(4 * np.sqrt(axes)).tolist(), np.sqrt(ratio(axes[1], axes[0])), np.sqrt(ratio(axes[2], axes[0])),
-        ]
-        return pa.table({**{k: [v.as_py()] for k, v in zip(KEYS, key, strict=True)}, **{n: [float(v)] for n, v in zip(SHAPE3, values, strict=True)}})
+        y, z, lo, hi, n, sx, sxx = (table.column(c).to_numpy() for c in ("y", "z", "lo", "hi", "n", "sx", "sxx"))
+        ends = np.concatenate([np.stack([lo, y, z], 1), np.stack([hi, y, z], 1)])
+        # only a slice's own corners can be the hull's
+        hull = hull_volume(np.array([(*c, k) for k in np.unique(z) for c in flat_hull(ends[ends[:, 2] == k, :2])]))
+        total = n.sum()
+        mx, my, mz = sx.sum() / total, (n * y).sum() / total, (n * z).sum() / total
+        # about the means; along x a row's own sums stand for its voxels
+        dx, dy, dz = sx - n * mx, y - my, z - mz
+        xx = (sxx - 2 * mx * sx + n * mx * mx).sum()
+        moments = np.array([[xx, (dx * dy).sum(), (dx * dz).sum()], [0, (n * dy * dy).sum(), (n * dy * dz).sum()], [0, 0, (n * dz * dz).sum()]])
+        axes = np.sort(np.linalg.eigvalsh(np.triu(moments).T / (total - 1)))[::-1].clip(0) if total > 1 else np.zeros(3)
+        return pa.table({**{k: [v.as_py()] for k, v in zip(KEYS, key, strict=True)}, "hull": [float(hull)], "axes": [axes.tolist()]})
 
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
-    return pixels.select(*KEYS, "x", "y", "z").groupBy(*KEYS).applyInArrow(one, ", ".join([*(f"{k} {kinds[k]}" for k in KEYS), *(f"`{n}` double" for n in SHAPE3)]))
+    solid = rows.groupBy(*KEYS).applyInArrow(one, ", ".join([*(f"{k} {kinds[k]}" for k in KEYS), "hull double", "axes array<double>"]))
+    both = run(voxels, surface_sql()).join(solid, list(KEYS))
+    area, volume, axis = F.col("3AREA"), F.col("3VOXEL_VOLUME"), lambda k: F.get("axes", k)
+    ratio = lambda u, v: F.coalesce(F.try_divide(u, v), F.lit(0.0))
+    sphere = F.cbrt(36 * math.pi * volume * volume)
+    values = [
+        area, ratio(area, volume), ratio(volume, F.sqrt(math.pi * area * area * area)), ratio(36 * math.pi * volume * volume, area * area * area), F.col("hull"), ratio(area, sphere), ratio(sphere, area), F.col("hull"), volume,
+        *(4 * F.sqrt(axis(k)) for k in range(3)), F.sqrt(ratio(axis(1), axis(0))), F.sqrt(ratio(axis(2), axis(0))),
+    ]
+    return both.select(*KEYS, *(v.alias(n) for v, n in zip(values, SHAPE3, strict=True)))

@@ -76,6 +76,21 @@ family("glrlm_3d_ave", "volume", partial(texture.glrlm_sql, 8, three_d=True, ave
 zoned("glszm_3d", "volume", "GLSZM", 8, True)
 zoned("gldzm_3d", "volume", "GLDZM", 8, True)
 
+def tiled(name: str, adapter: str, kind: str, depth: int, tile: int, three_d: bool = False) -> None:
+    """Registers a zone family labelled by tiles of a side, checked by the same recursion."""
+    names = texture.names(kind, three_d)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = zone_features(pixels(spark, sf_dir, adapter), kind, depth, three_d, tile=tile)
+        return run(found, rounded("SELECT * FROM {pixels}", names, "spark"))
+
+    QUERIES[name] = query
+    ORACLE_SQL[name] = rounded(texture.zone_check_sql(kind, depth, three_d, "duckdb"), names, "duckdb").replace("{pixels}", f"({ADAPTERS[adapter]('duckdb')})")
+
+
+tiled("glszm_tiled", "dense", "GLSZM", 8, 4)
+tiled("gldzm_tiled", "dense", "GLDZM", 8, 4)
+
 # --- regions against regions, image quality, volumes ------------------------------------------------------------------
 
 family("neighbours", "compact", spatial.neighbours_sql, spatial.NEIGHBOURS)
@@ -179,6 +194,42 @@ def geometric(name: str, adapter: str, groups: Sequence[str]) -> None:
     QUERIES[name] = lambda spark, sf_dir: outline.geometry(pixels(spark, sf_dir, adapter), groups)
 
 
+_COMPACT = f"({ADAPTERS['compact']('duckdb')})"
+
+
+def hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hull area and solidity from rows' ends and partial hulls, as large regions take them."""
+    found = outline.hull_features(pixels(spark, sf_dir, "compact"), ["hull"])
+    return run(found, rounded("SELECT * FROM {pixels}", geometry.GROUPS["hull"], "spark"))
+
+
+def erosion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outline.geometry(pixels(spark, sf_dir, "compact"), ["erosion"])
+    return run(found, rounded("SELECT * FROM {pixels}", geometry.GROUPS["erosion"], "spark"))
+
+
+QUERIES |= {"hull": hull, "erosion": erosion}
+ORACLE_SQL |= {
+    # an ordered pair of places is an edge if none lies to its right and none beyond it on its line; area by the shoelace formula and lattice points
+    "hull": rounded(f"""WITH p AS (SELECT DISTINCT slide_id, t, label, x, y FROM {_COMPACT} AS q),
+n AS (SELECT slide_id, t, label, count(*) AS n FROM p GROUP BY ALL),
+o AS (SELECT slide_id, t, label, list((x, y)) AS all_ FROM p GROUP BY ALL),
+e AS (SELECT a.slide_id, a.t, a.label, a.x AS x, a.y AS y, b.x AS u, b.y AS v FROM p a JOIN p b ON a.slide_id = b.slide_id AND a.t = b.t AND a.label = b.label AND (a.x <> b.x OR a.y <> b.y)),
+edge AS (SELECT slide_id, t, label, x, y, u, v FROM e JOIN o USING (slide_id, t, label)
+  WHERE len(list_filter(all_, lambda c: (u - x) * (c[2] - y) - (v - y) * (c[1] - x) < 0 OR ((u - x) * (c[2] - y) - (v - y) * (c[1] - x) = 0 AND ((c[1] - x) * (c[1] - u) + (c[2] - y) * (c[2] - v) > 0)))) = 0),
+h AS (SELECT slide_id, t, label, count(*) AS k, abs(sum(x * v - u * y)) / 2e0 + sum(gcd(abs(u - x), abs(v - y))) / 2e0 + 1 AS area FROM edge GROUP BY ALL),
+f AS (SELECT slide_id, t, label, n, CASE WHEN k >= 3 THEN area ELSE n * 1e0 END AS area FROM n LEFT JOIN h USING (slide_id, t, label))
+SELECT slide_id, t, label, area AS CONVEX_HULL_AREA, n / area AS SOLIDITY FROM f""", geometry.GROUPS["hull"], "duckdb"),
+    # a pixel survives one erosion less than its city-block distance to the nearest place outside
+    "erosion": rounded(f"""WITH p AS (SELECT DISTINCT slide_id, t, label, x, y FROM {_COMPACT} AS q),
+box AS (SELECT slide_id, t, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY ALL),
+rows_ AS (SELECT slide_id, t, label, x0, x1, unnest(range(y0 - 1, y1 + 2)) AS y FROM box),
+cells AS (SELECT slide_id, t, label, unnest(range(x0 - 1, x1 + 2)) AS x, y FROM rows_),
+outside AS (SELECT cells.* FROM cells ANTI JOIN p USING (slide_id, t, label, x, y)),
+d AS (SELECT p.slide_id, p.t, p.label, p.x, p.y, min(abs(p.x - o.x) + abs(p.y - o.y)) AS d FROM p JOIN outside o ON p.slide_id = o.slide_id AND p.t = o.t AND p.label = o.label GROUP BY ALL)
+SELECT slide_id, t, label, max(d) - 1e0 AS EROSIONS_2_VANISH, 0e0 AS EROSIONS_2_VANISH_COMPLEMENT FROM d GROUP BY slide_id, t, label""", geometry.GROUPS["erosion"], "duckdb"),
+}
+
 geometric("contour", "compact", ["contour", "hull", "geodetic", "circles", "radius"])
 geometric("erosion_fractal", "sparse", ["erosion", "fractal"])
 geometric("caliper", "sparse", ["caliper"])
