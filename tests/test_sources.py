@@ -239,3 +239,26 @@ def test_more_of_the_command_line(spark, tmp_path):
     assert found["mask_image"] == "p0_c0.tif" and found["anno1"] == "c0" and found["AREA_PIXELS_COUNT"] == 12 and "GABOR_1" in found
     main([f"--intDir={images}", f"--segDir={labels}", f"--outDir={tmp_path}/r.parquet", "--hsig=_c", "--hpar=1", "--hchi=0"])
     assert spark.read.parquet(f"{tmp_path}/r.parquet").count() == 2
+
+
+def test_nested_features_angles_and_separators(spark, tmp_path):
+    from roiforge.__main__ import main
+
+    image, outer, inner = np.arange(1, 82, dtype=np.uint16).reshape(9, 9), np.zeros((9, 9), np.uint8), np.zeros((9, 9), np.uint8)
+    outer[1:8, 1:8], inner[2:4, 2:4], inner[5:7, 5:7] = 1, 3, 4
+    images, labels = folder(tmp_path, "int", p0_c1=image, p0_c0=image), folder(tmp_path, "seg", p0_c1=outer, p0_c0=inner)
+    common = [f"--intDir={images}", f"--segDir={labels}", "--features=AREA_PIXELS_COUNT,MAX", "--hsig=_c", "--hpar=1", "--hchi=0"]
+    main([*common, f"--outDir={tmp_path}/n.parquet", "--hag=sum"])
+    row = spark.read.parquet(f"{tmp_path}/n.parquet").first()
+    assert (row["slide_id"], row["parent_label"], row["AREA_PIXELS_COUNT"], row["child_AREA_PIXELS_COUNT"], row["child_MAX"]) == ("p0.tif", 1, 49, 8, 31 + 61)
+    main([*common, f"--outDir={tmp_path}/w.parquet", "--hag=none"])
+    row = spark.read.parquet(f"{tmp_path}/w.parquet").first()
+    assert (row["child1_MAX"], row["child2_MAX"]) == (31, 61)
+    engine = SlideFeatures("GLCM_ASM,GLCM_ASM_AVE", spark, coarse_gray_depth=8, glcm_angles=(0, 90))
+    found = engine.featurize_pixels(montage(spark, image.astype(int), outer.astype(int)))
+    row = found.first()
+    assert [c for c in found.columns if c.startswith("GLCM_ASM_") and c != "GLCM_ASM_AVE"] == ["GLCM_ASM_0", "GLCM_ASM_90"]
+    assert row["GLCM_ASM_AVE"] == pytest.approx((row["GLCM_ASM_0"] + row["GLCM_ASM_90"]) / 2)
+    assert spatial.annotations("/a/x-y-z_1.ome.tif", "-") == ["x", "y", "z_1"]
+    with pytest.raises(ValueError, match="glcm_angles"):
+        SlideFeatures("MEAN", spark, glcm_angles=(30,))
