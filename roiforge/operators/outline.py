@@ -68,23 +68,24 @@ def _apart(df: DataFrame) -> DataFrame:
 
 
 def hull_corners(pixels: DataFrame) -> DataFrame:
-    """(region, n, corners): number of places and the corners x0, y0, x1, y1, ... of the hull. Rows' ends are aggregated before they move."""
-    rows = pixels.groupBy(*KEYS, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_distinct("x").alias("n"))
-
-    def corners(points: np.ndarray) -> list[int]:
-        return g.hull(points).astype(np.int64).ravel().tolist()
+    """(region, n, corners): number of places and the corners x0, y0, x1, y1, ... of the hull.
 
-    def partial(key: tuple, table: pa.Table) -> pa.Table:
-        y, lo, hi = (table.column(c).to_numpy() for c in ("y", "lo", "hi"))
-        return _named(key, n=[int(table.column("n").to_numpy().sum())], corners=[corners(np.concatenate([np.stack([lo, y], 1), np.stack([hi, y], 1)]))])
+    Rows' ends are aggregated before they move. Those of a block of rows make a list, of which Python keeps the corners, and so do a region's blocks.
+    """
+    rows = pixels.groupBy(*KEYS, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_distinct("x").alias("n"))
+    ends = F.collect_list(F.array(F.col("lo").cast("long"), F.col("y").cast("long"), F.col("hi").cast("long"), F.col("y").cast("long")))
+    blocks = rows.groupBy(*KEYS, F.floor(F.col("y") / HULL_ROWS).alias("block")).agg(F.sum("n").alias("n"), F.flatten(ends).alias("corners")).drop("block")
 
-    def whole(key: tuple, table: pa.Table) -> pa.Table:
-        points = np.concatenate([np.array(c, dtype=np.int64).reshape(-1, 2) for c in table.column("corners").to_pylist()])
-        return _named(key, n=[int(table.column("n").to_numpy().sum())], corners=[corners(points)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(4)
+            at, places = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            found = [g.hull(places[i - at[0] : k - at[0]].reshape(-1, 2)).astype(np.int64).ravel() for i, k in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=[*KEYS, "n", "corners"])
 
     schema = _schema(pixels, "n long, corners array<long>")
-    parts = rows.withColumn("block", F.floor(F.col("y") / HULL_ROWS)).groupBy(*KEYS, "block").applyInArrow(partial, schema)
-    return parts.groupBy(*KEYS).applyInArrow(whole, schema)
+    regions = blocks.mapInArrow(run, schema).groupBy(*KEYS).agg(F.sum("n").alias("n"), F.flatten(F.collect_list("corners")).alias("corners"))
+    return regions.mapInArrow(run, schema)
 
 
 def hull_features(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0) -> DataFrame:
