@@ -216,6 +216,40 @@ def test_licences_in_other_words():
     assert not [r for r in licenses.scan_by_hand(list(enumerate(others))) if r[5]]
 
 
+GPL_HEADER = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_other_licences_are_unknown_and_word_order_counts():
+    """Licences without a family of their own, clauses that families share, and words of a template in another order."""
+    others = ["This software is provided 'as-is', without any express or implied warranty. In no event", "Boost Software License - Version 1.0 - August 17th, 2003", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "licensed under some unknown terms of our own"]
+    rows = [*enumerate(others), (10, GPL_HEADER), (11, "He reserved all rights to the seat in the theatre"), (12, "SPDX-License-Identifier: GPL-2.0-only"), (13, "under the GNU Lesser General Public License, version 3"), (14, "rights all reserved")]
+    rows += [(15, "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.")]
+    found = licenses.scan_by_hand(rows)
+    assert all({r[2] for r in found if r[0] == k} == {"unknown"} for k in range(len(others))), found
+    assert {r[2] for r in found if r[0] == 10} == {"GPL", "unknown"} and sum(r[5] for r in found if r[0] == 10) == 2
+    assert not [r for r in found if r[0] == 11 or (r[0] == 14 and r[5])]
+    assert {(r[0], r[2]) for r in found if r[5]} >= {(12, "GPL"), (13, "LGPL"), (15, "MIT")}
+
+
+def test_very_long_lines(spark):
+    """A notice in the middle and at the end of a line of 200,000 words is found; one of its words alone is not."""
+    body = "some words of prose " * 50_000
+    rows = [(1, body + "Released under the MIT License. " + body + "SPDX-License-Identifier: MIT"), (2, body), (3, "x\n" * 20_000 + "Licensed under CC BY-NC 4.0.\n" + "y\n" * 20_000)]
+    found = {tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "paragraph", "family", "confirmed").collect()}
+    assert (1, 0, "MIT", True) in found and (3, 20_000, "CC-BY-NC", True) in found and not [f for f in found if f[0] == 2]
+
+
 @given(st.lists(st.sampled_from(sorted({w for g in licenses.trained().weights for w in g.split()} | {"xyz", "said"})), max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_paragraphs_without_anchors_are_none(words):
