@@ -479,21 +479,30 @@ def _weighted(r: Region, f: np.ndarray) -> list[float]:
 
 
 def sharpness_features(r: Region, width: int = 2) -> list[float]:
-    """Differences of differences of the 3x3 median, over its contrast at edges, in rows and columns."""
-    image, h, w = r.image, r.h, r.w
-    p = np.pad(image, 1, mode="edge")
-    blurred = np.median(np.stack([p[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)]), axis=0) / 255
-    ratios = []
-    for a, smooth in ((image, blurred), (image.T, blurred.T)):
-        gradient = np.abs(np.diff(np.pad(a, ((1, 1), (0, 0)), mode="edge"), axis=0))
-        edge = (np.maximum(gradient[:-1], gradient[1:]) > 0.0001).astype(float)
-        q = np.pad(smooth, ((2, 2), (0, 0)), mode="edge")
-        dom = np.abs((q[4:] - q[2:-2]) - (q[2:-2] - q[:-4]))
-        contrast = np.abs(smooth - np.vstack([smooth[:1], smooth[:-1]])) * edge
-        box = lambda v: sum(np.vstack([v[k:], np.zeros((k, v.shape[1]))]) if k >= 0 else np.vstack([np.zeros((-k, v.shape[1])), v[:k]]) for k in range(-width, width))
-        num, den = box(dom), box(contrast)
-        s = np.where(den > 1e-3, num / np.where(den > 1e-3, den, 1), 0.0)
-        ratios.append(s[width : max(width, len(s) - width)].sum() / (edge.sum() + 1e-8))
+    """Second differences of the 3x3 median, over its contrast at edges, down the rows and along them; hypot of both means over edges.
+
+    What lies beyond the box is 0 in differences, and the nearest pixel in the median. Windows are 2 * width rows for both; a box of 2 * width
+    rows or less has no window, and sharpness 0.
+    """
+    image, h, w = r.image.astype(float), r.h, r.w
+    near = np.pad(image, 1, mode="edge")
+    blurred = np.median(np.stack([near[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)]), axis=0) / 255
+
+    def shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+        return np.pad(a, 2)[2 + dy : 2 + dy + h, 2 + dx : 2 + dx + w]
+
+    along, down = ((shifted(image, dy, dx) - shifted(image, -dy, -dx)) / 2 for dy, dx in ((0, 1), (1, 0)))
+    steepest, ratios = along.max() + 1e-8, []
+    # contrast down the rows counts where intensities change along them, and the other way round
+    for slope, dy, dx in ((along, 1, 0), (down, 0, 1)):
+        edge = np.abs(slope) / steepest > 0.0001
+        bend = np.abs(shifted(blurred, -2 * dy, -2 * dx) - 2 * blurred + shifted(blurred, 2 * dy, 2 * dx))
+        contrast = np.abs(shifted(blurred, dy, dx) - blurred) * edge
+        if h <= 2 * width:
+            return [0.0]
+        over, under = (sum(v[width + k : h - width + k] for k in range(-width, width)) for v in (bend, contrast))
+        share = np.divide(over, under, out=np.zeros_like(over), where=under > 1e-3)
+        ratios.append(share[:, : max(w - width, 0)].sum() / (edge.sum() + 1e-8))
     return [float(np.hypot(*ratios))]
 
 
