@@ -47,6 +47,7 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument(f"--aniso{axis}", type=float, default=1.0)
     p.add_argument("--aggr", nargs="?", const=True, type=_yes, default=False, help="one row a slide: means over its regions")
     p.add_argument("--annot", nargs="?", const=True, type=_yes, default=False, help="leading columns: file names, annotations, ROI_label, t_index")
+    p.add_argument("--roiMetrics", nargs="?", const=True, type=_yes, default=False, help="areas, boxes, extremes and size classes of each mask's regions besides, as roi_metrics_mask.csv; for folders without a mapping file")
     p.add_argument("--annotsep", default="_", help="what divides annotations in a mask's name")
     p.add_argument("--noval", type=float, default=0.0)
     p.add_argument("--singleFile", action="store_true")
@@ -80,7 +81,8 @@ def main(argv: list[str] | None = None) -> None:
     for text in a.metaparam:
         engine.set_metaparam(text)
     engine.blacklist_roi(a.skiproi)
-    header = a.annot and not a.aggr
+    by_pair = a.outputType == "separatecsv" and not a.aggr and not a.hsig
+    header = (a.annot or by_pair) and not a.aggr
     if a.hsig:
         found = NestedRois(a.hag).featurize_files(engine, a.intDir, a.segDir, a.hsig, a.hpar, a.hchi)
         output.write(found, target, single=a.singleFile or a.outputType == "singlecsv", noval=a.noval)
@@ -89,9 +91,14 @@ def main(argv: list[str] | None = None) -> None:
         lines = spark.read.text(f"{(a.intSegMapDir or '.').rstrip('/')}/{a.intSegMapFile}")
         found = engine.featurize_mapping(lines, a.intDir, a.segDir, header)
     else:
-        found = engine.featurize_directory(a.intDir, a.segDir, a.filePattern, header)
+        found = engine.featurize_directory(a.intDir, a.segDir, a.filePattern, header, str(Path(target).parent) if a.roiMetrics else None)
     if a.aggr:
         found = output.slide_means(found, [c for c, t in found.dtypes if t == "double"])
+    if by_pair:
+        if not a.annot:
+            found = found.drop(*[c for c in found.columns if c.startswith("anno") and c[4:].isdigit()])
+        output.write_by_pair(found, a.outDir, a.noval)
+        return
     output.write(found, target, single=a.singleFile or a.outputType == "singlecsv", per_slide=a.outputType == "separatecsv" and not header, noval=a.noval)
 
 

@@ -290,14 +290,17 @@ class SlideFeatures:
         slides = pixels.select("slide_id", "mask_image").distinct().select("slide_id", F.element_at(F.split("slide_id", "/"), -1).alias("intensity_image"), F.element_at(F.split("mask_image", "/"), -1).alias("mask_image"))
         return output.with_header_columns(found, slides.withColumn("annots", spatial.annotations_of("mask_image", self.settings.annotation_separator)))
 
-    def featurize_directory(self, intensity_dir: str, label_dir: str | None = None, file_pattern: str = ".*", header: bool = False) -> DataFrame:
-        """Images of a folder and masks of the same names; without masks each image is one region.
+    def featurize_directory(self, intensity_dir: str, label_dir: str | None = None, file_pattern: str = ".*", header: bool = False, metrics_dir: str | None = None) -> DataFrame:
+        """Images of a folder and masks of the same names; without masks each image is one region. With metrics_dir each mask's roi_metrics are written there.
 
         A pattern with {set d+} names the files of z-stacks: {d+} stands for digits, {c+} for letters, and {set d+} for the z index.
         """
         from roiforge.sources.images import image_pixels
 
-        return self._with_names(image_pixels(self.spark, intensity_dir, label_dir, file_pattern, self.three_d), header)
+        pixels = image_pixels(self.spark, intensity_dir, label_dir, file_pattern, self.three_d)
+        if metrics_dir:
+            output.write_roi_metrics(spatial.without_blacklisted(self._quantised(pixels), self.blacklist), metrics_dir)
+        return self._with_names(pixels, header)
 
     def featurize_files(self, intensity_files: Sequence[str], mask_files: Sequence[str] = (), single_roi: bool = False, header: bool = False) -> DataFrame:
         """Files of images and masks, one to one; with single_roi masks are ignored. Volumes: one image may have several masks."""

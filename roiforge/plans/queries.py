@@ -166,12 +166,19 @@ def slide_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.slide_means(run(pixels(spark, sf_dir, "sparse"), firstorder.basic_sql()), ["AREA_PIXELS_COUNT", "MEAN"]).select(*KEYS, *(F.round(F.col(c), 6).alias(c) for c in ("AREA_PIXELS_COUNT", "MEAN")))
 
 
-QUERIES |= {"blacklist": blacklist, "slide_summary": slide_summary, "slide_means": slide_means}
+def roi_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area, box, extremes and size class of each region; large from 200 cells on."""
+    return output.roi_metrics(pixels(spark, sf_dir, "sparse"), 200)
+
+
+QUERIES |= {"blacklist": blacklist, "slide_summary": slide_summary, "slide_means": slide_means, "roi_metrics": roi_metrics}
 _SPARSE = f"({ADAPTERS['sparse']('duckdb')})"
 _ROI = f"SELECT slide_id, t, label, min(inten) AS lo, max(inten) AS hi, count(*) AS area, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, avg(inten * 1e0) AS mean FROM {_SPARSE} AS p GROUP BY slide_id, t, label"
 ORACLE_SQL |= {
     "blacklist": f"SELECT slide_id, t, label, count(*) AS area FROM {_SPARSE} AS p WHERE NOT (slide_id = '1' AND label IN (1, 2, 3)) AND NOT (slide_id = '7' AND label = 4) GROUP BY slide_id, t, label",
     "slide_summary": f"SELECT slide_id, count(*) AS n_rois, min(lo) AS min_inten, max(hi) AS max_inten, max(area) AS max_area, max(w) AS max_width, max(h) AS max_height FROM ({_ROI}) AS r GROUP BY slide_id",
+    "roi_metrics": f"""SELECT slide_id, t, label, area, minx, miny, maxx, maxy, maxx - minx + 1 AS width, maxy - miny + 1 AS height, min_intens, max_intens, (maxx - minx + 1) * (maxy - miny + 1) * 8 AS size_bytes,
+CASE WHEN (maxx - minx + 1) * (maxy - miny + 1) > 200 THEN 'OVERSIZE' ELSE 'TRIVIAL' END AS size_class FROM (SELECT slide_id, t, label, count(*) AS area, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy, min(inten) AS min_intens, max(inten) AS max_intens FROM {_SPARSE} AS p GROUP BY slide_id, t, label) AS r""",
     "slide_means": f"SELECT slide_id, t, cast(-1 as bigint) AS label, round(avg(area), 6) AS AREA_PIXELS_COUNT, round(avg(mean), 6) AS MEAN FROM ({_ROI}) AS r GROUP BY slide_id, t",
 }
 

@@ -8,7 +8,7 @@ import pytest
 from roiforge.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("intensity_basic", "intensity_sparse", "morphology", "ellipse", "extrema", "euler_number", "moments_shape", "glrlm_3d_ave", "glszm_3d", "gldzm_3d", "ngldm_3d", "neighbours", "ngtdm", "box_counts", "hull", "erosion", "glszm_tiled", "blacklist", "slide_summary", "pairing", "surface_3d", "saturation")
+QUICK = ("intensity_basic", "intensity_sparse", "morphology", "ellipse", "extrema", "euler_number", "moments_shape", "glrlm_3d_ave", "glszm_3d", "gldzm_3d", "ngldm_3d", "neighbours", "ngtdm", "box_counts", "hull", "erosion", "glszm_tiled", "blacklist", "slide_summary", "roi_metrics", "pairing", "surface_3d", "saturation")
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
