@@ -49,6 +49,8 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--annot", nargs="?", const=True, type=_yes, default=False, help="leading columns: file names, annotations, ROI_label, t_index")
     p.add_argument("--roiMetrics", nargs="?", const=True, type=_yes, default=False, help="areas, boxes, extremes and size classes of each mask's regions besides, as roi_metrics_mask.csv; for folders without a mapping file")
     p.add_argument("--annotsep", default="_", help="what divides annotations in a mask's name")
+    p.add_argument("--tinyval", type=float, help="accepted; values divided by nothing are --noval, so no tiny substitute is needed")
+    p.add_argument("--embeddedpixelsize", help="accepted; sizes come from --pixelsPerMicron and --aniso")
     p.add_argument("--noval", type=float, default=0.0)
     p.add_argument("--singleFile", action="store_true")
     p.add_argument("--hsig", help="channel signature of nested regions, as _c in p0_c1.tif; writes the relations of the masks instead of features")

@@ -26,7 +26,8 @@ class Settings:
     box that aren't its own count as level 1 (with matlab levels). gldzm_straight: distance zones are 4-connected. level_index: DIFVAR and JVAR take
     levels' numbers (with radiomics bins). intensity_mode, min_intensity, max_intensity and dynamic_range say how images' values become
     intensities, see quantised(). merge_labels: all labels of an image are one region. glcm_angles: directions of GLCM in 2D. annotation_separator
-    divides the annotations in masks' names.
+    divides the annotations in masks' names. glcm3_angles and glcm3_sparse_intensities are kept and reported, but change nothing: all 13 directions
+    are taken, and only the levels that occur.
     """
 
     neighbor_distance: int = 5
@@ -43,6 +44,8 @@ class Settings:
     noval: float = 0.0
     depths: tuple[tuple[str, int], ...] = ()
     glcm3_offset: int = 1
+    glcm3_angles: int = 13
+    glcm3_sparse_intensities: bool = False
     ngtdm3_radius: int = 1
     background: bool = False
     gldzm_straight: bool = False
@@ -84,7 +87,7 @@ class Settings:
 
 
 #: family/parameter names as users write them, besides family/greydepth
-_METAPARAMETERS = {"glcm/offset": "glcm_offset", "3glcm/offset": "glcm3_offset", "3ngtdm/radius": "ngtdm3_radius"}
+_METAPARAMETERS = {"glcm/offset": "glcm_offset", "3glcm/offset": "glcm3_offset", "3glcm/numang": "glcm3_angles", "3glcm/sparseintensities": "glcm3_sparse_intensities", "3ngtdm/radius": "ngtdm3_radius"}
 _DEPTH_FAMILIES = tuple(f"{d}{f}" for d in ("", "3") for f in ("glcm", "glrlm", "glszm", "gldzm", "gldm", "ngldm", "ngtdm"))
 
 
@@ -368,11 +371,17 @@ class SlideFeatures:
         if parameter == "greydepth" and family in _DEPTH_FAMILIES:
             self.set_params(depths=tuple(sorted((dict(self.settings.depths) | {family: int(value)}).items())))
         elif name.strip().lower() in _METAPARAMETERS:
-            self.set_params(**{_METAPARAMETERS[name.strip().lower()]: int(value)})
+            setting, value = _METAPARAMETERS[name.strip().lower()], value.strip().lower()
+            if isinstance(getattr(self.settings, setting), bool):
+                if value not in ("true", "false"):
+                    raise ValueError(f"{name} is true or false")
+                self.set_params(**{setting: value == "true"})
+            else:
+                self.set_params(**{setting: int(value)})
         else:
             raise ValueError(f"no such parameter: {name}")
 
-    def get_metaparam(self, name: str) -> int:
+    def get_metaparam(self, name: str) -> int | bool:
         family, _, parameter = name.strip().lower().partition("/")
         if parameter == "greydepth" and family in _DEPTH_FAMILIES:
             return self.settings.depth_of(family)

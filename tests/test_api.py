@@ -115,6 +115,11 @@ def test_featurize_and_classes(spark, tmp_path):
             engine.set_params(**wrong)
     with pytest.raises(ValueError, match="no such"):
         engine.set_metaparam("glcm/colour=1")
+    engine.set_metaparam("3glcm/numang=4")
+    engine.set_metaparam("3glcm/sparseintensities=true")
+    assert engine.get_metaparam("3glcm/numang") == 4 and engine.get_metaparam("3glcm/sparseintensities") is True
+    with pytest.raises(ValueError, match="true or false"):
+        engine.set_metaparam("3glcm/sparseintensities=2")
     assert ImageQuality("FOCUS_SCORE,MAX_SATURATION", spark).featurize(image, np.ones_like(image)).count() == 2
     assert VolumeFeatures("3MEAN,3AREA", spark).featurize(image, mask).count() == 2
     for name in ("f.csv", "f.parquet", "f.arrow"):
