@@ -6,6 +6,7 @@ across a seam link their zones, and the links' connected components merge them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from roiforge.operators.texture import levels_sql, zone_features_sql, zone_neigh
 
 #: Sides of a tile, in 2D and in 3D: about a million pixels.
 TILE, TILE_3D = 1024, 96
+#: Links between parts of a region up to which one row holds them.
+FEW_LINKS = 1024
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,9 +109,46 @@ SELECT DISTINCT {of("e")}, least(root, from_) AS a, greatest(root, from_) AS b F
     return run(zoned, text)
 
 
-def merged_parts(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def near_parts(links: DataFrame) -> DataFrame:
+    """merged_parts() of regions with few links: each is a row, and a batch of rows is solved at once."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(3), batch.column(4)
+            row = np.repeat(np.arange(len(batch)), np.diff(a.offsets.to_numpy()))
+            part, owner = np.concatenate([a.flatten().to_numpy(), b.flatten().to_numpy()]), np.concatenate([row, row])
+            order = np.lexsort((part, owner))
+            part, owner = part[order], owner[order]
+            first = np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])[: len(part)]
+            node = np.empty(len(order), dtype=np.int64)
+            node[order] = np.cumsum(first) - 1
+            part, owner = part[first], owner[first]
+            least = least_labels(len(part), node[: len(row)], node[len(row) :])
+            moved = np.flatnonzero(least != np.arange(len(part)))
+            keys = batch.select(list(KEYS)).take(pa.array(owner[moved]))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(part[moved]), pa.array(part[least[moved]])], names=[*KEYS, "part", "root"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in links.schema.fields}
+    rows = links.groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("l")).select(*KEYS, F.col("l.a").alias("a"), F.col("l.b").alias("b"))
+    return rows.mapInArrow(solve, ", ".join([*(f"{k} {kinds[k]}" for k in KEYS), "part bigint, root bigint"]))
+
+
+def merged_parts(links: DataFrame, most_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(region, part, root): connected components of links (region, a, b) within regions, named by their least part; parts without links are left out.
 
+    Regions of at most `few` links take one pass, all others rounds. None of the tables is broadcast: they shrink so much on disk that Spark takes millions of rows for small.
+    """
+    links = stored(links, "seams")
+    count = links.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    if (count.agg(F.max("n")).first()[0] or 0) <= few:
+        return near_parts(links)
+    wide = stored(count.where(F.col("n") > few).select(*KEYS), "large-regions").hint("merge")
+    return near_parts(links.join(wide, list(KEYS), "left_anti")).unionByName(merged_by_rounds(links.join(wide, list(KEYS), "left_semi"), most_rounds))
+
+
+def merged_by_rounds(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """merged_parts() of regions with any number of links.
+
     Each round hangs the neighbours of every part on the least that it knows, first the larger ones and then the smaller ones, so links become
     stars in a logarithmic number of rounds and never grow in number. Rounds are written to the shared folder.
     """
@@ -117,9 +157,9 @@ def merged_parts(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        larger = both.where("b > a").join(least, [*keys, "a"]).select(*keys, F.col("m").alias("a"), "b").distinct()
+        larger = both.where("b > a").join(least.hint("merge"), [*keys, "a"]).select(*keys, F.col("m").alias("a"), "b").distinct()
         nearest = larger.groupBy(*keys, "b").agg(F.min("a").alias("m"))
-        across = larger.join(nearest, [*keys, "b"])
+        across = larger.join(nearest.hint("merge"), [*keys, "b"])
         now = stored(across.where("a > m").select(*keys, F.col("m").alias("a"), F.col("a").alias("b")).union(across.select(*keys, F.col("m").alias("a"), "b")).distinct(), "seams")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
         if not state[0] or state == before:
