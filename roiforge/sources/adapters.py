@@ -6,7 +6,10 @@ grid, one region for each line number; temporal: events by day, hour and five mi
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _QUARTERS = "1 + cast(floor(x / 4e0) as bigint) + 2 * cast(floor(y / 4e0) as bigint)"
 
@@ -39,10 +42,40 @@ ADAPTERS = {
     "volume": lambda d: temporal_sql(d, three_d=True),
 }
 _TABLE = {"dense": "embeddings", "quarters": "embeddings", "sparse": "lineitem", "compact": "lineitem", "temporal": "events", "volume": "events"}
+_SIDE = {"sparse": 32, "compact": 12}
+#: The most pixels that a region of an adapter can have, however large the table.
+BOUNDED = {"dense": 64, "quarters": 16, **{k: side * side for k, side in _SIDE.items()}}
+
+
+#: Rows of a task: what it holds at once follows from this number, not from the size of the table.
+TASK_ROWS = 1 << 16
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """df partitioned by keys, into a number of partitions that grows with its number of rows."""
+    few = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // 4096))
+    return df.repartition(max(1, few, -(-rows // TASK_ROWS)), *keys)
+
+
+def by_region(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
+    """Pixels of an adapter whose regions a grid bounds (at most 1024 pixels), each region whole in a partition.
+
+    Rows move once, before they become pixels; what is grouped, joined or ordered by region moves none again.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{_TABLE[adapter]}.parquet")
+    if _TABLE[adapter] == "embeddings":
+        whole = dealt(table.select(F.col("vec_id").cast("string").alias("slide_id"), "embedding"), ["slide_id"], 64 * table.count())
+        text = ADAPTERS[adapter]("spark").replace("vec_id", "slide_id").replace("FROM embeddings", "FROM {table}")
+        return spark.sql(text, table=whole)
+    side = _SIDE[adapter]
+    cells = table.selectExpr("cast(l_suppkey as string) AS slide_id", "cast(l_linenumber as bigint) AS label", f"l_partkey % {side} AS x", f"l_orderkey % {side} AS y", "l_quantity")
+    return spark.sql("SELECT slide_id, cast(0 as bigint) AS t, label, x, y, cast(0 as bigint) AS z, cast(max(l_quantity) as bigint) AS inten FROM {table} GROUP BY slide_id, label, x, y", table=dealt(cells, ["slide_id", "label"], table.count()))
 
 
 def pixels(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
     """An adapter's pixels, read from the driver's folder."""
+    if adapter in BOUNDED:
+        return by_region(spark, sf_dir, adapter)
     table = _TABLE[adapter]
     text = ADAPTERS[adapter]("spark").replace(f"FROM {table}", "FROM {table}")
     return spark.sql(text, table=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
