@@ -7,12 +7,13 @@ there is one, see operators.outline.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from roiforge.functions.sqltext import KEYS
 from roiforge.operators.shape import WEIGHTED_INTENSITY_NAMES, WEIGHTED_SHAPE_NAMES, moment_names
@@ -21,6 +22,8 @@ from roiforge.operators.shape import WEIGHTED_INTENSITY_NAMES, WEIGHTED_SHAPE_NA
 _STRAIGHT, _DIAGONAL = ((-1, 0), (0, -1), (1, 0), (0, 1)), ((-1, -1), (1, -1), (1, 1), (-1, 1))
 _STATS = ("MIN", "MAX", "MEAN", "MEDIAN", "STDDEV", "MODE")
 _CHORDS = ("MAX", "MAX_ANG", "MIN", "MIN_ANG", "MEDIAN", "MEAN", "MODE", "STDDEV")
+#: Cells of a box up to which a region is small.
+SMALL = 1024
 #: Groups of features that one pass can compute.
 GROUPS: dict[str, tuple[str, ...]] = {
     "contour": ("PERIMETER", "DIAMETER_EQUAL_PERIMETER", "EDGE_MEAN_INTENSITY", "EDGE_STDDEV_INTENSITY", "EDGE_MAX_INTENSITY", "EDGE_MIN_INTENSITY", "EDGE_INTEGRATED_INTENSITY", "CIRCULARITY"),
@@ -46,10 +49,11 @@ class Region:
     """A region's pixels in rows, repeated ones once, with what several features draw on computed at most once."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, inten: np.ndarray) -> None:
-        cell, at = np.unique(np.stack([y, x], axis=1).astype(np.int64), axis=0, return_index=True)
-        self.x, self.y, self.inten = cell[:, 1], cell[:, 0], inten[at].astype(float)
-        self.x0, self.y0 = int(self.x.min()), int(self.y.min())
-        self.w, self.h = int(self.x.max()) - self.x0 + 1, int(self.y.max()) - self.y0 + 1
+        x, y = x.astype(np.int64), y.astype(np.int64)
+        self.x0, self.y0 = int(x.min()), int(y.min())
+        self.w, self.h = int(x.max()) - self.x0 + 1, int(y.max()) - self.y0 + 1
+        cell, at = np.unique((y - self.y0) * self.w + (x - self.x0), return_index=True)
+        self.x, self.y, self.inten = cell % self.w + self.x0, cell // self.w + self.y0, inten[at].astype(float)
         self.n = len(self.x)
 
     @cached_property
@@ -253,32 +257,41 @@ def fractal_features(r: Region) -> list[float]:
     return [1 - _slope(pairs) if pairs else 0.0]
 
 
-def _martin(c: np.ndarray) -> float:
-    """Width at the level that halves a convex outline's area, over 100 levels."""
-    low, high = c[:, 1].min(), c[:, 1].max()
-    if high <= low:
-        return 0.0
-    levels = low + (np.arange(100) + 0.5) * (high - low) / 100
-    a, b = c, np.roll(c, -1, axis=0)
-    v = levels[:, None]
-    cross = (a[:, 1] <= v) != (b[:, 1] <= v)
-    rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
-    xs = a[:, 0] + (v - a[:, 1]) / rise * (b[:, 0] - a[:, 0])
-    widths = np.where(cross, xs, -np.inf).max(1) - np.where(cross, xs, np.inf).min(1)
-    widths = np.where(cross.any(1), widths, 0.0)
-    total = np.cumsum(widths)
-    return float(widths[min(99, int(np.searchsorted(total, total[-1] / 2)))])
-
-
-def _nassenstein(c: np.ndarray) -> float:
-    """Vertical extent of a convex outline above the mean place of its lowest tangent."""
-    x = c[c[:, 1] >= c[:, 1].max() - 1e-3, 0].mean()
-    a, b = c, np.roll(c, -1, axis=0)
-    hit = (np.minimum(a[:, 0], b[:, 0]) <= x + 1e-9) & (np.maximum(a[:, 0], b[:, 0]) >= x - 1e-9)
-    a, b = a[hit], b[hit]
-    span = np.where(np.abs(b[:, 0] - a[:, 0]) < 1e-12, 1.0, b[:, 0] - a[:, 0])
-    ys = np.where(np.abs(b[:, 0] - a[:, 0]) < 1e-12, a[:, 1], a[:, 1] + (x - a[:, 0]) / span * (b[:, 1] - a[:, 1]))
-    return float(c[:, 1].max() - ys.min()) if len(ys) else 0.0
+def _martin(c: np.ndarray) -> np.ndarray:
+    """Widths of convex outlines (one for each first index) at the level that halves their area, over 100 levels."""
+    low, high = c[:, :, 1].min(1), c[:, :, 1].max(1)
+    levels = low[:, None] + (np.arange(100) + 0.5) * (high - low)[:, None] / 100
+    a, b = c[:, None], np.roll(c, -1, axis=1)[:, None]
+    v = levels[:, :, None]
+    cross = (a[..., 1] <= v) != (b[..., 1] <= v)
+    rise = np.where(a[..., 1] == b[..., 1], 1.0, b[..., 1] - a[..., 1])
+    xs = a[..., 0] + (v - a[..., 1]) / rise * (b[..., 0] - a[..., 0])
+    met = cross.any(2)
+    widths = np.where(met, np.where(cross, xs, -np.inf).max(2) - np.where(met, np.where(cross, xs, np.inf).min(2), 0.0), 0.0)
+    total = np.cumsum(widths, axis=1)
+    at = np.minimum(99, (total < total[:, -1:] / 2).sum(1))
+    return np.where(high > low, widths[np.arange(len(c)), at], 0.0)
+
+
+def _nassenstein(c: np.ndarray) -> np.ndarray:
+    """Vertical extents of convex outlines (one for each first index) above the mean place of their lowest tangent."""
+    top = c[:, :, 1].max(1)
+    lowest = c[:, :, 1] >= top[:, None] - 1e-3
+    x = (np.where(lowest, c[:, :, 0], 0.0).sum(1) / lowest.sum(1))[:, None]
+    a, b = c, np.roll(c, -1, axis=1)
+    hit = (np.minimum(a[..., 0], b[..., 0]) <= x + 1e-9) & (np.maximum(a[..., 0], b[..., 0]) >= x - 1e-9)
+    upright = np.abs(b[..., 0] - a[..., 0]) < 1e-12
+    ys = np.where(upright, a[..., 1], a[..., 1] + (x - a[..., 0]) / np.where(upright, 1.0, b[..., 0] - a[..., 0]) * (b[..., 1] - a[..., 1]))
+    return np.where(hit.any(1), top - np.where(hit, ys, np.inf).min(1), 0.0)
+
+
+def _turns(degrees: Sequence[float]) -> np.ndarray:
+    """What _rotated() multiplies places by, for several angles."""
+    return np.array([[[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]] for t in map(math.radians, degrees)])
+
+
+_CALIPER_TURNS = _turns([math.degrees(np.float32(t) * np.float32(math.pi) / np.float32(180)) for t in range(0, 181, 10)])
+_CHORD_TURNS = _turns([180.0 * k / 20 for k in range(20)])
 
 
 def caliper_features(r: Region) -> list[float]:
@@ -286,29 +299,34 @@ def caliper_features(r: Region) -> list[float]:
     c = r.hull
     if len(c) < 3:
         return [0.0] * len(GROUPS["caliper"])
-    turned = {t: _rotated(c, math.degrees(np.float32(t) * np.float32(math.pi) / np.float32(180)), c.mean(0)).astype(np.float32).astype(float) for t in range(0, 181, 10)}
-    widths = [(t, float(np.ptp(q[:, 0]))) for t, q in turned.items()]
-    widths = [(t, v) for t, v in widths if v > 0]
+    turned = ((c - c.mean(0)) @ _CALIPER_TURNS + c.mean(0)).astype(np.float32).astype(float)
+    widths = [(t, float(v)) for t, v in zip(range(0, 181, 10), np.ptp(turned[:, :, 0], axis=1), strict=True) if v > 0]
     feret = np.array([v for _, v in widths])
-    others = [np.array([f(turned[t]) for t in range(0, 171, 10)]) for f in (_martin, _nassenstein)]
+    others = [f(turned[:18]) for f in (_martin, _nassenstein)]
     angles = [float(min(widths, key=lambda p: (p[1], p[0]))[0]), float(max(widths, key=lambda p: (p[1], -p[0]))[0])] if widths else [0.0, 0.0]
     return [*angles, *_stats(feret), *_stats(others[0][others[0] > 0]), *_stats(others[1][others[1] > 0])]
 
 
-def _column_runs(x: np.ndarray, y: np.ndarray, last: int) -> np.ndarray:
-    """Longest run of rows in each column with one, in columns' order; a run that reaches the row `last` doesn't count."""
-    x0, y0 = int(x.min()), int(y.min())
-    w, h = int(x.max()) - x0 + 1, last - y0 + 2
-    seen = np.zeros(w * h, dtype=bool)
-    seen[(x - x0) * h + (y - y0)] = True
+def _column_runs(x: np.ndarray, y: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest run of rows in each column with one, in columns' order, and which set of places (x and y have one for each first index) it is of.
+
+    A run that reaches the row `last` of its set doesn't count.
+    """
+    x0, y0 = x.min(1), y.min(1)
+    w, h = x.max(1) - x0 + 1, int((last - y0).max()) + 2
+    base = np.cumsum(w) - w
+    seen = np.zeros(int(w.sum()) * h, dtype=bool)
+    seen[(x - (x0 - base)[:, None]) * h + (y - y0[:, None])] = True
     # each column ends with a blank row, so no run spans two columns
     edge = np.diff(seen.astype(np.int8), prepend=0, append=0)
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    open_ = ends % h != h - 1
-    longest = np.zeros(w, dtype=np.int64)
+    owner = np.repeat(np.arange(len(w)), w)
+    open_ = ends % h != (last - y0 + 1)[owner[begins // h]]
+    longest = np.zeros(len(owner), dtype=np.int64)
     np.maximum.at(longest, begins[open_] // h, (ends - begins)[open_])
-    longest = longest[:: max(1, w // 100) if w >= 200 else 1]
-    return longest[longest > 0]
+    step = np.where(w >= 200, w // 100, 1)[owner]
+    kept = ((np.arange(len(owner)) - base[owner]) % step == 0) & (longest > 0)
+    return longest[kept], owner[kept]
 
 
 def chord_features(r: Region) -> list[float]:
@@ -321,20 +339,22 @@ def chord_features(r: Region) -> list[float]:
         return [0.0] * 16
     p = np.stack([r.x, r.y], axis=1).astype(float)
     about = np.array([r.x0 + (r.w - 1) / 2, r.y0 + (r.h - 1) / 2])
+    # few angles at a time where there are many places
     longest, every = [], []
-    for k in range(20):
-        angle = 180.0 * k / 20
-        q = np.trunc(_rotated(p, angle, about).astype(np.float32)).astype(np.int64)
-        runs = _column_runs(q[seen, 0], q[seen, 1], int(q[:, 1].max()))
-        if len(runs):
-            longest.append((angle, float(runs.max())))
-            every += [(angle, float(v)) for v in runs]
-    if not every:
-        return [0.0] * 16
+    some = max(1, min(20, 1_000_000 // r.n))
+    for k in range(0, 20, some):
+        q = np.trunc(((p - about) @ _CHORD_TURNS[k : k + some] + about).astype(np.float32)).astype(np.int64)
+        runs, of = _column_runs(q[:, seen, 0], q[:, seen, 1], q[:, :, 1].max(1))
+        every.append((180.0 * (of + k) / 20, runs.astype(float)))
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
+        longest.append((every[-1][0][first], np.maximum.reduceat(every[-1][1], first) if len(first) else every[-1][1]))
     out = []
-    for pairs in (longest, every):
-        v = np.array([x for _, x in pairs])
-        out += [v.max(), math.radians(max(pairs, key=lambda p: (p[1], -p[0]))[0]), v.min(), math.radians(min(pairs, key=lambda p: (p[1], p[0]))[0]), float(np.median(v)), v.mean(), _whole_mode(v), v.std(ddof=1) if len(v) > 1 else 0.0]
+    for sets in (longest, every):
+        angle, v = (np.concatenate(c) for c in zip(*sets, strict=True))
+        if not len(v):
+            return [0.0] * 16
+        # the least angle of equally long chords
+        out += [v.max(), math.radians(angle[v.argmax()]), v.min(), math.radians(angle[v.argmin()]), float(np.median(v)), v.mean(), _whole_mode(v), v.std(ddof=1) if len(v) > 1 else 0.0]
     return out
 
 
@@ -527,11 +547,11 @@ COMPUTE: dict[str, Callable[..., list[float]]] = {
 }
 
 
-def whole_regions(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0, options: Mapping[str, Mapping] | None = None) -> DataFrame:
+def whole_regions(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0, options: Mapping[str, Mapping] | None = None, small: bool = False) -> DataFrame:
     """The features of the given groups, one row a region, in one pass over all of a region's pixels; what isn't finite is noval. Repeated pixels count once.
 
     options: further arguments of groups' functions, such as {"gabor": {"n": 20}}. A group's number of features stays the same, but
-    for gabor, which has one for each of its pairs.
+    for gabor, which has one for each of its pairs. small: regions have few pixels (SMALL), so that Python gets a row for each and many rows at once.
     """
     given = {g: dict((options or {}).get(g, {})) for g in groups}
     named = {g: tuple(f"GABOR_{k}" for k in range(len(given[g]["pairs"]))) if "pairs" in given[g] else GROUPS[g] for g in groups}
@@ -542,8 +562,22 @@ def whole_regions(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0,
         values = [float(v) for g in groups for v in COMPUTE[g](region, **given[g])]
         return pa.table({**{k: [v.as_py()] for k, v in zip(KEYS, key, strict=True)}, **{n: [v if math.isfinite(v) else noval] for n, v in zip(columns, values, strict=True)}})
 
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            at, places = lists.offsets.to_numpy(), [c.to_numpy() for c in lists.values.flatten()]
+            values = np.empty((len(batch), len(columns)))
+            for row, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                region = Region(*(c[a:b] for c in places))
+                values[row] = [v for g in groups for v in COMPUTE[g](region, **given[g])]
+            values[~np.isfinite(values)] = noval
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v) for v in values.T)], names=[*KEYS, *columns])
+
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
-    return pixels.select(*KEYS, "x", "y", "inten").groupBy(*KEYS).applyInArrow(one, ", ".join([*(f"{k} {kinds[k]}" for k in KEYS), *(f"`{n}` double" for n in columns)]))
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in KEYS), *(f"`{n}` double" for n in columns)])
+    if small:
+        return pixels.groupBy(*KEYS).agg(F.collect_list(F.struct("x", "y", "inten")).alias("places")).mapInArrow(many, schema)
+    return pixels.select(*KEYS, "x", "y", "inten").groupBy(*KEYS).applyInArrow(one, schema)
 
 
 POLYGONS = ("POLYGONALITY_AVE", "HEXAGONALITY_AVE", "HEXAGONALITY_STDDEV")

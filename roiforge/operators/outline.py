@@ -187,15 +187,18 @@ def radii(pixels: DataFrame) -> DataFrame:
     return contour.select(*KEYS).join(stats, _KEYS, "left").select(*KEYS, zero("mean", "MEAN"), zero("max", "MAX"), zero("median", "MEDIAN"))
 
 
-def geometry(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0, options: Mapping[str, Mapping] | None = None, large: int = LARGE) -> DataFrame:
+def geometry(pixels: DataFrame, groups: Sequence[str], noval: float = 0.0, options: Mapping[str, Mapping] | None = None, large: int = LARGE, cells: int | None = None) -> DataFrame:
     """The features of the given groups, one row a region; see geometry.whole_regions().
 
-    Regions whose box has more than `large` cells take the way of this module in groups that have one (OUTLINED). Others' pixels still meet in one task.
+    Regions whose box has more than `large` cells take the way of this module in groups that have one (OUTLINED). Others' pixels still meet in one task. cells: the
+    most cells that a box can have, where that is known; it spares a pass over the pixels.
     """
+    if cells is not None and cells <= min(large, g.SMALL):
+        return g.whole_regions(pixels, groups, noval, options, small=True)
     outlined = [k for k in groups if k in OUTLINED]
     size = pixels.groupBy(*KEYS).agg(((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)).alias("cells"))
-    if not outlined or (size.agg(F.max("cells")).first()[0] or 0) <= large:
-        return g.whole_regions(pixels, groups, noval, options)
+    if not outlined or (most := size.agg(F.max("cells")).first()[0] or 0) <= large:
+        return g.whole_regions(pixels, groups, noval, options, small=bool(outlined) and most <= g.SMALL)
     wide = stored(size.where(F.col("cells") > large).select(*KEYS), "large-regions")
     big, rest = pixels.join(wide, _KEYS, "left_semi"), pixels.join(wide, _KEYS, "left_anti")
     parts = []

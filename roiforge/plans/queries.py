@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roiforge.functions.sqltext import KEYS, rounded, run
 from roiforge.operators import firstorder, geometry, imagequality, outline, output, shape, spatial, texture, volume
 from roiforge.operators.zones import zone_features
-from roiforge.sources.adapters import ADAPTERS, pixels
+from roiforge.sources.adapters import ADAPTERS, BOUNDED, pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,7 +198,7 @@ FROM (SELECT regexp_extract(url, '/([0-9]+)(?:[?#].*)?$', 1) AS base FROM pages)
 
 def geometric(name: str, adapter: str, groups: Sequence[str]) -> None:
     """Registers groups of the grouped pass; SQL can't express them."""
-    QUERIES[name] = lambda spark, sf_dir: outline.geometry(pixels(spark, sf_dir, adapter), groups)
+    QUERIES[name] = lambda spark, sf_dir: outline.geometry(pixels(spark, sf_dir, adapter), groups, cells=BOUNDED[adapter])
 
 
 _COMPACT = f"({ADAPTERS['compact']('duckdb')})"
@@ -211,7 +211,7 @@ def hull(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def erosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = outline.geometry(pixels(spark, sf_dir, "compact"), ["erosion"])
+    found = outline.geometry(pixels(spark, sf_dir, "compact"), ["erosion"], cells=BOUNDED["compact"])
     return run(found, rounded("SELECT * FROM {pixels}", geometry.GROUPS["erosion"], "spark"))
 
 
@@ -251,7 +251,7 @@ QUERIES["shape_3d"] = lambda spark, sf_dir: volume.shape3(pixels(spark, sf_dir,
 
 def polygonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir, "compact")
-    return geometry.polygonality(run(px, spatial.neighbours_sql()), outline.geometry(px, ["contour", "hull", "caliper"]))
+    return geometry.polygonality(run(px, spatial.neighbours_sql()), outline.geometry(px, ["contour", "hull", "caliper"], cells=BOUNDED["compact"]))
 
 
 QUERIES["polygonality"] = polygonality
