@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Sequence
 
@@ -9,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roiforge.functions.sqltext import K, finished, of, on, with_rows
+from roiforge.functions.sqltext import K, div, finished, of, on, with_rows
 
 NEIGHBOURS = ("NUM_NEIGHBORS", "PERCENT_TOUCHING", "CLOSEST_NEIGHBOR1_DIST", "CLOSEST_NEIGHBOR1_ANG", "CLOSEST_NEIGHBOR2_DIST", "CLOSEST_NEIGHBOR2_ANG", "ANG_BW_NEIGHBORS_MEAN", "ANG_BW_NEIGHBORS_STDDEV", "ANG_BW_NEIGHBORS_MODE")
+_WORD = (1 << 32) - 1
 _FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
 _NINE = tuple((dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1))
 
@@ -19,9 +21,57 @@ _NINE = tuple((dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1))
 def neighbours_sql(radius: int = 5, dialect: str = "spark") -> str:
     """The nine neighbour features. Regions are neighbours where their border pixels come within radius.
 
-    Border pixels (a 4-neighbour lies outside the region) meet by an equi-join on cells of the radius' side, each with the nine
-    around it. Distances and angles are between centroids, ties by label.
+    A border pixel has a 4-neighbour outside the region. Distances and angles are between centroids, ties by label. Other engines
+    check the words of 32 places by comparing pixels.
     """
+    return finished(_neighbours_by_words(radius) if dialect == "spark" else _neighbours_by_pixels(radius, dialect), NEIGHBOURS, dialect)
+
+
+def _neighbours_by_words(radius: int) -> str:
+    """A region's row is words of 32 places, a bit each; shifts find its border and what lies within radius of it, and regions meet by word.
+
+    There is no join: what is grouped or ordered has slide and t among its keys, so a table that is partitioned by slide moves no more.
+    Places with a null coordinate, or of a region with a null key, are border and near nothing.
+    """
+    reach = [(dy, math.isqrt(math.floor(radius * radius - dy * dy))) for dy in range(-math.floor(radius), math.floor(radius) + 1)]
+    # how far a border pixel touches to the sides, dy rows away: squared distances up to 2; nowhere is -1
+    touch = lambda dy: next((c for c in (1, 0) if c * c + dy * dy <= min(2, radius * radius)), -1)
+    # smearing a word by 1, 3, 9 and 18 places leaves no gaps, and 31 is all of it
+    steps = lambda w: (a := min(w, 1), b := min(w - a, 3), c := min(w - a - b, 9), min(w - a - b - c, 18))
+    rows = [(dy, k, w, touch(dy), *steps(min(w, 31))) for dy, w in reach for k in range(-((w + 31) // 32), (w + 31) // 32 + 1)]
+    smeared, last = "", "e"
+    for k in range(4):
+        if any(r[4 + k] for r in rows):
+            smeared += f"g{k} AS (SELECT *, ({last} | shiftleft({last}, s{k}) | shiftrightunsigned({last}, s{k})) & {_WORD} AS g{k} FROM {f'g{k - 1}' if k else 'shifted'}),\n"
+            last = f"g{k}"
+    within = " + ".join(f"{1 << j}e0 * bit_count(m & {sum(1 << b for b in range(32) if b >> j & 1)})" for j in range(5))
+    beside = lambda f, window, step, sign: f"CASE WHEN {f}({step}) OVER {window} = {step} {sign} 1 THEN {f}(m) OVER {window} ELSE 0L END"
+    return f"""WITH places AS (SELECT {K}, x, y, slide_id IS NULL OR t IS NULL OR label IS NULL OR x IS NULL OR y IS NULL AS alone FROM {{pixels}}),
+words AS (SELECT {K}, y, shiftright(x, 5) AS bx, alone, CASE WHEN alone THEN x END AS ax, bit_or(CASE WHEN alone THEN 0L ELSE shiftleft(1L, cast(x & 31 as int)) END) AS m FROM places GROUP BY {K}, y, shiftright(x, 5), alone, CASE WHEN alone THEN x END),
+sums AS (SELECT *, CASE WHEN alone THEN ax * 1e0 ELSE 32e0 * bx * bit_count(m) + {within} END AS sx, CASE WHEN alone THEN y * 1e0 ELSE y * 1e0 * bit_count(m) END AS sy, CASE WHEN alone THEN 1 ELSE bit_count(m) END AS n FROM words),
+means AS (SELECT {K}, y, bx, m, alone, {div("sum(sx) OVER region", "sum(CASE WHEN sx IS NOT NULL THEN n END) OVER region")} AS cx, {div("sum(sy) OVER region", "sum(CASE WHEN sy IS NOT NULL THEN n END) OVER region")} AS cy FROM sums WINDOW region AS (PARTITION BY {K})),
+around AS (SELECT *, {beside("lag", "down", "y", "-")} AS above, {beside("lead", "down", "y", "+")} AS below, {beside("lag", "along", "bx", "-")} AS before, {beside("lead", "along", "bx", "+")} AS after
+  FROM means WINDOW down AS (PARTITION BY {K}, bx ORDER BY y), along AS (PARTITION BY {K}, y ORDER BY bx)),
+edges AS (SELECT {K}, y, bx, cx, cy, cast(alone as int) AS alone, m & ~(above & below & (shiftleft(m, 1) | shiftrightunsigned(before, 31)) & (shiftrightunsigned(m, 1) | shiftleft(after & 1L, 31))) AS e FROM around),
+ends AS (SELECT *, bit_count((e & -e) - 1) AS lo, length(bin(e)) - 1 AS hi FROM edges WHERE e <> 0 OR alone = 1),
+shifted AS (SELECT * FROM {with_rows("ends", "p", rows, ("dy", "k", "w", "c", "s0", "s1", "s2", "s3"), "spark")} WHERE e <> 0 OR dy = 0 AND k = 0),
+{smeared}spread AS (SELECT {K}, y + dy AS y, bx + k AS bx, cx, cy, CASE WHEN dy = 0 AND k = 0 THEN e ELSE 0L END AS own, CASE WHEN dy = 0 AND k = 0 THEN alone ELSE 0 END AS alone,
+  CASE WHEN k = 0 THEN {last} WHEN k > 0 THEN shiftleft(1L, least(32, greatest(0, hi + w - 32 * k + 1))) - 1L ELSE {1 << 32}L - shiftleft(1L, least(32, greatest(0, lo - w - 32 * k))) END AS reach,
+  CASE WHEN c < 0 THEN 0L WHEN k = 0 THEN (e | shiftleft(e, c) | shiftrightunsigned(e, c)) & {_WORD} WHEN c = 1 AND k = 1 THEN shiftrightunsigned(e, 31) WHEN c = 1 AND k = -1 THEN shiftleft(e & 1L, 31) ELSE 0L END AS close FROM {last if smeared else "shifted"}),
+mine AS (SELECT {K}, y, bx, max(cx) AS cx, max(cy) AS cy, bit_or(own) AS own, sum(alone) AS alone, bit_or(reach) AS reach, bit_or(close) AS close FROM spread WHERE reach <> 0 OR alone > 0 GROUP BY {K}, y, bx),
+cells AS (SELECT slide_id, t, collect_list(struct(label, own, alone, reach, close, cx, cy)) AS cell FROM mine GROUP BY slide_id, t, y, bx HAVING bit_or(own) <> 0 OR max(alone) > 0),
+near AS (SELECT {K}, cx, cy, bit_count(own) + alone AS border, bit_count(own & aggregate(cell, 0L, (s, c) -> CASE WHEN c.label <> label THEN s | c.close ELSE s END)) AS touching, filter(cell, c -> c.label <> label AND (c.reach & own) <> 0) AS others
+  FROM cells LATERAL VIEW inline(cell) a AS label, own, alone, reach, close, cx, cy WHERE own <> 0 OR alone > 0),
+pair AS (SELECT {K}, o.label AS other, max(cx) AS cx, max(cy) AS cy, max(o.cx) AS ox, max(o.cy) AS oy, sum(CASE WHEN coalesce(k, 0) = 0 THEN border END) AS border, sum(CASE WHEN coalesce(k, 0) = 0 THEN touching END) AS touching FROM near LATERAL VIEW OUTER posexplode(others) e AS k, o GROUP BY {K}, o.label),
+geo AS (SELECT {K}, other, border, touching, sqrt(power(cx - ox, 2) + power(cy - oy, 2)) AS dist, degrees(atan2(oy - cy, ox - cx)) AS raw FROM pair),
+ang AS (SELECT {K}, other, border, touching, dist, CASE WHEN raw < 0 THEN raw + 360e0 ELSE raw END AS ang, row_number() OVER (PARTITION BY {K} ORDER BY CASE WHEN other IS NULL THEN 1 ELSE 0 END, cast(dist as float), other) AS k FROM geo),
+modes AS (SELECT *, floor(ang + 0.5e0) AS a, count(other) OVER (PARTITION BY {K}, floor(ang + 0.5e0)) AS c FROM ang)
+SELECT {K}, count(other) AS NUM_NEIGHBORS, 100e0 * sum(touching) / sum(border) AS PERCENT_TOUCHING, max(CASE WHEN k = 1 THEN dist END) AS CLOSEST_NEIGHBOR1_DIST, max(CASE WHEN k = 1 THEN ang END) AS CLOSEST_NEIGHBOR1_ANG, max(CASE WHEN k = 2 THEN dist END) AS CLOSEST_NEIGHBOR2_DIST,
+  max(CASE WHEN k = 2 THEN ang END) AS CLOSEST_NEIGHBOR2_ANG, avg(ang) AS ANG_BW_NEIGHBORS_MEAN, CASE WHEN count(other) > 2 THEN stddev_samp(ang) END AS ANG_BW_NEIGHBORS_STDDEV, -max(CASE WHEN other IS NOT NULL THEN struct(c, -a AS b) END).b AS ANG_BW_NEIGHBORS_MODE FROM modes GROUP BY {K}"""
+
+
+def _neighbours_by_pixels(radius: int, dialect: str) -> str:
+    """Border pixels meet by an equi-join on cells of the radius' side, each with the nine around it."""
     shifted = with_rows("px", "p", _FOUR, ("dx", "dy"), dialect)
     spread = with_rows("e", "p", _NINE, ("dx", "dy"), dialect)
     inner = f"""WITH px AS (SELECT DISTINCT {K}, x, y FROM {{pixels}}),
@@ -43,7 +93,7 @@ md AS (SELECT {of("modes")}, min(a) AS a FROM modes JOIN top ON {on("modes", "to
 n AS (SELECT {K}, count(*) AS n, max(CASE WHEN k = 1 THEN dist END) AS d1, max(CASE WHEN k = 1 THEN ang END) AS a1, max(CASE WHEN k = 2 THEN dist END) AS d2, max(CASE WHEN k = 2 THEN ang END) AS a2, avg(ang) AS am, CASE WHEN count(*) > 2 THEN stddev_samp(ang) END AS asd FROM ang GROUP BY {K})
 SELECT {of("len")}, n AS NUM_NEIGHBORS, 100e0 * touching / border AS PERCENT_TOUCHING, d1 AS CLOSEST_NEIGHBOR1_DIST, a1 AS CLOSEST_NEIGHBOR1_ANG, d2 AS CLOSEST_NEIGHBOR2_DIST, a2 AS CLOSEST_NEIGHBOR2_ANG, am AS ANG_BW_NEIGHBORS_MEAN, asd AS ANG_BW_NEIGHBORS_STDDEV, md.a AS ANG_BW_NEIGHBORS_MODE
 FROM len LEFT JOIN n ON {on("len", "n")} LEFT JOIN touch ON {on("len", "touch")} LEFT JOIN md ON {on("len", "md")}"""
-    return finished(inner, NEIGHBOURS, dialect)
+    return inner
 
 
 # --- nested regions --------------------------------------------------------------------------------------------------

@@ -18,11 +18,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def family(name: str, adapter: str, text: Callable[..., str], names: Sequence[str], keys: Sequence[str] = KEYS) -> None:
-    """Registers a relational family: text(dialect=...) over an adapter's pixels."""
+def family(name: str, adapter: str, text: Callable[..., str], names: Sequence[str], keys: Sequence[str] = KEYS, slides: bool = False) -> None:
+    """Registers a relational family: text(dialect=...) over an adapter's pixels. slides: its regions meet others of their slide."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(pixels(spark, sf_dir, adapter), rounded(text(dialect="spark"), names, "spark", keys))
+        return run(pixels(spark, sf_dir, adapter, slides), rounded(text(dialect="spark"), names, "spark", keys))
 
     QUERIES[name] = query
     ORACLE_SQL[name] = rounded(text(dialect="duckdb"), names, "duckdb", keys).replace("{pixels}", f"({ADAPTERS[adapter]('duckdb')})")
@@ -93,7 +93,7 @@ tiled("gldzm_tiled", "dense", "GLDZM", 8, 4)
 
 # --- regions against regions, image quality, volumes ------------------------------------------------------------------
 
-family("neighbours", "compact", spatial.neighbours_sql, spatial.NEIGHBOURS)
+family("neighbours", "compact", spatial.neighbours_sql, spatial.NEIGHBOURS, slides=True)
 family("focus", "dense", imagequality.focus_sql, imagequality.FOCUS)
 family("saturation", "dense", imagequality.saturation_sql, imagequality.SATURATION)
 family("surface_3d", "volume", volume.surface_sql, volume.SURFACE)
@@ -250,7 +250,7 @@ QUERIES["shape_3d"] = lambda spark, sf_dir: volume.shape3(pixels(spark, sf_dir,
 
 
 def polygonality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir, "compact")
+    px = pixels(spark, sf_dir, "compact", slides=True)
     return geometry.polygonality(run(px, spatial.neighbours_sql()), outline.geometry(px, ["contour", "hull", "caliper"], cells=BOUNDED["compact"]))
 
 

@@ -57,10 +57,10 @@ def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     return df.repartition(max(1, few, -(-rows // TASK_ROWS)), *keys)
 
 
-def by_region(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
-    """Pixels of an adapter whose regions a grid bounds (at most 1024 pixels), each region whole in a partition.
+def by_region(spark: SparkSession, sf_dir: str, adapter: str, slides: bool = False) -> DataFrame:
+    """Pixels of an adapter whose regions a grid bounds (at most 1024 pixels), each region, or each slide, whole in a partition.
 
-    Rows move once, before they become pixels; what is grouped, joined or ordered by region moves none again.
+    Rows move once, before they become pixels; what is grouped, joined or ordered by region (by slide) moves none again.
     """
     table = spark.read.parquet(f"{sf_dir}/{_TABLE[adapter]}.parquet")
     if _TABLE[adapter] == "embeddings":
@@ -69,13 +69,13 @@ def by_region(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
         return spark.sql(text, table=whole)
     side = _SIDE[adapter]
     cells = table.selectExpr("cast(l_suppkey as string) AS slide_id", "cast(l_linenumber as bigint) AS label", f"l_partkey % {side} AS x", f"l_orderkey % {side} AS y", "l_quantity")
-    return spark.sql("SELECT slide_id, cast(0 as bigint) AS t, label, x, y, cast(0 as bigint) AS z, cast(max(l_quantity) as bigint) AS inten FROM {table} GROUP BY slide_id, label, x, y", table=dealt(cells, ["slide_id", "label"], table.count()))
+    return spark.sql("SELECT slide_id, cast(0 as bigint) AS t, label, x, y, cast(0 as bigint) AS z, cast(max(l_quantity) as bigint) AS inten FROM {table} GROUP BY slide_id, label, x, y", table=dealt(cells, ["slide_id"] if slides else ["slide_id", "label"], table.count()))
 
 
-def pixels(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
-    """An adapter's pixels, read from the driver's folder."""
+def pixels(spark: SparkSession, sf_dir: str, adapter: str, slides: bool = False) -> DataFrame:
+    """An adapter's pixels, read from the driver's folder. slides: regions of a slide meet, so they are dealt together."""
     if adapter in BOUNDED:
-        return by_region(spark, sf_dir, adapter)
+        return by_region(spark, sf_dir, adapter, slides)
     table = _TABLE[adapter]
     text = ADAPTERS[adapter]("spark").replace(f"FROM {table}", "FROM {table}")
     return spark.sql(text, table=spark.read.parquet(f"{sf_dir}/{table}.parquet"))

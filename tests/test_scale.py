@@ -41,6 +41,13 @@ def test_rows_move_once(spark, name, capsys):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
 
 
+@needs_tables
+def test_regions_of_a_slide_move_once(spark, capsys):
+    QUERIES["neighbours"](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "Join" not in plan
+
+
 @needs_tables
 @pytest.mark.parametrize("adapter", ["quarters", "sparse"])
 def test_tasks_grow_in_number(spark, adapter, monkeypatch):

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from roiforge.functions.sqltext import run
+from roiforge.functions.sqltext import rounded, run
 from roiforge.operators import geometry, shape, spatial, volume
 from roiforge.plans.api import NestedRois, SlideFeatures
 from roiforge.sources.arrays import montage
@@ -94,6 +94,23 @@ def test_neighbours_of_five_regions(spark):
     assert found[2]["CLOSEST_NEIGHBOR1_ANG"] == 0
 
 
+@pytest.mark.parametrize("radius", [1, 5, 33])
+def test_neighbours_across_words(spark, radius):
+    rng = np.random.default_rng(7)
+    pixels = [(f"s{k % 3}", 0, k, int(x), int(y), 0, 1) for k in range(24) for c, r in [(rng.integers(-60, 60, 2), rng.integers(1, 30))] for x, y in c + rng.integers(-r, r + 1, (1 + k % 4 * r * r, 2))]
+    pixels += [("block", 0, k, x, y, 0, 1) for k, (x0, y0, w, h) in enumerate([(-40, 0, 100, 9), (-8, 4, 70, 12), (61, 2, 32, 20), (96, 30, 1, 1)]) for x in range(x0, x0 + w) for y in range(y0, y0 + h)]
+    pixels += [("null", *p, 0, 1) for p in [(0, 1, 3, 3), (0, 1, None, 3), (0, 1, 8, None), (0, 2, 4, 3), (0, 2, None, None), (0, 3, None, 4), (0, None, 3, 3), (None, 4, 3, 3)]] + [(None, 0, 1, 1, 1, 0, 1), (None, 0, 2, 1, 1, 0, 1)]
+    px = spark.createDataFrame(pixels, "slide_id string, t bigint, label bigint, x bigint, y bigint, z bigint, inten bigint").repartition(3)
+    found = run(px, rounded(spatial.neighbours_sql(radius), spatial.NEIGHBOURS, "spark")).collect()
+    con = duckdb.connect()
+    con.execute("create table px (slide_id varchar, t bigint, label bigint, x bigint, y bigint, z bigint, inten bigint)")
+    con.register("rows_", px.toPandas().astype({c: "Int64" for c in ("t", "label", "x", "y")}))
+    con.execute("insert into px select * from rows_")
+    theirs = con.execute(rounded(spatial.neighbours_sql(radius, "duckdb"), spatial.NEIGHBOURS, "duckdb").replace("{pixels}", "px")).fetchall()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, theirs))
+    assert {r["NUM_NEIGHBORS"] for r in found} > {0, 1, 2}
+
+
 def test_nested_regions(spark):
     outer, inner = np.zeros((20, 20), int), np.zeros((20, 20), int)
     outer[2:12, 2:12], inner[3:5, 3:5], inner[8:10, 8:10], inner[15:17, 15:17] = 1, 1, 2, 3
