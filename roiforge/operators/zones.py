@@ -20,6 +20,8 @@ from roiforge.operators.texture import levels_sql, zone_features_sql, zone_neigh
 
 #: Sides of a tile, in 2D and in 3D: about a million pixels.
 TILE, TILE_3D = 1024, 96
+#: Cells of a tile up to which it is a row, and cells that are labelled at once then.
+FEW_CELLS, BATCH_CELLS = 1024, 1 << 16
 #: Links between parts of a region up to which one row holds them.
 FEW_LINKS = 1024
 
@@ -37,12 +39,15 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def zone_roots(x: np.ndarray, y: np.ndarray, z: np.ndarray, g: np.ndarray, around: tuple) -> np.ndarray:
-    """For each pixel the rank (by z, y, x) of its zone's first pixel. Rows fall into runs of equal levels, and runs that touch are linked."""
+def zone_roots(x: np.ndarray, y: np.ndarray, z: np.ndarray, g: np.ndarray, around: tuple, box: np.ndarray | int = 0) -> np.ndarray:
+    """For each pixel the rank (by box, z, y, x) of its zone's first pixel. Rows fall into runs of equal levels, and runs that touch are linked.
+
+    box: the number of the box that a pixel is in, of several that don't touch.
+    """
     n = len(x)
-    order = np.lexsort((x, y, z))
-    w, h = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3
-    cell = ((x - x.min() + 1) + w * ((y - y.min() + 1) + h * (z - z.min())))[order]
+    order = np.lexsort((x, y, z, np.broadcast_to(box, n)))
+    w, h, d = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3, int(z.max() - z.min()) + 2
+    cell = ((x - x.min() + 1) + w * ((y - y.min() + 1) + h * (z - z.min() + d * box)))[order]
     level = g[order]
     begins = np.concatenate([[True], (cell[1:] != cell[:-1] + 1) | (level[1:] != level[:-1])])
     run_of = np.cumsum(begins) - 1
@@ -81,8 +86,11 @@ def extent(pixels: DataFrame) -> int:
 
 
 def tiled_zones(levels: DataFrame, tile: int, three_d: bool = False, straight: bool = False) -> DataFrame:
-    """Pixels with root (the number of their zone's part in the tile's box, counted over the region's box) and whether they lie at a seam. Tiles begin at the region's corner."""
-    around = zone_neighbours(three_d, straight)
+    """Pixels with root (the number of their zone's part in the tile's box, counted over the region's box) and the seams that they lie at. Tiles begin at the region's corner.
+
+    seam: a bit for each side of the tile beyond which the region may go on, x, y and z, the lower side first. Small tiles are rows, and many of them are labelled at once.
+    """
+    around, step = zone_neighbours(three_d, straight), max(1, BATCH_CELLS // tile**3)
 
     def label(table: pa.Table) -> pa.Table:
         x, y, z, g, cell = (table.column(c).to_numpy() for c in ("x", "y", "z", "g", "cell"))
@@ -90,22 +98,44 @@ def tiled_zones(levels: DataFrame, tile: int, three_d: bool = False, straight: b
         # a zone is named by its first pixel's number in the region
         return table.drop_columns(["cell"]).append_column("root", pa.array(cell[order][zone_roots(x, y, z, g, around)]))
 
+    def label_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), step):
+                rows = batch.slice(first, step)
+                n, pixels = np.diff(rows.column(len(KEYS)).offsets.to_numpy()), rows.column(len(KEYS)).flatten()
+                owner, begins = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                x, y, z, g, cell = (pixels.field(c).to_numpy() for c in ("x", "y", "z", "g", "cell"))
+                order = np.lexsort((x, y, z, owner))
+                inner_ = (v - np.minimum.reduceat(v, begins)[owner] for v in (x, y, z))
+                root = cell[order][zone_roots(*inner_, g, around, owner)]
+                yield pa.RecordBatch.from_arrays([*rows.select(list(KEYS)).take(pa.array(owner)).columns, *(pixels.field(c) for c in values), pa.array(root)], names=[*KEYS, *values, "root"])
+
     box = levels.groupBy(*KEYS).agg(*(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
     at = {c: F.col(c) - F.col(f"lo_{c}") for c in "xyz"}
     wide = {c: F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1 for c in "xyz"}
     inner = {c: F.pmod(at[c], F.lit(tile)) for c in "xyz"}
-    seam = [(inner[c] == 0) & (at[c] > 0) | (inner[c] == tile - 1) & (at[c] < wide[c] - 1) for c in "xyz"]
-    placed = levels.join(box, list(KEYS)).select(*levels.columns, (at["x"] + wide["x"] * (at["y"] + wide["y"] * at["z"])).alias("cell"), (seam[0] | seam[1] | seam[2]).alias("seam"), *(F.floor(at[c] / tile).cast("int").alias(f"tile_{c}") for c in "xyz"))
+    sides = [s for c in "xyz" for s in ((inner[c] == 0) & (at[c] > 0), (inner[c] == tile - 1) & (at[c] < wide[c] - 1))]
+    seam = sum((s.cast("int") * (1 << k) for k, s in enumerate(sides)), F.lit(0))
+    placed = levels.join(box, list(KEYS)).select(*levels.columns, (at["x"] + wide["x"] * (at["y"] + wide["y"] * at["z"])).alias("cell"), seam.alias("seam"), *(F.floor(at[c] / tile).cast("int").alias(f"tile_{c}") for c in "xyz"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields if f.name not in ("cell",)]
-    return placed.groupBy(*KEYS, "tile_x", "tile_y", "tile_z").applyInArrow(label, ", ".join([*kinds, "root bigint"])).drop("tile_x", "tile_y", "tile_z")
+    tiles = placed.groupBy(*KEYS, "tile_x", "tile_y", "tile_z")
+    if tile**3 > FEW_CELLS:
+        return tiles.applyInArrow(label, ", ".join([*kinds, "root bigint"])).drop("tile_x", "tile_y", "tile_z")
+    values = [c for c in (*levels.columns, "seam") if c not in KEYS]
+    rows = tiles.agg(F.collect_list(F.struct("cell", *values)).alias("pixels")).select(*KEYS, "pixels")
+    return rows.mapInArrow(label_many, placed.select(*KEYS, *values).withColumn("root", F.lit(0).cast("bigint")).schema)
 
 
 def seams(zoned: DataFrame, three_d: bool = False, straight: bool = False) -> DataFrame:
-    """Links (region, a, b) between parts of zones that touch across seams; zoned: tiled_zones(). Only pixels at seams are joined."""
+    """Links (region, a, b) between parts of zones that touch across seams; zoned: tiled_zones(). Only pixels at seams are joined, with what lies beyond their own.
+
+    Neither side is broadcast: a written table of zones is small on disk and has many rows.
+    """
     half = tuple(d for d in zone_neighbours(three_d, straight) if (d[2], d[1], d[0]) > (0, 0, 0))
-    text = f"""WITH e AS (SELECT {K}, x, y, z, g, root FROM {{pixels}} WHERE seam),
-s AS (SELECT {K}, x + dx AS x, y + dy AS y, z + dz AS z, g, root AS from_ FROM {with_rows("e", "p", half, ("dx", "dy", "dz"), "spark")})
-SELECT DISTINCT {of("e")}, least(root, from_) AS a, greatest(root, from_) AS b FROM s JOIN e ON {on("s", "e", ["x", "y", "z", "g"])} WHERE root <> from_"""
+    beyond = tuple((*d, sum((1 if v < 0 else 2) << 2 * k for k, v in enumerate(d) if v)) for d in half)
+    text = f"""WITH e AS (SELECT {K}, x, y, z, g, root, seam FROM {{pixels}} WHERE seam <> 0),
+s AS (SELECT {K}, x + dx AS x, y + dy AS y, z + dz AS z, g, root AS from_ FROM {with_rows("e", "p", beyond, ("dx", "dy", "dz", "sides"), "spark")} WHERE seam & sides <> 0)
+SELECT /*+ MERGE(s, e) */ DISTINCT {of("e")}, least(root, from_) AS a, greatest(root, from_) AS b FROM s JOIN e ON {on("s", "e", ["x", "y", "z", "g"])} WHERE root <> from_"""
     return run(zoned, text)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roiforge.functions.sqltext import run
+from roiforge.functions.store import stored
 from roiforge.operators import texture, zones
 from roiforge.operators.zones import zone_features, zone_roots
 from roiforge.sources.arrays import montage
@@ -46,6 +47,37 @@ def test_tiled_zones_are_those_of_one_pass(spark, tile, three_d, straight):
         assert all(tuple(a)[3:] == pytest.approx(tuple(b)[3:]) for a, b in zip(*rows, strict=True))
 
 
+@pytest.mark.parametrize("family", ["GLDZM"])
+def test_tiles_are_not_broadcast(spark, family):
+    # a few kB on disk: by their size Spark would send millions of pixels at seams through the driver
+    pixels = [(k, p) for k in range(1, 9) for p in shape(np.random.default_rng(k), 9, 3)]
+    parts = stored(zones.tiled_zones(levels(frame(spark, pixels)), 4), "zones")
+    for df in (zones.seams(parts), zones.features_of(zones.Zones(parts, zones.merged_parts(zones.seams(parts))), family)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("three_d", [False, True])
+def test_many_tiles_at_once_are_those_of_a_group_each(spark, monkeypatch, three_d):
+    # regions of other places and sizes, one of a single pixel, several batches
+    rng = np.random.default_rng(11)
+    pixels = [(k, (x + 50 * k, y - 9 * k, z * 2 + k, g)) for k in range(1, 8) for x, y, z, g in shape(rng, 3 + k, 2, 3)] + [(9, (10**6, 10**6, 7, 1))]
+    df = frame(spark, pixels)
+    monkeypatch.setattr(zones, "BATCH_CELLS", 100)
+    found = zones.tiled_zones(levels(df), 3, three_d)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(zones, "FEW_CELLS", 0)
+    grouped = zones.tiled_zones(levels(df), 3, three_d)
+    assert "MapInArrow" not in grouped._jdf.queryExecution().toString()
+    assert sorted(found.select(*grouped.columns).collect()) == sorted(grouped.collect()) and found.count() == len(pixels)
+    # only what lies on two sides of a seam is joined
+    at = {(r["label"], r["x"], r["y"], r["z"]): r for r in grouped.collect()}
+    around = [d for d in texture.zone_neighbours(three_d) if (d[2], d[1], d[0]) > (0, 0, 0)]
+    near = lambda k, d: at.get((k[0], *(v + s for v, s in zip(k[1:], d, strict=True))))
+    links = {(k[0], *sorted((r["root"], o["root"]))) for k, r in at.items() for d in around if (o := near(k, d)) and o["g"] == r["g"] and o["root"] != r["root"]}
+    assert {(r["label"], r["a"], r["b"]) for r in zones.seams(grouped, three_d).collect()} == links and links
+
+
 def test_a_spiral_over_many_tiles(spark):
     # one zone that passes every tile again and again
     side, x, y, dx, dy = 41, 0, 0, 1, 0
