@@ -47,7 +47,7 @@ def test_tiled_zones_are_those_of_one_pass(spark, tile, three_d, straight):
         assert all(tuple(a)[3:] == pytest.approx(tuple(b)[3:]) for a, b in zip(*rows, strict=True))
 
 
-@pytest.mark.parametrize("family", ["GLDZM"])
+@pytest.mark.parametrize("family", ["GLSZM", "GLDZM"])
 def test_tiles_are_not_broadcast(spark, family):
     # a few kB on disk: by their size Spark would send millions of pixels at seams through the driver
     pixels = [(k, p) for k in range(1, 9) for p in shape(np.random.default_rng(k), 9, 3)]
